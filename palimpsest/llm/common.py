@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
@@ -128,4 +127,3 @@ def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
 
 
-DOCUMENT = T.StructType.fromDDL("doc_id long, text string, lang string, source string, n_chars long")

@@ -49,11 +49,15 @@ class DigestIndex:
     def append(self, prints: DataFrame) -> DataFrame:
         """Add the digests that the index lacks, and return them. Known digests keep their entry: what was kept earlier stays."""
         new = groups(prints)
-        if self.exists():
-            # the index side is bucketed and sorted already: only the batch is shuffled for the sort-merge anti-join
-            new = materialize(new.hint("merge").join(self.table().select("digest"), "digest", "left_anti"))
-        new.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        return new
+        if not self.exists():
+            self._write(new.limit(0))
+        # the index side is bucketed and sorted already: only the batch is shuffled for the sort-merge anti-join
+        added = materialize(new.hint("merge").join(self.table().select("digest"), "digest", "left_anti"))
+        self._write(added)
+        return added
+
+    def _write(self, entries: DataFrame) -> None:
+        entries.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -77,12 +81,6 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def survivors(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The doc_ids that stay, one row each."""
-    spark = docs.sparkSession
-    own = index or DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    return own.append(fingerprints(docs)).select(F.col("keep_id").alias("doc_id")) if own.exists() else _first(own, docs)
-
-
-def _first(index: DigestIndex, docs: DataFrame) -> DataFrame:
-    index.append(fingerprints(docs))
-    return index.table().select(F.col("keep_id").alias("doc_id"))
+    """The doc_ids that stay, one row each: those whose text the index didn't know."""
+    own = index or DigestIndex(docs.sparkSession, f"digests_{uuid.uuid4().hex}")
+    return own.append(fingerprints(docs)).select(F.col("keep_id").alias("doc_id"))
