@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, licenses, pii, sharding
+from . import decontaminate, exact_dedup, jaccard, licenses, packing, pii, quality, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest_columns(found)
@@ -43,6 +55,9 @@ QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op3_pii": op3_pii,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
+    "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,

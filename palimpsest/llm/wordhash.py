@@ -57,10 +57,8 @@ def chunks(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes in order, and for each row (and one past the last) the index of its first word."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+def _letters(data: np.ndarray, offsets: np.ndarray):
+    """Row bounds in words; each word's first letter and length among all letters; each letter's value at its place, and the place."""
     inside = _IS_WORD[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -69,13 +67,32 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(begins)
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return bounds, starts, starts, np.zeros(0, np.uint64), starts
     first = np.flatnonzero(begins[inside])
     letters = _VALUE[data[inside]]
     lengths = np.diff(np.append(first, len(letters)))
     place = np.arange(len(letters)) - np.repeat(first, lengths)
     powers = _POWERS if lengths.max() <= len(_POWERS) else _powers(int(lengths.max()))
-    return mix(np.add.reduceat(letters * powers[place], first)), bounds
+    return bounds, first, lengths, letters * powers[place], place
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes in order, and for each row (and one past the last) the index of its first word."""
+    bounds, first, _, values, _ = _letters(data, offsets)
+    return mix(np.add.reduceat(values, first)) if len(first) else np.zeros(0, np.uint64), bounds
+
+
+def words_and_stems(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Row bounds, and a line of word hashes followed by one line for each stem size: hashes of words' first bytes, 0 for
+    words that aren't longer."""
+    bounds, first, lengths, values, place = _letters(data, offsets)
+    out = np.zeros((1 + len(sizes), len(first)), np.uint64)
+    if len(first):
+        out[0] = mix(np.add.reduceat(values, first))
+        for line, size in enumerate(sizes, 1):
+            stem = mix(np.add.reduceat(np.where(place < size, values, np.uint64(0)), first) + np.uint64(size))
+            out[line] = np.where(lengths > size, stem, np.uint64(0))
+    return bounds, out
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
