@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import with_columns
 from .wordhash import chunks, shingles, words
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, learn_from: Column) ->
     return train(np.stack(rows.statistics.to_list()), [np.asarray(p, np.int64) for p in rows.places], y)
 
 
-def _scorer(shared, others: list[str]):
+def _scorer(shared, others: list[str], name: str):
     def run(batches):
         import pyarrow as pa
 
@@ -190,17 +191,17 @@ def _scorer(shared, others: list[str]):
                 at = model.inputs(statistics(data, offsets, hashes, bounds), *_hashed(hashes, bounds))
                 scores.append(_sigmoid(model.margin(*at)[0]))
             score = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], score], [*others, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], score], [*others, name])
 
     return run
 
 
-def score(docs: DataFrame, model: Machine | float, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row, and its score. ``docs`` needs a column text."""
+def score(docs: DataFrame, model: Machine | float, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row, and its score as ``name``. ``docs`` needs a column text."""
     columns = docs.select(*[F.col(f"`{c}`") for c in keep])
-    out = columns.schema.add("score", "double")
+    out = T.StructType([*columns.schema.fields, T.StructField(name, T.DoubleType())])
     inputs = columns if "text" in keep else docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text"))
-    return inputs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), keep), out)
+    return inputs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), keep, name), out)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
