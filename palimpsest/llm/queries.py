@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, licenses, packing, pii, quality, sharding, toxicity
+from . import decontaminate, exact_dedup, jaccard, licenses, packing, pii, quality, sharding, toolcalls, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest_columns(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toolcalls.format_chat(table(spark, sf_dir, "conversations"))
+    return out.withColumn("errors", F.array_join("errors", "; "))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find(table(spark, sf_dir, "documents")))
 
@@ -53,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
+    "op2_tool_calls": op2_tool_calls,
     "op3_pii": op3_pii,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality": op5_quality,
