@@ -2,13 +2,14 @@
 
 Texts are sets of five-word shingles; two are linked when their Jaccard similarity is at least LAMBDA. Texts with equal bags of
 shingles form a class, and only classes meet. A class is seen through SIGNATURE minwise tokens, of which two classes share each
-with their similarity as chance. A run starts with all classes in one bucket, picks two tokens' positions and puts a class into
-the bucket of each token it has there; a bucket that is too large picks two more positions, and so on; small buckets, the
-leaves, are brute-forced. A pair fails a run with a chance below the fixed point of q = (1 - LAMBDA + LAMBDA q)^2 at any depth, and as
-many runs are made as the target recall asks for. A bucket that stays large after DEPTH splits is dealt into blocks, and every
-pair of blocks becomes a leaf: no class is dropped.
-
-In a leaf, pairs whose signatures agree too little are dismissed, the others are verified exactly on whole shingle sets. A pair
+with their similarity as chance. A run starts with all classes in one bucket and splits it by a path of PATH sampled tokens: only
+classes that share all of them stay together. A bucket that is still too large picks two more positions, puts a class into the
+bucket of each token it has there, and so on; small buckets, the leaves, are brute-forced. Further splits lose a pair with a
+chance below the fixed point of q = (1 - LAMBDA + LAMBDA q)^2 at any depth, and as many runs are made as the target recall asks
+for. A bucket that stays large after DEPTH splits is dealt into blocks, and every pair of blocks becomes a leaf: no class is
+dropped.
+
+In a leaf, pairs whose signatures agree too little, first by one bit of each token, are dismissed, the others are verified exactly on whole shingle sets. A pair
 that meets in several leaves counts in the smallest of them alone, so pairs are never gathered: a leaf gives each class its
 number of links and the root of its part, and connected components of those roots make the groups.
 
@@ -30,6 +31,8 @@ from .wordhash import all_words, chunks, mix, shingles, words
 LAMBDA = 0.8
 TARGET_RECALL = 0.9999
 SIGNATURE = 128
+#: Tokens that the first split of a run takes at once.
+PATH = 2
 #: Classes in a leaf.
 LEAF = 1000
 #: Splits of a bucket before it is dealt into blocks; each level has its own positions of the signature.
@@ -42,10 +45,12 @@ _XOR, _ODD = (_R >> np.uint64(32)).astype(np.uint32), _R.astype(np.uint32) | np.
 
 
 def runs(target: float = TARGET_RECALL, similarity: float = LAMBDA) -> int:
-    miss = 1.0
+    """Runs until a pair of that similarity is found with that chance, wherever its buckets have to be split further."""
+    lost = 0.0
     for _ in range(1000):
-        miss = (1 - similarity + similarity * miss) ** 2 if miss < 1 else (1 - similarity) ** 2
-    return max(1, ceil(log(1 - target) / log(max(miss, 1e-12))))
+        lost = (1 - similarity + similarity * lost) ** 2
+    found = min(similarity**PATH * (1 - lost), 1 - 1e-12)
+    return max(1, ceil(log(1 - target) / log(1 - found)))
 
 
 def _sets(data, offsets):
@@ -94,31 +99,45 @@ def _signatures(batches):
             )
 
 
-def _pick(keys: np.ndarray, depth: int) -> np.ndarray:
-    """Two positions of the signature for each bucket, among those of the bucket's depth."""
-    width = SIGNATURE // (DEPTH + 1)
-    h = mix(keys)
-    first = h % np.uint64(width)
-    second = (first + np.uint64(1) + (h >> np.uint64(20)) % np.uint64(width - 1)) % np.uint64(width)
-    return (np.stack([first, second], 1) + np.uint64(depth * width)).astype(np.int64)
+def _token(signature: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(signature[np.arange(len(signature)), at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32)))
 
 
-def _split(depth: int, roots: list[int] | None):
-    """Rows of (node, signature) or (bucket, node, signature) to two rows for each bucket: (bucket, node)."""
+def _roots(n_runs: int):
+    """Rows of (node, signature) to one row for each run: the bucket of the run's first path."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n = batch.num_rows
+            n, nodes = batch.num_rows, batch.column("node")
             signature = _matrix(batch.column("signature"), n)
-            nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            for keys in [np.full(n, r, np.uint64) for r in roots] if roots else [batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)]:
-                at = _pick(keys, depth)
-                for side in (0, 1):
-                    tokens = signature[np.arange(n), at[:, side]].astype(np.uint64)
-                    new = mix(keys + mix(tokens + (at[:, side].astype(np.uint64) << np.uint64(32))))
-                    yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(nodes)], ["bucket", "node"])
+            for r in range(n_runs):
+                bucket = np.full(n, r, np.uint64)
+                for i in range(PATH):
+                    bucket = mix(bucket + _token(signature, np.full(n, (r * PATH + i) % SIGNATURE)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), nodes], ["bucket", "node"])
+
+    return run
+
+
+def _split(depth: int, n_runs: int):
+    """Rows of (bucket, node, signature) to the two buckets of the tokens that the bucket picks at its depth: (bucket, node)."""
+    base = min(n_runs * PATH, SIGNATURE // 2)
+    width = (SIGNATURE - base) // DEPTH
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            signature = _matrix(batch.column("signature"), batch.num_rows)
+            keys = batch.column("bucket").to_numpy().view(np.uint64)
+            h = mix(keys)
+            first = h % np.uint64(width)
+            second = (first + np.uint64(1) + (h >> np.uint64(20)) % np.uint64(width - 1)) % np.uint64(width)
+            for pick in (first, second):
+                at = (pick + np.uint64(base + (depth - 1) * width)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(mix(keys + _token(signature, at)).view(np.int64)), batch.column("node")], ["bucket", "node"])
 
     return run
 
@@ -130,8 +149,7 @@ def _matrix(column, n):
 
 def leaves(classes: DataFrame, n_runs: int) -> DataFrame:
     """(leaf, node) of all runs; leaves of one class are left out."""
-    roots = [int(x) for x in mix(np.arange(1, n_runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
-    rows, done = classes.select("node", "signature").mapInArrow(_split(0, roots), "bucket long, node long"), []
+    rows, done = classes.select("node", "signature").mapInArrow(_roots(n_runs), "bucket long, node long"), []
     for depth in range(1, DEPTH + 1):
         rows = materialize(rows)
         sizes = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
@@ -143,7 +161,7 @@ def leaves(classes: DataFrame, n_runs: int) -> DataFrame:
         if depth == DEPTH:
             done.append(_blocks(large))
             break
-        rows = large.select("bucket", "node").join(classes.select("node", "signature"), "node").mapInArrow(_split(depth, None), "bucket long, node long")
+        rows = large.select("bucket", "node").join(classes.select("node", "signature"), "node").mapInArrow(_split(depth, n_runs), "bucket long, node long")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -179,24 +197,30 @@ def _candidates(batches):
     """For each class in a leaf: the later ones there whose signatures agree well enough and that it meets in no smaller leaf."""
     import pyarrow as pa
 
-    need = ceil((LAMBDA - 4 * sqrt(LAMBDA * (1 - LAMBDA) / SIGNATURE)) * SIGNATURE)
+    least = lambda share: ceil((share - 4 * sqrt(share * (1 - share) / SIGNATURE)) * SIGNATURE)
+    need, need_bits = least(LAMBDA), least((1 + LAMBDA) / 2)
     for part in _by_leaf(batches):
         leaf, node = part.column("leaf").to_numpy(), part.column("node").to_numpy()
         signature, lists = _matrix(part.column("signature"), len(leaf)), part.column("leaves").to_pylist()
+        sketch = np.packbits((signature & np.uint32(1)).astype(np.uint8), axis=1).view(np.uint64)
         sets, partners = {}, [[] for _ in leaf]
-        far = int(np.diff(np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))).max(initial=0))
-        for gap in range(1, far):
-            a = np.flatnonzero(leaf[:-gap] == leaf[gap:])
-            for lo in range(0, len(a), 4096):
-                i = a[lo : lo + 4096]
-                for x in i[(signature[i] == signature[i + gap]).sum(1) >= need]:
-                    y = x + gap
-                    for z in (x, y):
-                        if z not in sets:
-                            sets[z] = frozenset(lists[z])
-                    if min(sets[x] & sets[y]) == leaf[x]:
-                        partners[x].append(node[y])
-                        partners[y].append(node[x])
+        edges = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
+        ends = np.repeat(edges[1:], np.diff(edges))
+        spot = np.arange(len(leaf))
+        gap = 0
+        while len(spot):
+            gap += 1
+            spot = spot[spot + gap < ends[spot]]  # the rows that have a partner this far on in their leaf
+            same = SIGNATURE - np.bitwise_count(sketch[spot] ^ sketch[spot + gap]).sum(1, dtype=np.int64)
+            near = spot[same >= need_bits]
+            for x in near[(signature[near] == signature[near + gap]).sum(1) >= need]:
+                y = x + gap
+                for z in (x, y):
+                    if z not in sets:
+                        sets[z] = frozenset(lists[z])
+                if min(sets[x] & sets[y]) == leaf[x]:
+                    partners[x].append(node[y])
+                    partners[y].append(node[x])
         keep = [i for i, p in enumerate(partners) if p]
         later = [[int(q) for q in partners[i] if q > node[i]] for i in keep]
         yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(node[keep]), pa.array(later, pa.list_(pa.int64()))], ["leaf", "node", "partners"])
