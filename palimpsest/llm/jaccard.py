@@ -32,7 +32,7 @@ LAMBDA = 0.8
 TARGET_RECALL = 0.9999
 SIGNATURE = 128
 #: Tokens that the first split of a run takes at once.
-PATH = 2
+PATH = 3
 #: Classes in a leaf.
 LEAF = 1000
 #: Splits of a bucket before it is dealt into blocks; each level has its own positions of the signature.
@@ -197,33 +197,61 @@ def _candidates(batches):
     """For each class in a leaf: the later ones there whose signatures agree well enough and that it meets in no smaller leaf."""
     import pyarrow as pa
 
-    least = lambda share: ceil((share - 4 * sqrt(share * (1 - share) / SIGNATURE)) * SIGNATURE)
-    need, need_bits = least(LAMBDA), least((1 + LAMBDA) / 2)
     for part in _by_leaf(batches):
         leaf, node = part.column("leaf").to_numpy(), part.column("node").to_numpy()
         signature, lists = _matrix(part.column("signature"), len(leaf)), part.column("leaves").to_pylist()
-        sketch = np.packbits((signature & np.uint32(1)).astype(np.uint8), axis=1).view(np.uint64)
-        sets, partners = {}, [[] for _ in leaf]
+        bit = (signature & np.uint32(1)).astype(np.uint8)
         edges = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
-        ends = np.repeat(edges[1:], np.diff(edges))
-        spot = np.arange(len(leaf))
-        gap = 0
-        while len(spot):
-            gap += 1
-            spot = spot[spot + gap < ends[spot]]  # the rows that have a partner this far on in their leaf
-            same = SIGNATURE - np.bitwise_count(sketch[spot] ^ sketch[spot + gap]).sum(1, dtype=np.int64)
-            near = spot[same >= need_bits]
-            for x in near[(signature[near] == signature[near + gap]).sum(1) >= need]:
-                y = x + gap
-                for z in (x, y):
-                    if z not in sets:
-                        sets[z] = frozenset(lists[z])
-                if min(sets[x] & sets[y]) == leaf[x]:
-                    partners[x].append(node[y])
-                    partners[y].append(node[x])
-        keep = [i for i, p in enumerate(partners) if p]
-        later = [[int(q) for q in partners[i] if q > node[i]] for i in keep]
-        yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(node[keep]), pa.array(later, pa.list_(pa.int64()))], ["leaf", "node", "partners"])
+        pairs = [_small(edges, np.packbits(bit, axis=1).view(np.uint64))]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo > SMALL:
+                sign = bit[lo:hi].astype(np.float32) * 2 - 1
+                a, b = np.nonzero(np.triu(sign @ sign.T >= 2 * NEED_BITS - SIGNATURE, 1))
+                pairs.append((a + lo, b + lo))
+        later, met = [[] for _ in leaf], np.zeros(len(leaf), bool)
+        for a, b in pairs:
+            near = np.concatenate([np.zeros(0, bool), *[(signature[a[i : i + 4096]] == signature[b[i : i + 4096]]).sum(1) >= NEED for i in range(0, len(a), 4096)]])
+            a, b = a[near], b[near]
+            first = _first_meeting(leaf, lists, a, b)
+            for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                met[x] = met[y] = True
+                low, high = (x, y) if node[x] < node[y] else (y, x)
+                later[low].append(int(node[high]))
+        keep = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(node[keep]), pa.array([later[i] for i in keep], pa.list_(pa.int64()))], ["leaf", "node", "partners"])
+
+
+def _least(share: float) -> int:
+    return ceil((share - 4 * sqrt(share * (1 - share) / SIGNATURE)) * SIGNATURE)
+
+
+#: Tokens, and bits of them, that must agree: four deviations under what a pair of similarity LAMBDA is expected to have.
+NEED, NEED_BITS = _least(LAMBDA), _least((1 + LAMBDA) / 2)
+#: Leaves up to this size are compared all together, row by row; larger ones by a product of matrices each.
+SMALL = 32
+
+
+def _small(edges: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same small leaf whose bits agree well enough."""
+    size = np.diff(edges)
+    ends = np.repeat(np.where(size <= SMALL, edges[1:], 0), size)
+    spot, gap, found = np.arange(len(ends)), 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while len(spot):
+        gap += 1
+        spot = spot[spot + gap < ends[spot]]
+        agree = SIGNATURE - np.bitwise_count(sketch[spot] ^ sketch[spot + gap]).sum(1, dtype=np.int64)
+        near = spot[agree >= NEED_BITS]
+        found.append((near, near + gap))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _first_meeting(leaf: np.ndarray, lists: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs share no leaf smaller than the one at hand, where they therefore count."""
+    rows = np.unique(np.concatenate((a, b)))
+    if not len(rows):
+        return np.zeros(0, bool)
+    before = [np.array([x for x in lists[i] if x < leaf[i]], np.int64).view(np.uint64) for i in rows]
+    return np.array(_overlaps(before, list(zip(np.searchsorted(rows, a).tolist(), np.searchsorted(rows, b).tolist(), strict=True)))) == 0
 
 
 def _wanted_sets(filter_bytes):
@@ -247,8 +275,9 @@ def _wanted_sets(filter_bytes):
 
 def _overlaps(sets: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[int]:
     """Sizes of the intersections. Many pairs of the same sets: by a product of 0/1 matrices, a slice of the tokens at a time."""
-    if len(pairs) < 4 * len(sets):
-        return [len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in pairs]
+    if len(pairs) < 4 * len(sets) or len(sets) > 2 * LEAF:
+        known = [frozenset(x.tolist()) for x in sets]
+        return [len(known[a] & known[b]) for a, b in pairs]
     total, owner = sum(map(len, sets)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     tokens, slices, out = np.concatenate(sets), max(1, total // 500_000), np.zeros((len(sets), len(sets)), np.float32)
     for part in range(slices):

@@ -75,13 +75,14 @@ def test_large_buckets_split_and_block(spark, monkeypatch):
     rows = near(300, seed=9)
     rows = [(i, t) for i, t in rows] + [(1000 + i, rows[0][1] + f" tail{i}") for i in range(200)]
     monkeypatch.setattr(jaccard, "LEAF", 20)
+    monkeypatch.setattr(jaccard, "SMALL", 4)
     monkeypatch.setattr(jaccard, "DEPTH", 3)
     got = Counter(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == brute(rows)
 
 
 def test_runs_grow_with_the_target():
-    assert jaccard.runs(0.9) <= jaccard.runs(0.999) <= jaccard.runs(0.999999) and (1 - 0.64 * 0.9375) ** jaccard.runs() <= 1e-4
+    assert jaccard.runs(0.9) <= jaccard.runs(0.999) <= jaccard.runs(0.999999) and (1 - 0.8**jaccard.PATH * 0.9375) ** jaccard.runs() <= 1e-4
 
 
 def test_components(spark):
