@@ -50,8 +50,11 @@ def from_chat(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn"))).alias("arguments"), F.when(F.col("turn") >= 2, F.array(at(-2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
     earlier = own.select(F.col("call_id").alias("there")).filter("there is not null").distinct()
-    linked = own.withColumn("wanted", F.get("depends_on", F.lit(0))).join(earlier, F.col("wanted") == F.col("there"), "left")
-    own = linked.withColumn("depends_on", F.when(F.col("there").isNotNull(), F.col("depends_on")).otherwise(F.array().cast("array<string>"))).drop("wanted", "there")
+    # first turns depend on nothing: they stay out of the join, where their null key would be a hot one
+    none = F.array().cast("array<string>")
+    later = own.filter("size(depends_on) > 0").withColumn("wanted", F.get("depends_on", F.lit(0)))
+    later = later.join(earlier, F.col("wanted") == F.col("there"), "left").withColumn("depends_on", F.when(F.col("there").isNotNull(), F.col("depends_on")).otherwise(none))
+    own = own.filter("size(depends_on) = 0").unionByName(later.drop("wanted", "there"))
 
     form = "tool_calls array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>, tool_call_id string, content string"
     parsed = rows.filter(F.col("role").isin("assistant", "tool")).withColumn("json", F.when(F.ltrim("text").startswith("{"), F.from_json("text", form)))
