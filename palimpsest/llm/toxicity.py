@@ -222,9 +222,9 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def fit(docs: DataFrame, labels: DataFrame, column: str, learn_from: Column):
     """(lexicon keys, weights, model), or the smoothed share of ones where there aren't both labels."""
     chosen = sample(labels, column, learn_from, SAMPLE)
-    labelled = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").orderBy("doc_id").limit(2 * SAMPLE)
+    labelled = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     keys, weights = lexicon(labelled)
-    rows = labelled.select("doc_id", "text", "label").mapInArrow(_rows(keys, weights), "doc_id long, label int, x array<double>").toArrow().to_pandas()
+    rows = labelled.select("doc_id", "text", "label").mapInArrow(_rows(keys, weights), "doc_id long, label int, x array<double>").orderBy("doc_id").limit(2 * SAMPLE).toArrow().to_pandas()
     y = rows.label.to_numpy(np.float64)
     if len(set(y)) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
