@@ -1,7 +1,7 @@
 """All registered queries outside the training-data subpackage, with their SQL."""
 
-from . import q_emotion, q_linking, q_recall, q_tables
+from . import q_emotion, q_linking, q_recall, q_streaming, q_tables
 
-PARTS = [q_recall, q_tables, q_linking, q_emotion]
+PARTS = [q_recall, q_tables, q_linking, q_emotion, q_streaming]
 QUERIES: dict = {name: query for part in PARTS for name, query in part.Q.items()}
 ORACLE_SQL: dict = {name: text for part in PARTS for name, text in part.S.items()}
