@@ -73,7 +73,7 @@ def anniversaries(df: DataFrame, now: Column, zone: str) -> DataFrame:
 def sanitise(scores: Column, aliases: dict[str, str], dims: list[str]) -> Column:
     """Map of text to text, as a map of known dimensions to numbers in 0..1; null if no key is known, empty if there is none."""
     names = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    pairs = F.transform(F.map_entries(scores), lambda e: F.struct(F.coalesce(F.get(names, F.lower(e["key"])), F.lower(e["key"])).alias("k"), F.lower(e["value"]).try_cast("double").alias("v")))
+    pairs = F.transform(F.map_entries(scores), lambda e: F.struct(F.coalesce(F.try_element_at(names, F.lower(e["key"])), F.lower(e["key"])).alias("k"), F.lower(e["value"]).try_cast("double").alias("v")))
     known = F.filter(pairs, lambda p: p["k"].isin(dims) & p["v"].isNotNull())
     clamped = F.transform(known, lambda p: F.struct(p["k"].alias("k"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p["v"])).alias("v")))
     best = F.transform(F.array_distinct(F.transform(clamped, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.array_max(F.transform(F.filter(clamped, lambda p: p["k"] == k), lambda p: p["v"])).alias("v")))

@@ -160,3 +160,9 @@ def test_no_cross_joins_and_no_row_python(spark):
 
 def test_every_sql_has_its_query():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_emotion_maps(spark):
+    rows = [({"Happy": "0.7", "anger": "2", "x": "1"},), ({},), ({"x": "1"},), ({"joy": "-1", "happy": "0.2"},), (None,)]
+    df = spark.createDataFrame(rows, "m map<string,string>").select(emotion.sanitise(F.col("m"), {"happy": "joy"}, ["joy", "anger"]).alias("m"))
+    assert [r.m for r in df.collect()] == [{"joy": 0.7, "anger": 1.0}, {}, None, {"joy": 0.2}, None]
