@@ -67,10 +67,10 @@ def graduates(spark, d):
 
 def _model(spark, d):
     e = a.observations(spark, d).groupBy("owner_id", "dim").agg(F.min("obs_id").alias("entry_id"), F.count(F.lit(1)).alias("evidence_count"), F.avg("y").alias("mean"))
-    return e.select("owner_id", F.col("dim").alias("type"), "entry_id", "evidence_count", F.round("mean", 4).alias("confidence"), (F.col("entry_id") % 7).alias("source_diversity"), F.when(F.col("entry_id") % 6 == 0, "resolved").otherwise("active").alias("status"))
+    return e.select("owner_id", F.col("dim").alias("type"), "entry_id", "evidence_count", F.round("mean", 7).alias("confidence"), (F.col("entry_id") % 7).alias("source_diversity"), F.when(F.col("entry_id") % 6 == 0, "resolved").otherwise("active").alias("status"))
 
 
-MODEL = "SELECT owner_id, dim AS type, min(obs_id) AS entry_id, count(*) AS evidence_count, round(avg(y),4) AS confidence, min(obs_id)%7 AS source_diversity, CASE WHEN min(obs_id)%6=0 THEN 'resolved' ELSE 'active' END AS status FROM observations GROUP BY owner_id, dim"
+MODEL = "SELECT owner_id, dim AS type, min(obs_id) AS entry_id, count(*) AS evidence_count, round(avg(y),7) AS confidence, min(obs_id)%7 AS source_diversity, CASE WHEN min(obs_id)%6=0 THEN 'resolved' ELSE 'active' END AS status FROM observations GROUP BY owner_id, dim"
 
 
 def context(spark, d):
