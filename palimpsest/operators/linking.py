@@ -38,19 +38,21 @@ def exact_duplicates(fragments: DataFrame) -> DataFrame:
 def near_duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(new_id, old_id): same entity and key tokens, bigram Jaccard of 0.8, and at most one bigram that one side alone has.
 
-    Sides may differ by one bigram only, so they share their first bigram in a common order or the next one: the two smallest
-    hashed bigrams of each side are joined, and what meets is verified on the whole sets."""
+    So the sets are equal, or equal once the larger one has lost a bigram. Each side offers its set's hash and that of the set
+    without each of its bigrams; a pair meets on a hash where at most one of the two has lost something."""
+
     def side(df: DataFrame, name: str) -> DataFrame:
         norm = df.select(F.col("fragment_id").alias(name), "entity", t.normalise(F.col("content")).alias("_n"))
-        grams = norm.select(name, "entity", t.key_tokens(F.col("_n")).alias("_k"), t.bigrams(F.col("_n")).alias("_b"))
-        hashed = grams.withColumn("_p", F.slice(F.array_sort(F.transform("_b", lambda b: F.xxhash64(b))), 1, 2))
-        return hashed.select(name, "entity", "_k", F.col("_b").alias(f"_b_{name}"), F.explode_outer("_p").alias("_g")).filter("_g is not null")
+        grams = norm.select(name, "entity", t.key_tokens(F.col("_n")).alias("_k"), F.transform(t.bigrams(F.col("_n")), lambda b: F.xxhash64(b)).alias("_h"))
+        whole = F.aggregate("_h", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+        summed = grams.filter(F.size("_h") > 0).select(name, "entity", "_k", "_h", whole.alias("_all"))
+        sets = F.concat(F.array(F.struct(F.col("_all").alias("set"), F.lit(0).alias("lost"))), F.transform("_h", lambda h: F.struct(F.col("_all").bitwiseXOR(h).alias("set"), F.lit(1).alias("lost"))))
+        rows = summed.select(name, "entity", "_k", F.size("_h").alias(f"n_{name}"), sets.alias("_sets"))
+        return rows.select(name, "entity", "_k", f"n_{name}", F.explode_outer("_sets").alias("_s")).select(name, "entity", "_k", f"n_{name}", F.col("_s.set").alias("_set"), F.col("_s.lost").alias(f"lost_{name}"))
 
-    met = side(new, "new_id").join(side(existing, "old_id"), ["entity", "_k", "_g"]).filter("new_id <> old_id")
-    both = F.size(F.array_intersect("_b_new_id", "_b_old_id"))
-    a, b = F.size("_b_new_id") - both, F.size("_b_old_id") - both
-    ok = (both >= 0.8 * (both + a + b)) & (a + b <= 1)
-    return met.filter(ok).select("new_id", "old_id").distinct()
+    met = side(new, "new_id").join(side(existing, "old_id"), ["entity", "_k", "_set"]).filter("new_id <> old_id and lost_new_id + lost_old_id <= 1")
+    close = (F.col("lost_new_id") + F.col("lost_old_id") == 0) | (F.least("n_new_id", "n_old_id") >= 4)
+    return met.filter(close).select("new_id", "old_id").distinct()
 
 
 def accumulate_evidence(fragments: DataFrame, hits: DataFrame) -> DataFrame:
@@ -67,9 +69,11 @@ def mention_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
     low = lambda c: F.lower(t.fold(c))
     named = terms.select("entity_id", low(F.col("term")).alias("term")).filter(F.length("term") >= 2)
     named = named.withColumn("token", F.get(t.index_tokens(F.col("term")), F.lit(0))).filter("token is not null")
-    first = exploded(texts.select("text_id", "content"), ["text_id", "content"], F.array_distinct(t.index_tokens(F.col("content"))))
-    met = first.join(named, "token").filter(F.contains(low(F.col("content")), F.col("term")))
-    return met.select("text_id", "entity_id", "term").distinct()
+    first = exploded(texts, ["text_id"], F.array_distinct(t.index_tokens(F.col("content"))))
+    met = first.join(named, "token").select("text_id", "entity_id", "term")
+    # texts are not carried along with their tokens: the candidates meet them again, folded once each
+    folded = texts.select("text_id", low(F.col("content")).alias("_low"))
+    return met.join(folded, "text_id").filter(F.contains("_low", F.col("term"))).select("text_id", "entity_id", "term").distinct()
 
 
 def cooccurring(links: DataFrame, entities: DataFrame, least: int = 2, most: int = 30) -> DataFrame:
