@@ -37,6 +37,9 @@ FORMS = {
     "word": "|".join(DAY_WORDS),
 }
 ANY = "|".join(FORMS.values())
+NUMBERS = rf"[0-9]+|[{DIGITS}十]+"
+#: What every mention holds; cheap to look for in texts without one.
+HINT = "[月日週周期拜後前天今昨/]|[0-9]{4}[-.年]"
 STATED = rf"(?:([0-9]{{4}})年)?([0-9]{{1,2}})月([0-9]{{1,2}})[日號号]\s*([（(])\s*({WEEK})([{WEEKDAYS}天])\s*([）)])"
 
 
@@ -61,49 +64,55 @@ def occurrence(month: Column, of_month: Column, ref: Column, nearest: bool, ahea
     return F.when(F.datediff(future, ref) <= ahead, future).otherwise(F.coalesce(past, future))
 
 
-def _resolved(rule: str, text: Column, ref: Column, done: Column, nearest: bool) -> Column:
-    """The date of one form's mention."""
-    g = lambda i: F.regexp_extract(text, f"^(?:{FORMS[rule]})$", i)
-    within = lambda n, most: F.when(n.between(1, most), n)
-    months = F.when(g(1).startswith("下"), 1).when(g(1).startswith("上"), -1).otherwise(0) if rule in ("day_of_month", "month_end") else None
+def _resolved(rule: str, text: Column, numbers: Column, ref: Column, done: Column, nearest: bool) -> Column:
+    """The date of one form's mention with its numbers."""
+    n = lambda i: F.get(numbers, i)
+    within = lambda most: F.when(n(0).between(1, most), n(0))
+    months = F.when(text.startswith("下"), 1).when(text.startswith("上"), -1).otherwise(0)
     if rule == "full":
-        return day(g(1), g(2), g(3))
+        return day(n(0), n(1), n(2))
     if rule == "day_of_month":
         month = F.add_months(F.trunc(ref, "month"), months)
-        return day(F.year(month), F.month(month), number(g(2)))
+        return day(F.year(month), F.month(month), n(0))
     if rule == "month_end":
         return F.last_day(F.add_months(F.trunc(ref, "month"), months))
     if rule in ("days_later", "days_ago"):
-        return F.date_add(ref, within(number(g(1)), 730) * (1 if rule == "days_later" else -1))
+        return F.date_add(ref, within(730) * (1 if rule == "days_later" else -1))
     if rule == "weeks_later":
-        return F.date_add(ref, within(number(g(1)), 104) * 7)
+        return F.date_add(ref, within(104) * 7)
     if rule in ("month_and_day", "slash"):
-        return occurrence(number(g(1)), number(g(2)), ref, nearest)
+        return occurrence(n(0), n(1), ref, nearest)
     if rule == "weekday":
-        place = F.instr(F.lit(WEEKDAYS), F.translate(g(2), "天", "日")) - 1
+        place = weekday_index(text)
         monday, forward = F.date_sub(ref, F.weekday(ref)), F.pmod(place - F.weekday(ref), F.lit(7))
-        week = F.when(g(1).startswith("上"), -7).when(g(1).startswith("下"), 7).when(g(1) != "", 0)
+        week = F.when(text.startswith("上"), -7).when(text.startswith("下"), 7).when(text.rlike("^[這本]"), 0)
         bare = F.date_add(ref, forward - F.when(done & (forward > 0), 7).otherwise(0))
         return F.when(week.isNotNull(), F.date_add(monday, place + week)).otherwise(bare)
     offsets = F.create_map(*[F.lit(x) for pair in DAY_WORDS.items() for x in pair])
     return F.date_add(ref, offsets[text])
 
 
+def weekday_index(name: Column) -> Column:
+    """0 (Monday) to 6 by the last character."""
+    return F.instr(F.lit(WEEKDAYS), F.translate(F.right(name, F.lit(1)), "天", "日")) - 1
+
+
 def mentions(df: DataFrame, keys: list[str], text: str, ref: str, past: bool = False, nearest: bool = False) -> DataFrame:
     """keys, ref, clause, place, mention, form, date, weak, before, after: one row for each date that a text names.
 
     ``past`` also takes what has happened (last week, days ago, yesterday) and reads the tense of a bare weekday's clause; such a
     weekday carries the days ``before`` and ``after`` that it may mean. Today and yesterday are weak: they only place the telling.
     """
-    named = df.filter(F.col(ref).isNotNull() & t.fold(F.col(text)).rlike(ANY))
+    named = df.filter(F.col(ref).isNotNull() & t.fold(F.col(text)).rlike(HINT))
     clauses = named.select(*keys, F.col(ref).cast("date").alias("_ref"), F.posexplode_outer(F.split(t.fold(F.col(text)), CLAUSE_END, -1)).alias("clause", "_text"))
     done = F.col("_text").rlike(DONE) & ~F.col("_text").rlike(PLANNED) if past else F.lit(False)
-    found = clauses.filter(F.col("_text").rlike(ANY)).withColumn("_done", done)
-    rows = found.select(*keys, "_ref", "_done", "clause", F.posexplode_outer(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).alias("place", "mention"))
-    form = F.coalesce(*[F.when(F.col("mention").rlike(f"^(?:{p})$"), i) for i, p in enumerate(FORMS.values())])
-    rows = rows.withColumn("_form", form)
+    form = lambda m: F.coalesce(*[F.when(m.rlike(f"^(?:{p})$"), i) for i, p in enumerate(FORMS.values())])
+    part = lambda m: F.struct(m.alias("mention"), form(m).alias("form"), F.transform(F.regexp_extract_all(m, F.lit(NUMBERS), F.lit(0)), number).alias("numbers"))
+    found = F.transform(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)), part)
+    rows = clauses.filter(F.col("_text").rlike(HINT)).select(*keys, "_ref", done.alias("_done"), "clause", F.posexplode_outer(found).alias("place", "_m"))
+    rows = rows.select(*keys, "_ref", "_done", "clause", "place", F.col("_m.mention").alias("mention"), F.col("_m.form").alias("_form"), F.col("_m.numbers").alias("_numbers"))
     m, at, names = F.col("mention"), F.col("_form"), list(FORMS)
-    date = F.coalesce(*[F.when(at == i, _resolved(rule, m, F.col("_ref"), F.col("_done"), nearest)) for i, rule in enumerate(names)])
+    date = F.coalesce(*[F.when(at == i, _resolved(rule, m, F.col("_numbers"), F.col("_ref"), F.col("_done"), nearest)) for i, rule in enumerate(names)])
     gone = m.startswith("上") | (at == names.index("days_ago")) | m.isin([w for w, n in DAY_WORDS.items() if n <= 0])
     dated = rows.withColumn("date", date).filter(F.col("date").isNotNull() & (F.lit(past) | ~gone))
     bare = F.lit(past) & m.rlike(f"^{WEEK}") & (at == names.index("weekday")) & (F.col("date") != F.col("_ref"))
@@ -168,9 +177,10 @@ def repair_weekdays(df: DataFrame, key: str = "fragment_id") -> DataFrame:
     """
     rows = df.select(key, "content", "quote", F.col("ref").cast("date").alias("ref")).filter(F.col("ref").isNotNull() & F.col("content").rlike(STATED))
     found = rows.select(key, "ref", F.posexplode_outer(F.regexp_extract_all("content", F.lit(STATED), F.lit(0))).alias("place", "was"))
-    g = lambda i: F.regexp_extract("was", STATED, i)
-    stated = F.when(g(1) != "", day(g(1), g(2), g(3))).otherwise(occurrence(number(g(2)), number(g(3)), F.col("ref"), True))
-    found = found.withColumn("stated", stated).withColumn("want", F.instr(F.lit(WEEKDAYS), F.translate(g(6), "天", "日")) - 1)
+    found = found.withColumn("numbers", F.transform(F.regexp_extract_all("was", F.lit("[0-9]+"), F.lit(0)), number))
+    n, has_year = lambda i: F.element_at("numbers", i), F.size("numbers") == 3
+    stated = F.when(has_year, day(F.get("numbers", F.lit(0)), n(-2), n(-1))).otherwise(occurrence(n(-2), n(-1), F.col("ref"), True))
+    found = found.withColumn("stated", stated).withColumn("name", F.regexp_extract("was", STATED, 6)).withColumn("want", weekday_index(F.col("name")))
     wrong = found.filter(F.col("stated").isNotNull() & (F.weekday("stated") != F.col("want")))
     quotes = rows.withColumn("_quote", F.regexp_replace("quote", f"(?<![上下這这本個个]){WEEK}[{WEEKDAYS}天]", " "))
     said = mentions(quotes, [key], "_quote", "ref", past=True, nearest=True).groupBy(key).agg(F.collect_set("date").alias("said"))
@@ -179,8 +189,9 @@ def repair_weekdays(df: DataFrame, key: str = "fragment_id") -> DataFrame:
     how = F.when(F.exists("said", lambda d: F.date_format(d, "MM-dd") == F.date_format("stated", "MM-dd")), "weekday").when(F.size(same) == 1, "relative").otherwise("nearest")
     ahead = F.pmod(F.col("want") - F.weekday("stated"), F.lit(7))
     both = both.withColumn("how", how).withColumn("to", F.when(F.col("how") == "weekday", F.col("stated")).when(F.col("how") == "relative", F.get(same, 0)).otherwise(F.date_add("stated", F.when(ahead > 3, ahead - 7).otherwise(ahead))))
-    name = F.when(F.col("how") == "weekday", F.substring(F.lit(WEEKDAYS), F.weekday("stated") + 1, F.lit(1))).otherwise(g(6))
-    text = F.concat(F.when(g(1) != "", F.concat(F.year("to"), F.lit("年"))).otherwise(""), F.month("to"), F.lit("月"), F.day("to"), F.lit("日"), g(4), g(5), name, g(7))
+    name = F.when(F.col("how") == "weekday", F.substring(F.lit(WEEKDAYS), F.weekday("stated") + 1, F.lit(1))).otherwise(F.col("name"))
+    g = lambda i: F.regexp_extract("was", STATED, i)
+    text = F.concat(F.when(has_year, F.concat(F.year("to"), F.lit("年"))).otherwise(""), F.month("to"), F.lit("月"), F.day("to"), F.lit("日"), g(4), g(5), name, g(7))
     fixes = both.select(key, F.struct("place", F.col("was").alias("from"), text.alias("to"), "how").alias("fix")).groupBy(key).agg(F.array_sort(F.collect_list("fix")).alias("fixes"))
     changed = rows.join(fixes, key)
     at = F.map_from_arrays(F.transform("fixes", lambda f: f["place"]), F.transform("fixes", lambda f: f["to"]))
