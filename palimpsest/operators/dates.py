@@ -103,13 +103,15 @@ def mentions(df: DataFrame, keys: list[str], text: str, ref: str, past: bool = F
     ``past`` also takes what has happened (last week, days ago, yesterday) and reads the tense of a bare weekday's clause; such a
     weekday carries the days ``before`` and ``after`` that it may mean. Today and yesterday are weak: they only place the telling.
     """
-    named = df.filter(F.col(ref).isNotNull() & t.fold(F.col(text)).rlike(HINT))
-    clauses = named.select(*keys, F.col(ref).cast("date").alias("_ref"), F.posexplode_outer(F.split(t.fold(F.col(text)), CLAUSE_END, -1)).alias("clause", "_text"))
+    may = lambda c: c.rlike(HINT)
+    named = df.filter(F.col(ref).isNotNull() & may(F.col(text)))
+    clauses = named.select(*keys, F.col(ref).cast("date").alias("_ref"), F.posexplode_outer(F.filter(F.split(F.col(text), CLAUSE_END, -1), may)).alias("clause", "_text"))
+    clauses = clauses.withColumn("_text", t.fold(F.col("_text")))
     done = F.col("_text").rlike(DONE) & ~F.col("_text").rlike(PLANNED) if past else F.lit(False)
     form = lambda m: F.coalesce(*[F.when(m.rlike(f"^(?:{p})$"), i) for i, p in enumerate(FORMS.values())])
     part = lambda m: F.struct(m.alias("mention"), form(m).alias("form"), F.transform(F.regexp_extract_all(m, F.lit(NUMBERS), F.lit(0)), number).alias("numbers"))
     found = F.transform(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)), part)
-    rows = clauses.filter(F.col("_text").rlike(HINT)).select(*keys, "_ref", done.alias("_done"), "clause", F.posexplode_outer(found).alias("place", "_m"))
+    rows = clauses.select(*keys, "_ref", done.alias("_done"), "clause", F.posexplode_outer(found).alias("place", "_m"))
     rows = rows.select(*keys, "_ref", "_done", "clause", "place", F.col("_m.mention").alias("mention"), F.col("_m.form").alias("_form"), F.col("_m.numbers").alias("_numbers"))
     m, at, names = F.col("mention"), F.col("_form"), list(FORMS)
     date = F.coalesce(*[F.when(at == i, _resolved(rule, m, F.col("_numbers"), F.col("_ref"), F.col("_done"), nearest)) for i, rule in enumerate(names)])
