@@ -200,7 +200,7 @@ def _candidates(batches):
     for part in _by_leaf(batches):
         leaf, node = part.column("leaf").to_numpy(), part.column("node").to_numpy()
         signature, lists = _matrix(part.column("signature"), len(leaf)), part.column("leaves").to_pylist()
-        bit = (signature & np.uint32(1)).astype(np.uint8)
+        bit = _sketch(signature)
         edges = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
         pairs = [_small(edges, np.packbits(bit, axis=1).view(np.uint64))]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -221,11 +221,18 @@ def _candidates(batches):
         yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(node[keep]), pa.array([later[i] for i in keep], pa.list_(pa.int64()))], ["leaf", "node", "partners"])
 
 
+def _sketch(signature: np.ndarray) -> np.ndarray:
+    """One bit of each token, mixed with its position: a token's own lowest bit would agree in all positions or in none."""
+    at = np.arange(SIGNATURE, dtype=np.uint64) << np.uint64(32)
+    return (mix(signature.astype(np.uint64) + at) >> np.uint64(63)).astype(np.uint8)
+
+
 def _least(share: float) -> int:
-    return ceil((share - 4 * sqrt(share * (1 - share) / SIGNATURE)) * SIGNATURE)
+    return ceil((share - 5 * sqrt(share * (1 - share) / SIGNATURE)) * SIGNATURE)
 
 
-#: Tokens, and bits of them, that must agree: four deviations under what a pair of similarity LAMBDA is expected to have.
+#: Tokens, and bits of them, that must agree: five deviations under what a pair of similarity LAMBDA is expected to have. Four
+#: would dismiss more than 1e-4 of the pairs at exactly LAMBDA.
 NEED, NEED_BITS = _least(LAMBDA), _least((1 + LAMBDA) / 2)
 #: Leaves up to this size are compared all together, row by row; larger ones by a product of matrices each.
 SMALL = 32

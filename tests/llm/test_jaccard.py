@@ -70,6 +70,15 @@ def test_brute_force(spark, kind):
     assert got == want
 
 
+def test_short_texts(spark):
+    """Texts of 8 to 20 words, each with a copy that one more word brings to a similarity of 0.8 or a little above."""
+    rng, rows = random.Random(3), []
+    for i in range(600):
+        text = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([8, 8, 8, 12, 16, 20]))]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, f"v{rng.randrange(10**6)}"]))]
+    assert Counter(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_large_buckets_split_and_block(spark, monkeypatch):
     """Small leaves, so that the group of edited copies has to be split and at last dealt into blocks."""
     rows = near(300, seed=9)
