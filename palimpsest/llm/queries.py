@@ -18,7 +18,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toolcalls.format_chat(table(spark, sf_dir, "conversations"))
+    out = toolcalls.format_chat(table(spark, sf_dir, "conversations"), every_turn=True)
     return out.withColumn("errors", F.array_join("errors", "; "))
 
 

@@ -7,7 +7,8 @@ depends on. Where all dependencies point backwards, the order of turns is such a
 forward dependency are levelled, round by round, and calls on a cycle are marked. Arguments are validated against the tool's
 JSON schema, and each call becomes one line of canonical JSON: sorted keys, no white space, no escaped letters.
 
-Null text, unreadable JSON, unknown tools and missing dependencies have a status or an error each and drop no row. A null
+Null text, unreadable JSON, unknown tools and missing dependencies have a status or an error each and drop no row. Turns of
+plain chats that are neither call nor result have rows of status ``system_turn`` or ``other_turn`` where they are asked for. A null
 identifier links to nothing. No conversation is gathered into one task. Extra columns are ignored.
 """
 
@@ -22,8 +23,8 @@ from .common import materialize, ranks, with_columns
 
 #: Turns that are ranked together; a longer conversation is ranked in several tasks.
 BLOCK = 256
-#: Rounds after which calls of a conversation that still wait count as a cycle.
-ROUNDS = 64
+#: Level of calls on a cycle where rows are ordered: after all others.
+LAST = 1 << 40
 
 CALLS = "conv_id long, call_id string, turn long, idx int, name string, arguments string, depends_on array<string>"
 RESULTS = "conv_id long, call_id string, turn long, content string"
@@ -61,11 +62,19 @@ def from_chat(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     stated = parsed.filter("role = 'assistant'").select("conv_id", "turn", F.posexplode("json.tool_calls").alias("idx", "c")).select(
         "conv_id", F.col("c.id").alias("call_id"), "turn", "idx", F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on")
     )
-    answers = parsed.filter("role = 'assistant' and json.tool_calls is null").select("conv_id", F.when(whole, at(-1)).alias("call_id"), "turn", F.col("text").alias("content"))
+    answers = parsed.filter("role = 'assistant' and (json.tool_calls is null or size(json.tool_calls) = 0)").select("conv_id", F.when(whole, at(-1)).alias("call_id"), "turn", F.col("text").alias("content"))
     returned = parsed.filter("role = 'tool'").select("conv_id", F.col("json.tool_call_id").alias("call_id"), "turn", F.coalesce("json.content", "text").alias("content"))
     return own.unionByName(stated), answers.unionByName(returned)
 
 
+def others(messages: DataFrame) -> DataFrame:
+    """The turns that ``from_chat`` makes neither call nor result: of role system, of another one or of none (in ``name``)."""
+    rows = with_columns(messages, ("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))
+    rows = rows.filter("coalesce(role not in ('user', 'assistant', 'tool'), true)")
+    status = F.when(F.col("role") == "system", "system_turn").otherwise("other_turn")
+    return rows.select("conv_id", "turn", F.col("role").alias("name"), F.col("text").alias("content"), status.alias("status"))
+
+
 def _first_of(df: DataFrame, order: list[str]) -> DataFrame:
     """The uid of the first row of each call_id: one row a task and key is shuffled, so a hot identifier is no burden."""
     return df.filter("call_id is not null").groupBy("call_id").agg(F.min(F.struct(*order, "uid")).alias("m")).select("call_id", F.col("m.uid").alias("first_uid"))
@@ -96,15 +105,38 @@ def levels(calls: DataFrame) -> DataFrame:
     odd = edges.filter("dep_at >= at").select("conv_id").distinct()
     edges = materialize(edges.join(odd, "conv_id", "left_semi").select("call_id", "dep"))
     waiting = materialize(calls.join(odd, "conv_id", "left_semi").select("call_id"))
-    done = waiting.limit(0).withColumn("level", F.lit(0))
-    for level in range(ROUNDS):
-        blocked = edges.join(done, edges.dep == done.call_id, "left_anti").select("call_id").distinct()
-        ready = waiting.join(blocked, "call_id", "left_anti")
+    edges, chains = _contract(edges)
+    waiting = materialize(waiting.join(chains, "call_id", "left_anti"))
+    done = waiting.limit(0).withColumn("level", F.lit(0).cast("long"))
+    while True:
+        known = edges.join(done.select(F.col("call_id").alias("dep"), F.col("level").alias("under")), "dep", "left")
+        known = known.groupBy("call_id").agg(F.max(F.col("under") + F.col("hops")).alias("level"), F.bool_or(F.col("under").isNull()).alias("blocked"))
+        state = materialize(waiting.join(known, "call_id", "left"))
+        ready = state.filter("not coalesce(blocked, false)").select("call_id", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
         if ready.isEmpty():
             break
-        done = materialize(done.unionByName(ready.withColumn("level", F.lit(level))))
-        waiting = materialize(waiting.join(blocked, "call_id", "left_semi"))
-    return done.unionByName(waiting.withColumn("level", F.lit(None).cast("int")), True)
+        done = materialize(done.unionByName(ready))
+        waiting = state.filter("blocked").select("call_id")
+    ends = done.select(F.col("call_id").alias("dep"), F.col("level").alias("under"))
+    hung = chains.join(ends, "dep", "left").select("call_id", (F.col("under") + F.col("hops")).alias("level"))
+    return done.unionByName(hung).unionByName(waiting.withColumn("level", F.lit(None).cast("long")))
+
+
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of calls with one dependency each, by doubling: (call_id, dep, hops) of the calls with several, and of those with one,
+    where dep is the end of the chain, a call with several or none. Chains that never end keep a dep that is no such call."""
+    many = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
+    chains = materialize(many.filter("n = 1").select("call_id", "dep", F.lit(1).cast("long").alias("hops")))
+    for _ in range(chains.count().bit_length()):
+        then = chains.select(F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("hops").alias("more"))
+        met = materialize(chains.join(then, "dep", "left"))
+        if met.filter("next is not null").isEmpty():
+            break
+        chains = met.select("call_id", F.coalesce("next", "dep").alias("dep"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+    rest = edges.join(many.filter("n > 1").select("call_id"), "call_id", "left_semi")
+    ends = chains.select(F.col("call_id").alias("dep"), F.col("dep").alias("end"), "hops")
+    rest = rest.join(ends, "dep", "left").select("call_id", F.coalesce("end", "dep").alias("dep"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
+    return materialize(rest), materialize(chains)
 
 
 def order(linked: DataFrame) -> DataFrame:
@@ -114,8 +146,8 @@ def order(linked: DataFrame) -> DataFrame:
     placed = rows.join(level, "call_id", "left")
     is_call = F.col("status").isin("linked", "unanswered")
     cycle = is_call & F.col("levelled") & F.col("level").isNull()
-    placed = placed.withColumn("status", F.when(cycle, "cycle").otherwise(F.col("status"))).withColumn("level", F.coalesce("level", F.lit(0)) + F.when(cycle, ROUNDS).otherwise(0))
-    salt = (F.col("level") * (1 << 20) + F.least(F.floor(F.coalesce("turn", F.lit(0)) / BLOCK), F.lit((1 << 20) - 1))).cast("int")
+    placed = placed.withColumn("status", F.when(cycle, "cycle").otherwise(F.col("status"))).withColumn("level", F.when(cycle, LAST).otherwise(F.coalesce("level", F.lit(0))).cast("long"))
+    salt = (F.col("level") * (1 << 20) + F.least(F.floor(F.coalesce("turn", F.lit(0)) / BLOCK), F.lit((1 << 20) - 1))).cast("long")
     return ranks(placed, F.col("conv_id"), salt, [F.col(c) for c in ("turn", "idx", "status", "call_id", "content")], "position").drop("level", "levelled")
 
 
@@ -153,9 +185,11 @@ def canonical(value) -> str:
 
 
 def _line(row: dict) -> tuple[list[str] | None, str]:
-    """Errors (null for a result), and the canonical line."""
+    """Errors (null for a result or a turn), and the canonical line."""
     if row["status"] in ("orphan_result", "duplicate_result"):
         return None, canonical({"content": row["content"], "id": row["call_id"], "status": row["status"], "type": "result"})
+    if row["status"] in ("system_turn", "other_turn"):
+        return None, canonical({"content": row["content"], "role": row["name"], "status": row["status"], "type": "turn"})
     try:
         arguments = json.loads(row["arguments"], parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
         errors = None
@@ -186,7 +220,11 @@ def serialise(ordered: DataFrame, schemas: DataFrame) -> DataFrame:
     return rows.mapInArrow(_lines, "conv_id long, call_id string, turn long, position long, status string, errors array<string>, json string")
 
 
-def format_chat(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+def format_chat(messages: DataFrame, schemas: DataFrame | None = None, every_turn: bool = False) -> DataFrame:
+    """``serialise`` of plain chats; with ``every_turn`` also a row for each turn that is neither call nor result."""
     spark = messages.sparkSession
     own = spark.createDataFrame([("reply", REPLY_SCHEMA)], "name string, schema string")
-    return serialise(order(link(*from_chat(messages))), own if schemas is None else own.unionByName(schemas))
+    linked = link(*from_chat(messages))
+    if every_turn:
+        linked = linked.unionByName(others(messages), True)
+    return serialise(order(linked), own if schemas is None else own.unionByName(schemas))

@@ -93,3 +93,21 @@ def test_stated_calls_and_odd_rows(spark):
     assert sorted(r.status for r in got) == ["duplicate_call", "duplicate_result", "linked", "orphan_result", "unanswered", "unanswered"]
     assert next(r for r in got if r.call_id == "k" and r.status == "linked").errors == []
     assert t.format_chat(messages.limit(0)).count() == 0
+
+
+def test_every_turn_has_a_row(spark):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, None, "x"), (1, 4, "critic", None), (1, 5, "assistant", '{"tool_calls":[]}')]
+    got = t.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), every_turn=True).collect()
+    assert [(r.turn, r.status) for r in sorted(got, key=lambda r: r.position)] == [(0, "system_turn"), (1, "linked"), (3, "other_turn"), (4, "other_turn"), (5, "orphan_result")]
+    assert got and json.loads(next(r.json for r in got if r.turn == 0)) == {"content": "be brief", "role": "system", "status": "system_turn", "type": "turn"}
+
+
+def test_deep_chains_are_no_cycles(spark):
+    """A chain of 300 calls with one forward dependency, a ladder on it whose calls have two each, and a true cycle with a call behind it."""
+    calls = [(1, f"c{i}", i, 0, "x", "{}", [f"c{i - 1}"] if i else ["late"]) for i in range(300)] + [(1, "late", 999, 0, "x", "{}", NONE)]
+    calls += [(1, f"l{i}", 300 + i, 0, "x", "{}", ["c299", f"l{i - 1}"] if i else ["c299", "c5"]) for i in range(4)]
+    calls += [(2, "p", 0, 0, "x", "{}", ["q"]), (2, "q", 1, 0, "x", "{}", ["p"]), (2, "r", 2, 0, "x", "{}", ["q"]), (2, "s", 3, 0, "x", "{}", ["r", "u"]), (2, "u", 4, 0, "x", "{}", NONE)]
+    rows = t.order(t.link(spark.createDataFrame(calls, t.CALLS), spark.createDataFrame([], t.RESULTS))).collect()
+    spot = {r.call_id: r.position for r in rows}
+    assert {r.call_id for r in rows if r.status == "cycle"} == {"p", "q", "r", "s"} and len(rows) == len(calls)
+    assert all(spot[d] < spot[c[1]] for c in calls if c[0] == 1 for d in c[6])
