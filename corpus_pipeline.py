@@ -1,18 +1,34 @@
 """A corpus pipeline: documents are classified, deduplicated exactly and nearly, decontaminated and packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the rows that they keep with the
-columns of documents. Stages identify documents by doc_id; rows without one leave at exact dedup, as nothing can name them.
+columns of documents. The two dedup stages and decontamination tell rows apart by a key that they write with their input, as a doc_id may be
+null or repeated.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, exact_dedup, jaccard, packing, quality
-from palimpsest.llm.common import keep_rows, materialize, table
+from palimpsest.llm.common import materialize, table
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row in ``_row``, written so that it stays the same."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _as_ids(rows: DataFrame) -> DataFrame:
+    """The texts with the rows' keys for ids."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _smallest() -> Column:
+    """The row of the smallest doc_id; a null one loses every tie."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,19 +40,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the longest original, then the smallest doc_id."""
-    return keep_rows(docs, exact_dedup.survivors(docs))
+    rows = _keyed(docs)
+    return rows.join(exact_dedup.survivors(rows, keys=("_row",)).select("_row"), "_row", "left_semi").select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest doc_id, of all that links of similarity 0.8 or more connect."""
-    return keep_rows(docs, jaccard.join(docs).filter(F.col("doc_id") == F.col("group_id")).select("doc_id").distinct())
+    rows = _keyed(docs)
+    groups = materialize(jaccard.join(_as_ids(rows)).select(F.col("doc_id").alias("_row"), "group_id"))
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("group_id").agg(_smallest())
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = materialize(found.filter("contaminated").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    rows = _keyed(docs)
+    found = decontaminate.decontaminate(_as_ids(rows), table(spark, sf_dir, "benchmark"))
+    bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias("_row")))
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,19 +18,20 @@ from .common import join_by_key, materialize, with_columns
 BUCKETS = 24
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars of the original text, digest (SHA-256 of the text without white space)."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, the named keys (longs), n_chars of the original text, digest (SHA-256 of the text without white space)."""
     text = F.coalesce("text", F.lit(""))
-    return with_columns(docs, ("doc_id", "long"), ("text", "string")).select(
-        "doc_id", F.length(text).cast("long").alias("n_chars"), F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").cast("binary"), 256)).alias("digest")
+    return with_columns(docs, ("doc_id", "long"), *[(k, "long") for k in keys], ("text", "string")).select(
+        "doc_id", *keys, F.length(text).cast("long").alias("n_chars"), F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").cast("binary"), 256)).alias("digest")
     )
 
 
 def groups(prints: DataFrame) -> DataFrame:
-    """One row per digest: keep_id, group_size, keep_chars. Summed on the map side, so a hot digest shuffles one row per task."""
-    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id")))
+    """One row per digest: keep_id, group_size, keep_chars, and the kept row's further keys if ``prints`` has any. Summed on the map side, so a hot digest shuffles one row per task."""
+    keys = [c for c in prints.columns if c not in ("doc_id", "n_chars", "digest")]
+    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), *keys))
     return prints.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select(
-        "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.n")).alias("keep_chars"), "group_size"
+        "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.n")).alias("keep_chars"), "group_size", *[F.col(f"best.{k}").alias(k) for k in keys]
     )
 
 
@@ -57,7 +58,7 @@ class DigestIndex:
         return added
 
     def _write(self, entries: DataFrame) -> None:
-        entries.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        entries.select("digest", "keep_id", "keep_chars", "group_size").write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -80,7 +81,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     )
 
 
-def survivors(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The doc_ids that stay, one row each: those whose text the index didn't know."""
+def survivors(docs: DataFrame, index: DigestIndex | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The doc_ids that stay, with the named keys, one row each: those whose text the index didn't know."""
     own = index or DigestIndex(docs.sparkSession, f"digests_{uuid.uuid4().hex}")
-    return own.append(fingerprints(docs)).select(F.col("keep_id").alias("doc_id"))
+    return own.append(fingerprints(docs, *keys)).select(F.col("keep_id").alias("doc_id"), *keys)

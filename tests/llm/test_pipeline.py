@@ -46,3 +46,14 @@ def test_odd_rows_pass(spark):
         for _, stage in p.STAGES:
             out = stage(spark, rows, SF)
             assert out.count() <= 100
+
+
+def test_null_and_repeated_ids(spark):
+    """Each text stays once, whatever ids its rows have."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a + "  "), (1, a), (None, b), (7, c), (7, c + " "), (7, "another text that is clean"), (7, "a third text of one id")]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([a + "  ", b, c + " ", "another text that is clean", "a third text of one id"])
+    for stage in (p.exact_stage, p.near_stage, p.benchmark_stage):
+        docs = p.materialize(stage(spark, docs, SF))
+        assert sorted(r.text for r in docs.collect()) == want
