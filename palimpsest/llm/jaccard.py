@@ -6,12 +6,17 @@ with their similarity as chance. A run starts with all classes in one bucket and
 classes that share all of them stay together. A bucket that is still too large picks two more positions, puts a class into the
 bucket of each token it has there, and so on; small buckets, the leaves, are brute-forced. Further splits lose a pair with a
 chance below the fixed point of q = (1 - LAMBDA + LAMBDA q)^2 at any depth, and as many runs are made as the target recall asks
-for. A bucket that stays large after DEPTH splits is dealt into blocks, and every pair of blocks becomes a leaf: no class is
-dropped.
+for. A bucket whose split would keep more than 1 / SHRINK of it in one part holds near copies; it isn't split but stuck.
 
-In a leaf, pairs whose signatures agree too little, first by one bit of each token, are dismissed, the others are verified exactly on whole shingle sets. A pair
-that meets in several leaves counts in the smallest of them alone, so pairs are never gathered: a leaf gives each class its
-number of links and the root of its part, and connected components of those roots make the groups.
+Stuck buckets are settled by pivots. A pivot is the set of the shingles that most of PIVOT_OF members have; every member is
+compared with it exactly. Jaccard distance is a metric, so two members whose distances to one pivot add up to at most 1 - LAMBDA
+are linked: such links are counted from the histogram of distances and never looked at one by one. Only pairs that this doesn't
+decide are brute-forced: the bucket is dealt into blocks, the ones near the pivot apart from the others, and pairs of blocks
+become leaves, but no pair of blocks of which both are near. The choice of pivots has no effect on the result, only on the work.
+
+In a leaf, pairs whose signatures agree too little, first by one bit of each token, are dismissed, the others are verified exactly
+on whole shingle sets. A pair that meets in several buckets counts in the smallest of them alone, so pairs are never gathered: a
+leaf gives each class its number of links and the root of its part, and connected components of those roots make the groups.
 
 Texts of fewer than five words, but not none, have one shingle. Null and empty texts make one class without links. Every row
 gives one row; a null doc_id is never a class's id unless it has no other. Extra columns are ignored.
@@ -19,6 +24,7 @@ gives one row; a null doc_id is never a class's id unless it has no other. Extra
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log, sqrt
 
 import numpy as np
@@ -34,9 +40,15 @@ SIGNATURE = 128
 #: Tokens that the first split of a run takes at once.
 PATH = 3
 #: Classes in a leaf.
-LEAF = 1000
+LEAF = 512
 #: Splits of a bucket before it is dealt into blocks; each level has its own positions of the signature.
 DEPTH = 9
+#: The largest part of a split must have at most this share of the bucket (its inverse), or the bucket is stuck.
+SHRINK = 4
+#: Members of a stuck bucket, those of the smallest hashes, whose shingles make its pivot.
+PIVOT_OF = 64
+#: Steps of the distance to a pivot, which is rounded up to them.
+STEPS = 1000
 #: Bits of the filter that says which documents' shingle sets are wanted: 8 MB for any number of them.
 LOG2_BITS = 26
 
@@ -122,7 +134,7 @@ def _roots(n_runs: int):
 
 
 def _split(depth: int, n_runs: int):
-    """Rows of (bucket, node, signature) to the two buckets of the tokens that the bucket picks at its depth: (bucket, node)."""
+    """Rows of (bucket, node, signature) to the two buckets of the tokens that the bucket picks at its depth: (parent, bucket, node)."""
     base = min(n_runs * PATH, SIGNATURE // 2)
     width = (SIGNATURE - base) // DEPTH
 
@@ -137,7 +149,9 @@ def _split(depth: int, n_runs: int):
             second = (first + np.uint64(1) + (h >> np.uint64(20)) % np.uint64(width - 1)) % np.uint64(width)
             for pick in (first, second):
                 at = (pick + np.uint64(base + (depth - 1) * width)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(keys + _token(signature, at)).view(np.int64)), batch.column("node")], ["bucket", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("bucket"), pa.array(mix(keys + _token(signature, at)).view(np.int64)), batch.column("node")], ["parent", "bucket", "node"]
+                )
 
     return run
 
@@ -147,33 +161,115 @@ def _matrix(column, n):
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(n, SIGNATURE) if n else np.zeros((0, SIGNATURE), np.uint32)
 
 
-def leaves(classes: DataFrame, n_runs: int) -> DataFrame:
-    """(leaf, node) of all runs; leaves of one class are left out."""
-    rows, done = classes.select("node", "signature").mapInArrow(_roots(n_runs), "bucket long, node long"), []
-    for depth in range(1, DEPTH + 1):
+def leaves(classes: DataFrame, n_runs: int) -> tuple[DataFrame, DataFrame | None]:
+    """Of all runs, (bucket, node) of the buckets of 2 to LEAF classes, and (bucket, node, size) of the stuck ones, if any."""
+    rows, small, stuck = classes.select("node", "signature").mapInArrow(_roots(n_runs), "bucket long, node long"), [], []
+    for depth in range(1, DEPTH + 2):
         rows = materialize(rows)
         sizes = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         placed = materialize(join_by_key(rows, sizes, "bucket", "size"))
-        done.append(placed.filter(F.col("size") <= LEAF).select(F.col("bucket").alias("leaf"), "node"))
+        small.append(placed.filter(F.col("size") <= LEAF).select("bucket", "node"))
         large = placed.filter(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        if depth == DEPTH:
-            done.append(_blocks(large))
+        if depth > DEPTH:
+            stuck.append(large)
             break
-        rows = large.select("bucket", "node").join(classes.select("node", "signature"), "node").mapInArrow(_split(depth, n_runs), "bucket long, node long")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        parts = large.select("bucket", "node").join(classes.select("node", "signature"), "node")
+        parts = materialize(parts.mapInArrow(_split(depth, n_runs), "parent long, bucket long, node long"))
+        widest = parts.groupBy("parent", "bucket").count().groupBy("parent").agg(F.max("count").alias("most"))
+        known = sizes.filter(F.col("size") > LEAF).join(widest, F.col("bucket") == F.col("parent"))
+        known = materialize(known.select("bucket", "size", (F.col("most") * SHRINK > F.col("size")).alias("keeps")))
+        stuck.append(join_by_key(large.select("bucket", "node"), known.filter("keeps").select("bucket", "size"), "bucket", "size"))
+        split = known.filter("not keeps").select(F.col("bucket").alias("parent"), (F.col("size") * 2).alias("size"))
+        rows = join_by_key(parts, split, "parent", "size").select("bucket", "node")
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union(small).distinct(), materialize(union(stuck).select("bucket", "node", "size").distinct()) if stuck else None
+
+
+def _consensus(group):
+    """The shingles that most of a bucket's PIVOT_OF rows or fewer have, and a name for that set."""
+    import pyarrow as pa
+
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("tokens")]
+    tokens, count = np.unique(np.concatenate(sets), return_counts=True)
+    tokens = tokens[2 * count > len(sets)]
+    name = np.add.reduce(mix(tokens + _R[2])).view(np.int64)
+    return pa.table({"bucket": group.column("bucket").slice(0, 1), "pivot": pa.array([name], pa.int64()), "held": pa.array([tokens.tobytes()], pa.binary())})
 
 
-def _blocks(large: DataFrame) -> DataFrame:
-    """Leaves of pairs of blocks of a bucket that could not be split."""
-    blocks = F.ceil(F.col("size") / (LEAF // 2)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks)
-    dealt = large.select("bucket", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    return dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "node")
+def _distances(batches):
+    """Each class's Jaccard distance to a pivot, in STEPS, rounded up."""
+    import pyarrow as pa
+
+    for batch in batches:
+        far = []
+        for mine, held in zip(batch.column("tokens"), batch.column("held"), strict=True):
+            a, b = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(held.as_py(), np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            union = len(a) + len(b) - both
+            far.append(-(-STEPS * (union - both) // union))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("pivot"), pa.array(far, pa.int32())], ["node", "pivot", "far"])
+
+
+#: Classes whose steps to one pivot add up to at most this are linked.
+SURE = round((1 - LAMBDA) * STEPS)
+
+
+def settle(sets: DataFrame, stuck: DataFrame) -> DataFrame:
+    """(node, pivot, far) of the members of stuck buckets that are near enough to a pivot to be linked through it; the pivot with
+    most such members, where there are several."""
+    one_of = F.pmod(F.xxhash64("node", F.lit(PIVOT_OF)), F.lit(PIVOT_OF)).alias("part")
+    chosen = stuck.groupBy("bucket", one_of).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("node"))
+    pivots = chosen.select("bucket", "node").join(sets, "node").groupBy("bucket").applyInArrow(_consensus, "bucket long, pivot long, held binary")
+    pivots = materialize(pivots)
+    named = pivots.join(stuck.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket").select("bucket", "pivot", "size")
+    pairs = materialize(join_by_key(stuck.select("bucket", "node"), materialize(named), "bucket", "size").select("node", "pivot").distinct())
+    held = materialize(pivots.groupBy("pivot").agg(F.first("held").alias("held")).join(pairs.groupBy("pivot").count(), "pivot"))
+    met = join_by_key(materialize(pairs.join(sets, "node")), held, "pivot", "count")
+    near = materialize(met.mapInArrow(_distances, "node long, pivot long, far int").filter(F.col("far") <= SURE))
+    fans = materialize(near.groupBy("pivot").agg(F.count_if(F.col("far") <= SURE // 2).alias("fans"), F.count(F.lit(1)).alias("size")))
+    best = join_by_key(near, fans, "pivot", "size").groupBy("node").agg(F.max(F.struct("fans", "pivot", "far")).alias("best"))
+    return materialize(best.select("node", F.col("best.pivot").alias("pivot"), F.col("best.far").alias("far")))
+
+
+def sure_links(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, sure): how many links a class has through its pivot; (node, root): links that connect all of those."""
+    levels = materialize(near.groupBy("pivot", "far").agg(F.count(F.lit(1)).alias("size")))
+    others = levels.select("pivot", F.col("far").alias("their"), F.col("size").alias("n"))
+    # at most SURE + 1 levels of a pivot meet
+    reach = levels.join(others, "pivot").filter(F.col("far") + F.col("their") <= SURE).groupBy("pivot", "far").agg(F.sum("n").alias("sure"))
+    spot = F.concat_ws(":", "pivot", "far").alias("spot")
+    reach = materialize(reach.join(levels, ["pivot", "far"]).select(spot, "size", (F.col("sure") - (2 * F.col("far") <= SURE).cast("int")).alias("sure")))
+    counted = join_by_key(near.select("node", spot), reach, "spot", "size").select("node", "sure")
+    low = materialize(near.groupBy("pivot").agg(F.min("far").alias("low"), F.count(F.lit(1)).alias("size")))
+    held = materialize(join_by_key(near, low, "pivot", "size").filter(F.col("far") + F.col("low") <= SURE).select("pivot", "node"))
+    root = materialize(held.groupBy("pivot").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("size")))
+    return counted, join_by_key(held, root, "pivot", "size").select("node", "root")
+
+
+def blocks(stuck: DataFrame, near: DataFrame) -> DataFrame:
+    """(leaf, bucket, node, side) of stuck buckets: pairs of blocks. Classes that are all linked to one another through the bucket's
+    main pivot have blocks of their own, which meet only the others'. A pair counts where its sides differ or both are 2."""
+    close = F.when(F.col("far") <= SURE // 2, F.col("pivot"))
+    rows = materialize(stuck.join(near, "node", "left").select("bucket", "node", "size", close.alias("close")))
+    main = rows.filter("close is not null").groupBy("bucket", "close").count().groupBy("bucket").agg(F.max(F.struct("count", "close")).alias("m"))
+    sizes = stuck.select("bucket", "size").distinct().join(main, "bucket", "left")
+    half = F.lit(LEAF // 2)
+    inner = F.coalesce("m.count", F.lit(0))
+    sizes = sizes.select("bucket", "size", F.col("m.close").alias("main"), F.ceil(inner / half).cast("int").alias("k_near"), F.ceil((F.col("size") - inner) / half).cast("int").alias("k_far"))
+    rows = join_by_key(rows.drop("size"), materialize(sizes), "bucket", "size").withColumn("is_near", F.coalesce(F.col("close") == F.col("main"), F.lit(False)))
+    upto = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
+    own = lambda k: F.pmod(F.xxhash64("node"), F.greatest(F.col(k), F.lit(1))).cast("int").alias("own")
+    near_rows = rows.filter("is_near").select("bucket", "node", own("k_near"), F.explode(upto("k_far")).alias("other"))
+    far_rows = rows.filter("not is_near")
+    leaf = lambda kind, a, b: F.xxhash64("bucket", F.lit(kind), a, b).alias("leaf")
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    dealt = near_rows.select(leaf("near", F.col("own"), F.col("other")), "bucket", "node", F.lit(0).alias("side"))
+    crossed = far_rows.select("bucket", "node", own("k_far"), F.explode(upto("k_near")).alias("other"))
+    among = far_rows.select("bucket", "node", own("k_far"), F.explode(upto("k_far")).alias("other"))
+    dealt = dealt.unionByName(crossed.select(leaf("near", F.col("other"), F.col("own")), "bucket", "node", F.lit(1).alias("side")))
+    return dealt.unionByName(among.select(leaf("far", F.least("own", "other"), F.greatest("own", "other")), "bucket", "node", side.alias("side")))
 
 
 def _by_leaf(batches):
@@ -194,12 +290,15 @@ def _by_leaf(batches):
 
 
 def _candidates(batches):
-    """For each class in a leaf: the later ones there whose signatures agree well enough and that it meets in no smaller leaf."""
+    """For each class in a leaf: the later ones there whose signatures agree well enough, that no pivot links it to and that it
+    meets in no smaller bucket."""
     import pyarrow as pa
 
     for part in _by_leaf(batches):
         leaf, node = part.column("leaf").to_numpy(), part.column("node").to_numpy()
-        signature, lists = _matrix(part.column("signature"), len(leaf)), part.column("leaves").to_pylist()
+        bucket, side = part.column("bucket").to_numpy(), part.column("side").to_numpy()
+        pivot, far = part.column("pivot").to_numpy(), part.column("far").to_numpy()
+        signature, lists = _matrix(part.column("signature"), len(leaf)), part.column("buckets").to_pylist()
         bit = _sketch(signature)
         edges = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
         pairs = [_small(edges, np.packbits(bit, axis=1).view(np.uint64))]
@@ -210,9 +309,11 @@ def _candidates(batches):
                 pairs.append((a + lo, b + lo))
         later, met = [[] for _ in leaf], np.zeros(len(leaf), bool)
         for a, b in pairs:
+            open_ = ((side[a] != side[b]) | (side[a] == 2)) & ((pivot[a] != pivot[b]) | (far[a] + far[b] > SURE))
+            a, b = a[open_], b[open_]
             near = np.concatenate([np.zeros(0, bool), *[(signature[a[i : i + 4096]] == signature[b[i : i + 4096]]).sum(1) >= NEED for i in range(0, len(a), 4096)]])
             a, b = a[near], b[near]
-            first = _first_meeting(leaf, lists, a, b)
+            first = _first_meeting(bucket, lists, a, b)
             for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
                 met[x] = met[y] = True
                 low, high = (x, y) if node[x] < node[y] else (y, x)
@@ -252,12 +353,12 @@ def _small(edges: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _first_meeting(leaf: np.ndarray, lists: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs share no leaf smaller than the one at hand, where they therefore count."""
+def _first_meeting(bucket: np.ndarray, lists: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs share no bucket smaller than the one at hand, where they therefore count."""
     rows = np.unique(np.concatenate((a, b)))
     if not len(rows):
         return np.zeros(0, bool)
-    before = [np.array([x for x in lists[i] if x < leaf[i]], np.int64).view(np.uint64) for i in rows]
+    before = [np.array([x for x in lists[i] if x < bucket[i]], np.int64).view(np.uint64) for i in rows]
     return np.array(_overlaps(before, list(zip(np.searchsorted(rows, a).tolist(), np.searchsorted(rows, b).tolist(), strict=True)))) == 0
 
 
@@ -350,10 +451,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     last = seal(now)
     while last[0]:
         both = now.unionByName(now.select(*pair("v", "u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(*pair("v", "m")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_low, "u")
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("size")))
+        large = materialize(join_by_key(both, low, "u", "size").filter("v > u").select(*pair("v", "m")).distinct())
+        small_low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")))
+        joined = join_by_key(large, small_low, "u", "size")
         now = materialize(joined.filter("v <> m").select(*pair("v", "m")).unionByName(joined.select(*pair("u", "m"))).distinct())
         seen, last = last, seal(now)
         if seen == last:
@@ -361,30 +462,52 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, tokens) of the classes in ``wanted`` (node, class_id, digest), from one read of the texts."""
+    held = texts.sparkSession.sparkContext.broadcast(bits(wanted.select(F.xxhash64("class_id").alias("key")).distinct(), "key", LOG2_BITS))
+    sets = texts.withColumn("key", F.xxhash64("doc_id")).mapInArrow(_wanted_sets(held), "digest binary, tokens binary")
+    return sets.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("tokens").alias("tokens"))
+
+
 def join(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id (smallest doc_id of equal bags), n_links (other classes it is linked to), group_id (smallest doc_id of
     all that links connect), n_copies (documents of the class)."""
-    spark = docs.sparkSession
     texts = with_columns(docs, ("doc_id", "long"), ("text", "string"))
     files = materialize(texts.mapInArrow(_signatures, "doc_id long, digest binary, n long, signature binary"))
     classes = files.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
-
-    placed = materialize(leaves(classes.filter("n > 0"), runs(target_recall)))
-    lists = placed.groupBy("node").agg(F.collect_set("leaf").alias("leaves"))
-    members = placed.join(lists, "node").join(classes.select("node", "signature"), "node")
+    names = classes.select("node", "class_id", "digest")
+
+    small, stuck = leaves(classes.filter("n > 0"), runs(target_recall))
+    placed = small.select(F.col("bucket").alias("leaf"), "bucket", "node", F.lit(2).alias("side"))
+    buckets, near, sure = small, None, None
+    if stuck is not None:
+        near = settle(materialize(_sets_of(texts, materialize(names.join(stuck.select("node").distinct(), "node", "left_semi")))), stuck)
+        placed, buckets = placed.unionByName(blocks(stuck, near)), buckets.unionByName(stuck.select("bucket", "node"))
+        sure = tuple(map(materialize, sure_links(near)))
+    placed = materialize(placed)
+    lists = buckets.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    known = lists.join(classes.select("node", "signature"), "node")
+    if near is None:
+        known = known.withColumns({"pivot": F.col("node"), "far": F.lit(SURE)})
+    else:
+        # a class without a pivot is its own, so that no other one shares it
+        known = known.join(near, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "far": F.coalesce("far", F.lit(SURE + 1))})
+    members = placed.join(known, "node")
     candidates = materialize(members.repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(_candidates, "leaf long, node long, partners array<long>"))
 
-    wanted = candidates.select("node").distinct().join(classes.select("node", "class_id", "digest"), "node")
-    held = spark.sparkContext.broadcast(bits(wanted.select(F.xxhash64("class_id").alias("key")).distinct(), "key", LOG2_BITS))
-    sets = texts.withColumn("key", F.xxhash64("doc_id")).mapInArrow(_wanted_sets(held), "digest binary, tokens binary")
-    sets = sets.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    met = candidates.join(sets, "node").repartition("leaf").sortWithinPartitions("leaf", "node")
+    wanted = materialize(names.join(candidates.select("node").distinct(), "node", "left_semi"))
+    met = candidates.join(_sets_of(texts, wanted), "node").repartition("leaf").sortWithinPartitions("leaf", "node")
     verified = materialize(met.mapInArrow(_verify, "node long, root long, links long"))
 
-    links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
-    labels = components(verified, "node", "root")
-    about = classes.join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = about.groupBy("label").agg(F.min("class_id").alias("group_id"))
-    info = materialize(about.join(groups, "label").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id", "n_copies"))
+    counts, edges = verified.select("node", "links"), verified.select("node", "root")
+    if sure is not None:
+        counts = counts.unionByName(sure[0].select("node", F.col("sure").alias("links")))
+        edges = edges.unionByName(sure[1])
+    links = counts.groupBy("node").agg(F.sum("links").alias("n_links"))
+    labels = components(edges, "node", "root")
+    about = materialize(classes.drop("signature").join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    groups = materialize(about.groupBy("label").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("size")))
+    info = join_by_key(about, groups, "label", "size")
+    info = materialize(info.select("digest", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id", "n_copies"))
     return join_by_key(files.select("doc_id", "digest"), info, "digest", "n_copies").select("doc_id", "class_id", "n_links", "group_id", "n_copies")

@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from palimpsest.llm import jaccard
 
 from .fixtures import documents, odd
@@ -98,3 +100,50 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (7, 7)]
     got = dict(map(tuple, jaccard.components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()))
     assert got == {**{i: 0 for i in range(1, 51)}, 101: 100, 102: 100}
+
+
+def counted(rows):
+    """Links of texts that all have different bags, by a product of matrices."""
+    import numpy as np
+
+    sets = [frozenset(bag(t)) for _, t in rows]
+    place = {t: i for i, t in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[t] for t in s]] = 1
+    both, size = m @ m.T, m.sum(1)
+    linked = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6
+    np.fill_diagonal(linked, False)
+    return linked.sum(1)
+
+
+def copies(n, edits, seed=1, words=150):
+    """Texts that differ from one base by as many changed words as ``edits`` says for each."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+    out = set()
+    while len(out) < n:
+        text = list(base)
+        for at in rng.sample(range(words), edits(rng)):
+            text[at] = f"e{rng.randrange(10**6)}"
+        out.add(" ".join(text))
+    return [(i, t) for i, t in enumerate(sorted(out))]
+
+
+@pytest.mark.parametrize("edits", [lambda r: 1, lambda r: r.choice([1, 1, 2, 2, 3])], ids=["one", "some"])
+def test_many_near_copies(spark, edits):
+    """A group that no split divides: placements stay linear in its rows, and no link is lost."""
+    rows = copies(2400, edits)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in jaccard.join(docs).collect()}
+    want = counted(rows)
+    assert abs(sum(want) - sum(r.n_links for r in got.values())) <= 1e-4 * sum(want)
+    assert all(r.n_links <= w for (_, r), w in zip(sorted(got.items()), want, strict=True))
+    assert {r.group_id for r in got.values() if r.n_links} == {min(i for i, r in got.items() if r.n_links)}
+
+
+def test_near_copies_are_placed_once_a_run(spark):
+    docs = spark.createDataFrame(copies(2400, lambda r: 1), "doc_id long, text string")
+    classes = jaccard.materialize(docs.mapInArrow(jaccard._signatures, "doc_id long, digest binary, n long, signature binary").withColumn("node", F.col("doc_id")))
+    small, stuck = jaccard.leaves(classes, jaccard.runs())
+    assert small.count() + stuck.count() <= 2 * jaccard.runs() * 2400
