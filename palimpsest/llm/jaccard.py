@@ -444,17 +444,20 @@ def _find(root: list[int], i: int) -> int:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, label): label is the smallest node of the component, for every node that isn't it. Alternating large and small stars."""
+    """(node, label): label is the smallest node of the component, for every node that isn't it. Alternating large and small stars.
+
+    The star of a large component's root is a hot key of these joins; its other side has one row for each key, so that adaptive
+    execution splits it."""
     pair = lambda x, y: [F.col(x).alias("u"), F.col(y).alias("v")]
     now = materialize(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seal = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     last = seal(now)
     while last[0]:
         both = now.unionByName(now.select(*pair("v", "u")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("size")))
-        large = materialize(join_by_key(both, low, "u", "size").filter("v > u").select(*pair("v", "m")).distinct())
-        small_low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")))
-        joined = join_by_key(large, small_low, "u", "size")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").filter("v > u").select(*pair("v", "m")).distinct()
+        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(small_low, "u")
         now = materialize(joined.filter("v <> m").select(*pair("v", "m")).unionByName(joined.select(*pair("u", "m"))).distinct())
         seen, last = last, seal(now)
         if seen == last:
@@ -506,8 +509,7 @@ def join(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
         edges = edges.unionByName(sure[1])
     links = counts.groupBy("node").agg(F.sum("links").alias("n_links"))
     labels = components(edges, "node", "root")
-    about = materialize(classes.drop("signature").join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    groups = materialize(about.groupBy("label").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("size")))
-    info = join_by_key(about, groups, "label", "size")
+    about = classes.drop("signature").join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    info = about.join(about.groupBy("label").agg(F.min("class_id").alias("group_id")), "label")
     info = materialize(info.select("digest", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id", "n_copies"))
     return join_by_key(files.select("doc_id", "digest"), info, "digest", "n_copies").select("doc_id", "class_id", "n_links", "group_id", "n_copies")
