@@ -47,6 +47,8 @@ DEPTH = 9
 SHRINK = 4
 #: Members of a stuck bucket, those of the smallest hashes, whose shingles make its pivot.
 PIVOT_OF = 64
+#: Rows of two longs, 3 MB, that may be broadcast after they have been counted.
+FEW = 200_000
 #: Steps of the distance to a pivot, which is rounded up to them.
 STEPS = 1000
 #: Bits of the filter that says which documents' shingle sets are wanted: 8 MB for any number of them.
@@ -161,6 +163,11 @@ def _matrix(column, n):
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(n, SIGNATURE) if n else np.zeros((0, SIGNATURE), np.uint32)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if they are few, so that all the classes' signatures needn't be shuffled to meet them."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def leaves(classes: DataFrame, n_runs: int) -> tuple[DataFrame, DataFrame | None]:
     """Of all runs, (bucket, node) of the buckets of 2 to LEAF classes, and (bucket, node, size) of the stuck ones, if any."""
     rows, small, stuck = classes.select("node", "signature").mapInArrow(_roots(n_runs), "bucket long, node long"), [], []
@@ -175,7 +182,7 @@ def leaves(classes: DataFrame, n_runs: int) -> tuple[DataFrame, DataFrame | None
         if depth > DEPTH:
             stuck.append(large)
             break
-        parts = large.select("bucket", "node").join(classes.select("node", "signature"), "node")
+        parts = classes.select("node", "signature").join(_small(large.select("bucket", "node")), "node")
         parts = materialize(parts.mapInArrow(_split(depth, n_runs), "parent long, bucket long, node long"))
         widest = parts.groupBy("parent", "bucket").count().groupBy("parent").agg(F.max("count").alias("most"))
         known = sizes.filter(F.col("size") > LEAF).join(widest, F.col("bucket") == F.col("parent"))
@@ -301,7 +308,7 @@ def _candidates(batches):
         signature, lists = _matrix(part.column("signature"), len(leaf)), part.column("buckets").to_pylist()
         bit = _sketch(signature)
         edges = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
-        pairs = [_small(edges, np.packbits(bit, axis=1).view(np.uint64))]
+        pairs = [_close(edges, np.packbits(bit, axis=1).view(np.uint64))]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi - lo > SMALL:
                 sign = bit[lo:hi].astype(np.float32) * 2 - 1
@@ -339,7 +346,7 @@ NEED, NEED_BITS = _least(LAMBDA), _least((1 + LAMBDA) / 2)
 SMALL = 32
 
 
-def _small(edges: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _close(edges: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of the same small leaf whose bits agree well enough."""
     size = np.diff(edges)
     ends = np.repeat(np.where(size <= SMALL, edges[1:], 0), size)
@@ -485,7 +492,7 @@ def join(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     placed = small.select(F.col("bucket").alias("leaf"), "bucket", "node", F.lit(2).alias("side"))
     buckets, near, sure = small, None, None
     if stuck is not None:
-        near = settle(materialize(_sets_of(texts, materialize(names.join(stuck.select("node").distinct(), "node", "left_semi")))), stuck)
+        near = settle(materialize(_sets_of(texts, materialize(names.join(_small(stuck.select("node").distinct()), "node", "left_semi")))), stuck)
         placed, buckets = placed.unionByName(blocks(stuck, near)), buckets.unionByName(stuck.select("bucket", "node"))
         sure = tuple(map(materialize, sure_links(near)))
     placed = materialize(placed)
