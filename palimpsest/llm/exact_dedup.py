@@ -1,21 +1,29 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by digest; new data is anti-joined to it and appended.
 
 Texts are equal when identical after white space is deleted. Of equal texts the row with the longest original text stays,
-then the smallest doc_id. Null texts count as empty, and all empty texts are equal. A null doc_id loses every tie.
-Rows that repeat a doc_id are rows of their own in the counts; extra columns are ignored.
+then the smallest doc_id. Null texts count as empty, and all empty texts are equal. A null doc_id loses every tie. Exactly one row
+of a group stays, whatever ids its rows have: of rows alike in all of this, any one. Extra columns are ignored.
+
+The index is a few tables, its parts, each with the digests of one batch; every bucket of a part is one sorted file. A batch is
+brought to the index's buckets and merged with each part, which is neither shuffled nor sorted. Parts that have become too many are
+merged into one.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_by_key, materialize, with_columns
 
-#: Buckets of an index table. A new index should have about one bucket per 128 MB that it will hold.
-BUCKETS = 24
+#: Parts of an index before they are merged into one.
+PARTS = 8
+_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
@@ -27,61 +35,121 @@ def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def groups(prints: DataFrame) -> DataFrame:
-    """One row per digest: keep_id, group_size, keep_chars, and the kept row's further keys if ``prints`` has any. Summed on the map side, so a hot digest shuffles one row per task."""
-    keys = [c for c in prints.columns if c not in ("doc_id", "n_chars", "digest")]
-    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), *keys))
+    """One row per digest: keep_id, keep_chars, keep_row, group_size. Summed on the map side, so a hot digest shuffles one row per
+    task. ``prints`` has a key of each row in ``row``."""
+    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), "row"))
     return prints.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select(
-        "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.n")).alias("keep_chars"), "group_size", *[F.col(f"best.{k}").alias(k) for k in keys]
+        "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.n")).alias("keep_chars"), F.col("best.row").alias("keep_row"), "group_size"
     )
 
 
 class DigestIndex:
-    """A table (digest, keep_id, keep_chars, group_size), one row per digest, bucketed and sorted by digest."""
+    """Digests with the document that stays (keep_id, keep_chars) and the number of rows (group_size) over all batches.
+
+    ``buckets``: of a new index; by default as many as the session has shuffle partitions, so that no join wants more of them.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None) -> None:
+        self.spark, self.name = spark, name
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = self.parts()
+        if parts:
+            about = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {parts[0]}").collect()}
+            self.buckets = int(about["Num Buckets"])
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def parts(self) -> list[str]:
+        """Names of the tables that make the index, oldest first."""
+        home, _, last = self.name.rpartition(".")
+        names = self.spark.sql(f"SHOW TABLES {f'IN {home} ' if home else ''}LIKE '{last}_part_*'").collect()
+        return sorted((f"{home}.{r.tableName}" if home else r.tableName for r in names), key=lambda n: int(n.rpartition("_")[2]))
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        return bool(self.parts())
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """All digests, one row each."""
+        both = reduce(DataFrame.unionByName, [self.spark.table(p).withColumn("part", F.lit(i)) for i, p in enumerate(self.parts())])
+        first = F.min(F.struct("part", "keep_id", "keep_chars")).alias("first")
+        return both.groupBy("digest").agg(first, F.sum("group_size").alias("group_size")).select("digest", "first.keep_id", "first.keep_chars", "group_size")
+
+    @contextmanager
+    def _in_order(self) -> Iterator[None]:
+        """Spark takes the order of one-file buckets for granted only where it is told to."""
+        before = self.spark.conf.get(_ORDER, "false")
+        self.spark.conf.set(_ORDER, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_ORDER, before)
+
+    def unknown(self, batch: DataFrame) -> DataFrame:
+        """The digests of ``batch`` that no part has: merge anti-joins."""
+        out = self._bucketed(batch)
+        for part in self.parts():
+            out = out.hint("merge").join(self.spark.table(part).select("digest"), "digest", "left_anti")
+        return out
+
+    def _bucketed(self, batch: DataFrame) -> DataFrame:
+        same = self.buckets == int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return batch if same else batch.repartition(self.buckets, "digest")
+
+    def _known(self, batch: DataFrame) -> DataFrame:
+        """(digest, keep_id, keep_chars, before) of the digests of ``batch`` that some part has."""
+        met = [self._bucketed(batch).hint("merge").join(self.spark.table(p), "digest").withColumn("part", F.lit(i)) for i, p in enumerate(self.parts())]
+        first = F.min(F.struct("part", "keep_id", "keep_chars")).alias("first")
+        found = reduce(DataFrame.unionByName, met).groupBy("digest").agg(first, F.sum("group_size").alias("before"))
+        return found.select("digest", "first.keep_id", "first.keep_chars", "before")
 
     def append(self, prints: DataFrame) -> DataFrame:
-        """Add the digests that the index lacks, and return them. Known digests keep their entry: what was kept earlier stays."""
-        new = groups(prints)
-        if not self.exists():
-            self._write(new.limit(0))
-        # the index side is bucketed and sorted already: only the batch is shuffled for the sort-merge anti-join
-        added = materialize(new.hint("merge").join(self.table().select("digest"), "digest", "left_anti"))
-        self._write(added)
-        return added
-
-    def _write(self, entries: DataFrame) -> None:
-        entries.select("digest", "keep_id", "keep_chars", "group_size").write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        """Add a batch; return an entry for each of its digests: keep_id, keep_row (null: an earlier batch's row stays), group_size
+        over all batches, size in this one. What was kept earlier stays."""
+        new = materialize(groups(prints)) if self.exists() else groups(prints)
+        with self._in_order():
+            entries = materialize(self.unknown(new)) if self.exists() else materialize(new)
+            entries = entries.withColumn("size", F.col("group_size"))
+            if self.exists():
+                again = new.join(entries.select("digest"), "digest", "left_anti").select("digest", F.col("group_size").alias("size"))
+                known = self._known(materialize(again)).join(again, "digest")
+                known = known.withColumns({"keep_row": F.lit(None).cast("long"), "group_size": F.col("before") + F.col("size")}).drop("before")
+                entries = materialize(entries.unionByName(known))
+        self._write(entries.select("digest", "keep_id", "keep_chars", F.col("size").alias("group_size")))
+        if len(self.parts()) > PARTS:
+            self.compact()
+        return entries
+
+    def _write(self, entries: DataFrame) -> str:
+        parts = self.parts()
+        name = f"{self.name}_part_{int(parts[-1].rpartition('_')[2]) + 1 if parts else 0}"
+        # one task and so one file for each bucket
+        whole = entries.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        whole.write.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+        return name
+
+    def compact(self) -> None:
+        """Merge all parts into one."""
+        old = self.parts()
+        self._write(self.table())
+        for part in old:
+            self.spark.sql(f"DROP TABLE {part}")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for part in self.parts():
+            self.spark.sql(f"DROP TABLE IF EXISTS {part}")
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, by the index after ``docs`` was added to it.
+def dedup(docs: DataFrame, index: DigestIndex | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the named keys (longs), keep_id, group_size, kept, text_sha256, by the index after
+    ``docs`` was added to it.
 
-    Without ``index`` a fresh one is made. With an index that has earlier batches, rows whose text it knows are not kept and
-    name the earlier document.
+    Without ``index`` one is made and dropped again. With an index that has earlier batches, rows whose text it knows are not kept
+    and name the earlier document, and group_size counts all batches.
     """
     spark = docs.sparkSession
     own = index or DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    prints = materialize(fingerprints(docs))
-    own.append(prints)
-    entries = own.table().select("digest", "keep_id", "group_size")
-    out = join_by_key(prints, entries, "digest", "group_size")
-    return out.select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
-
-
-def survivors(docs: DataFrame, index: DigestIndex | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The doc_ids that stay, with the named keys, one row each: those whose text the index didn't know."""
-    own = index or DigestIndex(docs.sparkSession, f"digests_{uuid.uuid4().hex}")
-    return own.append(fingerprints(docs, *keys)).select(F.col("keep_id").alias("doc_id"), *keys)
+    prints = materialize(fingerprints(docs, *keys).withColumn("row", F.monotonically_increasing_id()))
+    entries = own.append(prints)
+    out = join_by_key(prints, entries, "digest", "size")
+    kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
+    if index is None:
+        own.drop()
+    return out.select("doc_id", *keys, "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))

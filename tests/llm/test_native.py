@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, licenses, pii, sharding
 
@@ -132,25 +133,75 @@ def test_sharding_moves_little(spark):
 
 
 def test_exact_dedup(docs):
+    """One row of each group stays: the longest, then the smallest id. Of rows alike in both, one."""
     got = exact_dedup.dedup(docs).collect()
     groups = defaultdict(list)
     for r in docs.select("doc_id", "text").collect():
         groups[re.sub(r"[\x20\x09-\x0D]+", "", r.text or "")].append((-len(r.text or ""), r.doc_id is None, r.doc_id or 0, r.doc_id))
     want = Counter()
     for text, rows in groups.items():
-        keep = min(rows)[3]
-        for r in rows:
-            want[(r[3], keep, len(rows), r[3] == keep and keep is not None, hashlib.sha256(text.encode()).hexdigest())] += 1
+        rows.sort(key=lambda r: r[:3])
+        for i, r in enumerate(rows):
+            want[(r[3], rows[0][3], len(rows), i == 0, hashlib.sha256(text.encode()).hexdigest())] += 1
     assert Counter(map(tuple, got)) == want
 
 
+def test_one_row_stays_whatever_the_ids(spark):
+    rows = [(5, "a b"), (5, "ab"), (6, "ab"), (None, "x"), (None, "x"), (None, "y  "), (1, "y"), (7, "z"), (7, "z")]
+    out = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [(r.doc_id, r.keep_id, r.group_size) for r in out if r.kept]
+    assert sorted(kept, key=str) == sorted([(5, 5, 3), (None, None, 2), (None, None, 2), (7, 7, 2)], key=str) and len(out) == len(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digests_")]
+
+
 def test_digest_index_persists(spark):
     index = exact_dedup.DigestIndex(spark, "digest_index_test", buckets=4)
     index.drop()
-    first = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
-    second = spark.createDataFrame([(4, "a  b"), (5, "d"), (6, None)], "doc_id long, text string")
-    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.dedup(first, index).collect()} == {(1, 1, True), (2, 1, False), (3, 3, True)}
-    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.dedup(second, index).collect()} == {(4, 1, False), (5, 5, True), (6, 6, True)}
-    plan = second.sparkSession.table("digest_index_test").groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    index.drop()
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = frame([(1, "a b"), (2, "ab"), (3, "c")]), frame([(4, "a  b"), (5, "d"), (6, None), (1, "a b")])
+    seen = lambda df: {(r.doc_id, r.keep_id, r.kept, r.group_size) for r in exact_dedup.dedup(df, index).collect()}
+    assert seen(first) == {(1, 1, True, 2), (2, 1, False, 2), (3, 3, True, 1)}
+    assert seen(second) == {(4, 1, False, 4), (1, 1, False, 4), (5, 5, True, 1), (6, 6, True, 1)}
+    again = exact_dedup.DigestIndex(spark, "digest_index_test")
+    assert again.buckets == 4 and len(again.parts()) == 2
+    for i in range(8):
+        exact_dedup.dedup(frame([(10 + i, f"new{i}"), (90, "c")]), again).collect()
+    assert len(again.parts()) < 8
+    total = {r.keep_id: r.group_size for r in again.table().collect()}
+    assert total == {1: 4, 3: 9, 5: 1, 6: 1, **{10 + i: 1 for i in range(8)}}
+    again.drop()
+
+
+def name(node):
+    return node.getClass().getSimpleName()
+
+
+def nodes(node):
+    """A physical plan's nodes, those of finished stages included."""
+    yield node
+    inner = [node.plan()] if "QueryStage" in name(node) else [node.children().apply(i) for i in range(node.children().size())]
+    for child in inner:
+        yield from nodes(child)
+
+
+@pytest.mark.parametrize("partitions", ["8", "200"])
+def test_index_is_neither_shuffled_nor_sorted(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        index = exact_dedup.DigestIndex(spark, f"digest_plan_test_{partitions}", buckets=8 if partitions == "200" else None)
+        index.drop()
+        rows = lambda low: exact_dedup.fingerprints(spark.range(low, low + 3000).selectExpr("id as doc_id", "cast(id as string) as text")).withColumn("row", F.col("doc_id"))
+        index.append(rows(0))
+        index.append(rows(2000))
+        with index._in_order():
+            unknown = index.unknown(exact_dedup.materialize(exact_dedup.groups(rows(4000))))
+            assert unknown.count() == 2000
+            merges = [n for n in nodes(unknown._jdf.queryExecution().executedPlan().executedPlan()) if name(n) == "SortMergeJoinExec"]
+        assert len(merges) == 2
+        for merge in merges:
+            below = [name(n) for n in nodes(merge.children().apply(1))]
+            assert "FileSourceScanExec" in below and not [n for n in below if "Sort" in n or "Exchange" in n or "Stage" in n or "Read" in n], below
+        index.drop()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
