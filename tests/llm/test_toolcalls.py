@@ -47,7 +47,7 @@ def test_links_and_errors(out):
     assert json.loads(row["a", "linked"].json)["content"] == "early" and row["a", "linked"].errors == []
     assert row["b", "unanswered"].errors == ["$.q: required", "$.n: below minimum"]
     assert row["c", "unanswered"].errors == ["$.q: too long"] and row["d", "cycle"].errors == ["$: not JSON"]
-    assert row["e", "cycle"].errors == ["$.q: not string"] and row["f", "unanswered"].errors == ["$: unknown tool"]
+    assert row["e", "cycle"].errors == ["$.q: not string"] and row["f", "unanswered"].errors == ["$: unknown tool", "$.depends_on: missing missing"]
     assert row["f2", "linked"].json == '{"arguments":{"q":"é\\n"},"content":"ok","depends_on":[],"id":"f2","name":"search","status":"linked","type":"call"}'
 
 
@@ -111,3 +111,30 @@ def test_deep_chains_are_no_cycles(spark):
     spot = {r.call_id: r.position for r in rows}
     assert {r.call_id for r in rows if r.status == "cycle"} == {"p", "q", "r", "s"} and len(rows) == len(calls)
     assert all(spot[d] < spot[c[1]] for c in calls if c[0] == 1 for d in c[6])
+
+
+def test_identifiers_belong_to_their_conversation(spark):
+    calls = [(c, "call_1", 0, 0, "x", "{}", NONE) for c in (1, 2, None)] + [(1, "call_2", 2, 0, "x", "{}", ["call_1", "call_9"]), (2, "call_9", 5, 0, "x", "{}", NONE)]
+    results = [(1, "call_1", 1, "one"), (2, "call_1", 1, "two"), (None, "call_1", 1, "none"), (3, "call_1", 1, "three")]
+    rows = t.order(t.link(spark.createDataFrame(calls, t.CALLS), spark.createDataFrame(results, t.RESULTS))).collect()
+    got = sorted((str(r.conv_id), r.call_id, r.status, r.content, r.missing) for r in rows)
+    want = [("1", "call_1", "linked", "one", None), ("1", "call_2", "unanswered", None, ["call_9"]), ("2", "call_1", "linked", "two", None), ("2", "call_9", "unanswered", None, None),
+            ("3", "call_1", "orphan_result", "three", None), ("None", "call_1", "orphan_result", "none", None), ("None", "call_1", "unanswered", None, None)]
+    assert got == want
+
+
+def test_no_arguments_end_the_job(spark):
+    many = "9" * 400
+    bad = ["1e999", "-1e999", '"\\ud800"', '{"q":"\\udfff"}', "NaN", "[Infinity]", "9" * 5000, "", None, "{", '{"q":1,}', "\u0000"]
+    good = [many, f'{{"q":"a","n":{many}}}', '{"q":"\\ud83d\\ude00"}', "1.5e308", "null", "true", "[[]]", '{"q":"a","n":1.0}', '{"n":0.5,"q":"a"}']
+    calls = [(1, f"c{i}", i, 0, "search", a, NONE) for i, a in enumerate(bad + good)] + [(2, n, i, 0, n, '{"q":"a"}', NONE) for i, n in enumerate(["broken", "no", "any", "odd"])]
+    calls.append((3, "deep", 0, 0, "search", "[" * 100000 + "]" * 100000, NONE))
+    schemas = spark.createDataFrame([("search", SCHEMA), ("broken", "{"), ("no", "false"), ("any", "true"), ("odd", '{"type":["string","null"],"minimum":"x"}')], "name string, schema string")
+    rows = t.serialise(t.order(t.link(spark.createDataFrame(calls, t.CALLS), spark.createDataFrame([], t.RESULTS))), schemas).collect()
+    got = {r.call_id: r for r in rows}
+    assert len(rows) == len(calls)
+    assert got["deep"].errors in (["$: not JSON"], ["$: not object"])
+    for i, text in enumerate(bad):
+        assert got[f"c{i}"].errors == ["$: not JSON"] and json.loads(got[f"c{i}"].json)["arguments"] == text
+    assert [got[f"c{len(bad) + i}"].errors for i in range(len(good))] == [["$: not object"], [], [], ["$: not object"], ["$: not object"], ["$: not object"], ["$: not object"], [], ["$.n: not integer", "$.n: below minimum"][:1]]
+    assert [got[n].errors for n in ("broken", "no", "any", "odd")] == [["$: schema not readable"], ["$: not allowed"], [], ["$: not string or null"]]
