@@ -2,9 +2,9 @@
 
 An item's windows are its runs of 13 consecutive words; an item of fewer words, but not none, is one window. A window is a set
 of placed shingles of five words, all of which must stand in the document, so one necessary token is prefix enough: the window's
-rarest shingle, by its document frequency over all documents. Documents and windows meet on that shingle in an equi-join; the
-shingle's place bounds where the window would begin and must leave room for its length; there the containment of all the
-window's shingles, at their places, is verified. Items of fewer than five words use shingles of their own length.
+rarest shingle, by its document frequency over all documents. Documents and windows meet on that shingle in an equi-join, which is
+salted where even the rarest one is hot; the shingle's place bounds where the window would begin and must leave room for its length;
+there the containment of all the window's shingles, at their places, is verified. Items of fewer than five words use shingles of their own length.
 
 Documents are read once: a fixed-size bit filter of the benchmark's shingles says which of a document's are worth keeping.
 Null and empty texts have no words; every row of the documents gives one row, whatever its id; items without words have no
@@ -17,10 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits, in_bits, materialize, with_columns
+from .common import HOT_SHARE, bits, in_bits, materialize, with_columns
 from .wordhash import SHINGLE, chunks, shingles, words
 
 WINDOW = 13
+#: Parts that the documents with a hot prefix are dealt into; the windows of that prefix are repeated for each.
+SALTS = 16
 #: Size of the bit filter, which alone is sent to every task: 2 MB.
 LOG2_BITS = 24
 
@@ -79,7 +81,7 @@ def _document_hits(filter_bytes, sizes: list[int]):
 
 
 def match(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents as uid, doc_id, n_words; hits as uid, item_id, place, length of every occurring window)."""
+    """(documents as uid, doc_id, n_words; hits as uid, item_id, start, length of every occurring window)."""
     spark = docs.sparkSession
     wins = materialize(windows(benchmark).distinct())
     sizes = sorted(r.k for r in wins.select("k").distinct().collect()) or [SHINGLE]
@@ -89,7 +91,7 @@ def match(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = materialize(found.withColumn("uid", F.monotonically_increasing_id()))
 
     hit = files.filter(F.size("token") > 0)
-    frequency = hit.select(F.explode(F.array_distinct("token")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    frequency = materialize(hit.select(F.explode(F.array_distinct("token")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     # the prefix: each window's rarest shingle; a window with a shingle that no document has can't occur
     placed = wins.select("item_id", "k", "length", "shingles", F.posexplode("shingles").alias("offset", "token")).join(frequency, "token", "left")
     keys = ["item_id", "k", "length", "shingles"]
@@ -99,30 +101,31 @@ def match(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         .filter("possible")
         .select(*keys, F.col("rarest.token").alias("prefix"), F.col("rarest.offset").alias("offset"))
     )
-    m = F.size("shingles")
-    candidates = hit.select("uid", "n_words", F.col("k").alias("ks"), "place", "token", F.explode(F.array_distinct("token")).alias("prefix")).join(prefix, "prefix")
-    # an index into the document's shingles from which the window's would have to follow one another
-    first = F.filter(
-        F.sequence(F.lit(0), F.size("token") - 1),
-        lambda i: (F.get("token", i) == F.col("prefix")) & (F.get("ks", i) == F.col("k")) & (F.get("place", i) - F.col("offset") >= 0) & (F.get("place", i) - F.col("offset") + F.col("length") <= F.col("n_words")),
-    )
-    begins = F.transform("first", lambda i: i - F.col("offset"))
-    whole = F.filter(
-        "begins",
-        lambda i: (i >= 0) & (i + m <= F.size("token")) & (F.slice("token", i + 1, m) == F.col("shingles")) & (F.get("place", i + m - 1) - F.get("place", i) == m - 1),
-    )
-    starts = F.transform("whole", lambda i: F.get("place", i))
-    verified = candidates.withColumn("first", first).withColumn("begins", begins).withColumn("whole", whole).filter(F.size("whole") > 0)
-    return files.select("uid", "doc_id", "n_words"), verified.select("uid", "item_id", starts.alias("starts"), "length")
+    # a row for each shingle of a document, with its place among the document's shingles; documents with a hot one are dealt over salts
+    spots = hit.select("uid", "n_words", F.posexplode(F.arrays_zip("k", "place", "token")).alias("i", "s")).select("uid", "n_words", "i", "s.*")
+    total = frequency.agg(F.sum("df")).first()[0] or 0
+    hot = F.broadcast(materialize(frequency.filter(F.col("df") >= max(float(SALTS), total * HOT_SHARE)).select("token", F.lit(True).alias("hot"))))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("uid"), F.lit(SALTS))).otherwise(0).alias("salt")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spots = spots.join(hot, "token", "left").select("uid", "n_words", "i", F.col("k").alias("own_k"), "place", F.col("token").alias("prefix"), salt.cast("int").alias("salt"))
+    prefix = prefix.join(hot.withColumnRenamed("token", "prefix"), "prefix", "left").select(*keys, "prefix", "offset", F.explode(salts).alias("salt"))
+    begin = F.col("place") - F.col("offset")
+    fits = (F.col("own_k") == F.col("k")) & (begin >= 0) & (begin + F.col("length") <= F.col("n_words")) & (F.col("i") >= F.col("offset"))
+    candidates = spots.join(prefix, ["prefix", "salt"]).filter(fits).select("uid", "item_id", "length", "shingles", begin.alias("start"), (F.col("i") - F.col("offset")).alias("from"))
+    # the window's shingles must follow one another from there, place by place; each document's own lie in its one row
+    m, at = F.size("shingles"), F.col("from")
+    placed = (F.slice("token", at + 1, m) == F.col("shingles")) & (F.get("place", at + m - 1) - F.get("place", at) == m - 1)
+    verified = candidates.join(hit.select("uid", "place", "token"), "uid").filter((at + m <= F.size("token")) & placed)
+    return files.select("uid", "doc_id", "n_words"), verified.select("uid", "item_id", "start", "length")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted), contaminated: a document is when 5 % of its words, and one, are hit."""
     files, hits = match(docs, benchmark)
-    inside = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("length") - 1)))
-    by_file = hits.select("uid", "item_id", inside.alias("inside")).groupBy("uid").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("inside")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")
-    )
+    # a window that several items have is one stretch of the document
+    stretches = F.collect_set(F.struct("start", "length"))
+    words = F.flatten(F.transform(stretches, lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
+    by_file = hits.groupBy("uid").agg(F.size(F.array_distinct(words)).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return files.join(by_file, "uid", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated")
