@@ -41,7 +41,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the longest original, then the smallest doc_id."""
     rows = _keyed(docs)
-    return rows.join(exact_dedup.survivors(rows, keys=("_row",)).select("_row"), "_row", "left_semi").select(docs.columns)
+    return rows.join(exact_dedup.dedup(rows, keys=("_row",)).filter("kept").select("_row"), "_row", "left_semi").select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
