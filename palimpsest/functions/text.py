@@ -56,9 +56,18 @@ def query_tokens(text: Column, most: int = 64, shortest: int = 2) -> Column:
     return F.slice(F.filter(F.array_distinct(index_tokens(text)), keep), 1, most)
 
 
+def grams(text: Column, n: int) -> Column:
+    """Runs of n neighbouring characters, in order. The characters are taken apart once: a substring counts from the text's start."""
+    c = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    if n == 1:
+        return c
+    ends = F.slice(c, n, F.greatest(F.size(c) - (n - 1), F.lit(0)))
+    return F.zip_with(F.slice(grams(text, n - 1), 1, F.size(ends)), ends, lambda x, y: F.concat(x, y))
+
+
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters of a normalised text."""
-    return F.when(F.length(text) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, 2)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= 2, F.array_distinct(grams(text, 2))).otherwise(F.array().cast("array<string>"))
 
 
 def key_tokens(text: Column) -> Column:

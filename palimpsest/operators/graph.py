@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the folder that all executors share."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .tables import settle
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links (a, b) reach. Each round takes the neighbours' smallest label and then the
     label's own label, so chains shorten by half."""
-    both = _settle(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    now = _settle(nodes.select("id", F.col("id").alias("component")))
+    both = settle(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    now = settle(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = _settle(now.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("low"), "component"))
+        low = settle(now.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("low"), "component"))
         jump = low.select(F.col("id").alias("low"), F.col("low").alias("next"))
-        new = _settle(low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("next", "low")).alias("component"), F.col("component").alias("before")))
+        new = settle(low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("next", "low")).alias("component"), F.col("component").alias("before")))
         changed = not new.filter("component < before").isEmpty()
         now = new.select("id", "component")
         if not changed:

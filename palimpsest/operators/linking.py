@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from .recall import exploded, top_n
+from .tables import settle
 
 
 def verify_quotes(entries: DataFrame, messages: DataFrame, longest: int = 60, shortest: int = 2) -> DataFrame:
@@ -35,24 +36,43 @@ def exact_duplicates(fragments: DataFrame) -> DataFrame:
     return h.join(g, "hash").select("fragment_id", "first_id", "group_size")
 
 
-def near_duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(new_id, old_id): same entity and key tokens, bigram Jaccard of 0.8, and at most one bigram that one side alone has.
-
-    So the sets are equal, or equal once the larger one has lost a bigram. Each side offers its set's hash and that of the set
-    without each of its bigrams; a pair meets on a hash where at most one of the two has lost something."""
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        norm = df.select(F.col("fragment_id").alias(name), "entity", t.normalise(F.col("content")).alias("_n"))
-        grams = norm.select(name, "entity", t.key_tokens(F.col("_n")).alias("_k"), F.transform(t.bigrams(F.col("_n")), lambda b: F.xxhash64(b)).alias("_h"))
-        whole = F.aggregate("_h", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-        summed = grams.filter(F.size("_h") > 0).select(name, "entity", "_k", "_h", whole.alias("_all"))
-        sets = F.concat(F.array(F.struct(F.col("_all").alias("set"), F.lit(0).alias("lost"))), F.transform("_h", lambda h: F.struct(F.col("_all").bitwiseXOR(h).alias("set"), F.lit(1).alias("lost"))))
-        rows = summed.select(name, "entity", "_k", F.size("_h").alias(f"n_{name}"), sets.alias("_sets"))
-        return rows.select(name, "entity", "_k", f"n_{name}", F.explode_outer("_sets").alias("_s")).select(name, "entity", "_k", f"n_{name}", F.col("_s.set").alias("_set"), F.col("_s.lost").alias(f"lost_{name}"))
-
-    met = side(new, "new_id").join(side(existing, "old_id"), ["entity", "_k", "_set"]).filter("new_id <> old_id and lost_new_id + lost_old_id <= 1")
-    close = (F.col("lost_new_id") + F.col("lost_old_id") == 0) | (F.least("n_new_id", "n_old_id") >= 4)
-    return met.filter(close).select("new_id", "old_id").distinct()
+#: Bigram sets up to this size meet by the set without each of its bigrams, larger ones by halves.
+SMALL_SET = 16
+
+
+def near_duplicates(fragments: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """(fragment_id, duplicate_of): for each fragment the smallest other id of one with the same ``by`` columns that says the same: equal
+    when normalised, or the same key tokens and bigram sets of which one has a single bigram more (a Jaccard of 0.8, so from 4 on).
+
+    Fragments of one set are one class; classes meet, not their members. Of two sets that differ in one bigram, one half of all bigrams
+    (by a bit of the hash) is equal: a class is looked up by the hash of each half and its size. Small sets, whose halves may be empty,
+    are looked up by the set without each of its bigrams. The larger set must then hold the bigram that is the difference."""
+    keys = [*by, "_k"]
+    norm = fragments.select("fragment_id", *by, t.normalise(F.col("content")).alias("_n")).filter("_n <> ''")
+    fold = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    sets = settle(norm.select("fragment_id", *by, F.xxhash64("_n").alias("_text"), t.key_tokens(F.col("_n")).alias("_k"), F.transform(t.bigrams(F.col("_n")), lambda g: F.xxhash64(g)).alias("_h")))
+    half = lambda bit: F.filter("_h", lambda h: F.shiftrightunsigned(h, 7).bitwiseAND(F.lit(1)) == bit)
+    rows = settle(sets.select("fragment_id", *keys, F.when(F.size("_h") == 0, F.col("_text")).otherwise(fold(F.col("_h"))).alias("_all"), F.size("_h").alias("_size"), fold(half(0)).alias("_h0"), fold(half(1)).alias("_h1"), "_h"))
+    of = [*keys, "_all", "_size"]
+    # the two smallest ids: a fragment that is the smallest itself is a duplicate of the next
+    first = rows.groupBy(*of).agg(F.min("fragment_id").alias("a"), F.first("_h0").alias("_h0"), F.first("_h1").alias("_h1"))
+    second = rows.join(first.select("a"), F.col("fragment_id") == F.col("a"), "left_anti").groupBy(*of).agg(F.min("fragment_id").alias("b"))
+    classes = settle(first.join(second, [*of], "left"))
+    small, large = classes.filter(F.col("_size").between(4, SMALL_SET)), classes.filter(F.col("_size") > SMALL_SET)
+    spot = lambda part, h, n: F.struct(F.lit(part).alias("part"), h.alias("hash"), n.alias("n"))
+    halves = lambda df, n: df.select(*keys, "a", "_all", F.explode(F.array(spot(0, F.col("_h0"), n), spot(1, F.col("_h1"), n))).alias("_spot"))
+    size = F.col("_size")
+    less = halves(large, size).unionByName(small.select(*keys, "a", "_all", spot(2, F.col("_all"), size).alias("_spot")))
+    lost = classes.filter(size.between(5, SMALL_SET + 1)).join(rows.select(F.col("fragment_id").alias("a"), "_h"), "a")
+    lost = lost.select(*keys, "a", "_all", "_size", F.explode("_h").alias("g")).select(*keys, "a", "_all", spot(2, F.col("_all").bitwiseXOR(F.col("g")), size - 1).alias("_spot"))
+    more = halves(large, size - 1).unionByName(lost).select(*keys, F.col("a").alias("c"), F.col("_all").alias("_all_c"), "_spot")
+    met = less.join(more, [*keys, "_spot"]).select("a", "c", F.col("_all").bitwiseXOR(F.col("_all_c")).alias("g")).distinct()
+    near = met.join(rows.select(F.col("fragment_id").alias("c"), "_h"), "c").filter(F.array_contains("_h", F.col("g"))).select("a", "c")
+    low = near.unionByName(near.select(F.col("c").alias("a"), F.col("a").alias("c"))).groupBy("a").agg(F.min("c").alias("near"))
+    found = classes.join(low, "a", "left")
+    out = rows.select("fragment_id", *of).join(found.select(*of, "a", "b", "near"), [*of])
+    own = F.when(F.col("fragment_id") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    return out.select("fragment_id", F.least(own, "near").alias("duplicate_of")).filter("duplicate_of is not null")
 
 
 def accumulate_evidence(fragments: DataFrame, hits: DataFrame) -> DataFrame:

@@ -19,14 +19,25 @@ def similar_pairs(neighbours: DataFrame, threshold: float) -> DataFrame:
 
 
 def match_evidence(fragments: DataFrame, entries: DataFrame, least: float = 3.0) -> DataFrame:
-    """Each fragment's best model entry of its owner: 0.3 for each token that both have, with the fragment's multiplicity, and 3
-    where the entry is about the fragment's entity."""
+    """Each fragment's best model entry of its owner. For each of the entry's names: 3 if the fragment's entity holds it, 2 if the
+    content holds it as words, 2 if name and entity hold one another in lower case; and 0.3 for each of the fragment's tokens that the
+    entry has. Equal scores go by priority, then confidence. Entries are (owner_id, entry_id, content, names, priority, confidence)."""
     f = exploded(fragments, ["owner_id", "fragment_id"], t.index_tokens(F.col("content")))
     e = exploded(entries, ["owner_id", "entry_id"], F.array_distinct(t.index_tokens(F.col("content"))))
-    shared = f.join(e, ["owner_id", "token"]).groupBy("owner_id", "fragment_id", "entry_id").agg((0.3 * F.count(F.lit(1))).alias("score"))
-    named = fragments.select("owner_id", "fragment_id", "entity").join(entries.select("owner_id", "entry_id", "entity"), ["owner_id", "entity"]).select("owner_id", "fragment_id", "entry_id", F.lit(3.0).alias("score"))
-    both = shared.unionByName(named).groupBy("fragment_id", "entry_id").agg(F.round(F.sum("score"), 6).alias("score")).filter(F.col("score") >= least)
-    return top_n(both, ["fragment_id"], [F.desc("score"), F.asc("entry_id")], 1).drop("rank")
+    pair = ["fragment_id", "entry_id"]
+    shared = f.join(e, ["owner_id", "token"]).groupBy(*pair).agg((0.3 * F.count(F.lit(1))).alias("score"))
+    names = entries.select("owner_id", "entry_id", F.explode("names").alias("name")).filter("name <> ''")
+    low = lambda c: F.lower(F.col(c))
+    # an owner's entities are few beside its fragments: names are compared with each entity once
+    kinds = fragments.filter("entity <> ''").select("owner_id", "entity").distinct().join(names, "owner_id")
+    points = 3 * F.contains("entity", F.col("name")).cast("int") + 2 * (F.contains(low("entity"), low("name")) | F.contains(low("name"), low("entity"))).cast("int")
+    about = kinds.withColumn("score", points.cast("double")).filter("score > 0").groupBy("owner_id", "entity", "entry_id").agg(F.sum("score").alias("score"))
+    by_entity = fragments.select("owner_id", "entity", "fragment_id").join(about, ["owner_id", "entity"]).select(*pair, "score")
+    first = names.withColumn("token", F.get(t.index_tokens(F.col("name")), F.lit(0)))
+    said = first.join(f.distinct(), ["owner_id", "token"]).join(fragments.select("fragment_id", "content"), "fragment_id").filter(F.contains("content", F.col("name"))).select(*pair, F.lit(2.0).alias("score"))
+    both = shared.unionByName(by_entity).unionByName(said).groupBy(*pair).agg(F.round(F.sum("score"), 6).alias("score")).filter(F.col("score") >= least)
+    ranked = both.join(entries.select("entry_id", "priority", "confidence"), "entry_id")
+    return top_n(ranked, ["fragment_id"], [F.desc("score"), F.desc("priority"), F.desc("confidence"), F.asc("entry_id")], 1).drop("rank", "priority", "confidence")
 
 
 def anchors(entries: DataFrame, fragments: DataFrame, days: float, least: int = 4, keep: int = 50) -> DataFrame:
@@ -39,11 +50,32 @@ def anchors(entries: DataFrame, fragments: DataFrame, days: float, least: int =
 
 
 def state_conflicts(states: DataFrame, share: float = 0.5) -> DataFrame:
-    """Pairs of an owner's states whose tokens overlap by more than the share of the smaller set."""
-    x = exploded(states, ["owner_id", "entry_id"], F.array_distinct(t.index_tokens(F.col("content"))), "n")
-    y = x.select("owner_id", F.col("entry_id").alias("other_id"), "token", F.col("n").alias("m"))
-    g = x.join(y, ["owner_id", "token"]).filter("entry_id < other_id").groupBy("entry_id", "other_id").agg((F.count(F.lit(1)) / F.least(F.first("n"), F.first("m"))).alias("overlap"))
-    return g.filter(F.col("overlap") > share)
+    """Pairs of an owner's states whose tokens overlap by more than the share of the smaller set. The smaller set's rarest tokens, as many
+    as it may lack and one, must hold one that both have: only those meet the other set's tokens; then the sets are compared."""
+    sets = states.select("owner_id", "entry_id", F.array_distinct(t.index_tokens(F.col("content"))).alias("set")).filter(F.size("set") > 0)
+    rows = exploded(sets, ["owner_id", "entry_id"], F.col("set"), "n")
+    df = rows.groupBy("owner_id", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ordered = rows.join(df, ["owner_id", "token"]).select("owner_id", "entry_id", "token", "n", "df")
+    # tokens that nobody else has come first and meet nothing
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("entry_id"))
+    place = alone + F.row_number().over(Window.partitionBy("entry_id").orderBy("df", "token"))
+    prefix = ordered.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.floor(F.col("n") * share)).select("owner_id", "token", F.col("entry_id").alias("a"), F.col("n").alias("n_a"))
+    other = ordered.select("owner_id", "token", F.col("entry_id").alias("b"), F.col("n").alias("n_b"))
+    met = prefix.join(other, ["owner_id", "token"]).filter((F.col("a") != F.col("b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))).select("a", "b").distinct()
+    both = met.join(sets.select(F.col("entry_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("entry_id").alias("b"), F.col("set").alias("y")), "b")
+    overlap = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
+    return both.select(F.least("a", "b").alias("entry_id"), F.greatest("a", "b").alias("other_id"), overlap.alias("overlap")).filter(F.col("overlap") > share)
+
+
+def needs_review(states: DataFrame, traits: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
+    """(entry_id, why) of states that conflict with another state, and of those that share ``least`` tokens with a trait."""
+    pairs = state_conflicts(states, share)
+    clash = pairs.select("entry_id").unionByName(pairs.select(F.col("other_id").alias("entry_id"))).withColumn("why", F.lit("state"))
+    x = exploded(states, ["owner_id", "entry_id"], F.array_distinct(t.index_tokens(F.col("content"))))
+    y = exploded(traits.withColumnRenamed("entry_id", "trait_id"), ["owner_id", "trait_id"], F.array_distinct(t.index_tokens(F.col("content"))))
+    near = x.join(y, ["owner_id", "token"]).groupBy("entry_id", "trait_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    both = clash.unionByName(near.select("entry_id", F.lit("trait").alias("why"))).distinct()
+    return both.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set("why")), ",").alias("why"))
 
 
 def independence(new: DataFrame, known: DataFrame, most: float = 0.3) -> DataFrame:
@@ -58,13 +90,25 @@ def proposals(traits: DataFrame, proposed: DataFrame, confidence: float = 0.7, e
     return ok.join(proposed.select("entry_id"), "entry_id", "left_anti")
 
 
+def draws(now: Column, noise: float = 0.15, seed: int = 1) -> Column:
+    """A fragment's weight, one more on an anniversary of its day, and a normal noise that its id and the seed give."""
+    u = lambda k: (F.conv(F.substring(F.md5(F.concat_ws("/", F.col("fragment_id").cast("string"), F.lit(f"{seed}{k}"))), 1, 8), 16, 10).cast("double") + 1) / (2.0**32 + 1)
+    normal = F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * 3.141592653589793 * u("b"))
+    day = lambda c: F.date_format(c, "MM-dd")
+    anniversary = (day(F.col("created_at")) == day(now)) & (F.year("created_at") < F.year(now))
+    return F.round(s.weight(F.col("emotional_weight")) + F.coalesce(anniversary, F.lit(False)).cast("int") + noise * normal, 6)
+
+
+def noisy_topk(fragments: DataFrame, now: Column, most: int, noise: float = 0.15, seed: int = 1) -> DataFrame:
+    """An owner's fragments of the greatest draws."""
+    return top_n(fragments.withColumn("draw", draws(now, noise, seed)), ["owner_id"], [F.desc("draw"), F.asc("fragment_id")], most)
+
+
 def surfacing(fragments: DataFrame, log: DataFrame, now: Column, cooldown_days: int = 7, least_age: int = 3, most: int = 2, noise: float = 0.15, seed: int = 1) -> DataFrame:
-    """Never injected, old enough, not surfaced of late: the heaviest for an owner, with a reproducible normal noise."""
+    """Never injected, old enough, not surfaced of late: the best draws of an owner."""
     recent = log.filter(F.col("at") >= days_before(now, cooldown_days)).select("fragment_id")
     free = fragments.filter((F.coalesce("injected_count", F.lit(0)) == 0) & (F.col("created_at") < days_before(now, least_age))).join(recent, "fragment_id", "left_anti")
-    u = lambda k: (F.conv(F.substring(F.md5(F.concat_ws("/", F.col("fragment_id").cast("string"), F.lit(f"{seed}{k}"))), 1, 8), 16, 10).cast("double") + 1) / (2.0**32 + 1)
-    normal = F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * 3.141592653589793 * u("b"))
-    return top_n(free.withColumn("draw", F.round(s.weight(F.col("emotional_weight")) + noise * normal, 6)), ["owner_id"], [F.desc("draw"), F.asc("fragment_id")], most)
+    return noisy_topk(free, now, most, noise, seed)
 
 
 def dominant_emotion(pairs: DataFrame, order: list[str], floor: float = 0.2) -> DataFrame:
@@ -76,10 +120,19 @@ def dominant_emotion(pairs: DataFrame, order: list[str], floor: float = 0.2) ->
 
 def drift(answers: DataFrame, anchors_: DataFrame, least: float = 0.2) -> DataFrame:
     """Mean bigram Jaccard of answers and anchors by probe, and whether it passes."""
-    a = answers.select("probe", "answer_id", t.bigrams(t.normalise(F.col("content"))).alias("x"))
-    b = anchors_.select("probe", t.bigrams(t.normalise(F.col("content"))).alias("y"))
-    sim = F.size(F.array_intersect("x", "y")) / F.greatest(F.size(F.array_union("x", "y")), F.lit(1))
-    return a.join(b, "probe").groupBy("probe").agg(F.avg(sim).alias("score"), F.count(F.lit(1)).alias("pairs")).withColumn("passed", F.col("score") >= least)
+    plain = lambda df, *keys: df.select(*keys, t.normalise(F.col("content")).alias("_n"))
+    a = plain(answers, "probe", "answer_id").select("probe", "answer_id", t.bigrams(F.col("_n")).alias("x"))
+    b = plain(anchors_, "probe").select("probe", t.bigrams(F.col("_n")).alias("y"))
+    both = a.join(b, "probe").select("probe", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
+    sim = F.col("both") / F.greatest(F.col("n") + F.col("m") - F.col("both"), F.lit(1))
+    return both.groupBy("probe").agg(F.avg(sim).alias("score"), F.count(F.lit(1)).alias("pairs")).withColumn("passed", F.col("score") >= least)
+
+
+def drift_by_vectors(answers: DataFrame, anchors_: DataFrame, least: float = 0.5) -> DataFrame:
+    """``drift`` by the mean cosine of embeddings (probe, embedding)."""
+    unit = lambda df, name: df.select("probe", F.transform("embedding", lambda v: v.cast("double")).alias(name))
+    both = unit(answers, "x").join(unit(anchors_, "y"), "probe").withColumn("sim", s.cosine(F.col("x"), F.col("y")))
+    return both.groupBy("probe").agg(F.avg("sim").alias("score"), F.count(F.lit(1)).alias("pairs")).withColumn("passed", F.col("score") >= least)
 
 
 def evidence_recall(stored: DataFrame, qa: DataFrame) -> DataFrame:

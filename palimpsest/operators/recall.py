@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 from ..functions import scoring as s
 from ..functions import text as t
 
-#: Queries that are compared with all vectors in one pass: the block that is sent to every task has a fixed size.
-QUERY_BLOCK = 4096
+#: Queries and vectors of a block: what a task compares has a bounded size.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
@@ -31,69 +31,79 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded(docs, [id_col], t.index_tokens(F.col(text_col))).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, id_col: str = "fragment_id", text_col: str = "content") -> DataFrame:
-    """(query_id, id, score, rank): query tokens are OR-ed. A semi-join drops postings of other tokens before they are shuffled."""
-    wanted = exploded(queries, ["query_id"], t.query_tokens(F.col("query")))
-    names = wanted.select("token").distinct()
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, id_col: str = "fragment_id", text_col: str = "content", by: tuple[str, ...] = ("owner_id",)) -> DataFrame:
+    """(query_id, id, score, rank): query tokens are OR-ed. Queries meet documents of the same ``by`` columns, whose statistics count
+    alone. A semi-join drops postings of other tokens before they are shuffled."""
+    by = list(by)
+    wanted = exploded(queries, ["query_id", *by], t.query_tokens(F.col("query")))
+    names = wanted.select(*by, "token").distinct()
     tokens = t.index_tokens(F.col(text_col))
-    sized = docs.select(id_col, F.size(tokens).alias("dl"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = exploded(docs, [id_col], tokens, "dl").join(names, "token", "left_semi")
-    posts = raw.groupBy(id_col, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(stats)).select("token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
+    sized = docs.select(*by, F.size(tokens).alias("dl"))
+    stats = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    raw = exploded(docs, [id_col, *by], tokens, "dl").join(names, [*by, "token"], "left_semi")
+    posts = raw.groupBy(id_col, *by, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = posts.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
+    met = df.join(stats, by) if by else df.join(F.broadcast(stats))  # without keys stats is one row
+    idf = met.select(*by, "token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = wanted.join(idf, "token").join(posts, "token").groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = wanted.join(idf, [*by, "token"]).join(posts, [*by, "token"]).groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
     return top_n(scored, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
 
 
-def _nearest(block, k: int, floor: float):
-    def run(batches):
+def _matrix(column) -> np.ndarray:
+    """A list column of equally long vectors as unit rows."""
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    v = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(k: int, floor: float):
+    """The k nearest of a block of vectors for each query of a block."""
+
+    def run(queries, vectors):
         import pyarrow as pa
 
-        ids, q = block.value
-        for batch in batches:
-            own = batch.column("fragment_id").to_numpy(zero_copy_only=False)
-            lists = batch.column("embedding")
-            if not len(own):
-                continue
-            v = np.array(lists.to_pylist(), np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            sim = np.round(q @ v.T, 6)
-            near = np.argsort(-sim, axis=1, kind="stable")[:, :k] if sim.shape[1] > k else np.tile(np.arange(sim.shape[1]), (len(ids), 1))
-            best = np.take_along_axis(sim, near, 1)
-            row, col = np.nonzero(best >= floor)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[near[row, col]]), pa.array(best[row, col])], ["query_id", "fragment_id", "similarity"])
+        none = pa.table({"query_id": pa.array([], pa.int64()), "fragment_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        if not queries.num_rows or not vectors.num_rows:
+            return none
+        vectors = vectors.sort_by("fragment_id")
+        ids, own = queries.column("query_id").to_numpy(), vectors.column("fragment_id").to_numpy()
+        sim = np.round(_matrix(queries.column("embedding")) @ _matrix(vectors.column("embedding")).T, 6)
+        near = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(sim, near, 1)
+        row, col = np.nonzero(best >= floor)
+        return pa.table({"query_id": ids[row], "fragment_id": own[near[row, col]], "similarity": best[row, col]})
 
     return run
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.2, skip_self: bool = False) -> DataFrame:
-    """(query_id, fragment_id, similarity, rank) by exact cosine; queries are (query_id, embedding). Blocks of queries of a
-    fixed size meet all vectors; each task keeps its best k."""
-    spark, out, block = queries.sparkSession, None, []
-    extra = 1 if skip_self else 0
-
-    def scan(rows):
-        q = np.array([r.embedding for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        held = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), q))
-        ordered = vectors.select(F.col("fragment_id").cast("long").alias("fragment_id"), "embedding")
-        return ordered.sortWithinPartitions("fragment_id").mapInArrow(_nearest(held, k + extra, floor), "query_id long, fragment_id long, similarity double")
-
-    for row in queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            part, block = scan(block), []
-            out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        part = scan(block) if block else spark.createDataFrame([], "query_id long, fragment_id long, similarity double")
-        out = part if out is None else out.unionByName(part)
+    """(query_id, fragment_id, similarity, rank) by exact cosine; queries are (query_id, embedding). Blocks of queries meet blocks of
+    vectors in a cogroup, each pair of blocks in a task of bounded size; a pair keeps its best k. Null vectors are left out."""
+    q = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    v = vectors.filter("embedding is not null").select(F.col("fragment_id").cast("long").alias("fragment_id"), "embedding")
+    n_q, n_v = (max(1, -(-n // size)) for n, size in ((q.count(), QUERY_BLOCK), (v.count(), VECTOR_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = q.select("query_id", "embedding", own("query_id", n_q).alias("qb"), every(n_v).alias("vb")).groupBy("qb", "vb")
+    right = v.select("fragment_id", "embedding", own("fragment_id", n_v).alias("vb"), every(n_q).alias("qb")).groupBy("qb", "vb")
+    out = left.cogroup(right).applyInArrow(_nearest(k + skip_self, floor), "query_id long, fragment_id long, similarity double")
     if skip_self:
         out = out.filter("query_id <> fragment_id")
     return top_n(out, ["query_id"], [F.desc("similarity"), F.asc("fragment_id")], k)
 
 
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, tags: DataFrame, query_tags: DataFrame, live: DataFrame, floor: float = 0.2) -> DataFrame:
+    """``vector_topk`` with tags: of the nearest 3 k (30 at least) those that share a tag with the query count double, 1 at most; then
+    the floor, the fragments in ``live`` alone, and the best k. Tags are (fragment_id, tag) and (query_id, tag)."""
+    near = vector_topk(queries, vectors, max(3 * k, 30), -1.0).drop("rank")
+    shared = near.join(query_tags.select("query_id", "tag").distinct(), "query_id").join(tags.select("fragment_id", "tag").distinct(), ["fragment_id", "tag"]).select("query_id", "fragment_id").distinct().withColumn("_tagged", F.lit(True))
+    near = near.join(shared, ["query_id", "fragment_id"], "left")
+    near = near.withColumn("similarity", F.when(F.col("_tagged"), F.least(F.lit(1.0), 2 * F.col("similarity"))).otherwise(F.col("similarity"))).drop("_tagged")
+    kept = near.filter(F.col("similarity") >= floor).join(live.select("fragment_id"), "fragment_id", "left_semi")
+    return top_n(kept, ["query_id"], [F.desc("similarity"), F.asc("fragment_id")], k)
+
+
 def channel_weight(intent: Column, channel: str) -> Column:
     if channel == "fts":
         return F.when(intent == "fact", 1.5).when(intent == "summary", 0.6).when(intent == "long_term", 0.7).otherwise(1.0)
@@ -113,9 +123,10 @@ def rrf_fuse(channels: dict[str, DataFrame], intents: DataFrame, k: int = 60, id
     )
 
 
-def entity_boost(candidates: DataFrame, query_entities: DataFrame, links: DataFrame, boost: float = 0.1) -> DataFrame:
-    """Candidates already found that are linked to an entity named in the query: ``rrf`` times 1 + boost, ``by_entity`` set."""
-    named = query_entities.join(links.select("fragment_id", "entity_id"), "entity_id").select("query_id", "fragment_id").distinct().withColumn("by_entity", F.lit(True))
+def entity_boost(candidates: DataFrame, query_entities: DataFrame, links: DataFrame, boost: float = 0.1, never: list[int] = ()) -> DataFrame:
+    """Candidates already found that are linked to an entity named in the query: ``rrf`` times 1 + boost, ``by_entity`` set. Entities in
+    ``never``, the owner's and the assistant's own, don't boost."""
+    named = query_entities.filter(~F.col("entity_id").isin(*never)).join(links.select("fragment_id", "entity_id"), "entity_id").select("query_id", "fragment_id").distinct().withColumn("by_entity", F.lit(True))
     out = candidates.join(named, ["query_id", "fragment_id"], "left").withColumn("by_entity", F.coalesce("by_entity", F.lit(False)))
     return out.withColumn("rrf", F.col("rrf") * F.when(F.col("by_entity"), 1 + boost).otherwise(1.0))
 
@@ -172,11 +183,15 @@ def retrieval_metrics(hits: DataFrame, evidence: DataFrame, ks: tuple[int, ...]
 
 
 def hard_triggers(messages: DataFrame, memories: DataFrame, most: int = 3) -> DataFrame:
-    """(msg_id, memory_id): some tag has all its tokens in the message; the longest tag first, then the newest."""
-    said = exploded(messages, ["msg_id", "owner_id"], F.array_distinct(t.index_tokens(F.col("content"))))
-    tags = memories.select("memory_id", "owner_id", "valid_from", F.explode("tags").alias("tag"))
+    """(msg_id, memory_id) of permanent and ongoing memories that are valid by the message's day and of which some tag has all its
+    tokens in the message; the longest tag first, then the newest. Messages are (owner_id, msg_id, content, ts), memories
+    (owner_id, memory_id, tags, status, valid_from)."""
+    said = exploded(messages, ["msg_id", "owner_id", "ts"], F.array_distinct(t.index_tokens(F.col("content"))))
+    live = memories.filter(F.col("status").isin("permanent", "ongoing"))
+    tags = live.select("memory_id", "owner_id", "valid_from", F.explode("tags").alias("tag"))
     tags = tags.withColumn("tokens", F.array_distinct(t.index_tokens(F.col("tag")))).filter(F.size("tokens") > 0)
     needed = tags.select("memory_id", "owner_id", "valid_from", "tag", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    full = said.join(needed, ["owner_id", "token"]).groupBy("msg_id", "memory_id", "valid_from", "tag", "n").agg(F.count(F.lit(1)).alias("got")).filter("got = n")
+    begun = F.col("valid_from").isNull() | (F.col("valid_from") <= F.to_date("ts"))
+    full = said.join(needed, ["owner_id", "token"]).filter(begun).groupBy("msg_id", "memory_id", "valid_from", "tag", "n").agg(F.count(F.lit(1)).alias("got")).filter("got = n")
     best = full.groupBy("msg_id", "memory_id", "valid_from").agg(F.max(F.length("tag")).cast("long").alias("longest"))
     return top_n(best, ["msg_id"], [F.desc("longest"), F.desc("valid_from"), F.asc("memory_id")], most)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -143,3 +146,22 @@ def evidence_thinning(ids: Column, n: int = 50) -> Column:
     """Half the oldest and half the newest of a sorted array."""
     half = n // 2
     return F.when(F.size(ids) <= n, ids).otherwise(F.concat(F.slice(ids, 1, half), F.slice(ids, -(n - half), n - half)))
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local master gets a temporary one; on a cluster
+    it has to be set, as executors don't see one another's disks."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="palimpsest-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder."""
+    path = f"{scratch(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

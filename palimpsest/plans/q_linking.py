@@ -55,15 +55,14 @@ def audit(spark, d):
 
 
 def near(spark, d):
-    """Short fragments: each document's first 60 characters with an entity of its language."""
-    f = a.fragments(spark, d).select("fragment_id", F.col("type").alias("entity"), F.substring("content", 1, 60).alias("content"))
-    return o.near_duplicates(f.filter("fragment_id % 3 = 0"), f)
+    """Whole documents, with an entity of their language."""
+    return o.near_duplicates(a.fragments(spark, d).select("fragment_id", F.col("type").alias("entity"), "content"))
 
 
 NEAR = {
-    "f": f"SELECT fragment_id, type AS entity, {NORM.format('content[1:60]')} AS n FROM fragments",
-    "g": rf"SELECT *, array_to_string(list_sort(regexp_extract_all(n, '{t.KEY}')),'|') AS k, CASE WHEN length(n)>=2 THEN list_distinct(list_transform(range(1, length(n)), lambda i: substr(n, i::BIGINT, 2))) ELSE [] END AS b FROM f",
-    "p": "SELECT x.fragment_id AS new_id, y.fragment_id AS old_id, len(x.b) AS na, len(y.b) AS nb, len(list_intersect(x.b, y.b)) AS i FROM g x JOIN g y ON x.entity=y.entity AND x.k=y.k AND abs(len(x.b)-len(y.b))<=1 AND x.fragment_id<>y.fragment_id WHERE x.fragment_id%3=0",
+    "f": f"SELECT fragment_id, type AS entity, {NORM.format('content')} AS n FROM fragments",
+    "g": rf"SELECT *, array_to_string(list_sort(regexp_extract_all(n, '{t.KEY}')),'|') AS k, CASE WHEN length(n)>=2 THEN list_distinct(list_transform(range(1, length(n)), lambda i: substr(n, i::BIGINT, 2))) ELSE [] END AS b FROM f WHERE n<>''",
+    "p": "SELECT x.fragment_id, y.fragment_id AS other, x.n=y.n AS same, len(x.b) AS na, len(y.b) AS nb, CASE WHEN x.n=y.n THEN len(x.b) ELSE len(list_intersect(x.b, y.b)) END AS i FROM g x JOIN g y ON x.entity=y.entity AND x.k=y.k AND abs(len(x.b)-len(y.b))<=1 AND x.fragment_id<>y.fragment_id",
 }
 
 
@@ -91,8 +90,7 @@ def cooccur(spark, d):
 
 
 def coactive(spark, d):
-    links = a.links(spark, d).filter("fragment_id % 7 = entity_id % 7")
-    return o.coactive(links, a.entities(spark, d), a.fragments(spark, d), ["place"])
+    return o.coactive(a.links(spark, d), a.entities(spark, d), a.fragments(spark, d), ["place"])
 
 
 def merges(spark, d):
@@ -127,7 +125,7 @@ def merged(spark, d):
 
 def trace(spark, d):
     m = a.messages(spark, d)
-    src = m.filter("msg_id % 4 = 0").select((F.col("msg_id") % 97).alias("fragment_id"), "msg_id")
+    src = m.select((F.col("msg_id") % 97).alias("fragment_id"), "msg_id")
     return o.trace(src, m)
 
 
@@ -163,12 +161,12 @@ S = {
     "p1_drop_counts": a.sql("messages", "SELECT type, reason, count(*) AS n FROM ve WHERE reason IS NOT NULL GROUP BY ALL", **VERIFY),
     "f7_exact_duplicates": a.sql("fragments", "SELECT fragment_id, min(fragment_id) OVER (PARTITION BY hash) AS first_id, count(*) OVER (PARTITION BY hash) AS group_size FROM h QUALIFY group_size>1", **HASH),
     "a28_hash_audit": a.sql("fragments", f"SELECT sha256(chr(0)||{NORM.format('content')}) AS hash, strftime(created_at,'%Y-%m-%d') AS day, count(*) AS n FROM fragments GROUP BY ALL HAVING count(*)>1"),
-    "j15_near_duplicates": a.sql("fragments", "SELECT new_id, old_id FROM p WHERE na>0 AND nb>0 AND i>=0.8*(na+nb-i) AND na+nb-2*i<=1", **NEAR),
+    "j15_near_duplicates": a.sql("fragments", "SELECT fragment_id, min(other) AS duplicate_of FROM p WHERE same OR (na>0 AND nb>0 AND i>=0.8*(na+nb-i) AND na+nb-2*i<=1) GROUP BY 1", **NEAR),
     "a1_accumulate_evidence": a.sql("fragments", "SELECT fragment_id, round(least(1.0::DOUBLE, confidence+0.05*coalesce(n,0)),6) AS confidence, evidence_count+coalesce(n,0) AS evidence_count FROM fragments LEFT JOIN (SELECT fi AS fragment_id, count(DISTINCT fragment_id%5) AS n FROM (SELECT fragment_id, min(fragment_id) OVER (PARTITION BY hash) AS fi FROM h) WHERE fi<>fragment_id GROUP BY 1) USING (fragment_id)", **HASH),
     "j7_mention_join": a.sql("fragments questions", rf"SELECT DISTINCT fragment_id AS text_id, entity_id, term FROM fragments JOIN tm ON contains(lower(content), term) AND list_contains({TOKENS.format('content')}, regexp_extract(term, '[\p{{L}}\p{{N}}]+'))", **MENTION),
     "j23_cooccurring": a.sql("links entities", "SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS shared FROM lv x JOIN lv y USING (fragment_id) WHERE x.entity_id<y.entity_id GROUP BY ALL HAVING count(*)>=2 ORDER BY shared DESC, a, b LIMIT 30", lv="SELECT DISTINCT fragment_id, entity_id FROM links JOIN entities e USING (entity_id) WHERE e.status='active'"),
     "j24_coactive": a.sql("links entities fragments", "SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS days FROM dy x JOIN dy y USING (day) WHERE x.entity_id<y.entity_id AND NOT EXISTS (SELECT 1 FROM ow p JOIN ow q USING (fragment_id) WHERE p.entity_id=x.entity_id AND q.entity_id=y.entity_id) GROUP BY ALL",
-                          ow="SELECT entity_id, fragment_id FROM links JOIN entities e USING (entity_id) WHERE e.category='place' AND fragment_id%7=entity_id%7", dy="SELECT DISTINCT entity_id, created_at::DATE AS day FROM ow JOIN fragments USING (fragment_id)"),
+                          ow="SELECT entity_id, fragment_id FROM links JOIN entities e USING (entity_id) WHERE e.category='place'", dy="SELECT DISTINCT entity_id, created_at::DATE AS day FROM ow JOIN fragments USING (fragment_id)"),
     "j27_merge_candidates": a.sql("links entities", "SELECT a, b, string_agg(DISTINCT why, ',' ORDER BY why) AS why FROM c GROUP BY ALL",
                                   g=f"SELECT entity_id, category, len(b) AS n, unnest(b) AS g FROM (SELECT entity_id, category, list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, i::BIGINT, 2))) AS b FROM (SELECT *, {NORM.format('name')} AS x FROM entities) WHERE length(x)>=2)",
                                   o="SELECT DISTINCT entity_id, fragment_id, e.category FROM links JOIN entities e USING (entity_id)", z="SELECT entity_id, count(*) AS n FROM o GROUP BY 1",
@@ -180,7 +178,7 @@ S = {
     "t7_entity_lifecycle": a.sql("links entities", f"SELECT entity_id, status, CASE WHEN status='seed' AND n>=3 THEN 'graduate' WHEN status='seed' AND age>14 THEN 'pruned' WHEN status='active' AND idle>2 THEN 'dormant' WHEN status='dormant' AND idle<=2 THEN 'active' ELSE status END AS new_status, n FROM x",
                                  x=f"SELECT entity_id, status, coalesce(n,0) AS n, ({a.NOW}-epoch(coalesce(last, e.created_at)))/86400 AS idle, ({a.NOW}-epoch(e.created_at))/86400 AS age FROM entities e LEFT JOIN (SELECT entity_id, count(*) AS n, max(created_at) AS last FROM links GROUP BY 1) USING (entity_id)"),
     "t8_apply_merges": a.sql("links", "SELECT fragment_id, CASE WHEN entity_id BETWEEN 100 AND 124 THEN entity_id-entity_id%5 ELSE entity_id END AS entity_id, round(max(confidence),6) AS confidence FROM links GROUP BY 1,2"),
-    "j32_trace": a.sql("messages", "SELECT p.msg_id%97 AS fragment_id, q.msg_id, min(abs(q.n-p.n)) AS distance FROM pl p JOIN pl q ON p.chat_id=q.chat_id AND abs(q.n-p.n)<=2 WHERE p.msg_id%4=0 GROUP BY 1,2", pl="SELECT chat_id, msg_id, row_number() OVER (PARTITION BY chat_id ORDER BY ts, msg_id)::INT AS n FROM messages"),
+    "j32_trace": a.sql("messages", "SELECT p.msg_id%97 AS fragment_id, q.msg_id, min(abs(q.n-p.n)) AS distance FROM pl p JOIN pl q ON p.chat_id=q.chat_id AND abs(q.n-p.n)<=2 GROUP BY 1,2", pl="SELECT chat_id, msg_id, row_number() OVER (PARTITION BY chat_id ORDER BY ts, msg_id)::INT AS n FROM messages"),
     "a15_mine_terms": a.sql("fragments entities", r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, '\p{Lu}\p{Ll}{2,}')) AS term FROM fragments) WHERE term NOT IN (SELECT name FROM entities) GROUP BY 1 HAVING count(*)>=5 ORDER BY n DESC, term LIMIT 15"),
     "a16_stopwords": a.sql("messages", f"SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct({TOKENS.format('content')})) AS token FROM messages) GROUP BY 1 HAVING count(*)>=greatest(10, (SELECT count(*) FROM messages)*0.03) ORDER BY n DESC, token LIMIT 120"),
     "a18_consolidation_candidates": a.sql("links entities fragments", "SELECT entity_id, n_links, fragment_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, fragment_id) AS rank FROM (SELECT DISTINCT entity_id, n_links, fragment_id, f.created_at FROM links JOIN ch USING (entity_id) JOIN fragments f USING (fragment_id) WHERE f.status='active')) WHERE rank<=30",

@@ -16,12 +16,12 @@ INTENT = rf"CASE WHEN regexp_matches(coalesce(query,''), '{t._any(t.LONG_TERM)}'
 
 BM25 = {
     "live": "SELECT * FROM fragments WHERE status='active'",
-    "q": f"SELECT query_id, unnest(list_distinct(list_filter({TOKENS.format('query')}, lambda x: length(x)>=2))) AS token FROM questions",
-    "toks": f"SELECT fragment_id, {TOKENS.format('content')} AS ws FROM live",
-    "st": "SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM toks",
-    "tf": "SELECT fragment_id, token, dl, count(*) AS tf FROM (SELECT fragment_id, len(ws) AS dl, unnest(ws) AS token FROM toks) WHERE token IN (SELECT token FROM q) GROUP BY ALL",
-    "idf": "SELECT token, avgdl, ln(1+(n-count(*)+0.5)/(count(*)+0.5)) AS idf FROM tf, st GROUP BY token, n, avgdl",
-    "bm": "SELECT query_id, fragment_id, round(sum(idf*tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl))),6) AS score FROM q JOIN idf USING (token) JOIN tf USING (token) GROUP BY ALL",
+    "q": f"SELECT query_id, owner_id, unnest(list_distinct(list_filter({TOKENS.format('query')}, lambda x: length(x)>=2))) AS token FROM questions",
+    "toks": f"SELECT owner_id, fragment_id, {TOKENS.format('content')} AS ws FROM live",
+    "st": "SELECT owner_id, count(*) AS n, avg(len(ws)) AS avgdl FROM toks GROUP BY owner_id",
+    "tf": "SELECT owner_id, fragment_id, token, dl, count(*) AS tf FROM (SELECT owner_id, fragment_id, len(ws) AS dl, unnest(ws) AS token FROM toks) WHERE (owner_id, token) IN (SELECT (owner_id, token) FROM q) GROUP BY ALL",
+    "idf": "SELECT owner_id, token, avgdl, ln(1+(n-count(*)+0.5)/(count(*)+0.5)) AS idf FROM tf JOIN st USING (owner_id) GROUP BY owner_id, token, n, avgdl",
+    "bm": "SELECT query_id, fragment_id, round(sum(idf*tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl))),6) AS score FROM q JOIN idf USING (owner_id, token) JOIN tf USING (owner_id, token) GROUP BY ALL",
     "fts": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fragment_id) AS rank FROM bm) WHERE rank<=16",
 }
 INTENTS = {"intents": f"SELECT query_id, {INTENT} AS intent FROM questions"}
@@ -69,37 +69,52 @@ def _vector_queries(spark, d):
 
 
 def vector_topk(spark, d):
-    return r.vector_topk(_vector_queries(spark, d), a.vectors(spark, d), 10).select("query_id", "fragment_id", F.round("similarity", 4).alias("similarity"))
+    """Vectors' labels are their tags; vectors with an id divisible by seven are no longer live."""
+    v = a.vectors(spark, d)
+    tags = v.select("fragment_id", F.col("label").cast("string").alias("tag"))
+    own = _vector_queries(spark, d).join(tags, F.col("query_id") == F.col("fragment_id")).select("query_id", "tag")
+    return r.vector_search(_vector_queries(spark, d), v, 10, tags, own, v.filter("fragment_id % 7 > 0")).select("query_id", "fragment_id", F.round("similarity", 4).alias("similarity"))
 
 
 VECTOR = {
-    "vq": "SELECT fragment_id AS query_id, embedding::DOUBLE[] AS e FROM vectors WHERE fragment_id%100=0",
-    "sims": "SELECT query_id, fragment_id, round(list_cosine_similarity(e, embedding::DOUBLE[]),6) AS similarity FROM vq, vectors",
-    "vec": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fragment_id) AS rank FROM sims WHERE similarity>=0.2) WHERE rank<=10",
+    "vq": "SELECT fragment_id AS query_id, embedding::DOUBLE[] AS e, label AS own FROM vectors WHERE fragment_id%100=0",
+    "sims": "SELECT query_id, fragment_id, own=label AS tagged, round(list_cosine_similarity(e, embedding::DOUBLE[]),6) AS similarity FROM vq, vectors",
+    "near": "SELECT query_id, fragment_id, CASE WHEN tagged THEN least(1.0::DOUBLE, 2*similarity) ELSE similarity END AS similarity FROM (SELECT * FROM sims WHERE similarity>=-1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fragment_id)<=30)",
+    "vec": "SELECT * FROM near WHERE similarity>=0.2 AND fragment_id%7>0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fragment_id)<=10",
 }
 
 
+#: The nearest ten without tags.
+PLAIN = {**{k: VECTOR[k] for k in ("vq", "sims")}, "vec": "SELECT * FROM sims WHERE similarity>=0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fragment_id)<=10"}
+
+
 def vector_duplicates(spark, d):
     """The nearest other vector of each query vector, where it is a duplicate (0.82)."""
     near = r.vector_topk(_vector_queries(spark, d), a.vectors(spark, d), 3, 0.0, skip_self=True)
     return near.filter("rank = 1").withColumn("duplicate", F.col("similarity") >= 0.82).select("query_id", "fragment_id", F.round("similarity", 4).alias("similarity"), "duplicate")
 
 
+#: Vectors less similar than this aren't fused.
+FLOOR = 0.22
+
+
 def _hybrid(spark, d):
     """Text hits of questions and vector hits of the vectors with the questions' ids."""
     vq = a.vectors(spark, d).join(a.questions(spark, d), F.col("fragment_id") == F.col("query_id")).select("query_id", "embedding")
-    return r.rrf_fuse({"fts": _fts(spark, d), "vec": r.vector_topk(vq, a.vectors(spark, d), 10, 0.0)}, _intents(spark, d))
+    return r.rrf_fuse({"fts": _fts(spark, d), "vec": r.vector_topk(vq, a.vectors(spark, d), 10, FLOOR)}, _intents(spark, d))
 
 
 HYBRID = {
     "hq": "SELECT query_id, embedding::DOUBLE[] AS e FROM vectors JOIN questions ON fragment_id=query_id",
     "hs": "SELECT query_id, fragment_id, round(list_cosine_similarity(e, embedding::DOUBLE[]),6) AS similarity FROM hq, vectors",
-    "hv": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fragment_id) AS rank FROM hs WHERE similarity>=0) WHERE rank<=10",
+    "hv": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fragment_id) AS rank FROM hs WHERE similarity>=0.22) WHERE rank<=10",
     "ch": "SELECT query_id, fragment_id, rank, 'fts' AS c FROM fts UNION ALL SELECT query_id, fragment_id, rank, 'vec' FROM hv",
     "fused": """SELECT query_id, fragment_id, intent, sum(CASE WHEN c='fts' THEN CASE intent WHEN 'fact' THEN 1.5 WHEN 'summary' THEN 0.6 WHEN 'long_term' THEN 0.7 ELSE 1.0 END
         ELSE CASE intent WHEN 'fact' THEN 0.5 WHEN 'summary' THEN 1.4 WHEN 'long_term' THEN 1.3 ELSE 1.0 END END::DOUBLE/(60+rank)) AS rrf, bool_or(c='fts') AS by_fts, bool_or(c='vec') AS by_vec
         FROM ch JOIN intents USING (query_id) GROUP BY ALL""",
 }
+#: The places that stand for the owner and the assistant.
+SELF = [103, 117]
 #: A question names the place whose number its id gives.
 NAMED = "SELECT query_id, 100+query_id%25 AS entity_id FROM questions"
 
@@ -114,7 +129,7 @@ def rrf(spark, d):
 
 def hybrid_recall(spark, d):
     """Both channels, entity boost, ranking and cut."""
-    boosted = r.entity_boost(_hybrid(spark, d), _named(spark, d), a.links(spark, d))
+    boosted = r.entity_boost(_hybrid(spark, d), _named(spark, d), a.links(spark, d), never=SELF)
     out = r.dynamic_k(r.rank(boosted, a.fragments(spark, d), a.now()))
     return out.select("query_id", "fragment_id", "position", F.round("score", 6).alias("score"), "by_entity", "tier", "source", "permission")
 
@@ -124,26 +139,27 @@ def entity_channel(spark, d):
 
 
 def _evidence(spark, d):
-    """Documents that hold the first 40 characters of a question's text: the start is looked up by its first three words."""
-    head = F.substring("query", 1, 40)
+    """Documents that hold a question's whole text: the start is looked up by its first three words."""
     key = lambda c: F.slice(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 3)
-    q = a.questions(spark, d).select("query_id", head.alias("head"), F.array_join(key(head), " ").alias("key"))
+    q = a.questions(spark, d).select("query_id", "query", F.array_join(key(F.col("query")), " ").alias("key"))
     words = F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    docs = a.fragments(spark, d).select("fragment_id", "content", words.alias("w"))
-    docs = docs.select("fragment_id", "content", F.array_distinct(grams).alias("keys")).select("fragment_id", "content", F.explode_outer("keys").alias("key"))
-    return docs.join(q, "key").filter(F.contains("content", F.col("head"))).select("query_id", "fragment_id").distinct()
+    docs = a.fragments(spark, d).select("fragment_id", words.alias("w"))
+    docs = docs.select("fragment_id", F.array_distinct(grams).alias("keys")).select("fragment_id", F.explode_outer("keys").alias("key"))
+    # the texts meet only the few pairs that agree in three words
+    met = docs.join(q, "key").select("query_id", "query", "fragment_id")
+    return met.join(a.fragments(spark, d).select("fragment_id", "content"), "fragment_id").filter(F.contains("content", F.col("query"))).select("query_id", "fragment_id").distinct()
 
 
-EVIDENCE = {"evidence": "SELECT query_id, fragment_id FROM questions JOIN fragments ON contains(content, query[1:40])"}
+EVIDENCE = {"evidence": "SELECT query_id, fragment_id FROM questions JOIN fragments ON contains(content, query)"}
 
 
 def metrics(spark, d):
-    hits = r.bm25_topk(a.questions(spark, d), a.fragments(spark, d), 20)
+    hits = r.bm25_topk(a.questions(spark, d), a.fragments(spark, d), 20, by=())
     return r.retrieval_metrics(hits, _evidence(spark, d))
 
 
-METRICS = {**BM25, "live": "SELECT * FROM fragments", "f20": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fragment_id) AS rank FROM bm) WHERE rank<=20", **EVIDENCE,
+METRICS = {**BM25, "live": "SELECT * REPLACE (0::BIGINT AS owner_id) FROM fragments", "q": BM25["q"].replace("owner_id", "0::BIGINT AS owner_id"), "f20": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fragment_id) AS rank FROM bm) WHERE rank<=20", **EVIDENCE,
            "per": "SELECT query_id, min(rank) AS first, count(*) AS n, count(*) FILTER (rank<=5) AS i5, count(*) FILTER (rank<=10) AS i10, count(*) FILTER (rank<=20) AS i20 FROM evidence LEFT JOIN f20 USING (query_id, fragment_id) GROUP BY ALL"}
 
 
@@ -161,13 +177,18 @@ CITED = {
 }
 
 
+STATUS = ["permanent", "ongoing", "archived", "permanent"]
+
+
 def triggers(spark, d):
     """Episodes of an owner: one per conversation, tagged with the first two words of its first turn and of its last."""
     m = a.messages(spark, d)
     words = F.array_join(F.slice(t.index_tokens(F.col("content")), 1, 2), " ")
     tagged = m.select("owner_id", "msg_id", words.alias("tag"))
     memories = tagged.groupBy("owner_id").agg(F.array_distinct(F.array(F.min_by("tag", "msg_id"), F.max_by("tag", "msg_id"))).alias("tags"))
-    memories = memories.select("owner_id", F.col("owner_id").alias("memory_id"), "tags", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("owner_id") % 30).cast("int")).alias("valid_from"))
+    status = F.element_at(F.array(*map(F.lit, STATUS)), (F.col("owner_id") % 4 + 1).cast("int"))
+    begun = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("owner_id") % 9).cast("int"))
+    memories = memories.select("owner_id", F.col("owner_id").alias("memory_id"), "tags", status.alias("status"), begun.alias("valid_from"))
     return r.hard_triggers(m, memories).select("msg_id", "memory_id", "longest", "rank")
 
 
@@ -175,8 +196,8 @@ TRIGGERS = {
     "ws": f"SELECT *, {TOKENS.format('content')} AS w FROM messages",
     "tg": "SELECT owner_id, unnest(list_distinct([arg_min(array_to_string(w[1:2],' '), msg_id), arg_max(array_to_string(w[1:2],' '), msg_id)])) AS tag FROM ws GROUP BY owner_id",
     "need": r"SELECT owner_id, tag, len(x) AS n, unnest(x) AS token FROM (SELECT *, list_distinct(regexp_extract_all(lower(tag), '[\p{L}\p{N}]+')) AS x FROM tg)",
-    "sd": "SELECT owner_id, msg_id, unnest(list_distinct(w)) AS token FROM ws",
-    "full_": "SELECT msg_id, owner_id, tag, n FROM need JOIN sd USING (owner_id, token) GROUP BY ALL HAVING count(*)=n",
+    "sd": "SELECT owner_id, msg_id, ts, unnest(list_distinct(w)) AS token FROM ws",
+    "full_": "SELECT msg_id, owner_id, tag, n FROM need JOIN sd USING (owner_id, token) WHERE owner_id%4<>2 AND DATE '2024-01-01'+(owner_id%9)::INT<=ts::DATE GROUP BY ALL HAVING count(*)=n",
 }
 
 Q = {
@@ -191,7 +212,7 @@ S = {
     "j16_vector_duplicates": a.sql("vectors", "SELECT query_id, fragment_id, round(similarity,4) AS similarity, similarity>=0.82 AS duplicate FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fragment_id) AS k FROM sims WHERE query_id<>fragment_id AND similarity>=0) WHERE k=1", vq=VECTOR["vq"], sims=VECTOR["sims"]),
     "j4_rrf_fuse": a.sql("fragments questions vectors", "SELECT query_id, fragment_id, round(rrf,6) AS rrf, by_fts, by_vec FROM fused", **BM25, **INTENTS, **HYBRID),
     "t25_hybrid_recall": a.sql("fragments questions vectors links", "SELECT query_id, fragment_id, position, round(score,6) AS score, by_entity, tier, source, permission FROM cut", **BM25, **INTENTS, **HYBRID, named=NAMED,
-                               boosted="SELECT f.query_id, f.fragment_id, intent, by_fts, by_vec, n.fragment_id IS NOT NULL AS by_entity, rrf*CASE WHEN n.fragment_id IS NOT NULL THEN 1.1 ELSE 1.0 END::DOUBLE AS rrf FROM fused f LEFT JOIN (SELECT DISTINCT query_id, fragment_id FROM named JOIN links USING (entity_id)) n ON n.query_id=f.query_id AND n.fragment_id=f.fragment_id", **rank_sql("boosted")),
+                               boosted="SELECT f.query_id, f.fragment_id, intent, by_fts, by_vec, n.fragment_id IS NOT NULL AS by_entity, rrf*CASE WHEN n.fragment_id IS NOT NULL THEN 1.1 ELSE 1.0 END::DOUBLE AS rrf FROM fused f LEFT JOIN (SELECT DISTINCT query_id, fragment_id FROM named JOIN links USING (entity_id) WHERE entity_id NOT IN (103,117)) n ON n.query_id=f.query_id AND n.fragment_id=f.fragment_id", **rank_sql("boosted")),
     "j6_entity_channel": a.sql("fragments questions links", "SELECT query_id, fragment_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, fragment_id) AS rank FROM (SELECT DISTINCT query_id, fragment_id, f.created_at FROM named JOIN links USING (entity_id) JOIN fragments f USING (fragment_id) WHERE status='active')) WHERE rank<=5", named=NAMED),
     "a29_retrieval_metrics": a.sql("fragments questions", """SELECT count(*) AS questions, round(avg((coalesce(first,99)<=5)::INT::DOUBLE),6) AS hit_5, round(avg((coalesce(first,99)<=10)::INT::DOUBLE),6) AS hit_10, round(avg((coalesce(first,99)<=20)::INT::DOUBLE),6) AS hit_20,
         round(avg((i5=n)::INT::DOUBLE),6) AS all_5, round(avg((i10=n)::INT::DOUBLE),6) AS all_10, round(avg((i20=n)::INT::DOUBLE),6) AS all_20, round(avg(CASE WHEN first<=20 THEN 1.0::DOUBLE/first ELSE 0.0 END),6) AS mrr FROM per""", **METRICS),

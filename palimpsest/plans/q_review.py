@@ -56,7 +56,7 @@ def continues(spark, d):
 
 
 def versions(spark, d):
-    e = a.observations(spark, d).filter("obs_id % 20 = 0").withColumn("passed", F.col("y") < 0.5)
+    e = a.observations(spark, d).withColumn("passed", F.col("y") < 0.5)
     return o.versions(e, "owner_id", "obs_id", "passed").select("owner_id", "obs_id", "version", "active", "last_passed")
 
 
@@ -73,12 +73,11 @@ MODEL = """SELECT owner_id, entry_id, CASE WHEN entry_id%2=0 THEN 'current_state
 
 
 def _patterns(spark, d):
-    """The first eight words of each question as a pattern."""
-    q = a.questions(spark, d)
-    return q.select(F.col("query_id").alias("pattern_id"), F.array_join(F.slice(F.split("query", " "), 1, 8), " ").alias("content"))
+    """Each question as a pattern."""
+    return a.questions(spark, d).select(F.col("query_id").alias("pattern_id"), F.col("query").alias("content"))
 
 
-PATTERN = {"pt": f"SELECT pattern_id, len(w) AS n, unnest(w) AS token FROM (SELECT query_id AS pattern_id, list_distinct({TOKENS.format('array_to_string(string_split(query, chr(32))[1:8], chr(32))')}) AS w FROM questions)"}
+PATTERN = {"pt": f"SELECT pattern_id, len(w) AS n, unnest(w) AS token FROM (SELECT query_id AS pattern_id, list_distinct({TOKENS.format('query')}) AS w FROM questions)"}
 
 
 def matches(spark, d):
@@ -132,7 +131,7 @@ def cleanup(spark, d):
 
 
 def applied(spark, d):
-    p = a.observations(spark, d).filter("obs_id % 10 = 0").select("owner_id", F.col("obs_id").alias("proposal_id"), F.col("t").alias("created_at"), F.when(F.col("obs_id") % 3 == 0, "applied").otherwise("pending").alias("status"))
+    p = a.observations(spark, d).select("owner_id", F.col("obs_id").alias("proposal_id"), F.col("t").alias("created_at"), F.when(F.col("obs_id") % 3 == 0, "applied").otherwise("pending").alias("status"))
     p = p.withColumn("applied_at", F.when(F.col("status") == "applied", F.timestamp_seconds(F.unix_timestamp("created_at") + 86400)))
     return o.auto_apply(p, a.now()).select("owner_id", "proposal_id", "rank")
 
@@ -163,7 +162,7 @@ S = {
     "p20_link_spot_check": a.sql("links entities", "SELECT fragment_id, entity_id, name FROM (SELECT * FROM links WHERE confidence<0.75 ORDER BY created_at DESC, fragment_id, entity_id LIMIT 5) JOIN entities USING (entity_id)"),
     "w5_continuation": a.sql("messages", "SELECT msg_id, gap, round(o,6) AS overlap FROM (SELECT msg_id, gap, len(list_intersect(w,b))/least(len(w),len(b)) AS o FROM y WHERE len(w)>0 AND len(b)>0) WHERE gap<=1800 AND o>=0.3",
                              x=f"SELECT msg_id, chat_id, ts, list_distinct({TOKENS.format('content')}) AS w FROM messages", y="SELECT msg_id, w, lag(w) OVER k AS b, (epoch(ts)-epoch(lag(ts) OVER k))::BIGINT AS gap FROM x WINDOW k AS (PARTITION BY chat_id ORDER BY ts, msg_id)"),
-    "w8_versions": a.sql("observations", "SELECT owner_id, obs_id, version, version=max(version) OVER p AS active, max(CASE WHEN y<0.5 THEN version END) OVER p AS last_passed FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY obs_id) AS version FROM observations WHERE obs_id%20=0) WINDOW p AS (PARTITION BY owner_id)"),
+    "w8_versions": a.sql("observations", "SELECT owner_id, obs_id, version, version=max(version) OVER p AS active, max(CASE WHEN y<0.5 THEN version END) OVER p AS last_passed FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY obs_id) AS version FROM observations) WINDOW p AS (PARTITION BY owner_id)"),
     "t4_model_decay": a.sql("observations", f"SELECT owner_id, entry_id, CASE WHEN type='current_state' AND CASE WHEN ex IS NOT NULL THEN ex<={a.NOW} ELSE ({a.NOW}-c)/3600>=ttl END THEN 'resolved' WHEN type='active_hypothesis' AND ({a.NOW}-coalesce(le,c))/86400>=14 AND ev<3 THEN 'abandoned' ELSE 'active' END AS status FROM m", m=MODEL),
     "j20_pattern_match": a.sql("messages questions", "SELECT fragment_id, pattern_id, round(share,6) AS share FROM (SELECT msg_id AS fragment_id, pattern_id, count(*)/n AS share FROM tk JOIN pt USING (token) GROUP BY msg_id, pattern_id, n HAVING count(*)/n>0.35) QUALIFY row_number() OVER (PARTITION BY fragment_id ORDER BY share DESC, pattern_id)=1",
                                tk=f"SELECT msg_id, unnest(list_distinct({TOKENS.format('content')})) AS token FROM messages", **PATTERN),
@@ -178,6 +177,6 @@ S = {
                            r="SELECT run, msg_id AS turn_id FROM messages, range(5) t(run) WHERE (msg_id*7+run*13+(msg_id%11)*run)%10<7", z="SELECT run, count(DISTINCT turn_id) AS n FROM r GROUP BY 1"),
     "l4_sample": a.sql("fragments", "SELECT fragment_id FROM fragments WHERE read_count=0 ORDER BY md5(fragment_id::VARCHAR||'/42'), fragment_id LIMIT 25"),
     "t30_zero_fragment_cleanup": a.sql("links entities", f"SELECT entity_id, CASE WHEN status='active' AND entity_id NOT IN (SELECT entity_id FROM links WHERE entity_id%3<>0) AND created_at<{DAYS(7)} THEN 'superseded' ELSE status END AS status FROM entities"),
-    "w10_auto_apply": a.sql("observations", f"SELECT owner_id, proposal_id, rank FROM (SELECT owner_id, obs_id AS proposal_id, row_number() OVER (PARTITION BY owner_id ORDER BY t, obs_id) AS rank FROM observations WHERE obs_id%10=0 AND obs_id%3<>0) LEFT JOIN (SELECT owner_id, count(*) AS used FROM observations WHERE obs_id%30=0 AND floor(epoch(t))+86400>={a.NOW}-7*86400 GROUP BY 1) USING (owner_id) WHERE rank<=2-coalesce(used,0)"),
+    "w10_auto_apply": a.sql("observations", f"SELECT owner_id, proposal_id, rank FROM (SELECT owner_id, obs_id AS proposal_id, row_number() OVER (PARTITION BY owner_id ORDER BY t, obs_id) AS rank FROM observations WHERE obs_id%3<>0) LEFT JOIN (SELECT owner_id, count(*) AS used FROM observations WHERE obs_id%3=0 AND floor(epoch(t))+86400>={a.NOW}-7*86400 GROUP BY 1) USING (owner_id) WHERE rank<=2-coalesce(used,0)"),
     "t14_confirm_once": a.sql("observations", "SELECT log_id, target_id FROM (SELECT obs_id AS log_id, owner_id%10 AS target_id, floor(epoch(t))-floor(epoch(lag(t) OVER (PARTITION BY owner_id%10 ORDER BY t, obs_id))) AS gap FROM observations) WHERE gap IS NULL OR gap>600"),
 }

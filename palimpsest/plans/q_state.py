@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import recall as r
 from ..operators import state as o
 from ..sources import adapter as a
-from .q_recall import VECTOR, _vector_queries
+from .q_recall import PLAIN, _vector_queries
 from .q_tables import EPISODES, T, _episodes
 from .q_upkeep import HOLDS
 
@@ -137,7 +137,7 @@ S = {
     "p9_list_episodes": a.sql("fragments", "SELECT memory_id, weight FROM ep WHERE status='mature' AND strftime(created_at,'%Y-%m')='2024-01'", ep=EPISODES),
     "j11_route_links": a.sql("fragments entities links", """SELECT fragment_id, entity_id, max(confidence) AS confidence FROM (SELECT fragment_id, unnest([type, 'src'||(fragment_id%23)]) AS tag FROM fragments) t
         JOIN (SELECT name AS tag, entity_id, 0.6::DOUBLE AS confidence FROM entities UNION ALL SELECT 'fr', entity_id, 0.85::DOUBLE FROM entities WHERE name='FRANCE') USING (tag) WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.fragment_id=t.fragment_id AND l.entity_id IN (SELECT e.entity_id FROM entities e WHERE e.name=CASE WHEN tag='fr' THEN 'FRANCE' ELSE tag END)) GROUP BY 1,2"""),
-    "j14_vector_hints": a.sql("vectors links", "SELECT query_id, entity_id, votes, round(score,4) AS score FROM (SELECT query_id, entity_id, count(*) AS votes, round(count(*)*max(round(similarity,4)),6) AS score FROM vec JOIN (SELECT DISTINCT fragment_id, entity_id FROM links) USING (fragment_id) GROUP BY 1,2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id)<=3", **VECTOR),
+    "j14_vector_hints": a.sql("vectors links", "SELECT query_id, entity_id, votes, round(score,4) AS score FROM (SELECT query_id, entity_id, count(*) AS votes, round(count(*)*max(round(similarity,4)),6) AS score FROM vec JOIN (SELECT DISTINCT fragment_id, entity_id FROM links) USING (fragment_id) GROUP BY 1,2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id)<=3", **PLAIN),
     "j44_alias_backfill": a.sql("fragments links questions", "SELECT entity_id, fragment_id, row_number() OVER (PARTITION BY entity_id ORDER BY fragment_id DESC) AS rank FROM m QUALIFY rank<=15", tm=r"SELECT query_id AS entity_id, lower(regexp_extract(query, '^(\S+)', 1)) AS term FROM questions WHERE length(regexp_extract(query, '^(\S+)', 1)) BETWEEN 2 AND 4",
                                m=f"SELECT DISTINCT entity_id, fragment_id FROM fragments JOIN tm ON {HOLDS} WHERE status='active' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.fragment_id=fragments.fragment_id AND l.entity_id=tm.entity_id)"),
     "j43_hit_sources": a.sql("fragments messages", """SELECT query_id, fragment_id, msg_id, row_number() OVER (PARTITION BY query_id, fragment_id ORDER BY ts, msg_id) AS place FROM (SELECT fragment_id%40 AS query_id, * FROM bh WHERE fragment_id//40+1<=3

@@ -71,7 +71,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 50).alias("owner_id"), F.col("text").alias("query"))
 
 
 SQL = {
@@ -89,7 +89,7 @@ SQL = {
         UNION ALL SELECT doc_id, 100+doc_id%25, 0.4::DOUBLE FROM documents WHERE doc_id%3=0)""",
     "vectors": "SELECT vec_id AS fragment_id, embedding, label FROM embeddings",
     "observations": "SELECT event_id AS obs_id, user_id AS owner_id, event_type AS dim, least(1.0::DOUBLE, value/150) AS y, ts::TIMESTAMP AS t FROM events",
-    "questions": "SELECT item_id AS query_id, text AS query FROM benchmark",
+    "questions": "SELECT item_id AS query_id, item_id%50 AS owner_id, text AS query FROM benchmark",
 }
 
 
