@@ -80,7 +80,8 @@ def _nearest(k: int, floor: float):
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.2, skip_self: bool = False) -> DataFrame:
     """(query_id, fragment_id, similarity, rank) by exact cosine; queries are (query_id, embedding). Blocks of queries meet blocks of
     vectors in a cogroup, each pair of blocks in a task of bounded size; a pair keeps its best k. Null vectors are left out."""
-    q = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    # an alias, as queries may come from the vectors themselves
+    q = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("embedding"))
     v = vectors.filter("embedding is not null").select(F.col("fragment_id").cast("long").alias("fragment_id"), "embedding")
     n_q, n_v = (max(1, -(-n // size)) for n, size in ((q.count(), QUERY_BLOCK), (v.count(), VECTOR_BLOCK)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
