@@ -49,6 +49,8 @@ SHRINK = 4
 PIVOT_OF = 64
 #: Rows of two longs, 3 MB, that may be broadcast after they have been counted.
 FEW = 200_000
+#: Bytes of pivots that may be broadcast after they have been summed.
+HELD = 32 << 20
 #: Steps of the distance to a pivot, which is rounded up to them.
 STEPS = 1000
 #: Bits of the filter that says which documents' shingle sets are wanted: 8 MB for any number of them.
@@ -223,49 +225,58 @@ def _distances(batches):
 SURE = round((1 - LAMBDA) * STEPS)
 
 
-def settle(sets: DataFrame, stuck: DataFrame) -> DataFrame:
-    """(node, pivot, far) of the members of stuck buckets that are near enough to a pivot to be linked through it; the pivot with
-    most such members, where there are several."""
+def settle(sets: DataFrame, stuck: DataFrame) -> tuple[DataFrame, int]:
+    """(node, pivot, far) of the members of stuck buckets that are near enough to a pivot to be linked through it, by the pivot with
+    most such members where there are several; and the number of buckets, which no number of pivots exceeds."""
     one_of = F.pmod(F.xxhash64("node", F.lit(PIVOT_OF)), F.lit(PIVOT_OF)).alias("part")
     chosen = stuck.groupBy("bucket", one_of).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("node"))
     pivots = chosen.select("bucket", "node").join(sets, "node").groupBy("bucket").applyInArrow(_consensus, "bucket long, pivot long, held binary")
     pivots = materialize(pivots)
-    named = pivots.join(stuck.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket").select("bucket", "pivot", "size")
-    pairs = materialize(join_by_key(stuck.select("bucket", "node"), materialize(named), "bucket", "size").select("node", "pivot").distinct())
-    held = materialize(pivots.groupBy("pivot").agg(F.first("held").alias("held")).join(pairs.groupBy("pivot").count(), "pivot"))
-    met = join_by_key(materialize(pairs.join(sets, "node")), held, "pivot", "count")
+    n_buckets, size = pivots.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("held")), F.lit(0))).first()
+    pairs = stuck.select("bucket", "node").join(_few(pivots.select("bucket", "pivot"), n_buckets), "bucket").select("node", "pivot").distinct()
+    held = pivots.groupBy("pivot").agg(F.first("held").alias("held"))
+    if size <= HELD:
+        met = sets.join(pairs, "node").join(F.broadcast(held), "pivot")
+    else:
+        pairs = materialize(pairs)
+        held = materialize(held.join(pairs.groupBy("pivot").count(), "pivot"))
+        met = join_by_key(materialize(pairs.join(sets, "node")), held, "pivot", "count")
     near = materialize(met.mapInArrow(_distances, "node long, pivot long, far int").filter(F.col("far") <= SURE))
-    fans = materialize(near.groupBy("pivot").agg(F.count_if(F.col("far") <= SURE // 2).alias("fans"), F.count(F.lit(1)).alias("size")))
-    best = join_by_key(near, fans, "pivot", "size").groupBy("node").agg(F.max(F.struct("fans", "pivot", "far")).alias("best"))
-    return materialize(best.select("node", F.col("best.pivot").alias("pivot"), F.col("best.far").alias("far")))
+    fans = near.groupBy("pivot").agg(F.count_if(F.col("far") <= SURE // 2).alias("fans"))
+    best = near.join(_few(fans, n_buckets), "pivot").groupBy("node").agg(F.max(F.struct("fans", "pivot", "far")).alias("best"))
+    return materialize(best.select("node", F.col("best.pivot").alias("pivot"), F.col("best.far").alias("far"))), n_buckets
+
+
+def _few(rows: DataFrame, at_most: int) -> DataFrame:
+    """``rows``, to be broadcast if they are known to be few."""
+    return F.broadcast(rows) if at_most <= FEW else rows
 
 
-def sure_links(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sure_links(near: DataFrame, n_pivots: int) -> tuple[DataFrame, DataFrame]:
     """(node, sure): how many links a class has through its pivot; (node, root): links that connect all of those."""
-    levels = materialize(near.groupBy("pivot", "far").agg(F.count(F.lit(1)).alias("size")))
+    levels = near.groupBy("pivot", "far").agg(F.count(F.lit(1)).alias("size"))
     others = levels.select("pivot", F.col("far").alias("their"), F.col("size").alias("n"))
     # at most SURE + 1 levels of a pivot meet
-    reach = levels.join(others, "pivot").filter(F.col("far") + F.col("their") <= SURE).groupBy("pivot", "far").agg(F.sum("n").alias("sure"))
-    spot = F.concat_ws(":", "pivot", "far").alias("spot")
-    reach = materialize(reach.join(levels, ["pivot", "far"]).select(spot, "size", (F.col("sure") - (2 * F.col("far") <= SURE).cast("int")).alias("sure")))
-    counted = join_by_key(near.select("node", spot), reach, "spot", "size").select("node", "sure")
-    low = materialize(near.groupBy("pivot").agg(F.min("far").alias("low"), F.count(F.lit(1)).alias("size")))
-    held = materialize(join_by_key(near, low, "pivot", "size").filter(F.col("far") + F.col("low") <= SURE).select("pivot", "node"))
-    root = materialize(held.groupBy("pivot").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("size")))
-    return counted, join_by_key(held, root, "pivot", "size").select("node", "root")
+    reach = levels.join(_few(others, n_pivots * (SURE + 1)), "pivot").filter(F.col("far") + F.col("their") <= SURE).groupBy("pivot", "far").agg(F.sum("n").alias("sure"))
+    sure = F.col("sure") - (2 * F.col("far") <= SURE).cast("int")
+    counted = near.join(_few(reach, n_pivots * (SURE + 1)), ["pivot", "far"]).select("node", sure.alias("sure"))
+    low = near.groupBy("pivot").agg(F.min("far").alias("low"))
+    held = near.join(_few(low, n_pivots), "pivot").filter(F.col("far") + F.col("low") <= SURE).select("pivot", "node")
+    root = held.groupBy("pivot").agg(F.min("node").alias("root"))
+    return counted, held.join(_few(root, n_pivots), "pivot").select("node", "root")
 
 
-def blocks(stuck: DataFrame, near: DataFrame) -> DataFrame:
+def blocks(stuck: DataFrame, near: DataFrame, n_buckets: int) -> DataFrame:
     """(leaf, bucket, node, side) of stuck buckets: pairs of blocks. Classes that are all linked to one another through the bucket's
     main pivot have blocks of their own, which meet only the others'. A pair counts where its sides differ or both are 2."""
     close = F.when(F.col("far") <= SURE // 2, F.col("pivot"))
     rows = materialize(stuck.join(near, "node", "left").select("bucket", "node", "size", close.alias("close")))
     main = rows.filter("close is not null").groupBy("bucket", "close").count().groupBy("bucket").agg(F.max(F.struct("count", "close")).alias("m"))
-    sizes = stuck.select("bucket", "size").distinct().join(main, "bucket", "left")
+    sizes = rows.groupBy("bucket").agg(F.first("size").alias("size")).join(main, "bucket", "left")
     half = F.lit(LEAF // 2)
     inner = F.coalesce("m.count", F.lit(0))
-    sizes = sizes.select("bucket", "size", F.col("m.close").alias("main"), F.ceil(inner / half).cast("int").alias("k_near"), F.ceil((F.col("size") - inner) / half).cast("int").alias("k_far"))
-    rows = join_by_key(rows.drop("size"), materialize(sizes), "bucket", "size").withColumn("is_near", F.coalesce(F.col("close") == F.col("main"), F.lit(False)))
+    sizes = sizes.select("bucket", F.col("m.close").alias("main"), F.ceil(inner / half).cast("int").alias("k_near"), F.ceil((F.col("size") - inner) / half).cast("int").alias("k_far"))
+    rows = rows.drop("size").join(_few(sizes, n_buckets), "bucket").withColumn("is_near", F.coalesce(F.col("close") == F.col("main"), F.lit(False)))
     upto = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
     own = lambda k: F.pmod(F.xxhash64("node"), F.greatest(F.col(k), F.lit(1))).cast("int").alias("own")
     near_rows = rows.filter("is_near").select("bucket", "node", own("k_near"), F.explode(upto("k_far")).alias("other"))
@@ -297,14 +308,12 @@ def _by_leaf(batches):
 
 
 def _candidates(batches):
-    """For each class in a leaf: the later ones there whose signatures agree well enough, that no pivot links it to and that it
-    meets in no smaller bucket."""
+    """For each class in a leaf: the later ones there whose signatures agree well enough and that it meets in no smaller bucket."""
     import pyarrow as pa
 
     for part in _by_leaf(batches):
         leaf, node = part.column("leaf").to_numpy(), part.column("node").to_numpy()
         bucket, side = part.column("bucket").to_numpy(), part.column("side").to_numpy()
-        pivot, far = part.column("pivot").to_numpy(), part.column("far").to_numpy()
         signature, lists = _matrix(part.column("signature"), len(leaf)), part.column("buckets").to_pylist()
         bit = _sketch(signature)
         edges = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
@@ -316,8 +325,8 @@ def _candidates(batches):
                 pairs.append((a + lo, b + lo))
         later, met = [[] for _ in leaf], np.zeros(len(leaf), bool)
         for a, b in pairs:
-            open_ = ((side[a] != side[b]) | (side[a] == 2)) & ((pivot[a] != pivot[b]) | (far[a] + far[b] > SURE))
-            a, b = a[open_], b[open_]
+            across = (side[a] != side[b]) | (side[a] == 2)
+            a, b = a[across], b[across]
             near = np.concatenate([np.zeros(0, bool), *[(signature[a[i : i + 4096]] == signature[b[i : i + 4096]]).sum(1) >= NEED for i in range(0, len(a), 4096)]])
             a, b = a[near], b[near]
             first = _first_meeting(bucket, lists, a, b)
@@ -411,18 +420,19 @@ def _overlaps(sets: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[int]
 
 
 def _verify(batches):
-    """For each class in a leaf: how many links it has there and the smallest class of its part."""
+    """For each class in a leaf: how many links it has there, but for those through a pivot, and the smallest class of its part."""
     import pyarrow as pa
 
     for part in _by_leaf(batches):
         leaf, node, partners = part.column("leaf").to_numpy(), part.column("node").to_numpy(), part.column("partners").to_pylist()
-        tokens = part.column("tokens")
+        tokens, pivot, far = part.column("tokens"), part.column("pivot").to_numpy(), part.column("far").to_numpy()
         edges = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
         out_node, out_root, out_links = [], [], []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             names = node[lo:hi]
             at = {int(x): i for i, x in enumerate(names)}
             pairs = [(i, at[q]) for i in range(hi - lo) for q in partners[lo + i] if q in at]
+            pairs = [(i, j) for i, j in pairs if pivot[lo + i] != pivot[lo + j] or far[lo + i] + far[lo + j] > SURE]
             if not pairs:
                 continue
             sets = [np.frombuffer(tokens[int(k)].as_py(), np.uint64) for k in range(lo, hi)]
@@ -489,25 +499,25 @@ def join(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     names = classes.select("node", "class_id", "digest")
 
     small, stuck = leaves(classes.filter("n > 0"), runs(target_recall))
-    placed = small.select(F.col("bucket").alias("leaf"), "bucket", "node", F.lit(2).alias("side"))
-    buckets, near, sure = small, None, None
+    small = materialize(small)
+    buckets = small if stuck is None else small.unionByName(stuck.select("bucket", "node"))
+    known = buckets.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(classes.select("node", "signature"), "node")
+
+    def compare(placed: DataFrame) -> DataFrame:
+        members = placed.join(known, "node").repartition("leaf").sortWithinPartitions("leaf", "node")
+        return materialize(members.mapInArrow(_candidates, "leaf long, node long, partners array<long>"))
+
+    candidates = compare(small.select(F.col("bucket").alias("leaf"), "bucket", "node", F.lit(2).alias("side")))
+    wanted = candidates.select("node") if stuck is None else candidates.select("node").unionByName(stuck.select("node"))
+    sets = materialize(_sets_of(texts, materialize(names.join(wanted.distinct(), "node", "left_semi"))))
+    # a class without a pivot is its own, so that no other one shares it
+    placed, sure = sets.select("node", "tokens", F.col("node").alias("pivot"), F.lit(SURE).alias("far")), None
     if stuck is not None:
-        near = settle(materialize(_sets_of(texts, materialize(names.join(_small(stuck.select("node").distinct()), "node", "left_semi")))), stuck)
-        placed, buckets = placed.unionByName(blocks(stuck, near)), buckets.unionByName(stuck.select("bucket", "node"))
-        sure = tuple(map(materialize, sure_links(near)))
-    placed = materialize(placed)
-    lists = buckets.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
-    known = lists.join(classes.select("node", "signature"), "node")
-    if near is None:
-        known = known.withColumns({"pivot": F.col("node"), "far": F.lit(SURE)})
-    else:
-        # a class without a pivot is its own, so that no other one shares it
-        known = known.join(near, "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "far": F.coalesce("far", F.lit(SURE + 1))})
-    members = placed.join(known, "node")
-    candidates = materialize(members.repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(_candidates, "leaf long, node long, partners array<long>"))
-
-    wanted = materialize(names.join(candidates.select("node").distinct(), "node", "left_semi"))
-    met = candidates.join(_sets_of(texts, wanted), "node").repartition("leaf").sortWithinPartitions("leaf", "node")
+        near, n_buckets = settle(sets, stuck)
+        candidates = candidates.unionByName(compare(materialize(blocks(stuck, near, n_buckets))))
+        placed = sets.join(near, "node", "left").select("node", "tokens", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(SURE)).alias("far"))
+        sure = sure_links(near, n_buckets)
+    met = candidates.join(placed, "node").repartition("leaf").sortWithinPartitions("leaf", "node")
     verified = materialize(met.mapInArrow(_verify, "node long, root long, links long"))
 
     counts, edges = verified.select("node", "links"), verified.select("node", "root")
