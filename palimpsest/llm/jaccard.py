@@ -501,10 +501,12 @@ def join(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     small, stuck = leaves(classes.filter("n > 0"), runs(target_recall))
     small = materialize(small)
     buckets = small if stuck is None else small.unionByName(stuck.select("bucket", "node"))
-    known = buckets.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(classes.select("node", "signature"), "node")
 
-    def compare(placed: DataFrame) -> DataFrame:
-        members = placed.join(known, "node").repartition("leaf").sortWithinPartitions("leaf", "node")
+    def compare(placed: DataFrame, of: DataFrame | None = None) -> DataFrame:
+        """The candidates in leaves; ``of``: the few classes that are placed, so that the others' signatures stay where they are."""
+        only = (lambda df: df) if of is None else (lambda df: df.join(of, "node", "left_semi"))
+        lists = only(buckets).groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+        members = placed.join(lists, "node").join(only(classes.select("node", "signature")), "node").repartition("leaf").sortWithinPartitions("leaf", "node")
         return materialize(members.mapInArrow(_candidates, "leaf long, node long, partners array<long>"))
 
     candidates = compare(small.select(F.col("bucket").alias("leaf"), "bucket", "node", F.lit(2).alias("side")))
@@ -513,9 +515,10 @@ def join(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     # a class without a pivot is its own, so that no other one shares it
     placed, sure = sets.select("node", "tokens", F.col("node").alias("pivot"), F.lit(SURE).alias("far")), None
     if stuck is not None:
-        near, n_buckets = settle(sets, stuck)
-        candidates = candidates.unionByName(compare(materialize(blocks(stuck, near, n_buckets))))
-        placed = sets.join(near, "node", "left").select("node", "tokens", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(SURE)).alias("far"))
+        nodes = _small(materialize(stuck.select("node").distinct()))
+        near, n_buckets = settle(materialize(sets.join(nodes, "node", "left_semi")), stuck)
+        candidates = candidates.unionByName(compare(materialize(blocks(stuck, near, n_buckets)), nodes))
+        placed = sets.join(_small(near), "node", "left").select("node", "tokens", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(SURE)).alias("far"))
         sure = sure_links(near, n_buckets)
     met = candidates.join(placed, "node").repartition("leaf").sortWithinPartitions("leaf", "node")
     verified = materialize(met.mapInArrow(_verify, "node long, root long, links long"))
