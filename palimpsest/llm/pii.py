@@ -3,14 +3,20 @@
 Four base kinds are found by pattern: email, ip, card, phone. They are the seeds. Each seed votes for the lexical pattern it
 stands in (the two words before it, digits folded); every other identifier-like token, one that has digits, is an instance that
 may stand in the same patterns. Patterns and instances are scored in turn over the pattern-instance graph: a pattern is worth the
-mean of its instances (with a prior of doubt), an instance the best of its patterns, seeds stay at 1. Patterns that end at a high
-score and that several different seeds support discover the unseen identifiers, which are added with kind ``id``.
+mean of its instances (with a prior of doubt), an instance the share KEEP of the best of its patterns, seeds stay at 1. A round
+brings the scores nearer to their fixed point by that share, so ROUNDS of them end within TOLERANCE of it. Patterns that end at a
+high score and that several different seeds support discover the unseen identifiers, which are added with kind ``id``.
+
+Identifiers have six characters or more, however many, and don't overlap base spans, which are blanked before they are looked for. A
+context's two words lie within CONTEXT characters. All work on a text is in proportion to it.
 
 Null and empty texts have no spans; every row of the input gives one row; extra columns are ignored. Only built-in functions.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,30 +31,63 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "id"]
-#: An instance: a token of 6 to 64 characters with a digit in it.
-TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}+[0-9])[A-Za-z0-9_-]{6,64}+(?![A-Za-z0-9_-])"
-CONTEXT = 48
+#: An instance: a token of 6 characters or more with a digit in it.
+TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
+CONTEXT = 128
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
 DOUBT = 1.0
-ROUNDS = 3
+#: What an instance keeps of its best pattern's score: scores come nearer to their fixed point by this share a round.
+KEEP = 0.5
+TOLERANCE = 0.001
+ROUNDS = ceil(log(TOLERANCE) / log(KEEP))
+#: Matches that are summed together; sums of blocks are summed in turn, so that no long array is built up item by item.
+BLOCK = 128
 
 _SPAN = "array<struct<kind:int,start:int,end:int,hit:string>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """All matches with their places, in code points: the pieces between matches say where each one starts."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+def _cut(rows: DataFrame, text: str, pattern: str, may: Column) -> DataFrame:
+    """The matches in ``_h`` and the pieces around them in ``_g``. Both are columns of their own, as a lambda evaluates whatever else it
+    names once for every element."""
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("_h", F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    return rows.withColumn("_g", F.when(F.size("_h") > 0, F.split(text, pattern, -1)).otherwise(none))
+
+
+def _scan(lengths: Column) -> Column:
+    """The sum of the lengths before each, and of all."""
+    grow = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), grow)
+
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gaps"])
-        end = start + F.length(pair["hits"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["hits"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(keep(pair["hits"]), F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+def _with_spans(rows: DataFrame, text: str, pattern: str, kind: int, keep, may: Column, name: str) -> DataFrame:
+    """A column of all matches that ``keep`` passes with their places, in code points, and the text before each: the pieces between
+    matches say where each one starts."""
+    rows = _cut(rows, text, pattern, may)
+    rows = rows.withColumn("_n", F.zip_with(F.slice("_g", F.lit(1), F.size("_h")), "_h", lambda g, h: F.length(g) + F.length(h)))
+    count = F.greatest(F.ceil(F.size("_n") / BLOCK), F.lit(1)).cast("int")
+    rows = rows.withColumn("_b", F.transform(F.sequence(F.lit(0), count - 1), lambda b: _scan(F.slice("_n", b * BLOCK + 1, F.lit(BLOCK)))))
+    rows = rows.withColumn("_f", _scan(F.transform("_b", lambda x: x["at"]))["out"])
+    rows = rows.withColumn("_e", F.flatten(F.zip_with("_b", "_f", lambda x, first: F.transform(x["out"], lambda at: at + first))))
+    # the two words before a match may be the matches before it
+    piece = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    tail = lambda i: F.right(F.concat(piece("_h", i - 2), piece("_g", i - 1), piece("_h", i - 1), piece("_g", i)), F.lit(CONTEXT))
 
-    zipped = F.arrays_zip(hits.alias("hits"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gaps"))
-    return F.aggregate(zipped, zero, step)["out"]
+    def span(hit: Column, i: Column) -> Column:
+        start = F.get("_e", i) + F.length(F.get("_g", i))
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"), tail(i).alias("before"))
+
+    found = F.filter(F.transform("_h", span), lambda s: F.coalesce(keep(s["hit"]), F.lit(False)))
+    return rows.withColumn(name, found).drop("_h", "_g", "_n", "_b", "_f", "_e")
+
+
+def _blanked(rows: DataFrame, text: str, pattern: str, keep, may: Column) -> DataFrame:
+    """``rows`` whose text has a blank for each character of the matches that ``keep`` passes."""
+    rows = _cut(rows, text, pattern, may)
+    out = F.transform("_h", lambda h: F.when(F.coalesce(keep(h), F.lit(False)), F.repeat(F.lit(" "), F.length(h))).otherwise(h))
+    pieces = F.concat(F.zip_with(F.slice("_g", F.lit(1), F.size("_h")), out, lambda g, h: F.concat(g, h)), F.slice("_g", F.size("_h") + 1, F.lit(1)))
+    return rows.withColumn(text, F.when(F.size("_h") > 0, F.array_join(pieces, "")).otherwise(F.col(text))).drop("_h", "_g")
 
 
 def _luhn(hit: Column) -> Column:
@@ -72,32 +111,28 @@ _KEEP = {
 _NEEDS = {"email": "@", "phone": "+"}
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind,start,end,hit>> of the four base kinds: by kind, then by start."""
-    none = F.array().cast(_SPAN)
-    digits = text.rlike("[0-9]")
-    parts = []
-    for kind, (name, pattern) in enumerate(PATTERNS.items()):
-        has = F.contains(text, F.lit(_NEEDS[name])) if name in _NEEDS else digits
-        parts.append(F.when(has, _spans(text, pattern, kind, _KEEP[name])).otherwise(none))
-    return F.concat(*parts)
+def _may(text: str, name: str) -> Column:
+    return F.contains(text, F.lit(_NEEDS[name])) if name in _NEEDS else F.col(text).rlike("[0-9]")
 
 
-def _context(text: Column, start: Column) -> Column:
+def _context(before: Column) -> Column:
     """The two words before a place, lower case, digits folded: the pattern that the place stands in."""
-    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
     return F.regexp_replace(F.lower(F.regexp_extract(before, r"(\S+[^\S\n]+\S+)[^\S\n]*$", 1)), "[0-9]+", "0")
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """The input's rows as doc_id, uid and spans (array of kind, start, end, hit), method's spans included."""
-    text = F.coalesce("text", F.lit(""))
-    rows = with_columns(docs, ("doc_id", "long"), ("text", "string")).select("doc_id", text.alias("text"))
-    base = rows.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"), base_spans(F.col("text")).alias("spans"))
-    tokens = F.when(F.col("text").rlike("[0-9]"), _spans(F.col("text"), TOKEN, len(PATTERNS), lambda hit: F.lit(True))).otherwise(F.array().cast(_SPAN))
-    free = F.filter("tokens", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    placed = F.transform(F.concat("spans", "free"), lambda s: s.withField("context", _context(F.col("text"), s["start"])))
-    found = materialize(base.withColumn("tokens", tokens).withColumn("free", free).select("doc_id", "uid", "spans", placed.alias("placed")))
+    """The input's rows as doc_id, uid, base (array of kind, start, end, hit) and spans, which has the method's too."""
+    rows = with_columns(docs, ("doc_id", "long"), ("text", "string")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    for kind, (name, pattern) in enumerate(PATTERNS.items()):
+        rows = _with_spans(rows, "text", pattern, kind, _KEEP[name], _may("text", name), f"_{name}")
+    rows = rows.withColumn("base", F.concat(*[f"_{name}" for name in PATTERNS])).withColumn("_text", F.col("text"))
+    for name, pattern in PATTERNS.items():
+        rows = _blanked(rows, "_text", pattern, _KEEP[name], F.size(f"_{name}") > 0)
+    rows = _with_spans(rows, "_text", TOKEN, len(PATTERNS), lambda hit: F.lit(True), F.col("_text").rlike("[0-9]"), "tokens")
+    place = lambda s, *more: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "hit")], *more)
+    placed = F.transform(F.concat("base", "tokens"), lambda s: place(s, _context(s["before"]).alias("context")))
+    found = materialize(rows.select("doc_id", "uid", F.transform("base", lambda s: place(s)).alias("base"), placed.alias("placed")))
 
     seen = found.select("uid", F.explode("placed").alias("s")).select("uid", "s.*").filter(F.col("context") != "")
     edges = materialize(seen.groupBy("context", "hit").agg(F.max(F.col("kind") < len(PATTERNS)).alias("seed")))
@@ -110,8 +145,8 @@ def find(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.struct("kind", "start", "end", "hit")).alias("more"))
         .withColumnRenamed("uid", "new_uid")
     )
-    added = F.concat("spans", F.coalesce(F.array_sort("more"), F.array().cast(_SPAN)))
-    return found.join(new, F.col("uid") == F.col("new_uid"), "left").select("doc_id", "uid", F.col("spans").alias("base"), added.alias("spans"))
+    added = F.concat("base", F.coalesce(F.array_sort("more"), F.array().cast(_SPAN)))
+    return found.join(new, F.col("uid") == F.col("new_uid"), "left").select("doc_id", "uid", "base", added.alias("spans"))
 
 
 def score_patterns(edges: DataFrame) -> DataFrame:
@@ -120,7 +155,7 @@ def score_patterns(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         patterns = scored.groupBy("context").agg((F.sum("worth") / (F.count(F.lit(1)) + DOUBT)).alias("score"), F.count_if("seed").alias("seeds"))
         instances = edges.join(patterns, "context").groupBy("hit").agg(F.max("score").alias("best"))
-        scored = materialize(edges.join(instances, "hit").select("context", "hit", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("worth")))
+        scored = materialize(edges.join(instances, "hit").select("context", "hit", "seed", F.when(F.col("seed"), 1.0).otherwise(KEEP * F.col("best")).alias("worth")))
     last = scored.groupBy("context").agg((F.sum("worth") / (F.count(F.lit(1)) + DOUBT)).alias("score"), F.count_if("seed").alias("seeds"))
     return last.filter((F.col("score") >= MIN_SCORE) & (F.col("seeds") >= MIN_SEEDS)).select("context")
 
@@ -131,7 +166,8 @@ def digest_columns(found: DataFrame) -> DataFrame:
     line = lambda c: F.array_join(F.transform(c, label), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
-        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(PATTERNS)], F.sha2(line("base").cast("binary"), 256).alias("base_sha256"), line("spans").alias("spans")
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(PATTERNS)], F.sha2(line("base").cast("binary"), 256).alias("base_sha256"), line("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
