@@ -39,25 +39,69 @@ TEMPLATES = [
     ("cc0", False, "creative commons zero v1 0 universal", "creative commons zero"),
     ("unlicense", False, "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
+#: Longer ones: notices and grants as they stand in files, with the phrase that each must have.
+NOTICES = [
+    ("mit", False, """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+        IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+        THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", "shall be included in all copies or substantial portions of the software"),
+    ("apache-2", False, """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""", "you may not use this file except in compliance with the license"),
+    ("gpl-3", False, """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License,
+        or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.""", "either version 3 of the license"),
+    ("gpl-2", False, """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License,
+        or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""", "either version 2 of the license"),
+    ("bsd", False, """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        "redistributions of source code must retain the above copyright notice"),
+    ("isc", False, """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""", "and this permission notice appear in all copies"),
+    ("mpl-2", False, """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+        "source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", False, """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means.""", "anyone is free to copy modify publish use compile sell or distribute this software"),
+]
+#: Templates that a scan takes at most: their index is sent to every task.
+MOST = 10_000
 #: Least share of a template's words that must stand in place, besides the key phrase.
 COVER = 0.5
 
-_words = lambda s: re.findall(r"[a-z0-9]+", s)
+_words = lambda s: re.findall(r"[a-z0-9]+", s.lower())
 
 
-def _templates() -> list[tuple]:
+def read_templates(table: DataFrame) -> list[tuple]:
+    """Templates of a table (label, body, phrase), to be given to ``scan``. More than MOST are an error, as is a phrase that its body lacks."""
+    rows = table.select("label", "body", "phrase").distinct().limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} templates")
+    return [(r.label, False, r.body, r.phrase) for r in rows]
+
+
+def _templates(given: list[tuple]) -> list[tuple]:
     out = []
-    for number, (label, base, body, key) in enumerate(TEMPLATES):
+    for number, (label, base, body, key) in enumerate(given):
         words, phrase = _words(body), _words(key)
-        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        at = next((i for i in range(len(words)) if phrase and words[i : i + len(phrase)] == phrase), None)
+        if at is None:
+            raise ValueError(f"template {label}: its body lacks its phrase")
         out.append((number, label, base, words, phrase, at))
     return out
 
 
-def scan(docs: DataFrame, with_base: bool = True) -> DataFrame:
-    """uid, doc_id, n_words, and hits: array of (label, base, start of the key phrase, score), distinct."""
+def scan(docs: DataFrame, with_base: bool = True, templates: list[tuple] | None = None) -> DataFrame:
+    """uid, doc_id, n_words, and hits: array of (label, base, start of the key phrase, score), distinct. ``templates`` (label, False,
+    body, phrase) take the place of the module's own; the base phrases stay unless ``with_base`` is false."""
     spark = docs.sparkSession
-    all_templates = [t for t in _templates() if with_base or not t[2]]
+    own = TEMPLATES + NOTICES
+    given = own if templates is None else [t for t in own if t[1]] + list(templates)
+    all_templates = [t for t in _templates(given) if with_base or not t[2]]
     vocabulary = sorted({w for t in all_templates for w in t[4]})
     words = F.regexp_extract_all(words_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
     rows = with_columns(docs, ("doc_id", "long"), ("text", "string")).select("doc_id", words.alias("words"))

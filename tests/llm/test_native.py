@@ -54,6 +54,19 @@ def test_more_labels(spark):
     assert got[0].score == 1.0 and got[1].score == 0.0
 
 
+def test_notices_and_given_templates(spark):
+    """A whole notice scores 1, one with a changed word a little less, and templates may come from a table."""
+    notice = next(b for label, _, b, _ in licenses.NOTICES if label == "apache-2")
+    docs = spark.createDataFrame([(0, "// " + notice), (1, notice.replace("specific language", "very words")), (2, "as the Foo Licence of Bar says, do what you like with it"), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.digest_columns(licenses.scan(docs)).collect()}
+    assert got[0].labels == got[1].labels == "apache-2" and got[0].score == 1.0 and got[2].labels == ""
+    table = spark.createDataFrame([("foo", "the foo licence of bar says do what you like", "foo licence of bar")], "label string, body string, phrase string")
+    more = {r.doc_id: r for r in licenses.digest_columns(licenses.scan(docs, templates=licenses.read_templates(table))).collect()}
+    assert more[2].labels == "foo" and more[2].score == 1.0 and more[0].n_base == got[0].n_base
+    with pytest.raises(ValueError):
+        licenses.scan(docs, templates=[("x", False, "some words", "other words")])
+
+
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -97,6 +110,44 @@ def test_bootstrap_discovers(spark):
     assert got[100] == "id:16:25" and got[101] == "id:16:25" and got[200] == "" and got[0].startswith("email:16:")
 
 
+def test_long_identifiers_and_long_texts(spark):
+    """Identifiers have no longest length, and a text of many thousand tokens takes no more than its share."""
+    key = "KEY-" + "4f" * 90
+    rows = [(i, f"please write to user{i}@mail.example.org now") for i in range(40)] + [(100, f"please write to {key} now")]
+    rows += [(200, " ".join(f"tok{i}en mail{i}@x.example.org" for i in range(20000)))]
+    got = {r.doc_id: r for r in pii.digest_columns(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[100].spans == f"id:16:{16 + len(key)}" and got[200].n_email == 20000 and got[200].n_spans >= 20000
+    spans = [tuple(map(int, s.split(":")[1:])) for s in got[200].spans.split(",")]
+    assert all(rows[-1][1][a:b].startswith("mail") for a, b in spans[:20000])
+
+
+def score_by_hand(edges):
+    """Fixed point of the scores, by plain iteration until nothing moves."""
+    worth = {e: float(e[2]) for e in edges}
+    while True:
+        sums = defaultdict(float)
+        counts = Counter(c for c, _, _ in edges)
+        for (c, h, seed), w in worth.items():
+            sums[c] += w
+        score = {c: sums[c] / (counts[c] + pii.DOUBT) for c in counts}
+        best = defaultdict(float)
+        for c, h, _ in edges:
+            best[h] = max(best[h], score[c])
+        new = {e: 1.0 if e[2] else pii.KEEP * best[e[1]] for e in edges}
+        if max(abs(new[e] - worth[e]) for e in edges) < 1e-9:
+            return {c for c in counts if score[c] >= pii.MIN_SCORE and sum(e[2] for e in edges if e[0] == c) >= pii.MIN_SEEDS}
+        worth = new
+
+
+def test_patterns_reach_their_fixed_point(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = list({(f"c{c}", f"h{h}"): (f"c{c}", f"h{h}", h < 60) for c, h in ((rng.randrange(12), rng.randrange(20 + 6 * rng.randrange(12))) for _ in range(700))}.values())
+    got = {r.context for r in pii.score_patterns(spark.createDataFrame(edges, "context string, hit string, seed boolean")).collect()}
+    assert got == score_by_hand(edges) and got
+
+
 def test_sharding(docs):
     got = sharding.shard(docs, 16).collect()
     rows = docs.select("doc_id", "text").collect()
