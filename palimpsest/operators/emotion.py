@@ -80,51 +80,81 @@ def sanitise(scores: Column, aliases: dict[str, str], dims: list[str]) -> Column
     return F.when(F.size(scores) == 0, F.create_map().cast("map<string,double>")).when(F.size(known) > 0, F.map_from_entries(best))
 
 
+def pulled(mean: float, n: float, to: float, strength: float) -> float:
+    """A mean of n observations, pulled to a prior that counts as ``strength`` of them."""
+    return (n * mean + strength * to) / (n + strength)
+
+
+def drifted(x: float, p: float, mu: float, s2: float, keep: float) -> tuple[float, float]:
+    """Mean and variance of a mean-reverting process of stationary variance s2, of whose distance to mu the share ``keep`` is left."""
+    return mu + keep * (x - mu), keep**2 * p + (1 - keep**2) * s2
+
+
+def seen(x: float, p: float, y: float, noise: float) -> tuple[float, float]:
+    """The posterior of a normal state after an observation with that noise variance."""
+    precision = 1 / p + 1 / noise
+    return (x / p + y / noise) / precision, 1 / precision
+
+
+def level(y: float, x: float | None, p: float, s2: float, noise: float, keep: float) -> tuple[float, float] | None:
+    """What an observation says of the level that the process reverts to, and with which precision: y = level + keep (x - level) + errors.
+    None where too little of the old state is gone."""
+    if x is None:
+        return y, 1 / (s2 + noise)
+    gone = 1 - keep
+    if gone < LEAST_GONE:
+        return None
+    return (y - keep * x) / gone, gone**2 / ((1 - keep**2) * s2 + noise + keep**2 * p)
+
+
+#: Share of the old state that must be gone before an observation says anything of the level.
+LEAST_GONE = 0.05
+
+
 class Baseline:
-    """State of one (owner, dim): slot sums, residuals, the filter's mean and variance. One step for each observation in order."""
+    """A person's level of one dimension by time of day, and the state around it: one step for each observation in order."""
 
     def __init__(self, state: dict | None = None) -> None:
-        s = state or {}
-        self.slots, self.nr, self.r2 = s.get("slots", {}), s.get("nr", 0), s.get("r2", 0.0)
-        self.x, self.p, self.t = s.get("x"), s.get("p"), s.get("t")
+        #: By slot: how many observations it counts as, their precisions, and the precision-weighted sum of levels.
+        self.levels: dict[str, list[float]] = dict((state or {}).get("levels", {}))
+        #: Residuals: number and winsorised squares. The state's mean, variance and time.
+        self.residuals: list[float] = list((state or {}).get("residuals", (0, 0.0)))
+        self.at: list[float] | None = (state or {}).get("at")
 
     def state(self) -> dict:
-        return {"slots": self.slots, "nr": self.nr, "r2": self.r2, "x": self.x, "p": self.p, "t": self.t}
-
-    def estimate(self, slot: str) -> tuple[float, float]:
-        n = sum(v[0] for v in self.slots.values())
-        w, s = sum(v[1] for v in self.slots.values()), sum(v[2] for v in self.slots.values())
-        overall = (n * (s / w if w > 0 else PRIOR_MU) + USER_N0 * PRIOR_MU) / (n + USER_N0) if n > 0 else PRIOR_MU
-        ns, ws, ss = self.slots.get(slot, (0, 0, 0))
-        mu = (ns * (ss / ws if ws > 0 else overall) + SLOT_N0 * overall) / (ns + SLOT_N0) if ns > 0 else overall
-        prior = PRIOR_SIGMA**2
-        if not self.nr:
-            return mu, max(math.sqrt(prior), MIN_SIGMA)
-        own = max(self.r2 / self.nr * ROBUST_CORRECTION - OBS_NOISE**2, MIN_SIGMA**2)
-        return mu, max(math.sqrt((self.nr * own + USER_N0 * prior) / (self.nr + USER_N0)), MIN_SIGMA)
+        return {"levels": self.levels, "residuals": self.residuals, "at": self.at}
+
+    def usual(self, slot: str) -> float:
+        """The slot's level, pulled to the person's, which is pulled to everybody's."""
+        n, w, s = (sum(x) for x in zip(*self.levels.values(), strict=True)) if self.levels else (0, 0, 0)
+        person = pulled(s / w if w > 0 else PRIOR_MU, n, PRIOR_MU, USER_N0) if n > 0 else PRIOR_MU
+        n, w, s = self.levels.get(slot, (0, 0, 0))
+        return pulled(s / w if w > 0 else person, n, person, SLOT_N0) if n > 0 else person
+
+    def variance(self) -> float:
+        """The process's variance: the residuals' less the observation's noise, pulled to everybody's."""
+        n, squares = self.residuals
+        own = max(squares / n * ROBUST_CORRECTION - OBS_NOISE**2, MIN_SIGMA**2) if n else 0.0
+        return max(pulled(own, n, PRIOR_SIGMA**2, USER_N0), MIN_SIGMA**2)
 
     def step(self, y: float, hours: float, slot: str) -> tuple[float, float, float, bool, bool]:
-        """(z, mu, filtered mean, anomaly, still learning); the observation is learned from afterwards."""
-        mu, sigma = self.estimate(slot)
-        informative, y = y > NOISE_FLOOR, max(y, NOISE_FLOOR)
-        s2, r2 = sigma**2, OBS_NOISE**2
-        spread = math.sqrt(s2 + r2)
-        z, learning = (y - mu) / spread, self.nr < MIN_SAMPLES
-        mean, weight = None, 0.0
-        if self.x is None:
-            ahead, var, mean, weight = mu, s2, y, 1 / (s2 + r2)
-        else:
-            a = math.exp(-max(0.0, hours - self.t) / TAU_HOURS)
-            ahead, var = mu + a * (self.x - mu), a * a * self.p + s2 * (1 - a * a)
-            if 1 - a >= 0.05:
-                mean, weight = (y - a * self.x) / (1 - a), (1 - a) ** 2 / (s2 * (1 - a * a) + r2 + a * a * self.p)
-        gain = var / (var + r2)
-        self.x, self.p, self.t = ahead + gain * (y - ahead), (1 - gain) * var, hours
-        n, w, s = self.slots.get(slot, (0.0, 0.0, 0.0))
-        self.slots[slot] = (n + min(1.0, weight * (s2 + r2)), w + weight, s + weight * (mean or 0.0))
-        self.nr += 1
-        self.r2 += max(-ROBUST_K * spread, min(ROBUST_K * spread, y - mu)) ** 2
-        return z, mu, self.x, informative and z >= ANOMALY_SIGMA, learning
+        """(z, level, state's mean, anomaly, still learning); the observation is learned from afterwards."""
+        told, y = y > NOISE_FLOOR, max(y, NOISE_FLOOR)
+        mu, s2, noise = self.usual(slot), self.variance(), OBS_NOISE**2
+        spread, learning = math.sqrt(s2 + noise), self.residuals[0] < MIN_SAMPLES
+        z = (y - mu) / spread
+        x, p, then = self.at or (None, 0.0, hours)
+        keep = math.exp(-max(0.0, hours - then) / TAU_HOURS)
+        says = level(y, x, p, s2, noise, keep)
+        before = (mu, s2) if x is None else drifted(x, p, mu, s2, keep)
+        self.at = [*seen(*before, y, noise), hours]
+        row = self.levels.setdefault(slot, [0.0, 0.0, 0.0])
+        if says is not None:
+            mean, precision = says
+            row[:] = row[0] + min(1.0, precision * (s2 + noise)), row[1] + precision, row[2] + precision * mean
+        most = ROBUST_K * spread
+        self.residuals = [self.residuals[0] + 1, self.residuals[1] + max(-most, min(most, y - mu)) ** 2]
+        return z, mu, self.at[0], told and z >= ANOMALY_SIGMA, learning
 
 
 RUN = "owner_id long, dim string, obs_id long, z double, mu double, x double, anomaly boolean, learning boolean"

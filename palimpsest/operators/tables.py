@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -160,8 +161,24 @@ def scratch(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_SETTLED: list[tuple[SparkSession, str]] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder."""
-    path = f"{scratch(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    """Cut the lineage with a table in the shared folder, which goes with ``clear`` or when Python ends."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _SETTLED.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def clear() -> None:
+    """Remove all settled tables: results that still read them are no longer to be used."""
+    while _SETTLED:
+        spark, path = _SETTLED.pop()
+        if spark.sparkContext._jsc is None:  # the session has ended already
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

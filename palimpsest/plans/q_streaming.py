@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import emotion
+from ..operators import evidence
+from ..operators.screening import STRONG
 from ..sources import adapter as a
 from ..streaming import jobs
 
+
 def _messages(spark, d):
     c = jobs.read_table(spark, d, "conversations")
     ts = F.timestamp_seconds(F.lit(a.START) + F.col("conv_id") * 3600 + F.col("turn") * 10)
@@ -16,7 +19,7 @@ def _messages(spark, d):
 
 def unique_messages(spark, d):
     twice = _messages(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    out = jobs.run(jobs.unique_messages(twice, "3650 days"), "append")
+    out = jobs.run(jobs.unique_messages(twice, "60 days"), "append")
     return out.select("chat_id", "msg_id", "role", F.unix_timestamp("ts").alias("sec"))
 
 
@@ -46,11 +49,53 @@ def online(spark, d):
     return out.select("owner_id", "dim", "obs_id", F.round("z", 6).alias("z"), F.round("mu", 6).alias("mu"), "anomaly", "learning")
 
 
-Q = {"g1_unique_messages": unique_messages, "g2_silence_sessions": sessions, "g8_daily_counts": daily, "g7_sliding_counts": sliding, "g3_online_baseline": online}
+def _events(spark, d, owners: int):
+    e = jobs.read_table(spark, d, "events")
+    return e.select((F.col("user_id") % owners).alias("owner_id"), F.col("event_id").cast("long").alias("obs_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).cast("long").alias("at"))
+
+
+def extraction(spark, d):
+    """Events are messages of five chats; every fortieth speaks of strong emotion."""
+    e = _events(spark, d, 5).select(F.col("owner_id").cast("long").alias("chat_id"), F.col("obs_id").alias("msg_id"), "at", (F.col("obs_id") % 40 == 0).alias("strong"))
+    return jobs.run(jobs.extraction_batches(e), "append").drop("batch_id")
+
+
+def emotion_batches(spark, d):
+    """Turns are messages; a phrase chosen by the id stands before each text."""
+    c = jobs.read_table(spark, d, "conversations")
+    text = F.concat(F.when(F.col("turn") % 4 == 3, F.lit("我好難過 ")).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
+    m = c.select((F.col("conv_id") % 3).cast("long").alias("chat_id"), (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("msg_id"), (F.lit(a.START) + F.col("conv_id") * 3600 + F.col("turn") * 10).alias("at"), text.rlike("|".join(STRONG)).alias("strong"))
+    return jobs.run(jobs.extraction_batches(m), "append").drop("batch_id")
+
+
+def pool(spark, d):
+    return jobs.run(jobs.working_pool(_events(spark, d, 5)), "append").drop("batch_id")
+
+
+def states(spark, d):
+    c = jobs.read_table(spark, d, "conversations")
+    i = F.col("conv_id") * 1000 + F.col("turn")
+    by = F.when(F.col("role") == "user", "companion").otherwise("deep_cycle")
+    ts = F.timestamp_seconds(F.lit(a.START) + F.col("conv_id") * 3600 + F.col("turn") * 10)
+    m = c.select(F.col("conv_id").alias("owner_id"), i.alias("statement_id"), ts.alias("at"), by.alias("by"), F.col("text").alias("content"), F.when(i % 3 > 0, F.lit(40)).alias("ttl"))
+    return jobs.run(jobs.current_states(evidence.statements(m)), "append").drop("batch_id")
+
+
+def idle(spark, d):
+    return jobs.run(jobs.idle_triggers(_events(spark, d, 200).withColumnRenamed("obs_id", "msg_id")), "append").select("owner_id", "msg_id", F.col("at").cast("long").alias("at"))
+
+
+Q = {"g1_unique_messages": unique_messages, "g2_silence_sessions": sessions, "g8_daily_counts": daily, "g7_sliding_counts": sliding, "g3_online_baseline": online,
+     "g2_extraction_batches": extraction, "g2_emotion_batches": emotion_batches, "g4_working_pool": pool, "g5_current_states": states, "g6_idle_triggers": idle}
 S = {
     "g1_unique_messages": a.sql("messages", "SELECT chat_id, msg_id, role, epoch(ts)::BIGINT AS sec FROM messages"),
     "g2_silence_sessions": a.sql("messages", "SELECT chat_id, min(s) AS start_s, max(s)+7200 AS end_s, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY chat_id ORDER BY s, msg_id) AS k FROM x) GROUP BY chat_id, k",
                                  x="SELECT chat_id%7 AS chat_id, msg_id, epoch(ts)::BIGINT AS s, CASE WHEN epoch(ts)-lag(epoch(ts)) OVER (PARTITION BY chat_id%7 ORDER BY ts, msg_id)<7200 THEN 0 ELSE 1 END AS new FROM messages"),
     "g8_daily_counts": "SELECT epoch(date_trunc('day', ts::TIMESTAMP))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL",
     "g7_sliding_counts": "SELECT epoch(date_trunc('day', ts::TIMESTAMP))::BIGINT - k*86400 AS start_s, event_type, count(*) AS n FROM events, range(7) r(k) GROUP BY ALL",
+    "g4_working_pool": "SELECT owner_id, obs_id, least(count(*) OVER (PARTITION BY owner_id ORDER BY s RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY owner_id, s) - row_number() OVER (PARTITION BY owner_id, s ORDER BY obs_id)),5) AS pool FROM (SELECT user_id%5 AS owner_id, event_id AS obs_id, floor(epoch(ts::TIMESTAMP))::BIGINT AS s FROM events)",
+    "g6_idle_triggers": """WITH RECURSIVE e AS (SELECT user_id%200 AS owner_id, event_id AS msg_id, floor(epoch(ts::TIMESTAMP))::BIGINT AS s FROM events),
+        g AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY s, msg_id) AS n FROM (SELECT *, s-lag(s) OVER (PARTITION BY owner_id ORDER BY s, msg_id) AS gap FROM e) WHERE gap>=6*3600),
+        r AS (SELECT owner_id, msg_id, s, n, TRUE AS fires, s AS fired FROM g WHERE n=1 UNION ALL SELECT g.owner_id, g.msg_id, g.s, g.n, g.s-r.fired>=7*86400, CASE WHEN g.s-r.fired>=7*86400 THEN g.s ELSE r.fired END FROM r JOIN g ON g.owner_id=r.owner_id AND g.n=r.n+1)
+        SELECT owner_id, msg_id, s AS at FROM r WHERE fires""",
 }

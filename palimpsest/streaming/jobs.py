@@ -9,25 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.emotion import Baseline
+from ..operators.emotion import RUN, Baseline
+from ..operators.evidence import ACTIONS, Book
+from ..operators.tables import scratch
 
 
 def _folder(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
+    return f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
-        where = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, a Parquet file or a folder of them, as a stream."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, files: int = 64) -> DataFrame:
+    """A table, a Parquet file or a folder of them, as a stream of at most ``files`` files a batch: what a batch brings for one key, and
+    so what a stateful fold has to order, is bounded by them."""
     path = f"{sf_dir}/{name}.parquet"
     static = spark.read.parquet(path)
     single = static.inputFiles()[0].endswith(f"/{name}.parquet")
-    reader = spark.readStream.schema(static.schema)
+    reader = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if single else reader.parquet(path)
 
 
@@ -68,19 +65,134 @@ def daily_counts(events: DataFrame, key: str, at: str = "ts", every: str = "1 da
     return g.select(F.col("w.start").alias("start"), key, "n")
 
 
-def _online(key, batches, state):
-    import pandas as pd
+def fold(stream: DataFrame, keys: list[str], order: list[str], make, step, schema: str) -> DataFrame:
+    """A fold over each key's rows in time, with its state between batches: ``make(state or None)`` gives an object with ``state()``,
+    ``step(object, key, row)`` rows of the result. Only the columns used are held while a batch's rows of a key are put in order."""
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        own = make(json.loads(state.get[0]) if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values(order)
+        out = [(*key, *line) for r in rows.itertuples(index=False) for line in step(own, r)]
+        state.update((json.dumps(own.state()),))
+        yield pd.DataFrame(out, columns=names)
 
-    model = Baseline(json.loads(state.get[0])) if state.exists else Baseline()
-    rows = pd.concat(list(batches)).sort_values(["hours", "obs_id"])
-    out = [(*key, r.obs_id, *model.step(r.y, r.hours, r.slot)) for r in rows.itertuples(index=False)]
-    state.update((json.dumps(model.state()),))
-    yield pd.DataFrame(out, columns=["owner_id", "dim", "obs_id", "z", "mu", "x", "anomaly", "learning"])
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
 
 
 def online_baseline(stream: DataFrame) -> DataFrame:
     """Each observation's z against its owner's baseline so far; the state lives between batches. Input: owner_id, dim, obs_id, y,
     slot, hours."""
-    from ..operators.emotion import RUN
+    return fold(stream, ["owner_id", "dim"], ["hours", "obs_id"], Baseline, lambda own, r: [(r.obs_id, *own.step(r.y, r.hours, r.slot))], RUN)
+
+
+class Pending:
+    """A chat's messages that wait for extraction, and when they go: at 100; after four hours at 30; after twenty minutes' silence at 60,
+    or with a word of strong emotion. They go in batches of 60."""
+
+    FORCE, STALE, STALE_SECONDS, SILENT, SILENCE_SECONDS, BATCH = 100, 30, 4 * 3600, 60, 20 * 60, 60
+
+    def __init__(self, state: dict | None = None) -> None:
+        self.rows = [tuple(r) for r in (state or {}).get("rows", [])]
+
+    def state(self) -> dict:
+        return {"rows": self.rows}
+
+    def due(self, now: float) -> str | None:
+        n = len(self.rows)
+        if n >= self.FORCE:
+            return "force"
+        silent = n > 0 and now - self.rows[-1][0] >= self.SILENCE_SECONDS
+        if silent and n >= self.SILENT:
+            return "silence"
+        if silent and any(r[2] for r in self.rows):
+            return "emotion"
+        return "stale" if n >= self.STALE and now - self.rows[0][0] >= self.STALE_SECONDS else None
+
+    def go(self, now: float) -> list[tuple]:
+        """(reason, first message, last message, number) of the batches that are due."""
+        why = self.due(now)
+        if why is None:
+            return []
+        ids, self.rows = [r[1] for r in self.rows], []
+        return [(why, part[0], part[-1], len(part)) for part in (ids[i : i + self.BATCH] for i in range(0, len(ids), self.BATCH))]
+
+    def arrive(self, at: float, id_: int, strong: bool) -> list[tuple]:
+        out = self.go(at)
+        self.rows.append((at, id_, strong))
+        return out + self.go(at)
+
+
+BATCHES = "chat_id long, reason string, first_id long, last_id long, n long"
+
+
+def extraction_batches(stream: DataFrame) -> DataFrame:
+    """The batches of messages (chat_id, msg_id, at in seconds, strong) that are due for extraction, by the time of the messages: a
+    silence shows when the next message comes."""
+    return fold(stream, ["chat_id"], ["at", "msg_id"], Pending, lambda own, r: own.arrive(float(r.at), int(r.msg_id), bool(r.strong)), BATCHES)
+
+
+class Pool:
+    """The last items that were put before the model, five at most, each for half an hour."""
+
+    SECONDS, SIZE = 1800, 5
+
+    def __init__(self, state: dict | None = None) -> None:
+        self.items = [tuple(x) for x in (state or {}).get("items", [])]
+
+    def state(self) -> dict:
+        return {"items": self.items}
+
+    def put(self, at: int, item: int) -> int:
+        self.items = [*[x for x in self.items if at - x[0] <= self.SECONDS], (at, item)][-self.SIZE :]
+        return len(self.items)
+
+
+def working_pool(stream: DataFrame) -> DataFrame:
+    """For each injection (owner_id, obs_id, at in seconds) how many items the owner's pool then holds."""
+    return fold(stream, ["owner_id"], ["at", "obs_id"], Pool, lambda own, r: [(int(r.obs_id), own.put(int(r.at), int(r.obs_id)))], "owner_id long, obs_id long, pool long")
+
+
+class _States(Book):
+    def __init__(self, state: dict | None = None) -> None:
+        super().__init__((state or {}).get("states"))
+
+    def state(self) -> dict:
+        return {"states": self.states}
+
+
+def current_states(stream: DataFrame) -> DataFrame:
+    """What each statement does to its owner's current states, which end at their time; the states live between batches. Input as of
+    ``evidence.statements``."""
+
+    def step(own, r):
+        own.expire(r.at)
+        ttl = None if r.ttl is None or r.ttl != r.ttl else float(r.ttl)
+        action, id_, replaced = own.add(int(r.statement_id), float(r.at), r.by, list(r.tokens), list(r.words), ttl)
+        return [(int(r.statement_id), action, id_, replaced)]
+
+    return fold(stream, ["owner_id"], ["at", "statement_id"], _States, step, ACTIONS)
+
+
+class Idle:
+    """When an owner last wrote, and when something last surfaced: after six hours without a message, once in seven days."""
+
+    GAP, COOLDOWN = 6 * 3600, 7 * 86400
+
+    def __init__(self, state: dict | None = None) -> None:
+        self.last, self.fired = (state or {}).get("times", (None, None))
+
+    def state(self) -> dict:
+        return {"times": (self.last, self.fired)}
+
+    def write(self, at: float) -> bool:
+        idle = self.last is not None and at - self.last >= self.GAP and (self.fired is None or at - self.fired >= self.COOLDOWN)
+        self.last, self.fired = at, at if idle else self.fired
+        return idle
+
 
-    return stream.groupBy("owner_id", "dim").applyInPandasWithState(_online, RUN, "state string", "append", "NoTimeout")
+def idle_triggers(stream: DataFrame) -> DataFrame:
+    """The messages (owner_id, msg_id, at in seconds) after which something may surface by itself."""
+    return fold(stream, ["owner_id"], ["at", "msg_id"], Idle, lambda own, r: [(int(r.msg_id), float(r.at))] if own.write(float(r.at)) else [], "owner_id long, msg_id long, at double")
