@@ -18,15 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_columns(df: DataFrame, *types: tuple[str, str]) -> DataFrame:
-    """Only the named columns, cast; a column that is missing is null."""
+    """Only the named columns, cast; a column that is missing is null. Of columns that differ in case alone, the one of the exact name
+    is taken."""
+    names, wanted = df.columns, {c for c, _ in types}
+    if len({n.lower() for n in names}) < len(names):
+        # columns are told apart by place, as names don't do it
+        df = df.toDF(*[n if n in wanted and n not in names[:i] else f"_{i}" for i, n in enumerate(names)])
     have = set(df.columns)
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local master gets a temporary one; on a
+    cluster it has to be set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -84,7 +84,8 @@ def read_templates(table: DataFrame) -> list[tuple]:
     return [(r.label, False, r.body, r.phrase) for r in rows]
 
 
-def _templates(given: list[tuple]) -> list[tuple]:
+def all_templates(given: list[tuple]) -> list[tuple]:
+    """(number, label, base, words, words of the phrase, place of the phrase among the words) of each template."""
     out = []
     for number, (label, base, body, key) in enumerate(given):
         words, phrase = _words(body), _words(key)
@@ -101,14 +102,14 @@ def scan(docs: DataFrame, with_base: bool = True, templates: list[tuple] | None
     spark = docs.sparkSession
     own = TEMPLATES + NOTICES
     given = own if templates is None else [t for t in own if t[1]] + list(templates)
-    all_templates = [t for t in _templates(given) if with_base or not t[2]]
-    vocabulary = sorted({w for t in all_templates for w in t[4]})
+    chosen = [t for t in all_templates(given) if with_base or not t[2]]
+    vocabulary = sorted({w for t in chosen for w in t[4]})
     words = F.regexp_extract_all(words_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
     rows = with_columns(docs, ("doc_id", "long"), ("text", "string")).select("doc_id", words.alias("words"))
     rows = rows.withColumn("known", F.array_intersect("words", F.array(*map(F.lit, vocabulary))))
     # a file that lacks a word of every key phrase can't match any template: only the others keep their words
     able = F.lit(False)
-    for phrase in {tuple(sorted(set(t[4]))) for t in all_templates}:
+    for phrase in {tuple(sorted(set(t[4]))) for t in chosen}:
         able = able | (F.size(F.array_intersect("known", F.array(*map(F.lit, phrase)))) == len(phrase))
     files = materialize(
         rows.select(
@@ -118,7 +119,7 @@ def scan(docs: DataFrame, with_base: bool = True, templates: list[tuple] | None
 
     # document frequency of the licence words over all files: as many rows as the templates have words
     seen = {r.word: r["count"] for r in files.select(F.explode("known").alias("word")).groupBy("word").count().collect()}
-    index = spark.createDataFrame([_posting(t, seen) for t in all_templates], "rarest string, offset1 int, second string, offset2 int, label string, base boolean, template array<string>, phrase array<string>, at int")
+    index = spark.createDataFrame([_posting(t, seen) for t in chosen], "rarest string, offset1 int, second string, offset2 int, label string, base boolean, template array<string>, phrase array<string>, at int")
 
     candidates = files.filter(F.col("words").isNotNull())
     looked_up = candidates.select("uid", "words", F.explode("known").alias("rarest")).join(F.broadcast(index), "rarest")

@@ -69,7 +69,54 @@ QUERIES: dict[str, Query] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+#: Words as the contract takes them.
+_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ",".join(f"'{v}'" for v in values) + "]"
+
+
+_TEMPLATES = ", ".join(
+    f"('{label}', {base}, {_list(words)}, {_list(phrase)}, {at})" for _, label, base, words, phrase, at in licenses.all_templates(licenses.TEMPLATES + licenses.NOTICES)
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+t(label, base, tw, pw, pos) AS (VALUES {_TEMPLATES}),
+c AS (SELECT * FROM d JOIN t ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(pw, ' ') || ' ')),
+p AS (SELECT doc_id, label, base, w, tw, pos, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(pw)] = pw)) AS spot FROM c),
+h AS (SELECT DISTINCT doc_id, label, base, spot, round(len(list_filter(range(0, len(tw)), lambda k: spot - pos + k >= 0 AND w[spot - pos + k + 1] = tw[k + 1])) / len(tw), 6) AS score FROM p),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(spot) FILTER (base) AS first_word, max(spot) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS bl,
+      string_agg(DISTINCT label, ',' ORDER BY label) AS ls, max(score) AS score FROM h WHERE score >= {licenses.COVER} GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(bl, '') AS base_labels, coalesce(ls, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN g USING (doc_id)
+""",
+    "op4_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+k AS (SELECT doc_id, sh, md5(array_to_string(list_sort(sh), '|')) AS key FROM s),
+c AS (SELECT key, min(doc_id) AS class_id, count(*) AS n_copies, list_distinct(any_value(sh)) AS st FROM k GROUP BY key),
+x AS (SELECT class_id, len(st) AS n, unnest(st) AS g FROM c),
+e AS (SELECT a.class_id AS a, b.class_id AS b FROM x a JOIN x b USING (g) WHERE a.class_id < b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT class_id AS id, class_id AS spot FROM c UNION SELECT r.id, b.b FROM r JOIN b ON b.a = r.spot),
+g AS (SELECT id AS class_id, min(spot) AS group_id FROM r GROUP BY id),
+l AS (SELECT a AS class_id, count(*) AS n_links FROM b GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, group_id, n_copies FROM k JOIN c USING (key) JOIN g USING (class_id) LEFT JOIN l USING (class_id)
+""",
+    "op8_decontamination": rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item_id, {_WORDS.format("text")} AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[spot:spot + least(len(w), 13) - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS spot FROM i WHERE len(w) > 0)),
+n AS (SELECT DISTINCT m FROM q),
+p AS (SELECT doc_id, m, spot, array_to_string(w[spot:spot + m - 1], ' ') AS win FROM (SELECT d.*, m, unnest(range(1, len(w) - m + 2)) AS spot FROM d, n WHERE len(w) >= m)),
+h AS (SELECT doc_id, item_id, spot, m FROM p JOIN q USING (m, win)),
+v AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(spot, spot + m)) AS x FROM (SELECT DISTINCT doc_id, spot, m FROM h)) GROUP BY doc_id),
+o AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN v USING (doc_id) LEFT JOIN o USING (doc_id)
+""",
     "op10_exact_dedup": r"""
 WITH p AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS d FROM documents

@@ -197,6 +197,12 @@ def test_exact_dedup(docs):
     assert Counter(map(tuple, got)) == want
 
 
+def test_names_that_differ_in_case(spark):
+    df = spark.createDataFrame([(1, "a", "x", 7), (2, "a ", "y", 8)], "doc_id long, text string, Text string, DOC_ID long")
+    assert {(r.doc_id, r.kept) for r in exact_dedup.dedup(df).collect()} == {(2, True), (1, False)}
+    assert {r.doc_id for r in pii.find(df).collect()} == {r.doc_id for r in sharding.shard(df, 2).collect()} == {1, 2}
+
+
 def test_one_row_stays_whatever_the_ids(spark):
     rows = [(5, "a b"), (5, "ab"), (6, "ab"), (None, "x"), (None, "x"), (None, "y  "), (1, "y"), (7, "z"), (7, "z")]
     out = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
