@@ -78,3 +78,59 @@ def test_toxicity_features():
     assert f["hits"].tolist() == [2, 0, 0] and f["disguised_hits"].tolist() == [0, 1, 0]
     assert f["nearest_you"].tolist() == [1, toxicity.FAR, toxicity.FAR] and f["hits_near_you"].tolist() == [2, 0, 0]
     assert f["capitals"][0] > 0.4 and f["n_words"].tolist() == [np.log1p(3), np.log1p(3), 0]
+
+
+def grown(x, g, h, rows, level, edges):
+    """The best tree on some rows, by trying every feature and threshold: nested (feature, threshold, left, right) or a leaf's value."""
+    if level == toxicity.LEVELS:
+        return toxicity.RATE * g[rows].sum() / (h[rows].sum() + toxicity.SHRINK)
+    worth = lambda r: g[r].sum() ** 2 / (h[r].sum() + toxicity.SHRINK)
+    best, cut = 1e-9, None
+    for f, own in enumerate(edges):
+        for threshold in own:
+            left = rows & (x[:, f] <= threshold)
+            gain = worth(left) + worth(rows & ~left) - worth(rows)
+            if gain > best + 1e-9:
+                best, cut = gain, (f, threshold)
+    if cut is None:
+        value = toxicity.RATE * g[rows].sum() / (h[rows].sum() + toxicity.SHRINK)
+        return value if level else value
+    left = rows & (x[:, cut[0]] <= cut[1])
+    return (*cut, grown(x, g, h, left, level + 1, edges), grown(x, g, h, rows & ~left, level + 1, edges))
+
+
+def test_boost_is_newton_boosting_by_hand(monkeypatch):
+    """Margins of a few trees against trees that are grown node by node over all thresholds."""
+    monkeypatch.setattr(toxicity, "TREES", 4)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(400, 3)), 2)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=400) * 0.3 > 0).astype(float)
+    model = toxicity.boost(x, y)
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, toxicity.BINS + 1)[1:-1])) for c in x.T]
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        tree = grown(x, g, h, np.ones(len(y), bool), 0, edges)
+        for i in range(len(y)):
+            node = tree
+            while isinstance(node, tuple):
+                node = node[2] if x[i, node[0]] <= node[1] else node[3]
+            margin[i] += node
+    assert np.allclose(model.margin(x), margin, atol=1e-6)
+
+
+def test_isotonic_is_the_least_squares_fit():
+    """Before smoothing, the fit at i is the greatest, over starts up to i, of the least mean over ends from i."""
+    rng = np.random.default_rng(3)
+    margin = np.sort(rng.normal(size=60))
+    y = (rng.random(60) < 1 / (1 + np.exp(-2 * margin))).astype(float)
+    steps, values = toxicity.isotonic(margin, y)
+    fit = np.array([max(min(y[j : k + 1].mean() for k in range(i, 60)) for j in range(i + 1)) for i in range(60)])
+    # smoothing moves a block of n by half a label of either kind
+    want = np.zeros(60)
+    for v in np.unique(fit):
+        own = np.isclose(fit, v)
+        want[own] = (y[own].sum() + 0.5) / (own.sum() + 1)
+    assert np.allclose(np.interp(margin, steps, values), np.maximum.accumulate(want), atol=1e-9)
