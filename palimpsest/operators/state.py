@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from .linking import mention_join
-from .recall import top_n
+from .recall import exploded, top_n
+from .tables import days_before
 
 #: Hours that a state lasts by category and class (else 48), and the caps of direct statements (else 0.85).
 TTL_HOURS = {
@@ -141,6 +143,28 @@ def review_queues(model: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
     return hypotheses.unionByName(top_n(marked, ["owner_id"], [F.desc("priority"), F.asc("confidence"), F.asc("entry_id")], most).select("owner_id", "entry_id", F.lit("review").alias("queue")))
 
 
+def trait_checks(model: DataFrame, fragments: DataFrame, now: Column, days: int = 14, most: int = 5, least: int = 2, keep: int = 5) -> DataFrame:
+    """(owner_id, entry_id, place, fragment_id, shared, rank): an owner's traits, those of the oldest evidence first, each with the active
+    fragments of the last ``days`` that share most tokens with it, ``least`` at least; a trait without any has one row of nulls."""
+    traits = top_n(model.filter("status = 'active' and type = 'stable_trait'"), ["owner_id"], [F.asc_nulls_first("last_evidence_at"), F.asc("entry_id")], most, "place")
+    recent = fragments.filter((F.col("status") == "active") & (F.col("created_at") >= days_before(now, days)))
+    tokens = lambda df, key: exploded(df, ["owner_id", key], F.array_distinct(t.index_tokens(F.col("content"))))
+    met = tokens(traits, "entry_id").join(tokens(recent, "fragment_id"), ["owner_id", "token"]).filter("entry_id <> fragment_id")
+    shared = met.groupBy("entry_id", "fragment_id").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    best = top_n(shared, ["entry_id"], [F.desc("shared"), F.asc("fragment_id")], keep)
+    return traits.select("owner_id", "entry_id", "place").join(best, "entry_id", "left")
+
+
+def add_judged_links(links: DataFrame, judged: DataFrame, least: float = 0.0, fixed: float | None = None) -> DataFrame:
+    """Links and those that were judged (fragment_id, entity_id, confidence) with at least ``least``, with their confidence (0.7 where none
+    is stated) or a fixed one (0.6 and 0.55 for rematches); links that are there stay as they are, and of several judgements on one pair
+    the surest counts."""
+    sure = judged.withColumn("confidence", F.coalesce("confidence", F.lit(0.7))).filter(F.col("confidence") >= least).groupBy("fragment_id", "entity_id").agg(F.max("confidence").alias("confidence"))
+    new = sure.join(links.select("fragment_id", "entity_id"), ["fragment_id", "entity_id"], "left_anti")
+    worth = F.col("confidence") if fixed is None else F.lit(fixed)
+    return links.select("fragment_id", "entity_id", "confidence").unionByName(new.select("fragment_id", "entity_id", worth.alias("confidence")))
+
+
 def consolidation_report(episodes: DataFrame, members: DataFrame) -> DataFrame:
     """One row: episodes, those with sources, consolidated fragments, and the last run."""
     held = members.groupBy("memory_id").agg(F.count_distinct("fragment_id").alias("_n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import recall as r
 from ..operators import state as o
 from ..sources import adapter as a
-from .q_recall import PLAIN, _vector_queries
+from .q_recall import PLAIN, TOKENS, _vector_queries
 from .q_tables import EPISODES, T, _episodes
 from .q_upkeep import HOLDS
 
@@ -108,6 +108,24 @@ def queues(spark, d):
     return o.review_queues(m)
 
 
+def checks(spark, d):
+    """Fragments are the model; their last evidence is as old as the id's number of days within two months."""
+    i = F.col("fragment_id")
+    seen = F.when(i % 4 > 0, F.timestamp_seconds(F.lit(a.NOW) - i % 60 * 86400))
+    m = a.fragments(spark, d).select("owner_id", i.alias("entry_id"), pick(TYPES, F.floor(i / 50)).alias("type"), "status", "content", seen.alias("last_evidence_at"))
+    return o.trait_checks(m, a.fragments(spark, d), a.now())
+
+
+def judged(spark, d):
+    """A judge's links of every fragment to a place, some of them there already, and rematches."""
+    i = F.col("fragment_id")
+    f = a.fragments(spark, d)
+    first = f.select("fragment_id", (F.lit(100) + i % 25).cast("long").alias("entity_id"), F.when(i % 4 > 0, i % 4 / F.lit(4.0)).alias("confidence"))
+    now = o.add_judged_links(a.links(spark, d), first.unionByName(first), 0.3)
+    again = f.select("fragment_id", (F.lit(100) + (i + 1) % 25).cast("long").alias("entity_id"), F.lit(1.0).alias("confidence")).filter("fragment_id % 2 = 0")
+    return o.add_judged_links(now, again, fixed=0.6).select("fragment_id", "entity_id", R6(F.col("confidence"), "confidence"))
+
+
 def report(spark, d):
     members = a.fragments(spark, d).filter("fragment_id % 3 = 0").select("entity", "created_at", "fragment_id").join(_episodes(spark, d).select("memory_id", "entity", "created_at"), ["entity", "created_at"])
     return o.consolidation_report(_episodes(spark, d), members).withColumn("last_run", F.unix_timestamp("last_run"))
@@ -119,7 +137,7 @@ def browsed(spark, d):
 
 Q = {
     "f24_state_expiry": expiry, "f25_initial_confidence": confidence, "f32_ascii_like": like, "p10_exclude_sources": excluded, "p9_list_episodes": listed, "j11_route_links": routed, "j14_vector_hints": hints, "j44_alias_backfill": backfill,
-    "j43_hit_sources": sources, "a23_observed_span": span, "t9_merge_queue": proposals, "t24_episode_verdicts": verdicts, "a14_relation_queue": relations, "p22_review_queues": queues, "a38_consolidation_report": report, "p24_browse": browsed,
+    "j43_hit_sources": sources, "a23_observed_span": span, "t9_merge_queue": proposals, "t24_episode_verdicts": verdicts, "a14_relation_queue": relations, "p22_review_queues": queues, "p22_trait_checks": checks, "t24_judged_links": judged, "a38_consolidation_report": report, "p24_browse": browsed,
 }
 
 _hours = " ".join(f"WHEN cat='{c}' AND cls='{k}' THEN {h}" for c, row in (*o.TTL_HOURS.items(), ("unknown", o.TTL_HOURS["emotional"])) for k, h in row.items())
@@ -148,6 +166,12 @@ S = {
     "a14_relation_queue": a.sql("fragments links entities", f"""SELECT entity_id, n, n_new, reason FROM (SELECT *, CASE WHEN entity_id%2=1 AND n>=5 AND (last=0 OR n>=last+3) THEN 'new' WHEN entity_id%4 IN (0,2) AND (seen IS NULL OR seen<{T}-INTERVAL 1 DAY) AND n_new>=3 THEN 'recheck' WHEN entity_id%4=1 AND seen<{T}-INTERVAL 30 DAY AND n_new>=5 THEN 'stale' END AS reason
         FROM (SELECT entity_id, last, seen, count(*) AS n, count(*) FILTER (seen IS NULL OR f.created_at>seen) AS n_new FROM ee JOIN ow USING (entity_id) JOIN fragments f USING (fragment_id) WHERE f.status='active' GROUP BY ALL)) WHERE reason IS NOT NULL""",
                                ow=OWN, ee=f"SELECT entity_id, CASE WHEN entity_id%5>0 THEN entity_id%60 ELSE 0 END AS last, CASE WHEN entity_id%3>0 THEN {T}-to_days((entity_id%45)::INT) END AS seen FROM entities"),
+    "p22_trait_checks": a.sql("fragments", """SELECT owner_id, entry_id, place, b.fragment_id, shared, rank FROM tr LEFT JOIN (SELECT e AS entry_id, fragment_id, n AS shared, row_number() OVER (PARTITION BY e ORDER BY n DESC, fragment_id) AS rank FROM
+        (SELECT x.entry_id AS e, y.fragment_id, count(*) AS n FROM xt x JOIN yt y USING (owner_id, token) WHERE x.entry_id<>y.fragment_id GROUP BY 1,2 HAVING count(*)>=2) QUALIFY rank<=5) b USING (entry_id)""",
+        tr=f"SELECT owner_id, fragment_id AS entry_id, content, row_number() OVER (PARTITION BY owner_id ORDER BY CASE WHEN fragment_id%4=0 THEN 1 ELSE 0 END DESC, CASE WHEN fragment_id%4>0 THEN fragment_id%60 END DESC, fragment_id) AS place FROM (SELECT *, {pick_sql(TYPES, '(fragment_id//50)')} AS t4 FROM fragments WHERE status='active') WHERE t4='stable_trait' QUALIFY place<=5",
+        xt=f"SELECT owner_id, entry_id, unnest(list_distinct({TOKENS.format('content')})) AS token FROM tr", yt=f"SELECT owner_id, fragment_id, unnest(list_distinct({TOKENS.format('content')})) AS token FROM fragments WHERE status='active' AND epoch(created_at)>={a.NOW}-14*86400"),
+    "t24_judged_links": a.sql("fragments links", """SELECT fragment_id, entity_id, round(confidence,6) AS confidence FROM n1 UNION ALL SELECT fragment_id, 100+(fragment_id+1)%25, 0.6 FROM fragments WHERE fragment_id%2=0 AND NOT EXISTS (FROM n1 WHERE n1.fragment_id=fragments.fragment_id AND n1.entity_id=100+(fragments.fragment_id+1)%25)""",
+        n1="SELECT fragment_id, entity_id, confidence FROM links UNION ALL SELECT fragment_id, 100+fragment_id%25, c FROM (SELECT fragment_id, CASE WHEN fragment_id%4=0 THEN 0.7 ELSE fragment_id%4/4.0 END::DOUBLE AS c FROM fragments) x WHERE c>=0.3 AND NOT EXISTS (FROM links l WHERE l.fragment_id=x.fragment_id AND l.entity_id=100+x.fragment_id%25)"),
     "p22_review_queues": a.sql("fragments", """SELECT owner_id, fragment_id AS entry_id, 'validate' AS queue FROM fr WHERE type4='active_hypothesis' AND evidence_count>=3 UNION ALL SELECT owner_id, fragment_id, 'review' FROM (SELECT * FROM fr WHERE type4='stable_trait' AND fragment_id%3=0
         QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY fragment_id%7 DESC, confidence, fragment_id)<=5)""", fr=f"SELECT *, {pick_sql(TYPES, '(fragment_id//50)')} AS type4 FROM fragments WHERE status='active'"),
     "a38_consolidation_report": a.sql("fragments", "SELECT count(*) AS episodes, count(*) FILTER (n>0) AS with_sources, coalesce(sum(n),0)::BIGINT AS consolidated, max(epoch(created_at)::BIGINT) AS last_run FROM ep LEFT JOIN (SELECT entity, created_at, count(*) AS n FROM fragments WHERE fragment_id%3=0 GROUP BY 1,2) USING (entity, created_at)", ep=EPISODES),
