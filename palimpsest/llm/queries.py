@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, licenses, packing, pii, quality, sharding, toolcalls, toxicity
+from . import decontaminate, exact_dedup, jaccard, licenses, packing, pii, quality, repair, sharding, toolcalls, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return repair.digest(repair.repair(repair.damage(given)), given)
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_tool_calls": op2_tool_calls,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_repair": op11_repair,
 }
 
 #: Words as the contract takes them.
@@ -81,6 +87,17 @@ _TEMPLATES = ", ".join(
     f"('{label}', {base}, {_list(words)}, {_list(phrase)}, {at})" for _, label, base, words, phrase, at in licenses.all_templates(licenses.TEMPLATES + licenses.NOTICES)
 )
 
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes, by bytes. Its table follows from the polynomial."""
+    steps = list(range(256))
+    for _ in range(8):
+        steps = [(c >> 1) ^ (0xEDB88320 * (c & 1)) for c in steps]
+    code = f"list_transform(range(0, 2 * octet_length(encode({text})), 2), lambda i: ('0x' || substr(hex(encode({text})), i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({code}, lambda c, b: xor(c >> 8, ({steps}::BIGINT[])[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+_STOPS = "('.', '!', '?')"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": rf"""
 WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
@@ -124,5 +141,27 @@ WITH p AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY d) AS group_size,
        doc_id = first_value(doc_id) OVER w AS kept, d AS text_sha256
 FROM p WINDOW w AS (PARTITION BY d ORDER BY n DESC, doc_id)
+""",
+    "op11_repair": rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, {_crc32("key")} % 20 AS hit FROM k),
+m AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM h, (VALUES (0), (1)) c(copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)),
+o AS (SELECT *, rtrim(text, E' \t\n\x0b\x0c\r') AS bare, row_number() OVER w AS i, coalesce(lag(left(role, 1)) OVER w || left(role, 1) IN ('su', 'ua', 'au'), true) AS legal FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, left(role, 1) AS initial, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN {_STOPS} THEN 'truncated' ELSE '' END AS fault FROM o),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+      count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (NOT legal) AS illegal FROM f GROUP BY conv_id),
+g(a, b, made, said) AS (VALUES (0, 0, '', ''), (0, 2, 'I', 'user:'), (0, 3, 'II', E'user:\nassistant:'), (1, 1, '', ''), (1, 2, 'I', 'user:'), (1, 3, 'II', E'user:\nassistant:'), (2, 2, '', ''), (2, 3, 'I', 'assistant:'), (3, 3, '', ''), (3, 2, 'I', 'user:')),
+e(letter, initial, b, c) AS (VALUES ('D', NULL, 0, 0), ('D', NULL, 1, 1), ('D', NULL, 2, 2), ('D', NULL, 3, 3), ('R', NULL, 0, 2), ('R', NULL, 1, 2), ('R', NULL, 2, 3), ('R', NULL, 3, 2), ('K', 's', 0, 1), ('K', 'u', 0, 2), ('K', 'u', 1, 2), ('K', 'u', 3, 2), ('K', 'a', 2, 3)),
+x AS (SELECT f.conv_id, f.i, g.a, e.c, 3 * length(made) + CASE letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END AS cost, made || letter AS edits,
+      list_filter([said, CASE letter WHEN 'K' THEN role || ':' || text WHEN 'R' THEN CASE c WHEN 2 THEN 'user:' ELSE 'assistant:' END || text ELSE '' END], lambda p: p <> '') AS lines
+      FROM f, g JOIN e USING (b) WHERE (letter <> 'K' OR e.initial = f.initial) AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate'))),
+r AS (SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM n UNION ALL
+      SELECT r.conv_id, r.i + 1, x.c, min({{'cost': r.best.cost + x.cost, 'audit': r.best.audit || x.edits, 'lines': r.best.lines || x.lines}}) FROM r JOIN x ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND x.i = r.i + 1 AND x.a = r.state GROUP BY r.conv_id, r.i, x.c),
+z AS (SELECT r.conv_id, min({{'cost': best.cost + 3 * length(made), 'audit': best.audit || made, 'lines': best.lines || list_filter([said], lambda p: p <> '')}}) AS best
+      FROM r JOIN n ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.n JOIN g ON g.a = r.state AND (g.b = 3 OR g.b = 0) GROUP BY r.conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, E'\n'), '')) AS repaired_sha256
+FROM c LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN z ON c.conv_id IS NOT DISTINCT FROM z.conv_id
 """,
 }
