@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, licenses, packing, pii, quality, repair, sharding, toolcalls, toxicity
+from . import decontaminate, exact_dedup, jaccard, licenses, packing, pii, quality, repair, resample, sharding, toolcalls, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.repair(repair.damage(given)), given)
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_tool_calls": op2_tool_calls,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_repair": op11_repair,
+    "op13_resample": op13_resample,
 }
 
 #: Words as the contract takes them.
@@ -163,5 +168,21 @@ c AS (SELECT DISTINCT conv_id FROM conversations)
 SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
        coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, E'\n'), '')) AS repaired_sha256
 FROM c LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN z ON c.conv_id IS NOT DISTINCT FROM z.conv_id
+""",
+    "op13_resample": rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+i AS (SELECT {_WORDS.format("text")} AS w FROM benchmark),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS run FROM d),
+q AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS run FROM i),
+n AS (SELECT run, {_crc32("run")} % 10000 AS bucket FROM (SELECT run FROM g UNION SELECT run FROM q)),
+p AS (SELECT doc_id, bucket, count(*) AS k FROM g JOIN n USING (run) GROUP BY doc_id, bucket),
+s AS (SELECT bucket, sum(k) AS s FROM p GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM q JOIN n USING (run) GROUP BY bucket),
+a AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM q) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, sum(k * gain)::BIGINT AS weight FROM p JOIN a USING (bucket) GROUP BY doc_id),
+c AS (SELECT d.doc_id, len(d.w) AS n_words, len(d.w) + greatest(len(d.w) - 1, 0) + greatest(len(d.w) - 2, 0) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || d.doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS drawn FROM c)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM r
 """,
 }
