@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, licenses, packing, pii, quality, repair, resample, sharding, toolcalls, toxicity
+from . import decontaminate, exact_dedup, jaccard, langid, licenses, packing, pii, quality, repair, resample, sharding, toolcalls, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.repair(repair.damage(given)), given)
 
 
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_repair": op11_repair,
+    "op12_langid": op12_langid,
     "op13_resample": op13_resample,
 }
 
