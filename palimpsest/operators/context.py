@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from .linking import mention_join
+from .postings import Postings
 from .recall import bm25_topk, exploded, take_within_budget, top_n, vector_topk
 
 #: Fixed values of the rendered text: headers and the warning about several people.
@@ -17,12 +18,13 @@ WARNING = "⚠️ 以上記憶涉及不同的人（{}），不要混為一談。
 SHARES = {"core": 0.3, "recall": 0.5, "float": 0.2}
 
 
-def search_all(queries: DataFrame, fragments: DataFrame, episodes: DataFrame, k: int) -> DataFrame:
-    """(query_id, source, id, score, rank): full text over active fragments and over permanent episodes (memory_id, owner_id, title, tags,
-    layer, status), merged by score."""
+def search_all(queries: DataFrame, fragments: DataFrame | Postings, episodes: DataFrame, k: int) -> DataFrame:
+    """(query_id, source, id, score, rank): full text over active fragments, or a standing index of them, and over permanent episodes
+    (memory_id, owner_id, title, tags, layer, status), merged by score."""
     whole = episodes.filter("layer = 'episode' and status = 'permanent'").withColumn("text", F.concat_ws(" ", "title", "tags"))
     name = lambda df, id_col, source: df.select("query_id", F.lit(source).alias("source"), F.col(id_col).alias("id"), "score")
-    both = name(bm25_topk(queries, fragments.filter("status = 'active'"), k), "fragment_id", "fragment")
+    found = fragments.search(queries, k) if isinstance(fragments, Postings) else bm25_topk(queries, fragments.filter("status = 'active'"), k)
+    both = name(found, "fragment_id", "fragment")
     both = both.unionByName(name(bm25_topk(queries, whole, k, id_col="memory_id", text_col="text"), "memory_id", "memory"))
     return top_n(both, ["query_id"], [F.desc("score"), F.asc("source"), F.asc("id")], k)
 

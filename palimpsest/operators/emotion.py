@@ -43,12 +43,12 @@ def topic_slots(events: DataFrame) -> DataFrame:
 
 
 def baselines(obs: DataFrame) -> DataFrame:
-    """Mean of each (owner, dim, slot), shrunk to the owner's, which is shrunk to the prior; unweighted closed form."""
-    slots = obs.groupBy("owner_id", "dim", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    """Mean of each (owner, dim, slot), shrunk to the owner's, which is shrunk to the prior; unweighted closed form. Sums are of twelve
+    decimals, so that they don't depend on the order of their terms."""
+    slots = obs.groupBy("owner_id", "dim", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("decimal(25,12)")).alias("s"))
     w = Window.partitionBy("owner_id", "dim")
-    n, total = F.sum("n").over(w), F.sum("s").over(w)
-    overall = (total + USER_N0 * PRIOR_MU) / (n + USER_N0)
-    return slots.withColumn("overall", overall).withColumn("mu", (F.col("s") + SLOT_N0 * F.col("overall")) / (F.col("n") + SLOT_N0))
+    overall = (F.sum("s").over(w).cast("double") + USER_N0 * PRIOR_MU) / (F.sum("n").over(w) + USER_N0)
+    return slots.withColumn("overall", overall).withColumn("s", F.col("s").cast("double")).withColumn("mu", (F.col("s") + SLOT_N0 * F.col("overall")) / (F.col("n") + SLOT_N0))
 
 
 def event_arcs(df: DataFrame) -> DataFrame:

@@ -149,9 +149,16 @@ def evidence_thinning(ids: Column, n: int = 50) -> Column:
     return F.when(F.size(ids) <= n, ids).otherwise(F.concat(F.slice(ids, 1, half), F.slice(ids, -(n - half), n - half)))
 
 
+def sound_unions(spark: SparkSession) -> None:
+    """Spark 4.1 takes a union of inputs that are dealt by the same key as dealt by it, even where adaptive execution has merged their partitions
+    differently; a grouping by that key then splits its groups. Such unions are dealt anew with this switch."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local master gets a temporary one; on a cluster
     it has to be set, as executors don't see one another's disks."""
+    sound_unions(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):

@@ -10,7 +10,7 @@ from ..operators import dates, model, recall, review
 from ..sources import adapter as a
 from .q_linking import MENTION, NORM, _terms
 from .q_model import U
-from .q_recall import BM25, HYBRID, INTENT, INTENTS, NAMED, SELF, TOKENS, _fts, _hybrid, _named, rank_sql
+from .q_recall import BM25, HYBRID, INTENT, INTENTS, NAMED, SELF, TOKENS, _fts, _hybrid, _named, index, rank_sql
 from .q_screening import _pick, _pick_sql
 from .q_tables import DAYS
 
@@ -25,7 +25,7 @@ def _episodes(spark, d):
 
 
 def everywhere(spark, d):
-    return o.search_all(a.questions(spark, d), a.fragments(spark, d), _episodes(spark, d), 10).select("query_id", "source", "id", R4("score"), "rank")
+    return o.search_all(a.questions(spark, d), index(spark, d), _episodes(spark, d), 10).select("query_id", "source", "id", R4("score"), "rank")
 
 
 EPISODES = {

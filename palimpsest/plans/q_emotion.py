@@ -150,7 +150,7 @@ S = {
     "a8_entity_emotion_stats": a.sql("observations", "SELECT entity_id, dim, floor(epoch(last_at))::BIGINT AS last_s, round(n,6) AS n, round(hits,6) AS hits, round(mag,6) AS mag FROM st", **EVENTS),
     "a9_emotion_rates": a.sql("observations", "SELECT entity_id, dim, round((hits+3.0*p0)/(n+3.0),6) AS rate, round((hits+3.0*p0)/(n+3.0)/p0,6) AS lift FROM p0", **RATES),
     "a10_topic_slots": a.sql("observations", f"SELECT category, slot, dim, round(sum({FADE}),6) AS n, round(sum({FADE}*y)/sum({FADE}),6) AS mean FROM (SELECT *, max(t) OVER (PARTITION BY category, slot, dim) AS last_at FROM x) GROUP BY ALL", x=f"SELECT *, {SLOT} AS slot, CASE WHEN owner_id%2=0 THEN 'even' ELSE 'odd' END AS category FROM observations"),
-    "a25_baselines": a.sql("observations", "SELECT owner_id, dim, slot, n, round(overall,6) AS overall, round((s+8*overall)/(n+8),6) AS mu FROM (SELECT *, (sum(s) OVER w+10*0.2)/(sum(n) OVER w+10) AS overall FROM x WINDOW w AS (PARTITION BY owner_id, dim))", x=f"SELECT owner_id, dim, {SLOT} AS slot, count(*) AS n, sum(y) AS s FROM observations GROUP BY ALL"),
+    "a25_baselines": a.sql("observations", "SELECT owner_id, dim, slot, n, round(overall,6) AS overall, round((s::DOUBLE+8*overall)/(n+8),6) AS mu FROM (SELECT *, ((sum(s) OVER w)::DOUBLE+10*0.2::DOUBLE)/(sum(n) OVER w+10) AS overall FROM x WINDOW w AS (PARTITION BY owner_id, dim))", x=f"SELECT owner_id, dim, {SLOT} AS slot, count(*) AS n, sum(y::DECIMAL(25,12)) AS s FROM observations GROUP BY ALL"),
     "a11_event_arcs": a.sql("observations", "SELECT event, count(*) AS n, round(avg(y) FILTER (NOT f),6) AS before, round(avg(y) FILTER (f),6) AS after, round(avg(y) FILTER (f)-avg(y) FILTER (NOT f),6) AS delta FROM x GROUP BY event", x="SELECT y, owner_id||'/'||dim AS event, t::DATE >= DATE '2024-01-05' + (owner_id%20)::INT AS f FROM observations"),
     "a12_high_days": a.sql("fragments", "SELECT owner_id, strftime(day,'%Y-%m-%d') AS day, n, round(mean,6) AS mean, row_number() OVER (PARTITION BY owner_id ORDER BY day DESC) AS rank FROM (SELECT owner_id, created_at::DATE AS day, count(*) AS n, avg(emotional_weight) AS mean FROM fragments WHERE emotional_weight>=0.6 GROUP BY ALL HAVING count(*)>=3) QUALIFY rank<=5"),
     "t21_anniversaries": a.sql("fragments", f"SELECT fragment_id FROM (SELECT fragment_id, created_at + to_days((fragment_id%3-365*(fragment_id%2))::INT) + INTERVAL 8 HOUR AS l FROM fragments) WHERE strftime(l,'%m-%d')=strftime(make_timestamp({a.NOW}*1000000::BIGINT)+INTERVAL 8 HOUR,'%m-%d') AND year(l)<2024"),

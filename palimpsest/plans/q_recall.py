@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scoring as s
 from ..functions import text as t
 from ..operators import recall as r
+from ..operators.postings import Postings, fingerprint
+from ..operators.tables import scratch
 from ..sources import adapter as a
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0},'')), '[\p{{L}}\p{{N}}]+')"
@@ -44,8 +46,18 @@ def rank_sql(source: str) -> dict[str, str]:
     }
 
 
+def index(spark: SparkSession, d: str, every: bool = False) -> Postings:
+    """The standing index of a folder's active fragments, or of all of them as one owner's; it is made where the shared folder has none of the
+    files as they are now."""
+    made = Postings(spark, f"{scratch(spark)}/postings-{fingerprint(spark, f'{d}/documents.parquet')}{'-all' if every else ''}")
+    if not made.batches():
+        f = a.fragments(spark, d)
+        made.append(f.withColumn("owner_id", F.lit(0)) if every else f.filter("status = 'active'"), 1)
+    return made
+
+
 def _fts(spark: SparkSession, d: str, k: int = 16) -> DataFrame:
-    return r.bm25_topk(a.questions(spark, d), a.fragments(spark, d).filter("status = 'active'"), k)
+    return index(spark, d).search(a.questions(spark, d), k)
 
 
 def _intents(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +167,7 @@ EVIDENCE = {"evidence": "SELECT query_id, fragment_id FROM questions JOIN fragme
 
 
 def metrics(spark, d):
-    hits = r.bm25_topk(a.questions(spark, d), a.fragments(spark, d), 20, by=())
+    hits = index(spark, d, every=True).search(a.questions(spark, d).withColumn("owner_id", F.lit(0)), 20)
     return r.retrieval_metrics(hits, _evidence(spark, d))
 
 

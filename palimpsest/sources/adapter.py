@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import sound_unions
+
 #: 2024-01-01 00:00:00 and 2024-02-01 00:00:00 UTC, in seconds: the start of all derived times, and "now".
 START, NOW = 1704067200, 1706745600
 
@@ -14,6 +16,7 @@ def now():
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
