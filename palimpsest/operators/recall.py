@@ -9,9 +9,12 @@ from pyspark.sql.window import Window
 
 from ..functions import scoring as s
 from ..functions import text as t
+from .tables import settle
 
 #: Queries and vectors of a block: what a task compares has a bounded size.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
+#: Vectors of a cell about, and pivots at most.
+CELL_ROWS, MAX_PIVOTS = 1024, 4096
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
@@ -77,18 +80,104 @@ def _nearest(k: int, floor: float):
     return run
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.2, skip_self: bool = False) -> DataFrame:
-    """(query_id, fragment_id, similarity, rank) by exact cosine; queries are (query_id, embedding). Blocks of queries meet blocks of
-    vectors in a cogroup, each pair of blocks in a task of bounded size; a pair keeps its best k. Null vectors are left out."""
+def _distances(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    squared = (u**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * (u @ pivots.T)
+    return np.sqrt(np.maximum(squared, 0))
+
+
+def _place(pivots: np.ndarray):
+    """The nearest pivot of each vector, and how far it is."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            far = _distances(_matrix(batch.column("embedding")), pivots)
+            cell = far.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far[np.arange(len(far)), cell])], ["fragment_id", "embedding", "cell", "radius"])
+
+    return run
+
+
+def _route(pivots: np.ndarray, size: np.ndarray, least: np.ndarray, most: np.ndarray, need: int, later: bool):
+    """The cells that each query meets: first its nearest ones that hold ``need`` vectors; later all others that may hold one within its reach. A
+    cell's vectors lie between ``least`` and ``most`` of its pivot, and no nearer to another."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            far = _distances(_matrix(batch.column("embedding")), pivots)
+            order = np.argsort(far, axis=1, kind="stable")
+            before = np.cumsum(size[order], 1) - size[order]
+            met = np.zeros(far.shape, bool)
+            np.put_along_axis(met, order, before < need, 1)
+            if later:
+                bound = np.maximum(np.maximum(far - most, least - far), (far - far.min(1, keepdims=True)) / 2)
+                met = ~met & (bound <= batch.column("reach").to_numpy()[:, None])
+            met &= size > 0
+            row, cell = np.nonzero(met)
+            cut = np.searchsorted(row, np.arange(len(batch) + 1))
+            cells = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(cell.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("embedding"), cells], ["query_id", "embedding", "cells"])
+
+    return run
+
+
+def _meet(routes: DataFrame, placed: DataFrame, size: np.ndarray, k: int, floor: float, met: dict | None) -> DataFrame:
+    """The k nearest in each block of a cell for the queries that are sent there: queries and vectors of a cell are dealt into blocks, and
+    each pair of blocks is a cogroup of bounded size."""
+    spark = routes.sparkSession
+    routes = settle(routes)
+    sent = routes.select("query_id", "embedding", F.explode("cells").alias("cell"))
+    asked = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each pivot at most
+    if met is not None:
+        met["pairs"] = met.get("pairs", 0) + sum(n * int(size[c]) for c, n in asked.items())
+    blocks = spark.createDataFrame([(c, -(-n // QUERY_BLOCK), -(-int(size[c]) // VECTOR_BLOCK)) for c, n in asked.items()], "cell int, qbs int, vbs int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = sent.join(F.broadcast(blocks), "cell").select("query_id", "embedding", "cell", own("query_id", "qbs").alias("qb"), every("vbs").alias("vb"))
+    right = placed.join(F.broadcast(blocks), "cell").select("fragment_id", "embedding", "cell", own("fragment_id", "vbs").alias("vb"), every("qbs").alias("qb"))
+    keys = ("cell", "qb", "vb")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest(k, floor), "query_id long, fragment_id long, similarity double")
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.2, skip_self: bool = False, met: dict | None = None) -> DataFrame:
+    """(query_id, fragment_id, similarity, rank) by exact cosine; queries are (query_id, embedding). Null vectors are left out.
+
+    Vectors lie in the cells of their nearest pivots, CELL_ROWS of them about in each. A query meets its nearest cells first; the k-th
+    similarity there is its reach, and it then meets those other cells alone that by the triangle inequality may hold a vector within it. Unit vectors of
+    similarity s are sqrt(2 - 2 s) apart. ``met`` gets the number of pairs that were compared, and of all pairs."""
     # an alias, as queries may come from the vectors themselves
-    q = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("embedding"))
-    v = vectors.filter("embedding is not null").select(F.col("fragment_id").cast("long").alias("fragment_id"), "embedding")
-    n_q, n_v = (max(1, -(-n // size)) for n, size in ((q.count(), QUERY_BLOCK), (v.count(), VECTOR_BLOCK)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = q.select("query_id", "embedding", own("query_id", n_q).alias("qb"), every(n_v).alias("vb")).groupBy("qb", "vb")
-    right = v.select("fragment_id", "embedding", own("fragment_id", n_v).alias("vb"), every(n_q).alias("qb")).groupBy("qb", "vb")
-    out = left.cogroup(right).applyInArrow(_nearest(k + skip_self, floor), "query_id long, fragment_id long, similarity double")
+    q = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = vectors.filter("embedding is not null").select(F.col("fragment_id").cast("long").alias("fragment_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    n, need = v.count(), k + skip_self
+    wanted = min(MAX_PIVOTS, -(-n // CELL_ROWS))
+    # at most MAX_PIVOTS vectors, by a hash of the id
+    chosen = v.orderBy(F.xxhash64("fragment_id"), "fragment_id").limit(max(wanted, 1)).select("embedding").toArrow().combine_chunks()
+    if not n:
+        return q.sparkSession.createDataFrame([], "query_id long, fragment_id long, similarity double, rank long")
+    pivots = np.unique(_matrix(chosen.column("embedding")), axis=0)
+    placed = v.mapInArrow(_place(pivots), "fragment_id long, embedding array<double>, cell int, radius double")
+    size, least, most = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+    if len(pivots) > 1:
+        placed = settle(placed)
+        for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect():  # a row for each pivot
+            size[r.cell], least[r.cell], most[r.cell] = r.n, r.lo, r.hi
+    else:
+        size[:] = n
+    if met is not None:
+        met |= {"pairs": 0, "of": n * q.count()}
+    schema = "query_id long, embedding array<double>, cells array<int>"
+    out = _meet(q.mapInArrow(_route(pivots, size, least, most, need, later=False), schema), placed, size, need, floor, met)
+    if len(pivots) > 1:
+        out = settle(out)
+        last = top_n(out, ["query_id"], [F.desc("similarity"), F.asc("fragment_id")], need).filter(F.col("rank") == need).select("query_id", F.col("similarity").alias("_last"))
+        # similarities are rounded to six places; a distance carries the error of a square root
+        near = F.greatest(F.lit(float(floor)), F.coalesce("_last", F.lit(float(floor)))) - 2e-6
+        reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * near)) + 1e-6
+        asking = q.join(last, "query_id", "left").select("query_id", "embedding", reach.alias("reach"))
+        out = out.unionByName(_meet(asking.mapInArrow(_route(pivots, size, least, most, need, later=True), schema), placed, size, need, floor, met))
     if skip_self:
         out = out.filter("query_id <> fragment_id")
     return top_n(out, ["query_id"], [F.desc("similarity"), F.asc("fragment_id")], k)
