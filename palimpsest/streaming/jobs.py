@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.emotion import RUN, Baseline
 from ..operators.evidence import ACTIONS, Book
 from ..operators.tables import scratch
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -31,6 +37,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files: int = 64) ->
 def run(stream: DataFrame, mode: str) -> DataFrame:
     """Process all that is there and return every batch's rows with ``batch_id``. State and results are in the shared folder."""
     spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # timers and lists need it
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
     spark.createDataFrame([], schema).write.parquet(f"{folder}/out/none")
 
@@ -88,92 +95,189 @@ def online_baseline(stream: DataFrame) -> DataFrame:
     return fold(stream, ["owner_id", "dim"], ["hours", "obs_id"], Baseline, lambda own, r: [(r.obs_id, *own.step(r.y, r.hours, r.slot))], RUN)
 
 
+class Timed(StatefulProcessor):
+    """Rows of a key in time, over state that is a list of rows, with one timer of the event time at the next moment when something is due.
+
+    ``make(rows)`` gives an object with ``rows()``, ``next()`` (seconds, or None) and ``due(now)``, rows of the result that are due by
+    then; ``step(object, row)`` gives those of a row, once all that was due before it is out. Rows of one batch are put in order; a
+    batch's rows come after those of earlier batches, or after the watermark."""
+
+    def __init__(self, make, state: str, step, order: list[str], schema: str) -> None:
+        self.make, self.schema, self.step, self.order = make, state, step, order
+        self.columns = [part.split()[0] for part in schema.split(", ")]
+
+    def init(self, handle) -> None:
+        self.handle, self.kept = handle, handle.getListState("kept", self.schema)
+
+    def _end(self, key, own, out):
+        import pandas as pd
+
+        rows, due = own.rows(), own.next()
+        self.kept.put(rows) if rows else self.kept.clear()
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if due is not None:
+            self.handle.registerTimer(math.ceil(due * 1000))
+        if out:
+            yield pd.DataFrame([(*key, *line) for line in out], columns=self.columns, dtype=object)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        own, out = self.make(list(self.kept.get())), []
+        for r in pd.concat(list(rows)).sort_values(self.order).itertuples(index=False):
+            out += own.due(float(r.at))
+            out += self.step(own, r)
+        yield from self._end(key, own, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        own = self.make(list(self.kept.get()))
+        yield from self._end(key, own, own.due(expiredTimerInfo.getExpiryTimeInMs() / 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def timed(stream: DataFrame, key: str, delay: str, make, state: str, step, order: list[str], schema: str) -> DataFrame:
+    """``Timed`` over a stream with ``at`` in seconds; timers fire when the watermark, ``delay`` behind the latest row of any key, has passed them. Rows that are no later than the watermark are
+    dropped, so that a delay of nothing suits a single batch alone."""
+    rows = stream.withColumn("_ts", F.timestamp_seconds("at")).withWatermark("_ts", delay)
+    return rows.groupBy(key).transformWithStateInPandas(Timed(make, state, step, order, schema), schema, "append", "eventTime")
+
+
 class Pending:
-    """A chat's messages that wait for extraction, and when they go: at 100; after four hours at 30; after twenty minutes' silence at 60,
-    or with a word of strong emotion. They go in batches of 60."""
+    """A chat's messages that wait for extraction, and when they go: at 100; at 30 where the last that went is four hours old or none
+    went yet; after twenty minutes' silence with a word of strong emotion, or at 60. They go in batches of 60."""
 
     FORCE, STALE, STALE_SECONDS, SILENT, SILENCE_SECONDS, BATCH = 100, 30, 4 * 3600, 60, 20 * 60, 60
 
-    def __init__(self, state: dict | None = None) -> None:
-        self.rows = [tuple(r) for r in (state or {}).get("rows", [])]
+    def __init__(self, rows: list[tuple] = ()) -> None:
+        """Rows are (at, id, strong); the last message that went is kept as one without an id."""
+        self.went = next((at for at, id_, _ in rows if id_ is None), None)
+        self.waiting = [tuple(r) for r in rows if r[1] is not None]
 
-    def state(self) -> dict:
-        return {"rows": self.rows}
-
-    def due(self, now: float) -> str | None:
-        n = len(self.rows)
-        if n >= self.FORCE:
-            return "force"
-        silent = n > 0 and now - self.rows[-1][0] >= self.SILENCE_SECONDS
-        if silent and n >= self.SILENT:
-            return "silence"
-        if silent and any(r[2] for r in self.rows):
-            return "emotion"
-        return "stale" if n >= self.STALE and now - self.rows[0][0] >= self.STALE_SECONDS else None
-
-    def go(self, now: float) -> list[tuple]:
+    def rows(self) -> list[tuple]:
+        return [*([] if self.went is None else [(self.went, None, None)]), *self.waiting]
+
+    def _stale(self) -> float | None:
+        """Since when enough messages are too old."""
+        if len(self.waiting) < self.STALE:
+            return None
+        return self.waiting[-1][0] if self.went is None else max(self.went + self.STALE_SECONDS, self.waiting[-1][0])
+
+    def _silent(self) -> float | None:
+        some = self.waiting and (len(self.waiting) >= self.SILENT or any(strong for *_, strong in self.waiting))
+        return self.waiting[-1][0] + self.SILENCE_SECONDS if some else None
+
+    def next(self) -> float | None:
+        return min((x for x in (self._stale(), self._silent()) if x is not None), default=None)
+
+    def due(self, now: float) -> list[tuple]:
         """(reason, first message, last message, number) of the batches that are due."""
-        why = self.due(now)
-        if why is None:
+        when, stale = self.next(), self._stale()
+        if len(self.waiting) >= self.FORCE:
+            why = "force"
+        elif when is None or when > now:
             return []
-        ids, self.rows = [r[1] for r in self.rows], []
+        else:
+            why = "stale" if stale is not None and stale <= when else "emotion" if any(strong for *_, strong in self.waiting) else "silence"
+        ids, self.went, self.waiting = [r[1] for r in self.waiting], self.waiting[-1][0], []
         return [(why, part[0], part[-1], len(part)) for part in (ids[i : i + self.BATCH] for i in range(0, len(ids), self.BATCH))]
 
     def arrive(self, at: float, id_: int, strong: bool) -> list[tuple]:
-        out = self.go(at)
-        self.rows.append((at, id_, strong))
-        return out + self.go(at)
+        self.waiting.append((at, id_, strong))
+        return self.due(at)
 
 
 BATCHES = "chat_id long, reason string, first_id long, last_id long, n long"
 
 
-def extraction_batches(stream: DataFrame) -> DataFrame:
-    """The batches of messages (chat_id, msg_id, at in seconds, strong) that are due for extraction, by the time of the messages: a
-    silence shows when the next message comes."""
-    return fold(stream, ["chat_id"], ["at", "msg_id"], Pending, lambda own, r: own.arrive(float(r.at), int(r.msg_id), bool(r.strong)), BATCHES)
+def extraction_batches(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """The batches of messages (chat_id, msg_id, at in seconds, strong) that are due for extraction. A chat that falls silent needs no further
+    message: its timer fires when the watermark has passed."""
+    step = lambda own, r: own.arrive(float(r.at), int(r.msg_id), bool(r.strong))
+    return timed(stream, "chat_id", delay, Pending, "at double, id long, strong boolean", step, ["at", "msg_id"], BATCHES)
 
 
-class Pool:
-    """The last items that were put before the model, five at most, each for half an hour."""
+class Recent:
+    """Items and when they were last put, each for half an hour, at most ``size`` of them. What is older goes with the next row or by
+    the timer."""
 
-    SECONDS, SIZE = 1800, 5
+    SECONDS = 1800
 
-    def __init__(self, state: dict | None = None) -> None:
-        self.items = [tuple(x) for x in (state or {}).get("items", [])]
+    def __init__(self, rows: list[tuple] = (), size: int | None = None) -> None:
+        self.items, self.size = [tuple(r) for r in rows], size
 
-    def state(self) -> dict:
-        return {"items": self.items}
+    def rows(self) -> list[tuple]:
+        return self.items
 
-    def put(self, at: int, item: int) -> int:
-        self.items = [*[x for x in self.items if at - x[0] <= self.SECONDS], (at, item)][-self.SIZE :]
+    def next(self) -> float | None:
+        """Just after the last item's half hour."""
+        return self.items[-1][0] + self.SECONDS + 0.001 if self.items else None
+
+    def due(self, now: float) -> list[tuple]:
+        self.items = [x for x in self.items if now - x[0] <= self.SECONDS]
+        return []
+
+    def put(self, at: float, item: int) -> int:
+        self.due(at)
+        self.items = [*[x for x in self.items if x[1] != item], (at, item)]
+        self.items = self.items[-self.size :] if self.size else self.items
         return len(self.items)
 
+    def known(self) -> list[int]:
+        return sorted(item for _, item in self.items)
+
 
-def working_pool(stream: DataFrame) -> DataFrame:
+def working_pool(stream: DataFrame, size: int = 5, delay: str = "10 minutes") -> DataFrame:
     """For each injection (owner_id, obs_id, at in seconds) how many items the owner's pool then holds."""
-    return fold(stream, ["owner_id"], ["at", "obs_id"], Pool, lambda own, r: [(int(r.obs_id), own.put(int(r.at), int(r.obs_id)))], "owner_id long, obs_id long, pool long")
+    step = lambda own, r: [(int(r.obs_id), own.put(float(r.at), int(r.obs_id)))]
+    return timed(stream, "owner_id", delay, partial(Recent, size=size), "at double, item long", step, ["at", "obs_id"], "owner_id long, obs_id long, pool long")
 
 
-class _States(Book):
-    def __init__(self, state: dict | None = None) -> None:
-        super().__init__((state or {}).get("states"))
+def entity_cache(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """For each message (owner_id, msg_id, at in seconds, entity_ids) the entities that are still known from the last half hour, as a list; those
+    that it names itself are known from then on."""
 
-    def state(self) -> dict:
-        return {"states": self.states}
+    def step(own, r):
+        known = own.known()
+        for entity in [] if r.entity_ids is None else r.entity_ids:
+            own.put(float(r.at), int(entity))
+        return [(int(r.msg_id), known)]
+
+    return timed(stream, "owner_id", delay, Recent, "at double, item long", step, ["at", "msg_id"], "owner_id long, msg_id long, known array<long>")
+
+
+class Current(Book):
+    """An owner's current states; one whose time has come ends by itself."""
+
+    FIELDS = ("id", "at", "by", "until", "tokens", "words")
+    SCHEMA = "id long, at double, by string, until double, tokens array<string>, words array<string>"
+
+    def __init__(self, rows: list[tuple] = ()) -> None:
+        super().__init__([dict(zip(self.FIELDS, [list(x) if k in ("tokens", "words") else x for k, x in zip(self.FIELDS, r, strict=True)], strict=True)) for r in rows])
+
+    def rows(self) -> list[tuple]:
+        return [tuple(x[k] for k in self.FIELDS) for x in self.states]
+
+    def next(self) -> float | None:
+        return min((x["until"] for x in self.states if x["until"] is not None), default=None)
+
+    def due(self, now: float) -> list[tuple]:
+        ended = [x["id"] for x in self.states if x["until"] is not None and x["until"] <= now]
+        self.expire(now)
+        return [(None, "expired", id_, None) for id_ in ended]
 
 
-def current_states(stream: DataFrame) -> DataFrame:
-    """What each statement does to its owner's current states, which end at their time; the states live between batches. Input as of
+def current_states(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """What each statement does to its owner's current states, and the states' ends (action ``expired``, no statement). Input as of
     ``evidence.statements``."""
 
     def step(own, r):
-        own.expire(r.at)
         ttl = None if r.ttl is None or r.ttl != r.ttl else float(r.ttl)
-        action, id_, replaced = own.add(int(r.statement_id), float(r.at), r.by, list(r.tokens), list(r.words), ttl)
-        return [(int(r.statement_id), action, id_, replaced)]
+        return [(int(r.statement_id), *own.add(int(r.statement_id), float(r.at), r.by, list(r.tokens), list(r.words), ttl))]
 
-    return fold(stream, ["owner_id"], ["at", "statement_id"], _States, step, ACTIONS)
+    return timed(stream, "owner_id", delay, Current, Current.SCHEMA, step, ["at", "statement_id"], ACTIONS)
 
 
 class Idle:
