@@ -65,6 +65,11 @@ def grams(text: Column, n: int) -> Column:
     return F.zip_with(F.slice(grams(text, n - 1), 1, F.size(ends)), ends, lambda x, y: F.concat(x, y))
 
 
+def runs(text: Column, n: int) -> Column:
+    """All runs of n neighbouring characters, in no order: those that begin at each remainder of n are matched in one go."""
+    return F.concat(*[F.regexp_extract_all(F.substring(text, i + 1, 1 << 30), F.lit("(?s)" + "." * n), F.lit(0)) for i in range(n)])
+
+
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters of a normalised text."""
     return F.when(F.length(text) >= 2, F.array_distinct(grams(text, 2))).otherwise(F.array().cast("array<string>"))

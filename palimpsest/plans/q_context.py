@@ -54,7 +54,7 @@ VALUES = lambda rows: ", ".join(f"({i}, '{n}')" for i, n in rows)
 CLASSES = {
     **MENTION,
     "fr": f"SELECT fragment_id, {_pick_sql(PHRASES, 'fragment_id')}||content AS c FROM fragments WHERE fragment_id NOT IN (SELECT fragment_id FROM links WHERE confidence<0.45)",
-    "hits": f"""SELECT fragment_id, entity_id, 0.55::DOUBLE AS cf FROM fr JOIN tm ON contains(lower(c), term) AND list_contains({TOKENS.format('c')}, regexp_extract(term, '[\\p{{L}}\\p{{N}}]+'))
+    "hits": f"""SELECT fragment_id, entity_id, 0.55::DOUBLE AS cf FROM fr JOIN tm ON contains(lower(c), term)
         UNION ALL SELECT fragment_id, i, 0.55 FROM fr JOIN (VALUES {VALUES(PEOPLE)}) v(i, n) ON contains(c, n) UNION ALL SELECT fragment_id, i, 0.35 FROM fr JOIN (VALUES {VALUES(PARTS)}) v(i, n) ON contains(c, n)""",
 }
 
@@ -116,7 +116,7 @@ INTUITION = {
     "ww": f"SELECT *, {TOKENS.format('content')} AS w FROM messages",
     "s1": "SELECT m.msg_id, 'state' AS kind, s.msg_id AS item_id, s.content AS c, row_number() OVER (PARTITION BY m.msg_id ORDER BY s.ts DESC, s.msg_id) AS rank FROM messages m JOIN messages s USING (owner_id) WHERE s.sender='user' AND (s.msg_id%3=0 OR s.ts+INTERVAL 25 SECOND>m.ts) QUALIFY rank<=8",
     "nn": "SELECT owner_id, msg_id AS entity_id, array_to_string(w[1:2],' ') AS term FROM ww WHERE msg_id%1000<3 AND length(array_to_string(w[1:2],' '))>=2",
-    "hh": r"SELECT DISTINCT owner_id, entity_id, ts AS seen FROM ww JOIN nn USING (owner_id) WHERE contains(lower(content), term) AND list_contains(w, regexp_extract(term,'[\p{L}\p{N}]+'))",
+    "hh": r"SELECT DISTINCT owner_id, entity_id, ts AS seen FROM ww JOIN nn USING (owner_id) WHERE contains(lower(content), term)",
     "e1": "SELECT msg_id, 'entity' AS kind, entity_id AS item_id, c, row_number() OVER (PARTITION BY msg_id ORDER BY seen DESC, entity_id) AS rank FROM (SELECT m.msg_id, h.entity_id, max(h.seen) AS seen FROM messages m JOIN hh h USING (owner_id) WHERE h.seen<=m.ts AND epoch(m.ts)-epoch(h.seen)<=24 GROUP BY 1,2) JOIN (SELECT msg_id AS entity_id, role||' says so' AS c FROM messages) USING (entity_id) QUALIFY rank<=3",
     "p1": "SELECT x.msg_id, 'pattern' AS kind, y.msg_id AS item_id, y.content AS c, row_number() OVER (PARTITION BY x.msg_id ORDER BY len(list_intersect(x.w, y.w)) DESC, y.msg_id) AS rank FROM ww x JOIN ww y USING (owner_id) WHERE y.sender='ai' AND len(list_intersect(x.w, y.w))>=3 QUALIFY rank<=3",
     "al": f"SELECT *, sum({COST}) OVER (PARTITION BY msg_id ORDER BY o, rank) AS used FROM (SELECT *, 1 AS o FROM s1 UNION ALL SELECT *, 2 FROM e1 UNION ALL SELECT *, 3 FROM p1)",

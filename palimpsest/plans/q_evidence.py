@@ -10,7 +10,6 @@ from ..operators import status as st
 from ..sources import adapter as a
 from .q_emotion import SLOT
 from .q_linking import MENTION, _terms
-from .q_recall import TOKENS
 from .q_screening import _pick, _pick_sql
 from .q_upkeep import MODEL, _model
 
@@ -62,7 +61,7 @@ def targets(spark, d):
     return o.contradiction_targets(v, m, _terms(spark, d)).select("verdict_id", "entry_id", "fragment_id", "why")
 
 
-IN = lambda text: rf"contains(lower({text}), term) AND list_contains({TOKENS.format(text)}, regexp_extract(term, '[\p{{L}}\p{{N}}]+'))"
+IN = lambda text: f"contains(lower({text}), term)"
 TARGETS = {
     **MENTION,
     "v": "SELECT query_id AS verdict_id, query_id%50 AS owner_id, query FROM questions",

@@ -163,7 +163,7 @@ S = {
     "a28_hash_audit": a.sql("fragments", f"SELECT sha256(chr(0)||{NORM.format('content')}) AS hash, strftime(created_at,'%Y-%m-%d') AS day, count(*) AS n FROM fragments GROUP BY ALL HAVING count(*)>1"),
     "j15_near_duplicates": a.sql("fragments", "SELECT fragment_id, min(other) AS duplicate_of FROM p WHERE same OR (na>0 AND nb>0 AND i>=0.8*(na+nb-i) AND na+nb-2*i<=1) GROUP BY 1", **NEAR),
     "a1_accumulate_evidence": a.sql("fragments", "SELECT fragment_id, round(least(1.0::DOUBLE, confidence+0.05*coalesce(n,0)),6) AS confidence, evidence_count+coalesce(n,0) AS evidence_count FROM fragments LEFT JOIN (SELECT fi AS fragment_id, count(DISTINCT fragment_id%5) AS n FROM (SELECT fragment_id, min(fragment_id) OVER (PARTITION BY hash) AS fi FROM h) WHERE fi<>fragment_id GROUP BY 1) USING (fragment_id)", **HASH),
-    "j7_mention_join": a.sql("fragments questions", rf"SELECT DISTINCT fragment_id AS text_id, entity_id, term FROM fragments JOIN tm ON contains(lower(content), term) AND list_contains({TOKENS.format('content')}, regexp_extract(term, '[\p{{L}}\p{{N}}]+'))", **MENTION),
+    "j7_mention_join": a.sql("fragments questions", rf"SELECT DISTINCT fragment_id AS text_id, entity_id, term FROM fragments JOIN tm ON contains(lower(content), term)", **MENTION),
     "j23_cooccurring": a.sql("links entities", "SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS shared FROM lv x JOIN lv y USING (fragment_id) WHERE x.entity_id<y.entity_id GROUP BY ALL HAVING count(*)>=2 ORDER BY shared DESC, a, b LIMIT 30", lv="SELECT DISTINCT fragment_id, entity_id FROM links JOIN entities e USING (entity_id) WHERE e.status='active'"),
     "j24_coactive": a.sql("links entities fragments", "SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS days FROM dy x JOIN dy y USING (day) WHERE x.entity_id<y.entity_id AND NOT EXISTS (SELECT 1 FROM ow p JOIN ow q USING (fragment_id) WHERE p.entity_id=x.entity_id AND q.entity_id=y.entity_id) GROUP BY ALL",
                           ow="SELECT entity_id, fragment_id FROM links JOIN entities e USING (entity_id) WHERE e.category='place'", dy="SELECT DISTINCT entity_id, created_at::DATE AS day FROM ow JOIN fragments USING (fragment_id)"),

@@ -8,11 +8,10 @@ from ..functions import text as t
 from ..operators import upkeep as o
 from ..sources import adapter as a
 from .q_linking import MENTION, NORM, _terms
-from .q_recall import TOKENS
 from .q_tables import EPISODES, _episodes
 
 R6 = lambda c: F.round(c, 6).alias(c)
-HOLDS = rf"contains(lower(content), term) AND list_contains({TOKENS.format('content')}, regexp_extract(term, '[\p{{L}}\p{{N}}]+'))"
+HOLDS = "contains(lower(content), term)"
 
 
 def guards(spark, d):

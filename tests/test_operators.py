@@ -82,6 +82,12 @@ def test_mentions(spark):
     texts = spark.createDataFrame([(1, "we saw Alpha Beta there"), (2, "alpha only"), (3, "去看媽媽的動畫片")], "text_id int, content string")
     terms = spark.createDataFrame([(7, "alpha beta"), (8, "動畫片"), (9, "a")], "entity_id int, term string")
     assert {(r.text_id, r.entity_id) for r in linking.mention_join(texts, terms).collect()} == {(1, 7), (3, 8)}
+    # inside longer words, of two characters, of several owners; a term none of whose runs stands in order isn't there
+    texts = spark.createDataFrame([(1, 1, "Xalphabet"), (2, 2, "ALPHA bo"), (1, 3, "habo phalal"), (2, 4, None), (1, 5, "")], "owner_id int, text_id int, content string")
+    terms = spark.createDataFrame([(1, 7, "alpha"), (1, 8, "bo"), (2, 9, "Bo"), (2, 10, "alphab"), (1, 11, "zz"), (1, 12, "xalphabet")], "owner_id int, entity_id int, term string")
+    assert {(r.text_id, r.entity_id) for r in linking.mention_join(texts, terms, ("owner_id",)).collect()} == {(1, 7), (1, 12), (2, 9), (3, 8)}
+    every = {(r.text_id, r.entity_id) for r in linking.mention_join(texts.drop("owner_id"), terms.drop("owner_id")).collect()}
+    assert every == {(1, 7), (1, 10), (1, 12), (2, 7), (2, 8), (2, 9), (3, 8), (3, 9)}
 
 
 def test_decayed_sums_do_not_depend_on_order(spark):
