@@ -1,22 +1,21 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four base kinds are found by pattern: email, ip, card, phone. They are the seeds. Each seed votes for the lexical pattern it
-stands in (the two words before it, digits folded); every other identifier-like token, one that has digits, is an instance that
-may stand in the same patterns. Patterns and instances are scored in turn over the pattern-instance graph: a pattern is worth the
-mean of its instances (with a prior of doubt), an instance the share KEEP of the best of its patterns, seeds stay at 1. A round
-brings the scores nearer to their fixed point by that share, so ROUNDS of them end within TOLERANCE of it. Patterns that end at a
-high score and that several different seeds support discover the unseen identifiers, which are added with kind ``id``.
+Four base kinds are found by pattern: email, ip, card, phone. They are the seeds. Each stands in a lexical pattern (the two words
+before it, digits folded); every other identifier-like token, one that has digits, is an instance that may stand in the same
+patterns. Rounds go over the pattern-instance graph: a pattern is scored by its known instances (support), by their share of those whose
+nature is known (precision), and by their share of all (so that words that anything follows admit nothing); patterns that pass are
+admitted, their instances become known, and support further patterns. The rounds end when one adds no instance. Known not to be personal are
+numbers of a card's length that fail its check, and tokens that stand in many places. What admitted patterns discover gets kind ``id``.
 
 Identifiers have six characters or more, however many, and don't overlap base spans, which are blanked before they are looked for. A
-context's two words lie within CONTEXT characters. All work on a text is in proportion to it.
+context's two words lie within CONTEXT characters. All work on a text is in proportion to it; a round reads the graph's edges, a row for each
+pattern and distinct instance.
 
 Null and empty texts have no spans; every row of the input gives one row; extra columns are ignored. Only built-in functions.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +33,10 @@ KINDS = [*PATTERNS, "id"]
 #: An instance: a token of 6 characters or more with a digit in it.
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 CONTEXT = 128
-MIN_SEEDS = 5
-MIN_SCORE = 0.8
-DOUBT = 1.0
-#: What an instance keeps of its best pattern's score: scores come nearer to their fixed point by this share a round.
-KEEP = 0.5
-TOLERANCE = 0.001
-ROUNDS = ceil(log(TOLERANCE) / log(KEEP))
+#: What admits a pattern: known instances, their share of the known and the negative ones, and of all.
+MIN_SUPPORT, MIN_PRECISION, MIN_SHARE = 5, 0.8, 0.2
+#: A token in so many places, and in this share of the documents, is no identifier of a person.
+COMMON_PLACES, COMMON_SHARE = 50, 0.001
 #: Matches that are summed together; sums of blocks are summed in turn, so that no long array is built up item by item.
 BLOCK = 128
 
@@ -135,12 +131,10 @@ def find(docs: DataFrame) -> DataFrame:
     found = materialize(rows.select("doc_id", "uid", F.transform("base", lambda s: place(s)).alias("base"), placed.alias("placed")))
 
     seen = found.select("uid", F.explode("placed").alias("s")).select("uid", "s.*").filter(F.col("context") != "")
-    edges = materialize(seen.groupBy("context", "hit").agg(F.max(F.col("kind") < len(PATTERNS)).alias("seed")))
-    trusted = score_patterns(edges)
-
+    known = graph(seen, found.count())
     new = (
         seen.filter(F.col("kind") == len(PATTERNS))
-        .join(trusted, "context", "left_semi")
+        .join(known, ["context", "hit"], "left_semi")
         .groupBy("uid")
         .agg(F.collect_set(F.struct("kind", "start", "end", "hit")).alias("more"))
         .withColumnRenamed("uid", "new_uid")
@@ -149,15 +143,29 @@ def find(docs: DataFrame) -> DataFrame:
     return found.join(new, F.col("uid") == F.col("new_uid"), "left").select("doc_id", "uid", "base", added.alias("spans"))
 
 
-def score_patterns(edges: DataFrame) -> DataFrame:
-    """The contexts to trust, from distinct (context, hit, seed): ROUNDS of pattern and instance scores over the graph."""
-    scored = edges.withColumn("worth", F.col("seed").cast("double"))
-    for _ in range(ROUNDS):
-        patterns = scored.groupBy("context").agg((F.sum("worth") / (F.count(F.lit(1)) + DOUBT)).alias("score"), F.count_if("seed").alias("seeds"))
-        instances = edges.join(patterns, "context").groupBy("hit").agg(F.max("score").alias("best"))
-        scored = materialize(edges.join(instances, "hit").select("context", "hit", "seed", F.when(F.col("seed"), 1.0).otherwise(KEEP * F.col("best")).alias("worth")))
-    last = scored.groupBy("context").agg((F.sum("worth") / (F.count(F.lit(1)) + DOUBT)).alias("score"), F.count_if("seed").alias("seeds"))
-    return last.filter((F.col("score") >= MIN_SCORE) & (F.col("seeds") >= MIN_SEEDS)).select("context")
+def graph(seen: DataFrame, documents: int) -> DataFrame:
+    """(context, hit) to be trusted, of all places (kind, hit, context)."""
+    edges = materialize(seen.groupBy("context", "hit").agg(F.max(F.col("kind") < len(PATTERNS)).alias("known"), F.count(F.lit(1)).alias("n")))
+    unseen = edges.filter(~F.col("known"))
+    common = unseen.groupBy("hit").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(COMMON_PLACES, COMMON_SHARE * documents)).select("hit", F.lit(True).alias("_common"))
+    number = F.col("hit").rlike("^[0-9-]+$") & F.length(F.replace("hit", F.lit("-"), F.lit(""))).between(13, 19)
+    marked = edges.join(common, "hit", "left").select("context", "hit", "known", (~F.col("known") & (number | F.col("_common").isNotNull())).alias("negative"))
+    return bootstrap(marked)
+
+
+def bootstrap(edges: DataFrame) -> DataFrame:
+    """(context, hit) of the instances that admitted patterns hold, from distinct (context, hit, known, negative)."""
+    edges, trusted = materialize(edges), None
+    while True:
+        support, against = F.count_if("known"), F.count_if("negative")
+        scores = edges.groupBy("context").agg(support.alias("pos"), against.alias("neg"), F.count(F.lit(1)).alias("n"))
+        good = (F.col("pos") >= MIN_SUPPORT) & (F.col("pos") >= MIN_PRECISION * (F.col("pos") + F.col("neg"))) & (F.col("pos") >= MIN_SHARE * F.col("n"))
+        trusted = materialize(scores.filter(good).select("context"))
+        added = materialize(edges.join(trusted, "context", "left_semi").filter("not known and not negative").select("hit").distinct().withColumn("_new", F.lit(True)))
+        if added.isEmpty():
+            # what was known keeps its place where its pattern is trusted; a pattern's negative instances don't count
+            return edges.join(trusted, "context", "left_semi").filter("known").select("context", "hit")
+        edges = materialize(edges.join(added, "hit", "left").select("context", "hit", (F.col("known") | F.col("_new").isNotNull()).alias("known"), "negative"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
