@@ -250,6 +250,50 @@ def test_digest_index_persists(spark):
     again.drop()
 
 
+def test_a_batch_again_and_a_merge_that_stops(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, "digest_retry_test", buckets=4)
+    index.drop()
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = frame([(1, "a b"), (2, "ab"), (3, "c")]), frame([(4, "a  b"), (5, "d"), (5, "d"), (6, None)])
+    seen = lambda df, batch: sorted((r.doc_id, r.keep_id, r.kept, r.group_size) for r in exact_dedup.dedup(df, index, batch=batch).collect())
+    one, two = seen(first, "one"), seen(second, "two")
+    # a batch whose later work failed is added again: the same rows are kept, the same sizes
+    assert seen(second, "two") == two and two == [(4, 1, False, 3), (5, 5, False, 2), (5, 5, True, 2), (6, 6, True, 1)]
+    table = lambda: sorted(tuple(r) for r in index.table().select("keep_id", "group_size").collect())
+    want = table()
+    assert want == [(1, 3), (3, 1), (5, 2), (6, 1)] and one == [(1, 1, True, 2), (2, 1, False, 2), (3, 3, True, 1)]
+    # a merge that stops once its part is written, before the old ones go
+    sql = type(spark).sql
+    with monkeypatch.context() as patch:
+
+        def stop(self, query, *more, **named):
+            if query.startswith("DROP"):
+                raise KeyboardInterrupt
+            return sql(self, query, *more, **named)
+
+        patch.setattr(type(spark), "sql", stop)
+        with pytest.raises(KeyboardInterrupt):
+            index.compact()
+    assert len(index._tables()) == 3 and len(index.parts()) == 1 and table() == want
+    index.compact()
+    assert len(index._tables()) == 1 and table() == want
+    assert seen(frame([(7, "d"), (8, "new")]), "three") == [(7, 5, False, 3), (8, 8, True, 1)]
+    index.drop()
+
+
+def test_the_query_dedups_against_its_index(spark, monkeypatch):
+    met = []
+    unknown = exact_dedup.DigestIndex.unknown
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unknown", lambda self, batch: met.append(self.parts()) or unknown(self, batch))
+    rows = [(i, f"text {i % 30}" + " " * (i % 4)) for i in range(200)]
+    out = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(met) == 1 and len(met[0]) == 1
+    best = {}
+    for i, text in rows:
+        best[text.replace(" ", "")] = min(best.get(text.replace(" ", ""), (1, 0)), (-len(text), i))
+    assert {r.doc_id for r in out if r.kept} == {i for _, i in best.values()}
+
+
 def name(node):
     return node.getClass().getSimpleName()
 
