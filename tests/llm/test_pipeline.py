@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from palimpsest.llm import packing
 
@@ -48,6 +50,19 @@ def test_odd_rows_pass(spark):
             assert out.count() <= 100
 
 
+def test_clashing_names(spark):
+    """Columns named as the stages' own, and one that only case tells from the text: the same documents stay, with their columns' values."""
+    docs = documents(spark).limit(150)
+    more = docs.select(F.lit("other").alias("Text"), "*", F.lit("r").alias("_row"), (F.col("doc_id") * 2).alias("_QUALITY"), F.lit(1).alias("row_key"), F.lit(2).alias("group_id"), F.lit(3).alias("digest"))
+    for name, stage in p.STAGES[:-1]:
+        want = {r.doc_id: r.text for r in stage(spark, docs, SF).collect()}
+        out = p.materialize(stage(spark, more, SF))
+        assert out.columns == [*docs.columns, "_row", "_QUALITY", "row_key", "group_id", "digest"], name
+        rows = out.collect()
+        assert {r.doc_id: r.text for r in rows} == want and all(r._row == "r" and r._QUALITY == 2 * r.doc_id and r.row_key == 1 for r in rows)
+    assert sorted(ids(p.packing_stage(spark, more, SF))) == sorted(ids(p.packing_stage(spark, docs, SF)))
+
+
 def test_null_and_repeated_ids(spark):
     """Each text stays once, whatever ids its rows have."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
