@@ -150,16 +150,20 @@ def usage(spark, d):
     return o.usage(f, log).select("fragment_id", "injected_count", "cited_count", "read_count", F.unix_timestamp("last_accessed_at").alias("at"))
 
 
-def patterns(spark, d):
+def _pattern_rows(spark, d):
     e = a.observations(spark, d)
     p = e.groupBy("owner_id", "dim").agg(F.min("obs_id").alias("pattern_id"), F.max("t").alias("seen"))
-    p = p.select("pattern_id", F.when(F.col("pattern_id") % 2 == 0, "active").otherwise("dormant").alias("status"), ((F.col("pattern_id") % 10) / 10.0).alias("confidence"), F.timestamp_seconds(F.unix_timestamp("seen") - (F.col("pattern_id") % 5) * 60 * 86400).alias("last_seen"))
-    return o.pattern_states(p, a.now()).select("pattern_id", "status")
+    return p.select("pattern_id", F.when(F.col("pattern_id") % 2 == 0, "active").otherwise("dormant").alias("status"), ((F.col("pattern_id") % 10) / 10.0).alias("confidence"), F.timestamp_seconds(F.unix_timestamp("seen") - (F.col("pattern_id") % 5) * 60 * 86400).alias("last_seen"))
+
+
+def patterns(spark, d):
+    return o.pattern_states(_pattern_rows(spark, d), a.now()).select("pattern_id", "status")
 
 
 PATTERNS = {
     "p": f"SELECT pid, CASE WHEN pid%2=0 THEN 'active' ELSE 'dormant' END AS status, (pid%10)/10.0::DOUBLE AS confidence, ({a.NOW}-(floor(epoch(seen))-(pid%5)*60*86400))/86400 AS days FROM (SELECT owner_id, dim, min(obs_id) AS pid, max(t) AS seen FROM observations GROUP BY ALL)",
 }
+PATTERN_STATES = "SELECT pid AS pattern_id, CASE WHEN days>180 AND confidence<0.4 THEN 'archived' WHEN status='active' AND days>30 THEN 'dormant' WHEN status='dormant' AND days<=30 THEN 'active' ELSE status END AS status FROM p"
 
 Q = {
     "t1_fragment_gc": gc, "t2_episode_decay": episode_decay, "t3_episode_weight": weights, "w9_cap_states": cap, "w2_make_batches": batches, "w7_fill_timestamps": fill, "w13_idle_gaps": idle,
@@ -182,5 +186,5 @@ S = {
                                m="SELECT * REPLACE (chat_id%7 AS chat_id) FROM messages", dn="SELECT chat_id, trunc(quantile_cont(msg_id,0.2))::BIGINT AS end_message_id, chat_id+1 AS round_end FROM m WHERE chat_id<4 GROUP BY chat_id"),
     "t16_usage": a.sql("fragments", "SELECT fragment_id, injected_count+coalesce(i,0) AS injected_count, cited_count+coalesce(c,0) AS cited_count, read_count+coalesce(r,0) AS read_count, floor(epoch(greatest(created_at, seen)))::BIGINT AS at FROM fragments LEFT JOIN lg USING (fragment_id)",
                        lg="SELECT event_id%500 AS fragment_id, count(*) FILTER (event_type NOT IN ('view','click')) AS i, count(*) FILTER (event_type='click') AS c, count(*) FILTER (event_type='view') AS r, max(ts)::TIMESTAMP AS seen FROM events GROUP BY 1"),
-    "t5_pattern_states": a.sql("observations", "SELECT pid AS pattern_id, CASE WHEN days>180 AND confidence<0.4 THEN 'archived' WHEN status='active' AND days>30 THEN 'dormant' WHEN status='dormant' AND days<=30 THEN 'active' ELSE status END AS status FROM p", **PATTERNS),
+    "t5_pattern_states": a.sql("observations", PATTERN_STATES, **PATTERNS),
 }
