@@ -105,12 +105,31 @@ def mention_join(texts: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -
     return found.join(named, [*by, "term"]).select("text_id", "entity_id", "term").distinct()
 
 
-def cooccurring(links: DataFrame, entities: DataFrame, least: int = 2, most: int = 30) -> DataFrame:
-    """Pairs of active entities by the number of fragments that name both."""
-    live = links.join(entities.filter("status = 'active'").select("entity_id"), "entity_id").select("fragment_id", "entity_id").distinct()
-    pairs = live.select("fragment_id", F.col("entity_id").alias("a")).join(live.select("fragment_id", F.col("entity_id").alias("b")), "fragment_id").filter("a < b")
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
-    return counted.orderBy(F.desc("shared"), "a", "b").limit(most)
+def pairs_within(rows: DataFrame, group: str, item: str, most: int = 1024) -> DataFrame:
+    """(group, a, b), a < b, of a group's distinct items. A large group's items are dealt into blocks of about ``most``, and each pair of blocks
+    meets by itself, so that no task has a whole group's pairs."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_blocks"))
+    dealt = rows.select(group, item).join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
+    sent = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    sent = sent.select(group, item, "_own", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
+    left = sent.withColumnsRenamed({item: "a", "_own": "_mine"})
+    # items of one block meet where it is paired with itself
+    met = left.join(sent.withColumnRenamed(item, "b"), [group, "_lo", "_hi"]).filter((F.col("a") < F.col("b")) & ((F.col("_lo") == F.col("_hi")) | (F.col("_mine") != F.col("_own"))))
+    return met.select(group, "a", "b")
+
+
+def cooccurring(links: DataFrame, entities: DataFrame, least: int = 2, most: int = 30, first: int = 256) -> DataFrame:
+    """Pairs of active entities by the number of fragments that name both, the ``most`` largest.
+
+    A pair shares no more fragments than either of its entities has. The ``first`` entities with the most fragments are paired before all; what
+    the last of their best pairs share is then the least that an entity needs."""
+    live = settle(links.join(entities.filter("status = 'active'").select("entity_id"), "entity_id").select("fragment_id", "entity_id").distinct())
+    sizes = live.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = lambda rows: pairs_within(rows, "fragment_id", "entity_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least).orderBy(F.desc("shared"), "a", "b").limit(most)
+    large = sizes.orderBy(F.desc("n"), "entity_id").limit(first).select("entity_id")
+    best = counted(live.join(F.broadcast(large), "entity_id", "left_semi")).collect()  # ``most`` rows
+    floor = best[-1].shared if len(best) == most else least
+    return counted(live.join(sizes.filter(F.col("n") >= max(floor, least)), "entity_id", "left_semi"))
 
 
 def coactive(links: DataFrame, entities: DataFrame, fragments: DataFrame, categories: list[str]) -> DataFrame:

@@ -103,19 +103,19 @@ def model_decay(model: DataFrame, now: Column, hours: dict[str, float], abandon_
     return model.withColumn("status", F.coalesce(new, F.col("status")))
 
 
-def pattern_match(fragments: DataFrame, patterns: DataFrame, share: float = 0.35) -> DataFrame:
-    """Each fragment's best pattern by the share of the pattern's tokens that it has."""
-    p = exploded(patterns, ["pattern_id"], F.array_distinct(t.index_tokens(F.col("content"))), "n")
-    f = exploded(fragments, ["fragment_id"], F.array_distinct(t.index_tokens(F.col("content"))))
-    s = f.join(p, "token").groupBy("fragment_id", "pattern_id").agg((F.count(F.lit(1)) / F.first("n")).alias("share")).filter(F.col("share") > share)
+def pattern_match(fragments: DataFrame, patterns: DataFrame, share: float = 0.35, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each fragment's best pattern by the share of the pattern's tokens that it has, of those that agree in the columns ``by``."""
+    p = exploded(patterns, ["pattern_id", *by], F.array_distinct(t.index_tokens(F.col("content"))), "n")
+    f = exploded(fragments, ["fragment_id", *by], F.array_distinct(t.index_tokens(F.col("content"))))
+    s = f.join(p, [*by, "token"]).groupBy("fragment_id", "pattern_id").agg((F.count(F.lit(1)) / F.first("n")).alias("share")).filter(F.col("share") > share)
     return top_n(s, ["fragment_id"], [F.desc("share"), F.asc("pattern_id")], 1).drop("rank")
 
 
-def pattern_pairs(patterns: DataFrame, share: float = 0.45) -> DataFrame:
-    """Pairs of patterns whose tokens overlap by that share of the smaller set."""
-    p = exploded(patterns, ["pattern_id"], F.array_distinct(t.index_tokens(F.col("content"))), "n")
-    q = p.select(F.col("pattern_id").alias("other_id"), "token", F.col("n").alias("m"))
-    g = p.join(q, "token").filter("pattern_id < other_id").groupBy("pattern_id", "other_id").agg((F.count(F.lit(1)) / F.least(F.first("n"), F.first("m"))).alias("share"))
+def pattern_pairs(patterns: DataFrame, share: float = 0.45, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of patterns whose tokens overlap by that share of the smaller set, of those that agree in the columns ``by``."""
+    p = exploded(patterns, ["pattern_id", *by], F.array_distinct(t.index_tokens(F.col("content"))), "n")
+    q = p.select(*by, F.col("pattern_id").alias("other_id"), "token", F.col("n").alias("m"))
+    g = p.join(q, [*by, "token"]).filter("pattern_id < other_id").groupBy("pattern_id", "other_id").agg((F.count(F.lit(1)) / F.least(F.first("n"), F.first("m"))).alias("share"))
     return g.filter(F.col("share") >= share)
 
 

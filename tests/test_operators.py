@@ -193,3 +193,23 @@ def test_emotion_maps(spark):
     rows = [({"Happy": "0.7", "anger": "2", "x": "1"},), ({},), ({"x": "1"},), ({"joy": "-1", "happy": "0.2"},), (None,)]
     df = spark.createDataFrame(rows, "m map<string,string>").select(emotion.sanitise(F.col("m"), {"happy": "joy"}, ["joy", "anger"]).alias("m"))
     assert [r.m for r in df.collect()] == [{"joy": 0.7, "anger": 1.0}, {}, None, {"joy": 0.2}, None]
+
+
+def test_pairs_of_large_groups(spark):
+    """A day of many entities: blocks give each pair once, and entities that can't reach the best pairs aren't paired."""
+    rows = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 5), (2, 7), (3, 9)], "g int, x int")
+    got = [tuple(r) for r in linking.pairs_within(rows, "g", "x", 40).collect()]
+    assert len(got) == len(set(got)) == 300 * 299 // 2 + 1 and set(got) == {(1, i, j) for j in range(300) for i in range(j)} | {(2, 5, 7)}
+    rng = random.Random(6)
+    few = [(f, rng.randrange(60)) for f in range(300) for _ in range(6)]
+    hot = spark.range(100_000).selectExpr("cast(9999 as int) as fragment_id", "cast(id + 1000 as int) as entity_id")
+    links = spark.createDataFrame(few, "fragment_id int, entity_id int").union(hot)
+    entities = links.select("entity_id").distinct().withColumn("status", F.lit("active"))
+    want = {}
+    for f in range(300):
+        own = sorted({e for g, e in few if g == f})
+        for i, x in enumerate(own):
+            for y in own[i + 1 :]:
+                want[x, y] = want.get((x, y), 0) + 1
+    best = sorted(((-n, x, y) for (x, y), n in want.items() if n >= 2))[:30]
+    assert [(-r.shared, r.a, r.b) for r in linking.cooccurring(links, entities, 2, 30, 40).collect()] == best
