@@ -10,6 +10,7 @@ from ..functions import text as t
 from .linking import mention_join
 from .postings import Postings
 from .recall import bm25_topk, exploded, take_within_budget, top_n, vector_topk
+from .tables import settle
 
 #: Fixed values of the rendered text: headers and the warning about several people.
 ABOUT, OTHERS = "【關於 {}】", "【其他】"
@@ -136,6 +137,7 @@ def memory_block(sections: dict[str, tuple[str, DataFrame]], gates: DataFrame, b
         if part == "recall":
             one = one.join(gates.filter("look_up").select("msg_id"), "msg_id", "left_semi")
         rows = one if rows is None else rows.unionByName(one)
+    rows = settle(rows)  # ranks and costs of five sections in one plan are more than generated code may hold
     limit = F.lit(0)
     for part, share in shares.items():
         limit = F.when(F.col("part") == part, int(budget * share)).otherwise(limit)

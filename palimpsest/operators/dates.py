@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .recall import top_n
+from .tables import settle
 
 #: Numerals, weekdays, day words with their offsets, tense words, types without a time.
 DIGITS, VALUES = "零〇一二兩三四五六七八九", "001223456789"
@@ -166,7 +167,9 @@ def upcoming(fragments: DataFrame, now: Column, days: int = 7, lookback: int = 1
     live = fragments.filter("status = 'active'").select("fragment_id", "owner_id", "content", F.to_date("created_at").alias("_day"), F.col("event_at").cast("date").alias("event_date"))
     stated = live.filter("event_date is not null").select("owner_id", "fragment_id", "event_date")
     told = mentions(live.filter(F.col("event_date").isNull() & (F.datediff(today, "_day") <= lookback)), ["owner_id", "fragment_id"], "content", "_day")
-    dates = stated.unionByName(told.select("owner_id", "fragment_id", F.col("date").alias("event_date"))).withColumn("days_until", F.datediff("event_date", today)).filter(F.col("days_until").between(0, days))
+    # the terms that find a date are more than a sort's generated code may hold
+    told = settle(told.select("owner_id", "fragment_id", F.col("date").alias("event_date")))
+    dates = stated.unionByName(told).withColumn("days_until", F.datediff("event_date", today)).filter(F.col("days_until").between(0, days))
     one = dates.groupBy("owner_id", "fragment_id").agg(F.min("event_date").alias("event_date"), F.min("days_until").alias("days_until"))
     return top_n(one, ["owner_id"], [F.asc("days_until"), F.asc("fragment_id")], most)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import context as o
 from ..operators import dates, model, recall, review
+from ..operators.tables import settle
 from ..sources import adapter as a
 from .q_linking import MENTION, NORM, _terms
 from .q_model import U
@@ -131,7 +132,7 @@ def block(spark, d):
     memories = f.select("owner_id", i.alias("memory_id"), F.array(tag).alias("tags"), F.when(i % 5 == 4, "archived").otherwise("permanent").alias("status"), F.to_date("created_at").alias("valid_from"))
     core = recall.hard_triggers(m, memories).select("msg_id", F.col("memory_id").alias("item_id"), F.col("rank").alias("place"), F.lit(20).alias("cost"))
     boosted = recall.entity_boost(_hybrid(spark, d), _named(spark, d), a.links(spark, d), never=SELF)
-    hits = recall.dynamic_k(recall.rank(boosted, f, a.now()))
+    hits = settle(recall.dynamic_k(recall.rank(boosted, f, a.now())))
     found = hits.select(F.col("query_id").alias("msg_id"), F.col("fragment_id").alias("item_id"), F.col("position").alias("place"), F.ceil(F.col("chars") / 4).alias("cost"))
     about = review.entity_context(hits, a.links(spark, d), a.entities(spark, d)).select(F.col("query_id").alias("msg_id"), F.col("entity_id").alias("item_id"), F.col("rank").alias("place"), F.lit(15).alias("cost"))
     out = lambda df, cost: m.select("msg_id", "owner_id").join(df, "owner_id").select("msg_id", F.col("fragment_id").alias("item_id"), F.col("rank").alias("place"), F.lit(cost).alias("cost"))
