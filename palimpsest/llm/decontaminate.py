@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, bits, in_bits, materialize, with_columns
+from .common import HOT_SHARE, bits, in_bits, lean, materialize, with_columns
 from .wordhash import SHINGLE, chunks, shingles, words
 
 WINDOW = 13
@@ -87,7 +87,7 @@ def match(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = sorted(r.k for r in wins.select("k").distinct().collect()) or [SHINGLE]
     tokens = wins.select(F.explode("shingles").alias("token")).distinct()
     held = spark.sparkContext.broadcast(bits(tokens, "token", LOG2_BITS))
-    found = with_columns(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(_document_hits(held, sizes), "doc_id long, n_words long, k array<int>, place array<int>, token array<long>")
+    found = with_columns(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(lean(_document_hits(held, sizes)), "doc_id long, n_words long, k array<int>, place array<int>, token array<long>")
     files = materialize(found.withColumn("uid", F.monotonically_increasing_id()))
 
     hit = files.filter(F.size("token") > 0)

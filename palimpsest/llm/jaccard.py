@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits, in_bits, join_by_key, materialize, with_columns
+from .common import bits, in_bits, join_by_key, lean, materialize, with_columns
 from .wordhash import all_words, chunks, mix, shingles, words
 
 LAMBDA = 0.8
@@ -241,7 +241,7 @@ def settle(sets: DataFrame, stuck: DataFrame) -> tuple[DataFrame, int]:
         pairs = materialize(pairs)
         held = materialize(held.join(pairs.groupBy("pivot").count(), "pivot"))
         met = join_by_key(materialize(pairs.join(sets, "node")), held, "pivot", "count")
-    near = materialize(met.mapInArrow(_distances, "node long, pivot long, far int").filter(F.col("far") <= SURE))
+    near = materialize(met.mapInArrow(lean(_distances), "node long, pivot long, far int").filter(F.col("far") <= SURE))
     fans = near.groupBy("pivot").agg(F.count_if(F.col("far") <= SURE // 2).alias("fans"))
     best = near.join(_few(fans, n_buckets), "pivot").groupBy("node").agg(F.max(F.struct("fans", "pivot", "far")).alias("best"))
     return materialize(best.select("node", F.col("best.pivot").alias("pivot"), F.col("best.far").alias("far"))), n_buckets
@@ -485,7 +485,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, tokens) of the classes in ``wanted`` (node, class_id, digest), from one read of the texts."""
     held = texts.sparkSession.sparkContext.broadcast(bits(wanted.select(F.xxhash64("class_id").alias("key")).distinct(), "key", LOG2_BITS))
-    sets = texts.withColumn("key", F.xxhash64("doc_id")).mapInArrow(_wanted_sets(held), "digest binary, tokens binary")
+    sets = texts.withColumn("key", F.xxhash64("doc_id")).mapInArrow(lean(_wanted_sets(held)), "digest binary, tokens binary")
     return sets.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
@@ -493,7 +493,7 @@ def join(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id (smallest doc_id of equal bags), n_links (other classes it is linked to), group_id (smallest doc_id of
     all that links connect), n_copies (documents of the class)."""
     texts = with_columns(docs, ("doc_id", "long"), ("text", "string"))
-    files = materialize(texts.mapInArrow(_signatures, "doc_id long, digest binary, n long, signature binary"))
+    files = materialize(texts.mapInArrow(lean(_signatures), "doc_id long, digest binary, n long, signature binary"))
     classes = files.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     names = classes.select("node", "class_id", "digest")
@@ -507,7 +507,7 @@ def join(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
         only = (lambda df: df) if of is None else (lambda df: df.join(of, "node", "left_semi"))
         lists = only(buckets).groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
         members = placed.join(lists, "node").join(only(classes.select("node", "signature")), "node").repartition("leaf").sortWithinPartitions("leaf", "node")
-        return materialize(members.mapInArrow(_candidates, "leaf long, node long, partners array<long>"))
+        return materialize(members.mapInArrow(lean(_candidates), "leaf long, node long, partners array<long>"))
 
     candidates = compare(small.select(F.col("bucket").alias("leaf"), "bucket", "node", F.lit(2).alias("side")))
     wanted = candidates.select("node") if stuck is None else candidates.select("node").unionByName(stuck.select("node"))
@@ -521,7 +521,7 @@ def join(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
         placed = sets.join(_small(near), "node", "left").select("node", "tokens", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(SURE)).alias("far"))
         sure = sure_links(near, n_buckets)
     met = candidates.join(placed, "node").repartition("leaf").sortWithinPartitions("leaf", "node")
-    verified = materialize(met.mapInArrow(_verify, "node long, root long, links long"))
+    verified = materialize(met.mapInArrow(lean(_verify), "node long, root long, links long"))
 
     counts, edges = verified.select("node", "links"), verified.select("node", "root")
     if sure is not None:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import lean, with_columns
 from .wordhash import chunks, shingles, words
 
 #: Labelled documents that the model is fitted on, at most.
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, learn_from: Column) ->
     """A machine, or the smoothed share of ones where there aren't both labels."""
     chosen = sample(labels, column, learn_from)
     texts = with_columns(docs, ("doc_id", "long"), ("text", "string")).join(F.broadcast(chosen), "doc_id")
-    featured = texts.select("doc_id", "text").mapInArrow(_features, "doc_id long, statistics array<double>, places array<int>")
+    featured = texts.select("doc_id", "text").mapInArrow(lean(_features), "doc_id long, statistics array<double>, places array<int>")
     rows = featured.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(2 * SAMPLE).toArrow().to_pandas()
     y = rows.label.to_numpy(np.float64)
     if len(set(y)) < 2:
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Machine | float, keep: list[str], name: str =
     columns = docs.select(*[F.col(f"`{c}`") for c in keep])
     out = T.StructType([*columns.schema.fields, T.StructField(name, T.DoubleType())])
     inputs = columns if "text" in keep else docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text"))
-    return inputs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), keep, name), out)
+    return inputs.mapInArrow(lean(_scorer(docs.sparkSession.sparkContext.broadcast(model), keep, name)), out)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
