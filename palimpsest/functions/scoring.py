@@ -85,3 +85,8 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+
+
+def half_up(x: Column, places: int) -> Column:
+    """A double that isn't negative, rounded by doubles as SQL engines do; ``round`` goes by its shortest decimal, and 0.285 up."""
+    return F.floor(x * 10.0**places + 0.5) / 10.0**places

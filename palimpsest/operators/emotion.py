@@ -42,11 +42,22 @@ def topic_slots(events: DataFrame) -> DataFrame:
     return s.select("category", "slot", "dim", "n", (F.col("mag") / F.col("n")).alias("mean"))
 
 
-def baselines(obs: DataFrame) -> DataFrame:
+def sums_in_order(obs: DataFrame, keys: list[str]) -> DataFrame:
+    """n and s of each key: a sum of doubles depends on the order of its terms, which is that of obs_id here. Rows pass one by one."""
+    w = Window.partitionBy(*keys).orderBy("obs_id").rowsBetween(Window.unboundedPreceding, 0)
+    running = obs.select(*keys, F.count(F.lit(1)).over(w).alias("_n"), F.sum("y").over(w).alias("_s"))
+    return running.groupBy(*keys).agg(F.max("_n").alias("n"), F.max_by("_s", "_n").alias("s"))
+
+
+def baselines(obs: DataFrame, decimals: bool = True) -> DataFrame:
     """Mean of each (owner, dim, slot), shrunk to the owner's, which is shrunk to the prior; unweighted closed form. Sums are of twelve
-    decimals, so that they don't depend on the order of their terms."""
-    slots = obs.groupBy("owner_id", "dim", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("decimal(25,12)")).alias("s"))
-    w = Window.partitionBy("owner_id", "dim")
+    decimals, so that they don't depend on the order of their terms, or else of doubles in the order of obs_id and slot."""
+    keys = ["owner_id", "dim", "slot"]
+    if decimals:
+        slots = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("decimal(25,12)")).alias("s"))
+    else:
+        slots = sums_in_order(obs, keys)
+    w = Window.partitionBy("owner_id", "dim").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     overall = (F.sum("s").over(w).cast("double") + USER_N0 * PRIOR_MU) / (F.sum("n").over(w) + USER_N0)
     return slots.withColumn("overall", overall).withColumn("s", F.col("s").cast("double")).withColumn("mu", (F.col("s") + SLOT_N0 * F.col("overall")) / (F.col("n") + SLOT_N0))
 
