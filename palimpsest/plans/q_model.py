@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scoring as s
 from ..functions import text as t
+from ..operators import emotion
 from ..operators import model as o
 from ..operators import recall as r
 from ..sources import adapter as a
@@ -81,7 +83,8 @@ def surfaced(spark, d):
 
 
 def dominant(spark, d):
-    e = a.observations(spark, d).groupBy(F.col("owner_id").alias("id"), "dim").agg(F.round(F.avg("y"), 2).alias("score"))
+    sums = emotion.sums_in_order(a.observations(spark, d).withColumnRenamed("owner_id", "id").filter("y is not null"), ["id", "dim"])
+    e = sums.select("id", "dim", s.half_up(F.col("s") / F.col("n"), 2).alias("score"))
     dims = ["view", "click", "purchase", "signup", "logout", "login", "error", "cart", "search"]
     return o.dominant_emotion(e, dims).select("id", "dim", "score")
 
