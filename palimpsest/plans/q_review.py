@@ -73,20 +73,20 @@ MODEL = """SELECT owner_id, entry_id, CASE WHEN entry_id%2=0 THEN 'current_state
 
 
 def _patterns(spark, d):
-    """Each question as a pattern, of two owners."""
-    return a.questions(spark, d).select((F.col("query_id") % 2).alias("owner_id"), F.col("query_id").alias("pattern_id"), F.col("query").alias("content"))
+    return a.questions(spark, d).select(F.col("query_id").alias("pattern_id"), F.col("query").alias("content"))
 
 
-PATTERN = {"pt": f"SELECT pattern_id, pattern_id%2 AS owner_id, len(w) AS n, unnest(w) AS token FROM (SELECT query_id AS pattern_id, list_distinct({TOKENS.format('query')}) AS w FROM questions)"}
+PATTERN = {"pt": f"SELECT pattern_id, len(w) AS n, unnest(w) AS token FROM (SELECT query_id AS pattern_id, list_distinct({TOKENS.format('query')}) AS w FROM questions)"}
 
 
 def matches(spark, d):
-    texts = a.messages(spark, d).select((F.col("owner_id") % 2).alias("owner_id"), F.col("msg_id").alias("fragment_id"), "content")
-    return o.pattern_match(texts, _patterns(spark, d), by=("owner_id",)).select("fragment_id", "pattern_id", R6("share"))
+    """All messages against all patterns, whoever they are of."""
+    texts = a.messages(spark, d).select(F.col("msg_id").alias("fragment_id"), "content")
+    return o.pattern_match(texts, _patterns(spark, d)).select("fragment_id", "pattern_id", R6("share"))
 
 
 def pairs(spark, d):
-    return o.pattern_pairs(_patterns(spark, d), 0.2, ("owner_id",)).select("pattern_id", "other_id", R6("share"))
+    return o.pattern_pairs(_patterns(spark, d), 0.2).select("pattern_id", "other_id", R6("share"))
 
 
 def _relations(spark, d):
@@ -165,9 +165,9 @@ S = {
                              x=f"SELECT msg_id, chat_id, ts, list_distinct({TOKENS.format('content')}) AS w FROM messages", y="SELECT msg_id, w, lag(w) OVER k AS b, (epoch(ts)-epoch(lag(ts) OVER k))::BIGINT AS gap FROM x WINDOW k AS (PARTITION BY chat_id ORDER BY ts, msg_id)"),
     "w8_versions": a.sql("observations", "SELECT owner_id, obs_id, version, version=max(version) OVER p AS active, max(CASE WHEN y<0.5 THEN version END) OVER p AS last_passed FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY obs_id) AS version FROM observations) WINDOW p AS (PARTITION BY owner_id)"),
     "t4_model_decay": a.sql("observations", f"SELECT owner_id, entry_id, CASE WHEN type='current_state' AND CASE WHEN ex IS NOT NULL THEN ex<={a.NOW} ELSE ({a.NOW}-c)/3600>=ttl END THEN 'resolved' WHEN type='active_hypothesis' AND ({a.NOW}-coalesce(le,c))/86400>=14 AND ev<3 THEN 'abandoned' ELSE 'active' END AS status FROM m", m=MODEL),
-    "j20_pattern_match": a.sql("messages questions", "SELECT fragment_id, pattern_id, round(share,6) AS share FROM (SELECT msg_id AS fragment_id, pattern_id, count(*)/n AS share FROM tk JOIN pt USING (owner_id, token) GROUP BY msg_id, pattern_id, n HAVING count(*)/n>0.35) QUALIFY row_number() OVER (PARTITION BY fragment_id ORDER BY share DESC, pattern_id)=1",
-                               tk=f"SELECT msg_id, owner_id%2 AS owner_id, unnest(list_distinct({TOKENS.format('content')})) AS token FROM messages", **PATTERN),
-    "j21_pattern_pairs": a.sql("questions", "SELECT x.pattern_id, y.pattern_id AS other_id, round(count(*)/least(x.n,y.n),6) AS share FROM pt x JOIN pt y USING (owner_id, token) WHERE x.pattern_id<y.pattern_id GROUP BY x.pattern_id, y.pattern_id, x.n, y.n HAVING count(*)/least(x.n,y.n)>=0.2", **PATTERN),
+    "j20_pattern_match": a.sql("messages questions", "SELECT fragment_id, pattern_id, round(share,6) AS share FROM (SELECT msg_id AS fragment_id, pattern_id, count(*)/n AS share FROM tk JOIN pt USING (token) GROUP BY msg_id, pattern_id, n HAVING count(*)/n>0.35) QUALIFY row_number() OVER (PARTITION BY fragment_id ORDER BY share DESC, pattern_id)=1",
+                               tk=f"SELECT msg_id, unnest(list_distinct({TOKENS.format('content')})) AS token FROM messages", **PATTERN),
+    "j21_pattern_pairs": a.sql("questions", "SELECT x.pattern_id, y.pattern_id AS other_id, round(count(*)/least(x.n,y.n),6) AS share FROM pt x JOIN pt y USING (token) WHERE x.pattern_id<y.pattern_id GROUP BY x.pattern_id, y.pattern_id, x.n, y.n HAVING count(*)/least(x.n,y.n)>=0.2", **PATTERN),
     "j26_relation_health": a.sql("links entities", f"SELECT r.entity_id, r.related_id, CASE WHEN p.entity_id IS NULL OR p.entity_id%9=0 THEN 'dead' WHEN coalesce(h.last>={DAYS(5)}, FALSE) THEN 'alive' ELSE 'stale' END AS state FROM r LEFT JOIN entities p ON p.entity_id=r.related_id LEFT JOIN h ON h.entity_id=r.entity_id AND h.related_id=r.related_id",
                                  r="SELECT entity_id, CASE WHEN entity_id<100 THEN 100+entity_id%30 ELSE entity_id%20 END AS related_id FROM entities", h="SELECT r.entity_id, r.related_id, max(x.created_at) AS last FROM r JOIN links x ON x.entity_id=r.entity_id JOIN links y ON y.entity_id=r.related_id AND y.fragment_id=x.fragment_id GROUP BY 1,2"),
     "j42_stale_vectors": a.sql("vectors fragments", "SELECT fragment_id FROM vectors WHERE fragment_id NOT IN (SELECT fragment_id FROM fragments WHERE status='active')"),
