@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import scoring as s
 from ..functions import text as t
+from . import blocks
 from .recall import exploded, top_n
-from .tables import days_before
+from .tables import days_before, settle
 
 
 def similar_pairs(neighbours: DataFrame, threshold: float) -> DataFrame:
@@ -49,33 +50,28 @@ def anchors(entries: DataFrame, fragments: DataFrame, days: float, least: int =
     return top_n(g, ["entry_id"], [F.desc("shared"), F.asc("fragment_id")], keep)
 
 
+def _word_sets(df: DataFrame) -> DataFrame:
+    """(owner_id, entry_id, n, set): the distinct tokens, joined by spaces. An owner that is null meets nobody."""
+    sets = df.filter("owner_id is not null").select("owner_id", "entry_id", F.array_distinct(t.index_tokens(F.col("content"))).alias("_w")).filter(F.size("_w") > 0)
+    return sets.select("owner_id", F.col("entry_id").cast("long").alias("entry_id"), F.size("_w").alias("n"), F.array_join("_w", " ").alias("set"))
+
+
+def _conflicts(sets: DataFrame, share: float) -> DataFrame:
+    return blocks.dealt_with_itself(sets, "owner_id", "entry_id", blocks.SET_BLOCK).applyInArrow(blocks.overlaps(share), "entry_id long, other_id long, overlap double")
+
+
 def state_conflicts(states: DataFrame, share: float = 0.5) -> DataFrame:
-    """Pairs of an owner's states whose tokens overlap by more than the share of the smaller set. The smaller set's rarest tokens, as many
-    as it may lack and one, must hold one that both have: only those meet the other set's tokens; then the sets are compared."""
-    sets = states.select("owner_id", "entry_id", F.array_distinct(t.index_tokens(F.col("content"))).alias("set")).filter(F.size("set") > 0)
-    rows = exploded(sets, ["owner_id", "entry_id"], F.col("set"), "n")
-    df = rows.groupBy("owner_id", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ordered = rows.join(df, ["owner_id", "token"]).select("owner_id", "entry_id", "token", "n", "df")
-    # tokens that nobody else has come first and meet nothing
-    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("entry_id"))
-    place = alone + F.row_number().over(Window.partitionBy("entry_id").orderBy("df", "token"))
-    prefix = ordered.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.floor(F.col("n") * share)).select("owner_id", "token", F.col("entry_id").alias("a"), F.col("n").alias("n_a"))
-    other = ordered.select("owner_id", "token", F.col("entry_id").alias("b"), F.col("n").alias("n_b"))
-    met = prefix.join(other, ["owner_id", "token"]).filter((F.col("a") != F.col("b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))).select("a", "b").distinct()
-    both = met.join(sets.select(F.col("entry_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("entry_id").alias("b"), F.col("set").alias("y")), "b")
-    overlap = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
-    return both.select(F.least("a", "b").alias("entry_id"), F.greatest("a", "b").alias("other_id"), overlap.alias("overlap")).filter(F.col("overlap") > share)
+    """Pairs of an owner's states whose tokens overlap by more than the share of the smaller set. An owner's states are dealt into blocks,
+    and each pair of blocks is one group of bounded size."""
+    return _conflicts(settle(_word_sets(states)), share)
 
 
 def needs_review(states: DataFrame, traits: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
     """(entry_id, why) of states that conflict with another state, and of those that share ``least`` tokens with a trait."""
-    pairs = state_conflicts(states, share)
-    clash = pairs.select("entry_id").unionByName(pairs.select(F.col("other_id").alias("entry_id"))).withColumn("why", F.lit("state"))
-    x = exploded(states, ["owner_id", "entry_id"], F.array_distinct(t.index_tokens(F.col("content"))))
-    y = exploded(traits.withColumnRenamed("entry_id", "trait_id"), ["owner_id", "trait_id"], F.array_distinct(t.index_tokens(F.col("content"))))
-    near = x.join(y, ["owner_id", "token"]).groupBy("entry_id", "trait_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    both = clash.unionByName(near.select("entry_id", F.lit("trait").alias("why"))).distinct()
-    return both.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set("why")), ",").alias("why"))
+    x, y = settle(_word_sets(states)), settle(_word_sets(traits))
+    clash = _conflicts(x, share).select(F.explode(F.array("entry_id", "other_id")).alias("entry_id"), F.lit("state").alias("why"))
+    near = blocks.dealt(x, y, "owner_id", "entry_id", blocks.SET_BLOCK).applyInArrow(blocks.sharing(least), "entry_id long").select("entry_id", F.lit("trait").alias("why"))
+    return clash.unionByName(near).groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set("why")), ",").alias("why"))
 
 
 def independence(new: DataFrame, known: DataFrame, most: float = 0.3) -> DataFrame:
@@ -119,13 +115,11 @@ def dominant_emotion(pairs: DataFrame, order: list[str], floor: float = 0.2) ->
 
 
 def drift(answers: DataFrame, anchors_: DataFrame, least: float = 0.2) -> DataFrame:
-    """Mean bigram Jaccard of answers and anchors by probe, and whether it passes."""
-    plain = lambda df, *keys: df.select(*keys, t.normalise(F.col("content")).alias("_n"))
-    a = plain(answers, "probe", "answer_id").select("probe", "answer_id", t.bigrams(F.col("_n")).alias("x"))
-    b = plain(anchors_, "probe").select("probe", t.bigrams(F.col("_n")).alias("y"))
-    both = a.join(b, "probe").select("probe", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
-    sim = F.col("both") / F.greatest(F.col("n") + F.col("m") - F.col("both"), F.lit(1))
-    return both.groupBy("probe").agg(F.avg(sim).alias("score"), F.count(F.lit(1)).alias("pairs")).withColumn("passed", F.col("score") >= least)
+    """Mean bigram Jaccard of answers and anchors by probe, and whether it passes. Equal texts of a probe are counted; the others meet in
+    pairs of blocks."""
+    plain = lambda df: df.filter("probe is not null").groupBy(F.col("probe").cast("long").alias("probe"), t.normalise(F.col("content")).alias("text")).agg(F.count(F.lit(1)).alias("copies"))
+    met = blocks.dealt(plain(answers), plain(anchors_), "probe", "text", blocks.TEXT_BLOCK).applyInArrow(blocks.jaccard_sums, "probe long, total double, pairs long")
+    return met.groupBy("probe").agg((F.sum("total") / F.sum("pairs")).alias("score"), F.sum("pairs").alias("pairs")).withColumn("passed", F.col("score") >= least)
 
 
 def drift_by_vectors(answers: DataFrame, anchors_: DataFrame, least: float = 0.5) -> DataFrame:
