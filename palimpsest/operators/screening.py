@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .linking import few_terms
 from .recall import exploded, top_n
-from .tables import days_before
+from .tables import days_before, settle
 
 #: Words of feelings, and words of the assistant's own small talk.
 FEELINGS = (
@@ -57,22 +58,33 @@ def emotion_signal(messages: DataFrame, words: list[str] = STRONG) -> DataFrame:
     return messages.groupBy("batch_id").agg(F.coalesce(F.bool_or(F.coalesce("content", F.lit("")).rlike(t._any(words))), F.lit(False)).alias("signal"))
 
 
-def triggered(entries: DataFrame, contexts: DataFrame, stopwords: DataFrame, least: int = 5) -> DataFrame:
+def _by_keys(texts: DataFrame, probes: DataFrame) -> DataFrame:
+    """(entry_id, context_id) where a probe of the owner stands in the text: probes have one to three characters, or start with three."""
+    keys = exploded(texts, ["owner_id", "context_id"], F.array_distinct(F.concat(*(t.grams(F.col("text"), n) for n in (1, 2, 3))))).withColumnRenamed("token", "key")
+    met = keys.join(probes.withColumn("key", F.substring("probe", 1, 3)), ["owner_id", "key"])
+    short = met.filter(F.length("probe") <= 3).select("entry_id", "context_id")
+    long = met.filter(F.length("probe") > 3).join(texts.drop("owner_id"), "context_id").filter(F.contains("text", F.col("probe"))).select("entry_id", "context_id")
+    return short.unionByName(long)
+
+
+def triggered(entries: DataFrame, contexts: DataFrame, stopwords: DataFrame, least: int = 5, few: int | None = None) -> DataFrame:
     """(entry_id, context_id, why) of an owner's entries: a tag stands in the context, or three characters of a longer one do, none of
     them stopwords (why: tag); or the context repeats ``least`` tokens of the entry (why: words).
 
-    What is looked for has one to three characters, or starts with three: contexts and probes meet on those."""
+    An owner's probes are looked for in its contexts one by one where they are few. Else contexts and probes meet on the first one to
+    three characters of what is looked for."""
+    entries, stopwords = settle(entries.select("owner_id", "entry_id", "tags", "content")), settle(stopwords.select("token"))
     tags = entries.select("owner_id", "entry_id", F.explode("tags").alias("tag"))
     tags = tags.select("owner_id", "entry_id", t.fold(F.col("tag")).alias("tag")).filter(F.length("tag") > 0).join(stopwords.select(t.fold(F.col("token")).alias("tag")), "tag", "left_anti")
     pieces = F.when(F.length("tag") >= 4, F.transform(F.sequence(F.lit(1), F.length("tag") - 2), lambda i: F.substring("tag", i, 3))).otherwise(F.array().cast("array<string>"))
     parts = tags.select("owner_id", "entry_id", F.explode(pieces).alias("probe")).join(stopwords.select(t.fold(F.col("token")).alias("probe")), "probe", "left_anti")
-    probes = tags.select("owner_id", "entry_id", F.col("tag").alias("probe")).unionByName(parts).distinct().withColumn("key", F.substring("probe", 1, 3))
+    probes = tags.select("owner_id", "entry_id", F.col("tag").alias("probe")).unionByName(parts).distinct()
     texts = contexts.select("owner_id", "context_id", t.fold(F.coalesce("content", F.lit(""))).alias("text"))
-    keys = exploded(texts, ["owner_id", "context_id"], F.array_distinct(F.concat(*(t.grams(F.col("text"), n) for n in (1, 2, 3))))).withColumnRenamed("token", "key")
-    met = keys.join(probes, ["owner_id", "key"])
-    short = met.filter(F.length("probe") <= 3).select("entry_id", "context_id")
-    long = met.filter(F.length("probe") > 3).join(texts.drop("owner_id"), "context_id").filter(F.contains("text", F.col("probe"))).select("entry_id", "context_id")
-    by_tag = short.unionByName(long).distinct().withColumn("why", F.lit("tag"))
+    found, rest = few_terms(texts.select("owner_id", F.col("context_id").alias("text_id"), F.col("text").alias("_low")), probes.withColumnsRenamed({"entry_id": "entity_id", "probe": "term"}), ["owner_id"], few)
+    by_tag = found.select(F.col("entity_id").alias("entry_id"), F.col("text_id").alias("context_id"))
+    if rest.limit(1).count():
+        by_tag = by_tag.unionByName(_by_keys(texts.join(rest.select("owner_id").distinct(), "owner_id", "left_semi"), rest.withColumnsRenamed({"entity_id": "entry_id", "term": "probe"})))
+    by_tag = by_tag.distinct().withColumn("why", F.lit("tag"))
     own = exploded(entries, ["owner_id", "entry_id"], F.array_distinct(t.index_tokens(F.col("content"))))
     said = exploded(contexts, ["owner_id", "context_id"], t.index_tokens(F.col("content")))
     by_words = own.join(said, ["owner_id", "token"]).groupBy("entry_id", "context_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
