@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import scoring as s
 from ..functions import text as t
 from . import blocks
-from .recall import exploded, top_n
+from .recall import top_n
 from .tables import days_before, settle
 
 
@@ -22,32 +22,28 @@ def similar_pairs(neighbours: DataFrame, threshold: float) -> DataFrame:
 def match_evidence(fragments: DataFrame, entries: DataFrame, least: float = 3.0) -> DataFrame:
     """Each fragment's best model entry of its owner. For each of the entry's names: 3 if the fragment's entity holds it, 2 if the
     content holds it as words, 2 if name and entity hold one another in lower case; and 0.3 for each of the fragment's tokens that the
-    entry has. Equal scores go by priority, then confidence. Entries are (owner_id, entry_id, content, names, priority, confidence)."""
-    f = exploded(fragments, ["owner_id", "fragment_id"], t.index_tokens(F.col("content")))
-    e = exploded(entries, ["owner_id", "entry_id"], F.array_distinct(t.index_tokens(F.col("content"))))
-    pair = ["fragment_id", "entry_id"]
-    shared = f.join(e, ["owner_id", "token"]).groupBy(*pair).agg((0.3 * F.count(F.lit(1))).alias("score"))
-    names = entries.select("owner_id", "entry_id", F.explode("names").alias("name")).filter("name <> ''")
-    low = lambda c: F.lower(F.col(c))
-    # an owner's entities are few beside its fragments: names are compared with each entity once
-    kinds = fragments.filter("entity <> ''").select("owner_id", "entity").distinct().join(names, "owner_id")
-    points = 3 * F.contains("entity", F.col("name")).cast("int") + 2 * (F.contains(low("entity"), low("name")) | F.contains(low("name"), low("entity"))).cast("int")
-    about = kinds.withColumn("score", points.cast("double")).filter("score > 0").groupBy("owner_id", "entity", "entry_id").agg(F.sum("score").alias("score"))
-    by_entity = fragments.select("owner_id", "entity", "fragment_id").join(about, ["owner_id", "entity"]).select(*pair, "score")
-    first = names.withColumn("token", F.get(t.index_tokens(F.col("name")), F.lit(0)))
-    said = first.join(f.distinct(), ["owner_id", "token"]).join(fragments.select("fragment_id", "content"), "fragment_id").filter(F.contains("content", F.col("name"))).select(*pair, F.lit(2.0).alias("score"))
-    both = shared.unionByName(by_entity).unionByName(said).groupBy(*pair).agg(F.round(F.sum("score"), 6).alias("score")).filter(F.col("score") >= least)
-    ranked = both.join(entries.select("entry_id", "priority", "confidence"), "entry_id")
-    return top_n(ranked, ["fragment_id"], [F.desc("score"), F.desc("priority"), F.desc("confidence"), F.asc("entry_id")], 1).drop("rank", "priority", "confidence")
+    entry has. Equal scores go by priority, then confidence. Entries are (owner_id, entry_id, content, names, priority, confidence). An
+    owner's fragments and entries meet in pairs of blocks, each of which gives a fragment's best entry there."""
+    said = lambda df, words, *more: df.select("owner_id", *more, F.array_join(words, " ").alias("words"))
+    own = fragments.join(entries.select("owner_id").distinct(), "owner_id", "left_semi")
+    x = settle(said(own, t.index_tokens(F.col("content")), F.col("fragment_id").cast("long").alias("fragment_id"), "entity", F.lower("entity").alias("low_entity"), F.coalesce("content", F.lit("")).alias("content")))
+    name = lambda c: F.struct(c.alias("name"), F.lower(c).alias("low"), F.get(t.index_tokens(c), F.lit(0)).alias("token"))
+    names = F.transform(F.filter("names", lambda c: c != ""), name).alias("names")
+    y = settle(said(entries, F.array_distinct(t.index_tokens(F.col("content"))), F.col("entry_id").cast("long").alias("entry_id"), F.col("priority").cast("long").alias("priority"), F.col("confidence").cast("double").alias("confidence"), names))
+    met = blocks.dealt(x, y, "owner_id", {"left": "fragment_id", "right": "entry_id"}, blocks.MATCH_BLOCK)
+    best = met.applyInArrow(blocks.best_match(least), "fragment_id long, entry_id long, priority long, confidence double, score double")
+    return top_n(best, ["fragment_id"], [F.desc("score"), F.desc("priority"), F.desc("confidence"), F.asc("entry_id")], 1).select("fragment_id", "entry_id", "score")
 
 
 def anchors(entries: DataFrame, fragments: DataFrame, days: float, least: int = 4, keep: int = 50) -> DataFrame:
-    """Entries with the fragments of their owner that share ``least`` tokens and lie within ``days`` of them."""
-    e = exploded(entries, ["owner_id", "entry_id", "created_at"], F.array_distinct(t.index_tokens(F.col("content"))))
-    f = exploded(fragments.withColumnRenamed("created_at", "at"), ["owner_id", "fragment_id", "at"], F.array_distinct(t.index_tokens(F.col("content"))))
-    near = F.abs(F.unix_timestamp("at") - F.unix_timestamp("created_at")) <= days * 86400
-    g = e.join(f, ["owner_id", "token"]).filter(near).groupBy("entry_id", "fragment_id").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
-    return top_n(g, ["entry_id"], [F.desc("shared"), F.asc("fragment_id")], keep)
+    """Entries with the fragments of their owner that share ``least`` tokens and lie within ``days`` of them, the ``keep`` that share most.
+    They meet in pairs of blocks."""
+    words = F.array_join(F.array_distinct(t.index_tokens(F.col("content"))), " ").alias("words")
+    rows = lambda df, id_col: df.select("owner_id", F.col(id_col).cast("long").alias(id_col), F.unix_timestamp("created_at").alias("at"), words).filter("at is not null")
+    own = fragments.join(entries.select("owner_id").distinct(), "owner_id", "left_semi")
+    met = blocks.dealt(settle(rows(entries, "entry_id")), settle(rows(own, "fragment_id")), "owner_id", {"left": "entry_id", "right": "fragment_id"}, blocks.MATCH_BLOCK)
+    near = met.applyInArrow(blocks.most_shared(days * 86400, least, keep), "entry_id long, fragment_id long, shared long")
+    return top_n(near, ["entry_id"], [F.desc("shared"), F.asc("fragment_id")], keep)
 
 
 def _word_sets(df: DataFrame) -> DataFrame:
