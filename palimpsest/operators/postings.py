@@ -15,6 +15,7 @@ Rows of null owners or ids are left out. Removed documents are handed in with th
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ from .tables import settle
 CELL, CLASSES = 64, 4
 #: Scores are rounded to six places: less than this apart, two may be equal.
 ROUNDING = 1e-6
+#: Characters of a task's documents, about, where their words are counted.
+TASK_CHARS = 1 << 24
 
 BLOCK = "owner_id long, token string, cell string, n int, max_tf int, min_dl int, posts array<struct<id:bigint,tf:int,dl:int>>, batch long"
 COMMIT = "owner_id long, n long, dl long, removes boolean, replaces array<bigint>, batch long"
@@ -70,50 +73,57 @@ class Postings:
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table).filter(F.col("batch").isin(*batches))
 
-    def _write(self, blocks: DataFrame, stats: DataFrame, batch: int, removes: bool = False, replaces: list[int] = ()) -> None:
-        """The blocks of a batch, and then what commits it."""
+    def _write(self, blocks: DataFrame, stats: Callable[[], DataFrame], batch: int, removes: bool = False, replaces: list[int] = ()) -> None:
+        """The blocks of a batch, and then what commits it; ``stats`` may read the blocks that were written."""
         self._put(blocks, batch)
-        some = stats.select(F.col("owner_id").cast("long").alias("owner_id"), F.col("n").cast("long").alias("n"), F.col("dl").cast("long").alias("dl"))
+        some = stats().select(F.col("owner_id").cast("long").alias("owner_id"), F.col("n").cast("long").alias("n"), F.col("dl").cast("long").alias("dl"))
         # a batch without documents counts as well
         none = self.spark.createDataFrame([(None, 0, 0)], "owner_id long, n long, dl long")
         done = some.unionByName(none).withColumns({"removes": F.lit(removes), "replaces": F.lit(list(replaces)).cast("array<bigint>")})
         done.write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
         self.spark.catalog.refreshTable(self.table)
 
+    def _written(self, batches: list[int]) -> DataFrame:
+        """The blocks of some batches, by folder, whether they are committed or not."""
+        root = f"{self.path}/blocks_{self.buckets}"
+        parts = [p for b in batches if _listed(self.spark, p := f"{root}/batch={b}")]
+        return self.spark.read.schema(BLOCK).option("basePath", root).parquet(*parts) if parts else self.spark.createDataFrame([], BLOCK)
+
     def _put(self, blocks: DataFrame, batch: int) -> None:
         """A batch's blocks, in place of those that it may have; each bucket is a task, and so one file."""
         dealt = blocks.select("owner_id", "token", "cell", "n", "max_tf", "min_dl", "posts").repartition(self.buckets, "owner_id", "token", "cell")
         self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = {int(batch)}) SELECT * FROM {{dealt}}", dealt=dealt)
 
     def _rows(self, docs: DataFrame, id_col: str, text_col: str, by: str) -> DataFrame:
-        """(owner_id, id, ws, cell number) of documents."""
+        """(owner_id, id, text, cell number) of documents."""
         size = F.floor(F.log2(F.length(F.coalesce(text_col, F.lit(""))) + F.lit(1.0)) * CLASSES).cast("int")
         rows = docs.filter(F.col(by).isNotNull() & F.col(id_col).isNotNull())
         rows = rows.select(F.col(by).cast("long").alias("owner_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"), size.alias("_size"))
         slots = rows.groupBy("owner_id", "_size").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_slots"))
         slot = F.pmod(F.xxhash64("id"), F.col("_slots"))
-        return rows.join(slots, ["owner_id", "_size"]).select("owner_id", "id", F.concat_ws("/", "_size", slot).alias("place"), t.index_tokens(F.col("_text")).alias("_ws"))
+        return rows.join(slots, ["owner_id", "_size"]).select("owner_id", "id", F.concat_ws("/", "_size", slot).alias("place"), "_text")
 
     def append(self, docs: DataFrame, batch: int, id_col: str = "fragment_id", text_col: str = "content", by: str = "owner_id") -> None:
-        """Add documents, of ids that the index doesn't hold or that an earlier batch has removed."""
+        """Add documents, of ids that the index doesn't hold or that an earlier batch has removed. A cell's documents go to one task, as
+        texts, where their words are counted and gathered: no row for each word of a document is shuffled."""
         rows = self._rows(docs, id_col, text_col, by)
-        cell = F.concat_ws("/", F.lit(batch), "place")
-        posts = exploded(rows, ["owner_id", "id", "place"], F.col("_ws"), "dl").groupBy("owner_id", "id", "place", "dl", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        found = posts.groupBy("owner_id", "token", cell.alias("cell")).agg(
-            F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("posts")
-        )
-        stats = rows.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_ws")).alias("dl"))
-        self._write(found, stats, batch)
+        chars = docs.agg(F.sum(F.length(text_col)).alias("n")).first().n or 0
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+        dealt = rows.repartition(tasks, "owner_id", "place").select("owner_id", "place", "id", F.array_join(t.index_tokens(F.col("_text")), " ").alias("words"))
+        found = dealt.groupBy("owner_id", "place").applyInArrow(_gathered(batch), BLOCK.rpartition(", ")[0])
+        n = rows.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"))
+        dl = lambda: self._written([batch]).groupBy("owner_id").agg(F.sum(F.aggregate("posts.tf", F.lit(0).cast("long"), lambda x, y: x + y)).alias("dl"))
+        self._write(found, lambda: n.join(dl(), "owner_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0))), batch)
 
     def remove(self, docs: DataFrame, batch: int, id_col: str = "fragment_id", text_col: str = "content", by: str = "owner_id") -> None:
         """Take documents of earlier batches away: their ids no longer count, nor do their tokens in the statistics."""
-        rows = self._rows(docs, id_col, text_col, by)
+        rows = self._rows(docs, id_col, text_col, by).withColumn("_ws", t.index_tokens(F.col("_text")))
         tokens = exploded(rows, ["owner_id", "id"], F.array_distinct("_ws"))
         less = tokens.groupBy("owner_id", "token").agg((-F.count(F.lit(1))).cast("int").alias("n"))
         nothing = {"max_tf": F.lit(0), "min_dl": F.lit(1), "posts": F.array().cast("array<struct<id:bigint,tf:int,dl:int>>")}
         stats = rows.groupBy("owner_id").agg((-F.count(F.lit(1))).alias("n"), (-F.sum(F.size("_ws"))).alias("dl"))
         rows.select("owner_id", "id").write.mode("overwrite").parquet(f"{self.path}/gone/batch={batch}")
-        self._write(less.withColumn("cell", F.lit(f"{batch}/gone")).withColumns(nothing), stats, batch, removes=True)
+        self._write(less.withColumn("cell", F.lit(f"{batch}/gone")).withColumns(nothing), lambda: stats, batch, removes=True)
 
     def gone(self) -> DataFrame | None:
         """(id, until): ids and the batch that removed them last; None where nothing was removed."""
@@ -130,16 +140,16 @@ class Postings:
     def compact(self, batch: int) -> None:
         """All batches as one, of the number ``batch``: removed postings go, cells stay. The old batches count until this one is committed,
         and not from then on."""
-        old, root = self.batches(), f"{self.path}/blocks_{self.buckets}"
         # by folder, as a table that is written to may not be read
-        parts = [p for b in old if _listed(self.spark, p := f"{root}/batch={b}")]
-        blocks = self.spark.read.schema(BLOCK).option("basePath", root).parquet(*parts) if parts else self.blocks()
+        old = self.batches()
+        blocks = self._written(old)
         posts = self._live(blocks.select("owner_id", "token", "cell", "batch", F.explode("posts").alias("p")).select("*", F.col("p.id").alias("id")))
         merged = posts.groupBy("owner_id", "token", "cell").agg(
             F.count(F.lit(1)).cast("int").alias("n"), F.max("p.tf").alias("max_tf"), F.min("p.dl").alias("min_dl"), F.sort_array(F.collect_list("p")).alias("posts")
         )
         stats = self.commits().groupBy("owner_id").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).filter("owner_id is not null")
-        self._write(merged, settle(stats), batch, replaces=old)
+        stats = settle(stats)
+        self._write(merged, lambda: stats, batch, replaces=old)
 
     def _weights(self, wanted: DataFrame, met: DataFrame) -> DataFrame:
         """(query_id, owner_id, token, idf, avgdl) of query tokens; ``met`` are the blocks of their tokens."""
@@ -189,6 +199,37 @@ class Postings:
         return cells.join(floor, "query_id", "left").filter(F.col("_floor").isNull() | (F.col("bound") >= F.col("_floor") - ROUNDING)).drop("_floor")
 
 
+def _gathered(batch: int):
+    """The blocks of a cell's documents (id, words); words are joined by spaces."""
+
+    def run(key, docs):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words = pc.split_pattern(docs.column("words").combine_chunks(), " ")
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = words.flatten().dictionary_encode()
+        token, some = flat.indices.to_numpy().astype(np.int64), pc.not_equal(words.flatten(), "").to_numpy(zero_copy_only=False)
+        size[pc.equal(docs.column("words").combine_chunks(), "").to_numpy(zero_copy_only=False)] = 0
+        # rows of one id and length are one document
+        of, doc = np.unique(np.stack([docs.column("id").to_numpy(), size]), axis=1, return_inverse=True)
+        pair, tf = np.unique(token[some] * docs.num_rows + np.repeat(doc.reshape(-1), size), return_counts=True)
+        token, doc = pair // docs.num_rows, pair % docs.num_rows
+        first = np.flatnonzero(np.diff(token, prepend=-1))
+        ends, dl = np.append(first, len(token)), of[1][doc]
+        least = np.minimum.reduceat(dl, first) if len(first) else dl
+        most = np.maximum.reduceat(tf, first) if len(first) else tf
+        posts = pa.StructArray.from_arrays([pa.array(of[0][doc], pa.int64()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], ["id", "tf", "dl"])
+        owner, place = (k.as_py() for k in key)
+        return pa.table({
+            "owner_id": pa.array([owner] * len(first), pa.int64()), "token": flat.dictionary.take(pa.array(token[first])), "cell": pa.array([f"{batch}/{place}"] * len(first), pa.string()),
+            "n": pa.array(np.diff(ends), pa.int32()), "max_tf": pa.array(most, pa.int32()), "min_dl": pa.array(least, pa.int32()), "posts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), posts),
+        })
+
+    return run
+
+
 def _listed(spark: SparkSession, path: str) -> list:
     """What lies in a folder, or the file itself."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -83,3 +83,14 @@ def test_bounds_hold_and_prune(spark, index):
         assert best <= row.bound + 1e-6
     docs = spark.createDataFrame(rows, SCHEMA)
     assert found(index.search(queries, 10)) == found(bm25_topk(queries, docs, 10))
+
+
+def test_words_are_counted_where_a_cell_is(spark, index, monkeypatch):
+    """Texts are dealt by cell once; no row for each word of a document is made or shuffled."""
+    plans, put = [], Postings._put
+    monkeypatch.setattr(Postings, "_put", lambda self, blocks, batch: (plans.append(blocks._jdf.queryExecution().optimizedPlan().toString()), put(self, blocks, batch)))
+    index.append(spark.createDataFrame([(1, 1, "a b a"), (1, 2, "b"), (1, 3, None), (1, 4, "--"), (2, 5, "a"), (1, 6, "b"), (1, 6, "b")], SCHEMA), 1)
+    assert "Generate" not in plans[0]
+    rows = sorted((r.owner_id, r.token, p.id, p.tf, p.dl) for r in index.blocks().collect() for p in r.posts)
+    assert rows == [(1, "a", 1, 2, 3), (1, "b", 1, 1, 3), (1, "b", 2, 1, 1), (1, "b", 6, 2, 1), (2, "a", 5, 1, 1)]
+    assert {(r.owner_id, r.n, r.dl) for r in index.commits().collect()} == {(None, 0, 0), (1, 6, 6), (2, 1, 1)}
