@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections import namedtuple
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.emotion import RUN, Baseline
@@ -76,13 +79,16 @@ def fold(stream: DataFrame, keys: list[str], order: list[str], make, step, schem
     """A fold over each key's rows in time, with its state between batches: ``make(state or None)`` gives an object with ``state()``,
     ``step(object, key, row)`` rows of the result. Only the columns used are held while a batch's rows of a key are put in order."""
     names = [part.split()[0] for part in schema.split(",")]
+    Row = namedtuple("Row", [c for c in stream.columns if c not in keys])  # noqa: N806
 
     def run(key, batches, state):
         import pandas as pd
 
         own = make(json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values(order)
-        out = [(*key, *line) for r in rows.itertuples(index=False) for line in step(own, r)]
+        frames = list(batches)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames)
+        place = np.lexsort([rows[c].to_numpy() for c in reversed(order)])  # a frame sorted by several columns takes longer than the fold of a small key
+        out = [(*key, *line) for r in map(Row._make, zip(*[rows[c].to_numpy()[place].tolist() for c in Row._fields], strict=True)) for line in step(own, r)]
         state.update((json.dumps(own.state()),))
         yield pd.DataFrame(out, columns=names)
 
@@ -102,16 +108,18 @@ class Timed(StatefulProcessor):
     then; ``step(object, row)`` gives those of a row, once all that was due before it is out. Rows of one batch are put in order; a
     batch's rows come after those of earlier batches, or after the watermark."""
 
-    def __init__(self, make, state: str, step, order: list[str], schema: str) -> None:
-        self.make, self.schema, self.step, self.order = make, state, step, order
+    #: Rows of a frame, read or returned.
+    FRAME = 10000
+
+    def __init__(self, make, state: str, step, order: list[str], schema: str, rows) -> None:
+        """``rows`` is the Arrow schema of the columns that are used."""
+        self.make, self.schema, self.step, self.order, self.rows = make, state, step, order, rows
         self.columns = [part.split()[0] for part in schema.split(", ")]
 
     def init(self, handle) -> None:
         self.handle, self.kept = handle, handle.getListState("kept", self.schema)
 
     def _end(self, key, own, out):
-        import pandas as pd
-
         rows, due = own.rows(), own.next()
         self.kept.put(rows) if rows else self.kept.clear()
         for old in list(self.handle.listTimers()):
@@ -119,15 +127,26 @@ class Timed(StatefulProcessor):
         if due is not None:
             self.handle.registerTimer(math.ceil(due * 1000))
         if out:
-            yield pd.DataFrame([(*key, *line) for line in out], columns=self.columns, dtype=object)
+            yield self._frame(key, out)
 
-    def handleInputRows(self, key, rows, timerValues):
+    def _frame(self, key, out):
         import pandas as pd
 
+        return pd.DataFrame([(*key, *line) for line in out], columns=self.columns, dtype=object)
+
+    def handleInputRows(self, key, rows, timerValues):
+        """A batch's rows of the key are held as Arrow columns, which take a few bytes each, and are frames and objects but a few at a time."""
+        import pyarrow as pa
+
         own, out = self.make(list(self.kept.get())), []
-        for r in pd.concat(list(rows)).sort_values(self.order).itertuples(index=False):
-            out += own.due(float(r.at))
-            out += self.step(own, r)
+        held = pa.concat_tables([pa.Table.from_pandas(frame[self.rows.names], self.rows, preserve_index=False) for frame in rows])
+        for part in held.sort_by([(c, "ascending") for c in self.order]).to_batches(self.FRAME):
+            for r in part.to_pandas().itertuples(index=False):
+                out += own.due(float(r.at))
+                out += self.step(own, r)
+            if len(out) >= self.FRAME:
+                yield self._frame(key, out)
+                out = []
         yield from self._end(key, own, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -141,8 +160,9 @@ class Timed(StatefulProcessor):
 def timed(stream: DataFrame, key: str, delay: str, make, state: str, step, order: list[str], schema: str) -> DataFrame:
     """``Timed`` over a stream with ``at`` in seconds; timers fire when the watermark, ``delay`` behind the latest row of any key, has passed them. Rows that are no later than the watermark are
     dropped, so that a delay of nothing suits a single batch alone."""
+    used = to_arrow_schema(stream.drop(key).schema)
     rows = stream.withColumn("_ts", F.timestamp_seconds("at")).withWatermark("_ts", delay)
-    return rows.groupBy(key).transformWithStateInPandas(Timed(make, state, step, order, schema), schema, "append", "eventTime")
+    return rows.groupBy(key).transformWithStateInPandas(Timed(make, state, step, order, schema, used), schema, "append", "eventTime")
 
 
 class Pending:

@@ -114,3 +114,25 @@ def test_a_state_ends_by_its_timer(spark):
 def test_idle_once_in_a_week():
     own, hours = jobs.Idle(), [0, 1, 8, 9, 20, 168, 177, 360]
     assert [h for h in hours if own.write(h * 3600)] == [8, 177, 360]
+
+
+def test_a_key_gives_its_rows_in_frames():
+    """A batch's rows of a key become objects, and frames of the result, a few at a time."""
+    import pandas as pd
+    import pyarrow as pa
+
+    class Kept:
+        get, put, clear = (lambda self: []), (lambda self, rows: None), (lambda self: None)
+
+    class Handle:
+        getListState, listTimers, registerTimer = (lambda self, name, schema: Kept()), (lambda self: []), (lambda self, at: None)
+
+    step = lambda own, r: [(r.msg_id, own.known(), [own.put(r.at, int(x)) for x in r.entity_ids])[:2]]
+    timed = jobs.Timed(jobs.Recent, "at double, item long", step, ["at", "msg_id"], "owner_id long, msg_id long, known array<long>", pa.schema([("msg_id", pa.int64()), ("at", pa.int64()), ("entity_ids", pa.list_(pa.int64()))]))
+    timed.FRAME = 4
+    timed.init(Handle())
+    frames = (pd.DataFrame({"owner_id": 7, "msg_id": [i, 20 - i], "at": [i, 20 - i], "entity_ids": [[], [20 - i]]}) for i in range(10))
+    out = list(timed.handleInputRows((7,), frames, None))
+    assert [len(x) for x in out] == [4, 4, 4, 4, 4]
+    rows = pd.concat(out)
+    assert list(rows.msg_id) == [*range(10), *range(11, 21)] and rows.known.iloc[-1] == list(range(11, 20)) and set(rows.owner_id) == {7}
