@@ -9,7 +9,7 @@ from ..functions import scoring as s
 from ..functions import text as t
 from ..operators import recall as r
 from ..operators.postings import Postings, fingerprint
-from ..operators.tables import scratch
+from ..operators.tables import scratch, settle
 from ..sources import adapter as a
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0},'')), '[\p{{L}}\p{{N}}]+')"
@@ -151,16 +151,23 @@ def entity_channel(spark, d):
 
 
 def _evidence(spark, d):
-    """Documents that hold a question's whole text: the start is looked up by its first three words."""
-    key = lambda c: F.slice(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 3)
-    q = a.questions(spark, d).select("query_id", "query", F.array_join(key(F.col("query")), " ").alias("key"))
-    words = F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    docs = a.fragments(spark, d).select("fragment_id", words.alias("w"))
-    docs = docs.select("fragment_id", F.array_distinct(grams).alias("keys")).select("fragment_id", F.explode_outer("keys").alias("key"))
-    # the texts meet only the few pairs that agree in three words
-    met = docs.join(q, "key").select("query_id", "query", "fragment_id")
-    return met.join(a.fragments(spark, d).select("fragment_id", "content"), "fragment_id").filter(F.contains("content", F.col("query"))).select("query_id", "fragment_id").distinct()
+    """Documents that hold a question's whole text. What stands between its first and last token, which may be parts of a document's words,
+    a document must have: it is looked up in the index by the rarest of those. Questions without any are looked for one by one."""
+    q = a.questions(spark, d).select("query_id", "query")
+    inner = F.array_distinct(F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))))
+    q = settle(q.withColumn("_t", t.index_tokens(F.col("query"))).select("query_id", "query", inner.alias("inner")))
+    blocks = index(spark, d, every=True).blocks()
+    asked = r.exploded(q, ["query_id"], F.col("inner"))
+    df = blocks.select("token", "n").join(F.broadcast(asked.select("token").distinct()), "token").groupBy("token").agg(F.sum("n").alias("n"))
+    # a token that no document has rules its question out
+    rarest = settle(asked.join(df, "token", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("k")).filter("k.n > 0").select("query_id", "k.token"))
+    near = blocks.select("token", "posts.id").join(F.broadcast(rarest), "token").select("query_id", F.explode("id").alias("fragment_id")).distinct()
+    f = a.fragments(spark, d).select("fragment_id", "content")
+    met = near.join(q.select("query_id", "query"), "query_id").join(f, "fragment_id")
+    bare = q.filter(F.size("inner") == 0).select("query_id", "query")
+    if bare.limit(1).count():
+        met = met.select("query_id", "query", "fragment_id", "content").unionByName(bare.join(f, F.contains("content", F.col("query"))).select("query_id", "query", "fragment_id", "content"))
+    return met.filter(F.contains("content", F.col("query"))).select("query_id", "fragment_id").distinct()
 
 
 EVIDENCE = {"evidence": "SELECT query_id, fragment_id FROM questions JOIN fragments ON contains(content, query)"}

@@ -94,3 +94,14 @@ def test_words_are_counted_where_a_cell_is(spark, index, monkeypatch):
     rows = sorted((r.owner_id, r.token, p.id, p.tf, p.dl) for r in index.blocks().collect() for p in r.posts)
     assert rows == [(1, "a", 1, 2, 3), (1, "b", 1, 1, 3), (1, "b", 2, 1, 1), (1, "b", 6, 2, 1), (2, "a", 5, 1, 1)]
     assert {(r.owner_id, r.n, r.dl) for r in index.commits().collect()} == {(None, 0, 0), (1, 6, 6), (2, 1, 1)}
+
+
+def test_evidence_may_begin_and_end_inside_a_word(spark, tmp_path):
+    from palimpsest.plans import q_recall
+
+    docs = [(1, "unhappy red fox jumps"), (2, "happy red fox"), (3, "a happy  red fox"), (4, None), (5, "ox yox")]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' as lang", "'src1' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "happy red fo"), (2, "ox"), (3, "no such words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in q_recall._evidence(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (2, 5)}
