@@ -9,13 +9,14 @@ from . import text as t
 
 _FOLDED = f"lower(translate(coalesce(value, ''), '{t.SIMPLIFIED}', '{t.TRADITIONAL}'))"
 _TOKENS = (
-    rf"flatten(transform(regexp_extract_all({_FOLDED}, r'[{t.CJK}]+|[\p{{L}}\p{{N}}&&[^{t.CJK}]]+', 0), "
-    rf"r -> if(r rlike r'^[{t.CJK}]{{2,}}$', transform(sequence(1, length(r) - 1), i -> substring(r, i, 2)), array(r))))"
+    rf"if(coalesce(value, '') rlike '[{t.CJK}]', flatten(transform(regexp_extract_all({_FOLDED}, r'[{t.CJK}]+|[\p{{L}}\p{{N}}&&[^{t.CJK}]]+', 0), "
+    rf"r -> if(r rlike r'^[{t.CJK}]{{2,}}$', transform(sequence(1, length(r) - 1), i -> substring(r, i, 2)), array(r)))), "
+    r"regexp_extract_all(lower(coalesce(value, '')), r'[\p{L}\p{N}]+', 0))"
 )
 #: Name, parameters, result and body: what ``text.index_tokens``, ``text.normalise`` without full-width forms, ``state.ascii_like`` and a length are.
 FUNCTIONS = [
     ("mem_tokens", "value STRING", "ARRAY<STRING>", _TOKENS),
-    ("mem_match", "value STRING, words ARRAY<STRING>", "BOOLEAN", "forall(words, w -> array_contains(mem_tokens(value), w))"),
+    ("mem_match", "value STRING, words ARRAY<STRING>", "BOOLEAN", "forall(array(mem_tokens(value)), own -> forall(words, w -> array_contains(own, w)))"),
     ("mem_like", "value STRING, pattern STRING", "BOOLEAN", "translate(value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE translate(pattern, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"),
     ("mem_len", "value STRING", "INT", "length(coalesce(value, ''))"),
 ]
