@@ -83,3 +83,21 @@ def test_fold_and_key_tokens_pass_over_other_characters_alone(spark):
     said = [f"a{w}b" for w in [*t.TIMES, *t.NUMERALS.replace("0-9", "0189"), *[x + "日" for x in t.WEEK.split("|")]]] + ["", "none", "12今天x3后天"]
     got = spark.createDataFrame([(x,) for x in said], "s string").select("s", t.key_tokens(F.col("s")).alias("k")).collect()
     assert [r.s for r in got if r.k != "|".join(sorted(re.findall(t.KEY, r.s)))] == []
+
+
+def test_pair_sums(spark):
+    """Sums over a text's distinct pairs of characters, whatever stands in the same batch; the pairs of small sets alone are kept."""
+    from functools import reduce
+
+    texts = [x for _, x in _made(7)[0] if x is not None] + ["", "好", "aaaa", "abab", "baba"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, _n string").coalesce(1)
+    every = {r.id: r for r in scans.pair_sums(df, None).collect()}
+    few = {r.id: r for r in scans.pair_sums(df, 5).collect()}
+    hashes = {}
+    for i, x in enumerate(texts):
+        pairs, r = {x[k : k + 2] for k in range(len(x) - 1)}, every[i]
+        assert r._size == len(pairs) == len(set(r._h)) and few[i][:-1] == r[:-1] and few[i]._h == (r._h if r._size <= 5 else [])
+        xor = lambda hs: reduce(lambda a, b: a ^ b, hs, 0)
+        assert r._xor == xor(r._h) and r._h0 == xor(h for h in r._h if not h >> 7 & 1) and r._h1 == xor(h for h in r._h if h >> 7 & 1)
+        hashes.setdefault(frozenset(pairs), set()).add(frozenset(r._h))
+    assert all(len(h) == 1 for h in hashes.values()) and len({h for hs in hashes.values() for h in hs}) == len(hashes)
