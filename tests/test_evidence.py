@@ -75,3 +75,13 @@ def test_json_ids(spark):
     texts = ['[1,"2",{"id":3},{"id":"4"},null,-1,0,"x",1,2.5,5.0]', "[]", "x", None, '{"id":1}', "[[1]]"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
     assert [r.ids for r in df.select("i", status.json_ids(F.col("text")).alias("ids")).orderBy("i").collect()] == [[1, 2, 3, 4, 5], [], [], [], [], []]
+
+
+def test_contradiction_targets_without_caps(spark):
+    """All entities that a verdict names count, and all entries about one of them."""
+    names = spark.createDataFrame([(i, f"name{i}x") for i in range(6)], "entity_id long, term string")
+    verdicts = spark.createDataFrame([(0, 1, " ".join(f"name{i}x" for i in range(5)), [7, 8])], "owner_id long, verdict_id long, content string, fragment_ids array<long>")
+    rows = [(0, 10 * i + j, f"of name{i}x" if j % 2 else "", "active", [100], [] if j % 2 else [i]) for i in range(6) for j in range(6)] + [(1, 90, "name0x", "active", [7], [0]), (0, 91, "name0x", "gone", [7], [0])]
+    model = spark.createDataFrame(rows, "owner_id long, entry_id long, content string, status string, fragment_ids array<long>, entity_ids array<long>")
+    got = sorted(tuple(r) for r in evidence.contradiction_targets(verdicts, model, names).select("verdict_id", "entry_id", "fragment_id", "why").collect())
+    assert got == [(1, 10 * i + j, 7, "entity") for i in range(5) for j in range(6)]
