@@ -114,7 +114,7 @@ def drift(answers: DataFrame, anchors_: DataFrame, least: float = 0.2) -> DataFr
     """Mean bigram Jaccard of answers and anchors by probe, and whether it passes. Equal texts of a probe are counted; the others meet in
     pairs of blocks."""
     plain = lambda df: df.filter("probe is not null").groupBy(F.col("probe").cast("long").alias("probe"), t.normalise(F.col("content")).alias("text")).agg(F.count(F.lit(1)).alias("copies"))
-    met = blocks.dealt(plain(answers), plain(anchors_), "probe", "text", blocks.TEXT_BLOCK).applyInArrow(blocks.jaccard_sums, "probe long, total double, pairs long")
+    met = blocks.dealt(settle(plain(answers)), settle(plain(anchors_)), "probe", "text", blocks.TEXT_BLOCK, "text").applyInArrow(blocks.jaccard_sums, "probe long, total double, pairs long")
     return met.groupBy("probe").agg((F.sum("total") / F.sum("pairs")).alias("score"), F.sum("pairs").alias("pairs")).withColumn("passed", F.col("score") >= least)
 
 
