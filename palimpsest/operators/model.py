@@ -47,9 +47,10 @@ def anchors(entries: DataFrame, fragments: DataFrame, days: float, least: int =
 
 
 def _word_sets(df: DataFrame) -> DataFrame:
-    """(owner_id, entry_id, n, set): the distinct tokens, joined by spaces. An owner that is null meets nobody."""
-    sets = df.filter("owner_id is not null").select("owner_id", "entry_id", F.array_distinct(t.index_tokens(F.col("content"))).alias("_w")).filter(F.size("_w") > 0)
-    return sets.select("owner_id", F.col("entry_id").cast("long").alias("entry_id"), F.size("_w").alias("n"), F.array_join("_w", " ").alias("set"))
+    """(owner_id, entry_id, n, set): the distinct tokens, joined by spaces, settled. An owner that is null meets nobody. Texts without tokens go
+    afterwards, as a filter on the number evaluates the tokens once more."""
+    sets = df.filter("owner_id is not null").select("owner_id", "entry_id", F.array_distinct(t.index_tokens(F.col("content"))).alias("_w"))
+    return settle(sets.select("owner_id", F.col("entry_id").cast("long").alias("entry_id"), F.size("_w").alias("n"), F.array_join("_w", " ").alias("set"))).filter("n > 0")
 
 
 def _conflicts(sets: DataFrame, share: float) -> DataFrame:
@@ -59,12 +60,12 @@ def _conflicts(sets: DataFrame, share: float) -> DataFrame:
 def state_conflicts(states: DataFrame, share: float = 0.5) -> DataFrame:
     """Pairs of an owner's states whose tokens overlap by more than the share of the smaller set. An owner's states are dealt into blocks,
     and each pair of blocks is one group of bounded size."""
-    return _conflicts(settle(_word_sets(states)), share)
+    return _conflicts(_word_sets(states), share)
 
 
 def needs_review(states: DataFrame, traits: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
     """(entry_id, why) of states that conflict with another state, and of those that share ``least`` tokens with a trait."""
-    x, y = settle(_word_sets(states)), settle(_word_sets(traits))
+    x, y = _word_sets(states), _word_sets(traits)
     clash = _conflicts(x, share).select(F.explode(F.array("entry_id", "other_id")).alias("entry_id"), F.lit("state").alias("why"))
     near = blocks.dealt(x, y, "owner_id", "entry_id", blocks.SET_BLOCK).applyInArrow(blocks.sharing(least), "entry_id long").select("entry_id", F.lit("trait").alias("why"))
     return clash.unionByName(near).groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set("why")), ",").alias("why"))
