@@ -7,7 +7,7 @@ search scores the few cells of the highest bounds first, and then those alone th
 
 Every change is a batch of a number of its own, higher than those before. Its blocks and removals are written first and its statistics
 last, which is what commits it: a batch that failed half-way isn't seen, and a batch written again takes its own place. Blocks are bucketed
-by owner, token and cell; without the cell, a word that all of a large owner's documents hold would be one bucket.
+by owner and cell, as documents are dealt when they are gathered and cells when they are scored: no posting is shuffled for either.
 
 Rows of null owners or ids are left out. Removed documents are handed in with their texts, as their tokens' counts go down.
 """
@@ -47,7 +47,7 @@ class Postings:
         self.table = f"postings_{hashlib.md5(self.path.encode()).hexdigest()}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({BLOCK}) USING parquet OPTIONS (path '{self.path}/blocks_{self.buckets}') "
-            f"PARTITIONED BY (batch) CLUSTERED BY (owner_id, token, cell) SORTED BY (owner_id, token, cell) INTO {self.buckets} BUCKETS"
+            f"PARTITIONED BY (batch) CLUSTERED BY (owner_id, cell) SORTED BY (owner_id, cell) INTO {self.buckets} BUCKETS"
         )
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -89,41 +89,45 @@ class Postings:
         parts = [p for b in batches if _listed(self.spark, p := f"{root}/batch={b}")]
         return self.spark.read.schema(BLOCK).option("basePath", root).parquet(*parts) if parts else self.spark.createDataFrame([], BLOCK)
 
+    def _dealt(self, blocks: DataFrame) -> DataFrame:
+        """Each bucket is a task, and so one file."""
+        return blocks.repartition(self.buckets, "owner_id", "cell")
+
     def _put(self, blocks: DataFrame, batch: int) -> None:
-        """A batch's blocks, in place of those that it may have; each bucket is a task, and so one file."""
-        dealt = blocks.select("owner_id", "token", "cell", "n", "max_tf", "min_dl", "posts").repartition(self.buckets, "owner_id", "token", "cell")
+        """A batch's blocks, in place of those that it may have. They come dealt by the buckets' columns, so that a task writes one file."""
+        dealt = blocks.select("owner_id", "token", "cell", "n", "max_tf", "min_dl", "posts")
         self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = {int(batch)}) SELECT * FROM {{dealt}}", dealt=dealt)
 
-    def _rows(self, docs: DataFrame, id_col: str, text_col: str, by: str) -> DataFrame:
-        """(owner_id, id, text, cell number) of documents."""
+    def _rows(self, docs: DataFrame, id_col: str, text_col: str, by: str, batch: int) -> DataFrame:
+        """(owner_id, id, text, cell) of documents. The cells' numbers are settled, so that the texts aren't shuffled to meet few of them."""
         size = F.floor(F.log2(F.length(F.coalesce(text_col, F.lit(""))) + F.lit(1.0)) * CLASSES).cast("int")
         rows = docs.filter(F.col(by).isNotNull() & F.col(id_col).isNotNull())
         rows = rows.select(F.col(by).cast("long").alias("owner_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"), size.alias("_size"))
-        slots = rows.groupBy("owner_id", "_size").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_slots"))
+        slots = settle(rows.groupBy("owner_id", "_size").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_slots")))
         slot = F.pmod(F.xxhash64("id"), F.col("_slots"))
-        return rows.join(slots, ["owner_id", "_size"]).select("owner_id", "id", F.concat_ws("/", "_size", slot).alias("place"), "_text")
+        return rows.join(slots, ["owner_id", "_size"]).select("owner_id", "id", F.concat_ws("/", F.lit(batch), "_size", slot).alias("cell"), "_text")
 
     def append(self, docs: DataFrame, batch: int, id_col: str = "fragment_id", text_col: str = "content", by: str = "owner_id") -> None:
         """Add documents, of ids that the index doesn't hold or that an earlier batch has removed. A cell's documents go to one task, as
         texts, where their words are counted and gathered: no row for each word of a document is shuffled."""
-        rows = self._rows(docs, id_col, text_col, by)
+        rows = self._rows(docs, id_col, text_col, by, batch)
         chars = docs.agg(F.sum(F.length(text_col)).alias("n")).first().n or 0
-        tasks = max(self.spark.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
-        dealt = rows.repartition(tasks, "owner_id", "place").select("owner_id", "place", "id", F.array_join(t.index_tokens(F.col("_text")), " ").alias("words"))
-        found = dealt.groupBy("owner_id", "place").applyInArrow(_gathered(batch), BLOCK.rpartition(", ")[0])
+        tasks = self.buckets * -(-max(self.spark.sparkContext.defaultParallelism, chars // TASK_CHARS) // self.buckets)  # a task has one bucket's cells
+        dealt = rows.repartition(tasks, "owner_id", "cell").select("owner_id", "cell", "id", F.array_join(t.index_tokens(F.col("_text")), " ").alias("words"))
+        found = dealt.groupBy("owner_id", "cell").applyInArrow(_gathered, BLOCK.rpartition(", ")[0])
         n = rows.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"))
         dl = lambda: self._written([batch]).groupBy("owner_id").agg(F.sum(F.aggregate("posts.tf", F.lit(0).cast("long"), lambda x, y: x + y)).alias("dl"))
         self._write(found, lambda: n.join(dl(), "owner_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0))), batch)
 
     def remove(self, docs: DataFrame, batch: int, id_col: str = "fragment_id", text_col: str = "content", by: str = "owner_id") -> None:
         """Take documents of earlier batches away: their ids no longer count, nor do their tokens in the statistics."""
-        rows = self._rows(docs, id_col, text_col, by).withColumn("_ws", t.index_tokens(F.col("_text")))
+        rows = self._rows(docs, id_col, text_col, by, batch).withColumn("_ws", t.index_tokens(F.col("_text")))
         tokens = exploded(rows, ["owner_id", "id"], F.array_distinct("_ws"))
         less = tokens.groupBy("owner_id", "token").agg((-F.count(F.lit(1))).cast("int").alias("n"))
         nothing = {"max_tf": F.lit(0), "min_dl": F.lit(1), "posts": F.array().cast("array<struct<id:bigint,tf:int,dl:int>>")}
         stats = rows.groupBy("owner_id").agg((-F.count(F.lit(1))).alias("n"), (-F.sum(F.size("_ws"))).alias("dl"))
         rows.select("owner_id", "id").write.mode("overwrite").parquet(f"{self.path}/gone/batch={batch}")
-        self._write(less.withColumn("cell", F.lit(f"{batch}/gone")).withColumns(nothing), lambda: stats, batch, removes=True)
+        self._write(self._dealt(less.withColumn("cell", F.lit(f"{batch}/gone")).withColumns(nothing)), lambda: stats, batch, removes=True)
 
     def gone(self) -> DataFrame | None:
         """(id, until): ids and the batch that removed them last; None where nothing was removed."""
@@ -149,7 +153,7 @@ class Postings:
         )
         stats = self.commits().groupBy("owner_id").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).filter("owner_id is not null")
         stats = settle(stats)
-        self._write(merged, lambda: stats, batch, replaces=old)
+        self._write(self._dealt(merged), lambda: stats, batch, replaces=old)
 
     def _weights(self, wanted: DataFrame, met: DataFrame) -> DataFrame:
         """(query_id, owner_id, token, idf, avgdl) of query tokens; ``met`` are the blocks of their tokens."""
@@ -170,12 +174,16 @@ class Postings:
         return weights, settle(cells)
 
     def _scores(self, weights: DataFrame, cells: DataFrame, k1: float, b: float) -> DataFrame:
-        """(query_id, id, score) of all documents in some cells."""
+        """(query_id, id, score) of all documents in some cells. As a cell has all of its documents' postings, it is scored by itself."""
         asked = cells.select("query_id", "cell").join(weights, "query_id")
-        blocks = self.blocks().select("owner_id", "token", "cell", "batch", "posts").join(asked, ["owner_id", "token", "cell"])
-        posts = self._live(blocks.select("query_id", "idf", "avgdl", "batch", F.explode("posts").alias("p")).select("query_id", "idf", "avgdl", "batch", "p.id", "p.tf", "p.dl"))
-        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        return posts.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+        blocks = self.blocks().filter("max_tf > 0").select("owner_id", "cell", "token", "batch", "posts").join(weights.select("owner_id", "token").distinct(), ["owner_id", "token"], "left_semi")
+        blocks = blocks.join(cells.select("owner_id", "cell").distinct(), ["owner_id", "cell"], "left_semi")
+        if self.gone() is not None:
+            posts = self._live(blocks.select("owner_id", "cell", "token", "batch", F.explode("posts").alias("p")).select("*", F.col("p.id").alias("id")))
+            blocks = posts.groupBy("owner_id", "cell", "token").agg(F.collect_list("p").alias("posts"))
+        met = blocks.select("owner_id", "cell", "token", "posts").groupBy("owner_id", "cell").cogroup(asked.select("owner_id", "cell", "query_id", "token", "idf", "avgdl").groupBy("owner_id", "cell"))
+        kind = weights.schema["query_id"].dataType.simpleString()
+        return met.applyInArrow(_scored(k1, b), f"query_id {kind}, id long, score double").withColumn("score", F.round("score", 6))
 
     def first_cells(self, cells: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """The cells of each query's highest bounds that hold some 2 k documents, and the others."""
@@ -199,33 +207,59 @@ class Postings:
         return cells.join(floor, "query_id", "left").filter(F.col("_floor").isNull() | (F.col("bound") >= F.col("_floor") - ROUNDING)).drop("_floor")
 
 
-def _gathered(batch: int):
+def _gathered(key, docs):
     """The blocks of a cell's documents (id, words); words are joined by spaces."""
-
-    def run(key, docs):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = pc.split_pattern(docs.column("words").combine_chunks(), " ")
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = words.flatten().dictionary_encode()
+    token, some = flat.indices.to_numpy().astype(np.int64), pc.not_equal(words.flatten(), "").to_numpy(zero_copy_only=False)
+    size[pc.equal(docs.column("words").combine_chunks(), "").to_numpy(zero_copy_only=False)] = 0
+    # rows of one id and length are one document
+    of, doc = np.unique(np.stack([docs.column("id").to_numpy(), size]), axis=1, return_inverse=True)
+    pair, tf = np.unique(token[some] * docs.num_rows + np.repeat(doc.reshape(-1), size), return_counts=True)
+    token, doc = pair // docs.num_rows, pair % docs.num_rows
+    first = np.flatnonzero(np.diff(token, prepend=-1))
+    ends, dl = np.append(first, len(token)), of[1][doc]
+    least = np.minimum.reduceat(dl, first) if len(first) else dl
+    most = np.maximum.reduceat(tf, first) if len(first) else tf
+    posts = pa.StructArray.from_arrays([pa.array(of[0][doc], pa.int64()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], ["id", "tf", "dl"])
+    owner, cell = (k.as_py() for k in key)
+    return pa.table({
+        "owner_id": pa.array([owner] * len(first), pa.int64()), "token": flat.dictionary.take(pa.array(token[first])), "cell": pa.array([cell] * len(first), pa.string()),
+        "n": pa.array(np.diff(ends), pa.int32()), "max_tf": pa.array(most, pa.int32()), "min_dl": pa.array(least, pa.int32()), "posts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), posts),
+    })
+
+
+def _scored(k1: float, b: float):
+    """The scores of a cell's documents for the queries that ask for it, from its blocks (token, posts) and their tokens (query_id, token, idf,
+    avgdl)."""
+
+    def run(blocks, asked):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        words = pc.split_pattern(docs.column("words").combine_chunks(), " ")
-        size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = words.flatten().dictionary_encode()
-        token, some = flat.indices.to_numpy().astype(np.int64), pc.not_equal(words.flatten(), "").to_numpy(zero_copy_only=False)
-        size[pc.equal(docs.column("words").combine_chunks(), "").to_numpy(zero_copy_only=False)] = 0
-        # rows of one id and length are one document
-        of, doc = np.unique(np.stack([docs.column("id").to_numpy(), size]), axis=1, return_inverse=True)
-        pair, tf = np.unique(token[some] * docs.num_rows + np.repeat(doc.reshape(-1), size), return_counts=True)
-        token, doc = pair // docs.num_rows, pair % docs.num_rows
-        first = np.flatnonzero(np.diff(token, prepend=-1))
-        ends, dl = np.append(first, len(token)), of[1][doc]
-        least = np.minimum.reduceat(dl, first) if len(first) else dl
-        most = np.maximum.reduceat(tf, first) if len(first) else tf
-        posts = pa.StructArray.from_arrays([pa.array(of[0][doc], pa.int64()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], ["id", "tf", "dl"])
-        owner, place = (k.as_py() for k in key)
-        return pa.table({
-            "owner_id": pa.array([owner] * len(first), pa.int64()), "token": flat.dictionary.take(pa.array(token[first])), "cell": pa.array([f"{batch}/{place}"] * len(first), pa.string()),
-            "n": pa.array(np.diff(ends), pa.int32()), "max_tf": pa.array(most, pa.int32()), "min_dl": pa.array(least, pa.int32()), "posts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), posts),
-        })
+        posts = blocks.column("posts").combine_chunks()
+        held = pc.index_in(asked.column("token"), value_set=blocks.column("token").combine_chunks())
+        has = held.is_valid()
+        held, asked = held.filter(has).to_numpy(), asked.filter(has)
+        size = pc.list_value_length(posts).to_numpy(zero_copy_only=False)
+        id_, tf, dl = (posts.flatten().field(c).to_numpy() for c in ("id", "tf", "dl"))
+        n = size[held]
+        at = np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[held] - (np.cumsum(n) - n), n)
+        idf, avgdl = (np.repeat(asked.column(c).to_numpy(), n) for c in ("idf", "avgdl"))
+        part = idf * tf[at] * (k1 + 1) / (tf[at] + k1 * (1 - b + b * dl[at] / avgdl))
+        queries = asked.column("query_id").combine_chunks().dictionary_encode()
+        ids, doc = np.unique(id_, return_inverse=True)
+        pair = np.repeat(queries.indices.to_numpy().astype(np.int64), n) * len(ids) + doc[at]
+        found, place = np.unique(pair, return_inverse=True)
+        score = np.bincount(place, part, len(found))
+        query = queries.dictionary.take(pa.array(found // max(len(ids), 1)))
+        return pa.table({"query_id": query, "id": pa.array(ids[found % max(len(ids), 1)], pa.int64()), "score": pa.array(score, pa.float64())})
 
     return run
 

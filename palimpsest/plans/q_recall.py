@@ -49,7 +49,7 @@ def rank_sql(source: str) -> dict[str, str]:
 def index(spark: SparkSession, d: str, every: bool = False) -> Postings:
     """The standing index of a folder's active fragments, or of all of them as one owner's; it is made where the shared folder has none of the
     files as they are now."""
-    made = Postings(spark, f"{scratch(spark)}/postings-{fingerprint(spark, f'{d}/documents.parquet')}{'-all' if every else ''}")
+    made = Postings(spark, f"{scratch(spark)}/cells-{fingerprint(spark, f'{d}/documents.parquet')}{'-all' if every else ''}")
     if not made.batches():
         f = a.fragments(spark, d)
         made.append(f.withColumn("owner_id", F.lit(0)) if every else f.filter("status = 'active'"), 1)
@@ -161,9 +161,10 @@ def _evidence(spark, d):
     df = blocks.select("token", "n").join(F.broadcast(asked.select("token").distinct()), "token").groupBy("token").agg(F.sum("n").alias("n"))
     # a token that no document has rules its question out
     rarest = settle(asked.join(df, "token", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("k")).filter("k.n > 0").select("query_id", "k.token"))
-    near = blocks.select("token", "posts.id").join(F.broadcast(rarest), "token").select("query_id", F.explode("id").alias("fragment_id")).distinct()
+    # settled, so that the texts aren't shuffled to meet few of them
+    near = settle(blocks.select("token", "posts.id").join(F.broadcast(rarest), "token").select("query_id", F.explode("id").alias("fragment_id")).distinct())
     f = a.fragments(spark, d).select("fragment_id", "content")
-    met = near.join(q.select("query_id", "query"), "query_id").join(f, "fragment_id")
+    met = near.join(f, "fragment_id").join(q.select("query_id", "query"), "query_id")
     bare = q.filter(F.size("inner") == 0).select("query_id", "query")
     if bare.limit(1).count():
         met = met.select("query_id", "query", "fragment_id", "content").unionByName(bare.join(f, F.contains("content", F.col("query"))).select("query_id", "query", "fragment_id", "content"))

@@ -105,3 +105,17 @@ def test_evidence_may_begin_and_end_inside_a_word(spark, tmp_path):
     spark.createDataFrame([(1, "happy red fo"), (2, "ox"), (3, "no such words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {tuple(r) for r in q_recall._evidence(spark, str(tmp_path)).collect()}
     assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (2, 5)}
+
+
+def test_postings_are_not_shuffled(spark, index, monkeypatch):
+    """Texts are dealt by the buckets' columns before their words are gathered, and a cell is scored where its blocks lie."""
+    plans, put = [], Postings._put
+    monkeypatch.setattr(Postings, "_put", lambda self, blocks, batch: (plans.append(blocks._jdf.queryExecution().executedPlan().toString()), put(self, blocks, batch)))
+    rows = [(i % 2, i, f"w{i % 7} w{i % 5} w{i % 3} " * (1 + i % 4)) for i in range(600)]
+    index.append(spark.createDataFrame(rows, SCHEMA), 1)
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    queries = spark.createDataFrame([(1, 0, "w1 w4 w6"), (2, 1, "w2"), (3, 0, "none")], "query_id long, owner_id long, query string")
+    scores = index._scores(*index.bounds(queries), 1.2, 0.75)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Generate" not in plan
+    assert found(index.search(queries, 7)) == found(bm25_topk(queries, spark.createDataFrame(rows, SCHEMA), 7)) and scores.select("query_id").distinct().count() == 2
